@@ -1,0 +1,5 @@
+"""Nothing to build here: the capability set is batch only.
+
+Row-level operators (``functions``) are plain column expressions, so they can be
+applied to a streaming DataFrame unchanged; no stateful operator is offered.
+"""
