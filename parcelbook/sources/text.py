@@ -7,6 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def _c1_table() -> tuple[str, str]:
+    """Control characters of ISO-8859-1 and what they mean in windows-1252."""
+    pairs = [(chr(b), bytes([b]).decode("cp1252", "ignore")) for b in range(0x80, 0xA0)]
+    kept = [(a, z) for a, z in pairs if z]
+    return "".join(a for a, _ in kept), "".join(z for _, z in kept)
+
+
 def text_schema(names: list[str]) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
@@ -14,21 +21,30 @@ def text_schema(names: list[str]) -> T.StructType:
 def read_delimited(
     spark: SparkSession, path: str, names: list[str], sep: str = ";", encoding: str = "UTF-8"
 ) -> DataFrame:
-    """Header-checked scan with no type inference; a byte-order mark is ignored."""
+    """Header-checked scan with no type inference; a byte-order mark is ignored.
+
+    windows-1252 is read as ISO-8859-1, which differs only in one block of characters
+    that a column translation then restores.
+    """
+    legacy = encoding.lower() in ("windows-1252", "cp1252")
     first = spark.read.text(path).limit(1).collect() if encoding == "UTF-8" else []
     if first:
         found = first[0][0].lstrip("﻿").rstrip("\r").split(sep)
         if [f.strip('"') for f in found] != names:
             raise ValueError(f"header drift in {path}: {found}")
-    return (
+    df = (
         spark.read.schema(text_schema(names))
         .option("sep", sep)
         .option("header", True)
         .option("enforceSchema", True)
-        .option("encoding", encoding)
+        .option("encoding", "ISO-8859-1" if legacy else encoding)
         .option("mode", "FAILFAST")
         .csv(path)
     )
+    if not legacy:
+        return df
+    src, dst = _c1_table()
+    return df.select(*[F.translate(n, src, dst).alias(n) for n in names])
 
 
 def parse_line(line: Column, names: list[str], sep: str = ";") -> Column:
