@@ -1,4 +1,8 @@
-"""Rank and partial correlations on counted values, without pairwise blow-up of rows."""
+"""Rank and partial correlations on counted values, without pairwise blow-up of rows.
+
+Inputs are one row per unit (areas, suppliers); they are settled once because every
+ranked column reads them again.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +11,7 @@ from pyspark.sql import functions as F
 
 from parcelbook.operators.aggregates import guarded_corr
 from parcelbook.operators.order_stats import null_safe_join, rank_values
+from parcelbook.session import settle
 
 RESIDUAL_FLOOR = 1e-12
 
@@ -39,7 +44,7 @@ def centred(df: DataFrame, by: list[str], values: dict[str, str]) -> DataFrame:
 
 def spearman(df: DataFrame, by: list[str], x: str, y: str, least: int = 3, limit: int | None = None) -> DataFrame:
     """Pearson correlation of average ranks per group."""
-    pairs = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    pairs = settle(df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()))
     ranked = rank_values(rank_values(pairs, by, x, "_rx", limit=limit), by, y, "_ry", limit=limit)
     grouped = ranked.groupBy(*by) if by else ranked.groupBy()
     return grouped.agg(F.count("*").alias("n"), guarded_corr("_rx", "_ry", least).alias("spearman"))
@@ -50,7 +55,7 @@ def group_centred(df: DataFrame, by: list[str], group: str, x: str, y: str, limi
 
     Ranks are global inside ``by``; a group with one row adds zeros and is counted.
     """
-    pairs = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    pairs = settle(df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()))
     ranked = rank_values(rank_values(pairs, by, x, "_rx", limit=limit), by, y, "_ry", limit=limit)
     c = centred(ranked, [*by, group], {"_dx": "_rx", "_dy": "_ry"})
     grouped = c.groupBy(*by) if by else c.groupBy()
@@ -70,7 +75,7 @@ def partial_rank(df: DataFrame, by: list[str], group: str, x: str, y: str, z: st
     With centred ranks dx, dy, dz the residual sums follow from six moments:
     e_x.e_y = dx.dy - (dx.dz)(dy.dz)/(dz.dz), so one aggregate gives everything.
     """
-    full = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(z).isNotNull())
+    full = settle(df.filter(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(z).isNotNull()))
     ranked = full
     for v, r in ((x, "_rx"), (y, "_ry"), (z, "_rz")):
         ranked = rank_values(ranked, by, v, r, limit=limit)

@@ -316,12 +316,12 @@ def panel_fit(
     spec: str = "spec",
 ) -> DataFrame:
     """Two-way panel regression on the complete cases of one specification."""
-    rows = complete_cases(df.select(*dict.fromkeys([unit, *periods, cluster, *([trend] if trend else []), y, *regressors])), [y, *regressors])
-    cast = rows
-    for c in [y, *regressors]:
-        cast = cast.withColumn(c, F.col(c).cast("double"))
+    labels = list(dict.fromkeys([unit, *periods, cluster, *([trend] if trend else [])]))
+    rows = complete_cases(df.select(*dict.fromkeys([*labels, y, *regressors])), [y, *regressors])
+    # the panel is read for its calendar, its unit means and its rows: settle it once
+    cast = settle(rows.withColumns({c: F.col(c).cast("double") for c in [y, *regressors]}))
     # one line per unit is absorbed and one dummy fewer is kept
-    absorbed = rows.select(unit).distinct().count() if trend else 0
+    absorbed = cast.select(unit).distinct().count() if trend else 0
     design, dummies = within(cast, unit, periods, [y, *regressors], trend)
     x = [*regressors, *dummies]
     m = cluster_moments(design, [*x, y], cluster, absorbed)

@@ -17,6 +17,7 @@ from parcelbook.operators import shiftshare as SS
 from parcelbook.operators import survey as V
 from parcelbook.plans import base as B
 from parcelbook.plans.registry import query
+from parcelbook.session import settle
 from parcelbook.sources.tables import load
 
 Spark = SparkSession
@@ -172,7 +173,7 @@ def _spec_union(parts: list[DataFrame]) -> DataFrame:
 def e11(spark: Spark, d: str) -> DataFrame:
     """Four specifications with controls and lags, each on its own complete cases."""
     sy = B.supplier_year(spark, d)
-    lags = sy.withColumns({f"l_{v}": P.previous(["id"], "yr", v, strict=False) for v in ("disc", "qty")})
+    lags = settle(sy.withColumns({f"l_{v}": P.previous(["id"], "yr", v, strict=False) for v in ("disc", "qty")}))
     specs = {"s0": ["disc"], "s1": ["disc", "tax", "qty"], "s2": ["disc", "tax", "qty", "l_disc", "l_qty"], "s3": ["disc", "l_disc"]}
     return _spec_union([R.panel_fit(lags, "y", regs, "id", ["yr"], "cl", spec=s) for s, regs in specs.items()])
 
@@ -192,7 +193,7 @@ def e12(spark: Spark, d: str) -> DataFrame:
 @query("e13_cross_section_year_effects")
 def e13(spark: Spark, d: str) -> DataFrame:
     """Regressor per 0.1 with constant and year effects, no unit effects."""
-    sy = B.supplier_year(spark, d).withColumn("disc10", F.col("disc") / 0.1)
+    sy = settle(B.supplier_year(spark, d)).withColumn("disc10", F.col("disc") / 0.1)
     design, extra = R.year_effects(sy, "yr")
     m = R.cluster_moments(design, ["disc10", *extra, "y"], "cl")
     return R.coefficient_table(m, R.ols(m, ["disc10", *extra], "y"), ["disc10", "_const"])
@@ -201,7 +202,7 @@ def e13(spark: Spark, d: str) -> DataFrame:
 @query("e14_trends_and_interaction")
 def e14(spark: Spark, d: str) -> DataFrame:
     """Unit trends, an interaction, a sample without two clusters and a sub-period."""
-    sy = B.supplier_year(spark, d).withColumn("disc_x_bal", F.col("disc") * F.col("bal") / 1000)
+    sy = settle(B.supplier_year(spark, d)).withColumn("disc_x_bal", F.col("disc") * F.col("bal") / 1000)
     return _spec_union(
         [
             R.panel_fit(sy, "y", ["disc"], "id", ["yr"], "cl", trend="yr", spec="trends"),
@@ -214,7 +215,7 @@ def e14(spark: Spark, d: str) -> DataFrame:
 
 @query("e15_wild_bootstrap_t")
 def e15(spark: Spark, d: str) -> DataFrame:
-    sy = B.supplier_year(spark, d).select("id", "cl", "yr", "y", "disc", "tax")
+    sy = settle(B.supplier_year(spark, d).select("id", "cl", "yr", "y", "disc", "tax"))
     design, dummies = R.within(sy, "id", ["yr"], ["y", "disc", "tax"])
     x = ["disc", "tax", *dummies]
     return BS.wild_t(R.cluster_moments(design, [*x, "y"], "cl"), x, "y", "disc", reps=999)
@@ -346,18 +347,18 @@ def v01(spark: Spark, d: str) -> DataFrame:
 
 
 EQ = f"""{B.PS}, pa AS (SELECT *, CASE WHEN age = -1 THEN 0 ELSE age END AS a0 FROM ps), sc AS (SELECT hid, 1 + 0.5 * (count(*) FILTER (WHERE a0 >= 14) - 1) + 0.3 * count(*) FILTER (WHERE a0 < 14) AS scale, count(*) FILTER (WHERE a0 >= 14) AS adults FROM pa GROUP BY 1),
-  eq AS (SELECT pa.*, round(income / scale::DOUBLE, 4) AS eqv FROM pa JOIN sc USING (hid) WHERE adults > 0)"""
+  eq AS (SELECT pa.*, round(income / scale::DOUBLE, 8) AS eqv FROM pa JOIN sc USING (hid) WHERE adults > 0)"""
 
 
 def _eq(spark: Spark, d: str) -> DataFrame:
     ps = B.persons(spark, d).withColumn("a0", BK.reference_age(F.col("age")))
     scale = V.household_scale(ps, "hid", "a0")
     return ps.join(scale.filter("adults > 0"), "hid").withColumn(
-        "eqv", F.round(V.equivalised(F.col("income"), F.col("adults"), F.col("children")), 4)
+        "eqv", F.round(V.equivalised(F.col("income"), F.col("adults"), F.col("children")), 8)
     )
 
 
-@query("v02_equivalised_income", f"WITH {EQ} SELECT hid, max(eqv) AS eqv, count(*) AS persons FROM eq GROUP BY 1")
+@query("v02_equivalised_income", f"WITH {EQ} SELECT hid, round(max(eqv), 6) AS eqv, count(*) AS persons FROM eq GROUP BY 1")
 def v02(spark: Spark, d: str) -> DataFrame:
     return _eq(spark, d).groupBy("hid").agg(F.max("eqv").alias("eqv"), F.count("*").alias("persons"))
 
