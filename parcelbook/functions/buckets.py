@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from parcelbook.functions import let
+
 # fixed values: population age bands (lower, upper, label)
 AGE_BANDS = [(0, 19, "0-19"), (20, 34, "20-34"), (35, 49, "35-49"), (50, 64, "50-64"), (65, 999, "65+")]
 # fixed values: disjoint survey cohorts and the overlapping published age groups
@@ -48,44 +50,49 @@ _ISO = (
 NO_DATE = "--01-01T00:00:00"
 
 
-def construction_year(c: Column) -> tuple[Column, Column]:
-    """(year, state) with state missing / invalid / valid."""
+def construction_date(text: Column) -> Column:
+    """struct(year, state) with state missing / invalid / valid."""
+    return let(text, _construction_date)
+
+
+def _construction_date(c: Column) -> Column:
     stamp = F.regexp_extract(c, r"^(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2})", 1)
-    parsed = F.try_to_timestamp(stamp, F.lit("yyyy-MM-dd'T'HH:mm:ss"))
-    offset = F.regexp_extract(c, r"[+-](\d{2}):(\d{2})$", 1).try_cast("int") * 60 + F.regexp_extract(
-        c, r"[+-](\d{2}):(\d{2})$", 2
-    ).try_cast("int")
-    good = (
-        c.rlike(_ISO)
-        & parsed.isNotNull()
-        & (F.year(parsed) <= 2100)
-        & (F.year(parsed) >= 1)
-        & (F.coalesce(offset, F.lit(0)) <= 14 * 60)
-    )
-    state = (
-        F.when(c.isNull() | (c == NO_DATE), F.lit("missing"))
-        .when(good, F.lit("valid"))
-        .otherwise(F.lit("invalid"))
-    )
-    return F.when(state == "valid", F.year(parsed)), state
-
-
-def date_quality(start: Column, end: Column) -> dict[str, Column]:
-    """Years, joint quality and the reversed-range flag of a date pair."""
-    ys, ss = construction_year(start)
-    ye, se = construction_year(end)
-    quality = (
-        F.when((ss == "invalid") | (se == "invalid"), F.lit("invalid"))
-        .when(ys.isNotNull() & ye.isNotNull(), F.lit("complete"))
-        .when(ys.isNull() & ye.isNull(), F.lit("missing"))
-        .otherwise(F.lit("partial"))
-    )
-    return {
-        "year_start": ys,
-        "year_end": ye,
-        "date_quality": quality,
-        "reversed": F.coalesce(ys > ye, F.lit(False)),
-    }
+    hours = F.regexp_extract(c, r"[+-](\d{2}):(\d{2})$", 1).try_cast("int")
+    minutes = F.regexp_extract(c, r"[+-](\d{2}):(\d{2})$", 2).try_cast("int")
+    near = F.coalesce(hours * 60 + minutes, F.lit(0)) <= 14 * 60
+
+    def decide(year: Column) -> Column:
+        good = year.between(1, 2100) & near
+        state = (
+            F.when(c.isNull() | (c == NO_DATE), F.lit("missing")).when(good, F.lit("valid")).otherwise(F.lit("invalid"))
+        )
+        return F.struct(F.when(good & (c != NO_DATE), year).alias("year"), state.alias("state"))
+
+    # only text of the full shape is parsed at all
+    parsed = F.when(c.rlike(_ISO), F.year(F.try_to_timestamp(stamp, F.lit("yyyy-MM-dd'T'HH:mm:ss"))))
+    return let(parsed, decide)
+
+
+def date_quality(start: Column, end: Column) -> Column:
+    """struct(year_start, year_end, date_quality, reversed) of a date pair."""
+
+    def join(pair: Column) -> Column:
+        ys, ye = pair["s"]["year"], pair["e"]["year"]
+        bad = (pair["s"]["state"] == "invalid") | (pair["e"]["state"] == "invalid")
+        quality = (
+            F.when(bad, F.lit("invalid"))
+            .when(ys.isNotNull() & ye.isNotNull(), F.lit("complete"))
+            .when(ys.isNull() & ye.isNull(), F.lit("missing"))
+            .otherwise(F.lit("partial"))
+        )
+        return F.struct(
+            ys.alias("year_start"),
+            ye.alias("year_end"),
+            quality.alias("date_quality"),
+            F.coalesce(ys > ye, F.lit(False)).alias("reversed"),
+        )
+
+    return let(F.struct(construction_date(start).alias("s"), construction_date(end).alias("e")), join)
 
 
 def month_end_serial(d: Column, epoch: str = "1899-12-30") -> Column:

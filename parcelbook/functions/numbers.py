@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from parcelbook.functions import let
+
 # fixed values: spellings of "not published"
 SENTINELS = ["", "nd", "n.d.", "-", "...", ".", ".."]
 
@@ -35,19 +37,23 @@ def mixed_separator_number(c: Column) -> Column:
     One lone comma followed by at most two digits is a decimal mark; other commas
     are thousands marks. A cell holding only separators is null.
     """
-    t = F.trim(c)
-    dot, comma = F.instr(t, "."), F.instr(t, ",")
-    last_dot = F.length(t) - F.instr(F.reverse(t), ".")
-    last_comma = F.length(t) - F.instr(F.reverse(t), ",")
-    both = (dot > 0) & (comma > 0)
-    lone = (F.length(t) - F.length(F.translate(t, ",", "")) == 1) & t.rlike(r",\d{0,2}$")
-    text = (
-        F.when(both & (last_dot > last_comma), F.translate(t, ",", ""))
-        .when(both, F.translate(t, ",.", "."))
-        .when(lone, F.translate(t, ",", "."))
-        .otherwise(F.translate(t, ",", ""))
-    )
-    return F.when(~t.rlike(r"^[.,]*$"), text.try_cast("double"))
+
+    def read(t: Column) -> Column:
+        dots = F.length(t) - F.length(F.translate(t, ".", ""))
+        commas = F.length(t) - F.length(F.translate(t, ",", ""))
+        # the last separator is the first one of the reversed text
+        dot_is_last = F.regexp_extract(F.reverse(t), "([.,])", 1) == "."
+        both = (dots > 0) & (commas > 0)
+        lone = (commas == 1) & t.rlike(r",\d{0,2}$")
+        text = (
+            F.when(both & dot_is_last, F.translate(t, ",", ""))
+            .when(both, F.translate(t, ",.", "."))
+            .when(lone, F.translate(t, ",", "."))
+            .otherwise(F.translate(t, ",", ""))
+        )
+        return F.when(~t.rlike(r"^[.,]*$"), text.try_cast("double"))
+
+    return let(F.trim(c), read)
 
 
 def thousands_to_units(c: Column) -> Column:

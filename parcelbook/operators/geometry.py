@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parcelbook.functions import let
+
 RING = "array<array<double>>"
 POLYGONS = "array<array<array<array<double>>>>"
 EDGE_TOL = 1e-7
@@ -62,14 +64,17 @@ def ring_moments(ring: Column) -> Column:
 
 def ring_measure(ring: Column) -> Column:
     """struct(area, cx, cy); null for a broken or degenerate ring."""
-    m = ring_moments(ring)
-    t = F.nullif(m["t"], F.lit(0.0))
-    measured = F.struct(
-        (F.abs(m["t"]) / 2).alias("area"),
-        (ring[0][0] + m["sx"] / (3 * t)).alias("cx"),
-        (ring[0][1] + m["sy"] / (3 * t)).alias("cy"),
-    )
-    return F.when(ring_ok(ring) & (F.abs(m["t"]) >= 1e-8), measured)
+
+    def measured(m: Column) -> Column:
+        t = F.nullif(m["t"], F.lit(0.0))
+        out = F.struct(
+            (F.abs(m["t"]) / 2).alias("area"),
+            (ring[0][0] + m["sx"] / (3 * t)).alias("cx"),
+            (ring[0][1] + m["sy"] / (3 * t)).alias("cy"),
+        )
+        return F.when(F.abs(m["t"]) >= 1e-8, out)
+
+    return F.when(ring_ok(ring), let(ring_moments(ring), measured))
 
 
 def polygon_measure(polygons: Column) -> Column:
@@ -77,42 +82,36 @@ def polygon_measure(polygons: Column) -> Column:
 
     Null when any ring is broken or the holes of a polygon consume it.
     """
-    measured = F.transform(polygons, lambda rings: F.transform(rings, ring_measure))
-    usable = F.forall(
-        measured,
-        lambda rings: (F.size(rings) > 0)
-        & F.forall(rings, lambda r: r.isNotNull())
-        & (
-            F.aggregate(rings, F.lit(0.0), lambda a, r: a - r["area"]) + 2 * rings[0]["area"] > 0
-        ),
-    )
-    signed = F.flatten(
-        F.transform(
-            measured,
-            lambda rings: F.transform(
-                rings,
-                lambda r, i: F.struct(
-                    F.when(i == 0, r["area"]).otherwise(-r["area"]).alias("a"), r["cx"].alias("cx"), r["cy"].alias("cy")
-                ),
-            ),
+
+    def one_polygon(rings: Column) -> Column:
+        # outer ring counts positive, holes negative; a broken ring makes it null
+        zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0).alias("n"))
+
+        def step(s: Column, r: Column) -> Column:
+            a = F.when(s["n"] == 0, r["area"]).otherwise(-r["area"])
+            return F.struct(
+                (s["a"] + a).alias("a"),
+                (s["x"] + a * r["cx"]).alias("x"),
+                (s["y"] + a * r["cy"]).alias("y"),
+                (s["n"] + 1).alias("n"),
+            )
+
+        return F.aggregate(F.transform(rings, ring_measure), zero, step)
+
+    def combine(parts: Column) -> Column:
+        zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+        total = F.aggregate(
+            parts,
+            zero,
+            lambda s, p: F.struct((s["a"] + p["a"]).alias("a"), (s["x"] + p["x"]).alias("x"), (s["y"] + p["y"]).alias("y")),
         )
-    )
-    zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
-    total = F.aggregate(
-        signed,
-        zero,
-        lambda s, r: F.struct(
-            (s["a"] + r["a"]).alias("a"),
-            (s["x"] + r["a"] * r["cx"]).alias("x"),
-            (s["y"] + r["a"] * r["cy"]).alias("y"),
-        ),
-    )
-    out = F.struct(
-        total["a"].alias("area"),
-        (total["x"] / F.nullif(total["a"], F.lit(0.0))).alias("cx"),
-        (total["y"] / F.nullif(total["a"], F.lit(0.0))).alias("cy"),
-    )
-    return F.when((F.size(polygons) > 0) & usable & (total["a"] > 0), out)
+        usable = (F.size(parts) > 0) & F.forall(parts, lambda p: F.coalesce(p["a"] > 0, F.lit(False)))
+        return F.when(
+            usable,
+            let(total, lambda t: F.struct(t["a"].alias("area"), (t["x"] / t["a"]).alias("cx"), (t["y"] / t["a"]).alias("cy"))),
+        )
+
+    return F.when(polygons.isNotNull(), let(F.transform(polygons, one_polygon), combine))
 
 
 def bbox(polygons: Column) -> Column:
@@ -149,21 +148,23 @@ def ring_location(x: Column, y: Column, ring: Column) -> Column:
         at = e["ax"] + (y - e["ay"]) * (e["bx"] - e["ax"]) / F.nullif(e["by"] - e["ay"], F.lit(0.0))
         return straddles & (x < at)
 
-    parity = F.size(F.filter(edges, crosses)) % 2
-    return F.when(F.exists(edges, on_edge), F.lit(2)).otherwise(parity)
+    return let(
+        edges,
+        lambda all_edges: F.when(F.exists(all_edges, on_edge), F.lit(2)).otherwise(F.size(F.filter(all_edges, crosses)) % 2),
+    )
 
 
 def covers(x: Column, y: Column, polygons: Column) -> Column:
     """Point covered by any polygon; boundaries count, hole interiors do not."""
 
     def one(rings: Column) -> Column:
-        outer = ring_location(x, y, rings[0])
-        holes = F.transform(
-            F.slice(rings, F.lit(2), F.greatest(F.size(rings) - 1, F.lit(0))),
-            lambda h: ring_location(x, y, h),
+        sides = F.transform(rings, lambda r: ring_location(x, y, r))
+        # outer ring first: covered when on any edge, or inside it and in no hole
+        return let(
+            sides,
+            lambda s: (s[0] > 0)
+            & (F.array_contains(s, 2) | ~F.exists(F.slice(s, F.lit(2), F.greatest(F.size(s) - 1, F.lit(0))), lambda h: h == 1)),
         )
-        edge = (outer == 2) | F.exists(holes, lambda h: h == 2)
-        return (outer > 0) & (edge | ~F.exists(holes, lambda h: h == 1))
 
     return F.coalesce(F.exists(polygons, one), F.lit(False))
 
@@ -272,7 +273,13 @@ def _inner_point(rings: list[np.ndarray], cx: float, cy: float) -> tuple[float,
 def representative_points(df: DataFrame, keys: list[str], rings: str, out_x: str = "px", out_y: str = "py") -> DataFrame:
     """Interior point of each polygon row (``rings``: outer ring first)."""
     measured = df.select(*keys, rings, polygon_measure(F.array(F.col(rings))).alias("_m")).filter("_m is not null")
-    flat = measured.select(*keys, rings, F.col("_m.cx").alias("_cx"), F.col("_m.cy").alias("_cy"))
+    sides = F.transform(rings, lambda r: ring_location(F.col("_m.cx"), F.col("_m.cy"), r))
+    # strictly inside: in the outer ring, on no edge, in no hole
+    inner = let(sides, lambda s: (s[0] == 1) & (F.aggregate(s, F.lit(0), lambda a, v: a + v) == 1))
+    flat = measured.select(
+        *keys, rings, F.col("_m.cx").alias("_cx"), F.col("_m.cy").alias("_cy"), inner.alias("_inner")
+    )
+    easy = flat.filter("_inner").select(*keys, F.col("_cx").alias(out_x), F.col("_cy").alias(out_y))
 
     def locate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -286,7 +293,9 @@ def representative_points(df: DataFrame, keys: list[str], rings: str, out_x: str
             yield out
 
     kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
-    return flat.mapInPandas(locate, f"{kinds}, {out_x} double, {out_y} double")
+    # only shapes whose centroid lies outside need the scanline search
+    hard = flat.filter("NOT _inner").select(*keys, rings, "_cx", "_cy")
+    return easy.unionByName(hard.mapInPandas(locate, f"{kinds}, {out_x} double, {out_y} double"))
 
 
 def assign_footprints(

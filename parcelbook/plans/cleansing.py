@@ -13,6 +13,7 @@ from parcelbook.operators import periods as P
 from parcelbook.operators import quality as QL
 from parcelbook.plans import base as B
 from parcelbook.plans.registry import query
+from parcelbook.session import spread
 from parcelbook.sources.tables import load
 
 Spark = SparkSession
@@ -26,7 +27,7 @@ Spark = SparkSession
 def k01(spark: Spark, d: str) -> DataFrame:
     # whole texts are normalised; a hash stands for the long key in the result
     k = K.norm_name(F.col("text"))
-    return load(spark, d, "documents").select("doc_id", k.alias("k")).select(
+    return spread(load(spark, d, "documents")).select("doc_id", k.alias("k")).select(
         "doc_id", F.length("k").cast("long").alias("key_length"), F.md5("k").alias("key_hash")
     )
 
@@ -36,7 +37,7 @@ def k01(spark: Spark, d: str) -> DataFrame:
     """SELECT doc_id, md5(regexp_replace(regexp_replace(upper(strip_accents(text)), '[^\\x00-\\x7F]', '', 'g'), '[^A-Z0-9]', '', 'g')) AS flat_hash FROM documents""",
 )
 def k02(spark: Spark, d: str) -> DataFrame:
-    return load(spark, d, "documents").select("doc_id", F.md5(K.flat_key(F.col("text"))).alias("flat_hash"))
+    return spread(load(spark, d, "documents")).select("doc_id", F.md5(K.flat_key(F.col("text"))).alias("flat_hash"))
 
 
 PLACE = """CASE p_size % 5 WHEN 0 THEN 'El ' || p_name WHEN 1 THEN p_name || ', La' WHEN 2 THEN p_name || ' (provincia)' WHEN 3 THEN 'L''' || p_name ELSE 'Las' END"""
@@ -121,8 +122,9 @@ def k08(spark: Spark, d: str) -> DataFrame:
     text = F.translate(F.format_number("o_totalprice", 2), ",.", ".,")
     m = F.col("o_orderkey") % 7
     raw = F.when(m == 0, "..").when(m == 1, F.concat(text, F.lit(" eur"))).otherwise(text)
-    value, error = N.strict_number(raw)
-    return load(spark, d, "orders").select("o_orderkey", value.alias("value"), error.alias("error"))
+    texts = load(spark, d, "orders").select("o_orderkey", raw.alias("raw"))
+    value, error = N.strict_number(F.col("raw"))
+    return texts.select("o_orderkey", value.alias("value"), error.alias("error"))
 
 
 @query(
@@ -146,7 +148,7 @@ def k10(spark: Spark, d: str) -> DataFrame:
 
 @query(
     "k11_code_shape",
-    """WITH c AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderkey AS VARCHAR) ELSE lpad(CAST(o_orderkey AS VARCHAR), 5, '0') END AS code FROM orders)
+    """WITH c AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderkey AS VARCHAR) WHEN o_orderkey < 100000 THEN lpad(CAST(o_orderkey AS VARCHAR), 5, '0') ELSE CAST(o_orderkey AS VARCHAR) END AS code FROM orders)
     SELECT o_orderkey, code FROM c WHERE regexp_full_match(code, '[0-9]{5}') AND right(code, 3) <> '999'""",
 )
 def k11(spark: Spark, d: str) -> DataFrame:
@@ -192,7 +194,8 @@ def k14(spark: Spark, d: str) -> DataFrame:
     iso = F.concat(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+02:00"))
     start = F.when(m == 0, F.lit(BK.NO_DATE)).when(m == 1, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise(iso)
     end = F.when(m.isin(0, 2), F.lit(None).cast("string")).when(m == 4, "1990-01-01T00:00:00Z").otherwise(iso)
-    return load(spark, d, "orders").select("o_orderkey", *[c.alias(n) for n, c in BK.date_quality(start, end).items()])
+    raw = load(spark, d, "orders").select("o_orderkey", start.alias("s"), end.alias("e"))
+    return raw.select("o_orderkey", BK.date_quality(F.col("s"), F.col("e")).alias("q")).select("o_orderkey", "q.*")
 
 
 @query(
@@ -274,8 +277,9 @@ def k21(spark: Spark, d: str) -> DataFrame:
         .when(m == 2, F.translate(F.replace(us, F.lit(","), F.lit("")), ".", ","))
         .otherwise(F.lit(".."))
     )
-    v = N.mixed_separator_number(raw)
-    return load(spark, d, "orders").select("o_orderkey", v.alias("value"), N.thousands_to_units(v).alias("units"))
+    texts = load(spark, d, "orders").select("o_orderkey", raw.alias("raw"))
+    values = texts.select("o_orderkey", N.mixed_separator_number(F.col("raw")).alias("value"))
+    return values.withColumn("units", N.thousands_to_units(F.col("value")))
 
 
 K22_SQL = f"""WITH {B.NY}, a AS (SELECT region, yr, sum(n_orders) AS anchor FROM ny GROUP BY 1, 2), r AS (SELECT region AS nm, region, yr, CAST(sum(n_orders) AS DOUBLE) * 1.001 AS v, 'sum' AS code FROM ny GROUP BY 1, 2, 3

@@ -11,6 +11,7 @@ from parcelbook.operators import periods as P
 from parcelbook.operators import quality as QL
 from parcelbook.plans import base as B
 from parcelbook.plans.registry import query
+from parcelbook.session import settle, spread
 from parcelbook.sources import manifest as MF
 from parcelbook.sources.tables import load
 
@@ -178,7 +179,8 @@ def q13(spark: Spark, d: str) -> DataFrame:
 @query("q14_numbers_in_text")
 def q14(spark: Spark, d: str) -> DataFrame:
     """Numbers of whole documents that match no claim (claims: catalogue prices and counts)."""
-    numbers = QL.text_numbers(load(spark, d, "documents"), ["doc_id"], "text")
+    # numbers are few next to the texts: extract once, then probe
+    numbers = settle(QL.text_numbers(spread(load(spark, d, "documents")), ["doc_id"], "text"))
     claims = load(spark, d, "part").select((F.col("p_size") * 1.0).alias("claim"), F.lit(0.05).alias("tol")).distinct()
     wide = numbers.filter(F.col("slack") <= 0.5)
     lonely = J.unmatched_numbers(wide, claims, "value", "slack", "claim", "tol", 1.0)

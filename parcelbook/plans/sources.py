@@ -10,7 +10,7 @@ from parcelbook.functions.keys import zfill
 from parcelbook.functions.numbers import mixed_separator_number
 from parcelbook.plans import base as B
 from parcelbook.plans.registry import query
-from parcelbook.session import scratch_path
+from parcelbook.session import scratch_path, spread
 from parcelbook.sources import manifest as MF
 from parcelbook.sources import melt as ML
 from parcelbook.sources import nested as NS
@@ -162,7 +162,7 @@ def s10(spark: Spark, d: str) -> DataFrame:
         tag("value", F.col("p_retailprice").cast("string")),
         F.lit("</featureMember>"),
     )
-    records = load(spark, d, "part").select(TG.parse_record(xml).alias("r")).select("r.*")
+    records = spread(load(spark, d, "part")).select(TG.parse_record(xml).alias("r")).select("r.*")
     return TG.building_columns(records)
 
 
@@ -181,7 +181,7 @@ def s11(spark: Spark, d: str) -> DataFrame:
         F.format_number("p_retailprice", 2),
         F.lit("</td></tr></table></body></html>"),
     )
-    pages = load(spark, d, "part").select("p_partkey", html.alias("html"))
+    pages = spread(load(spark, d, "part")).select("p_partkey", html.alias("html"))
     rows = TG.html_table_rows(pages, "p_partkey", "html").filter("depth <> ''")
     return rows.select(
         "p_partkey", "row_no", "depth", "label", F.size("cells").alias("n_cells"), mixed_separator_number(F.col("cells")[1]).alias("price")

@@ -11,6 +11,7 @@ from parcelbook.operators import geometry as G
 from parcelbook.operators import raster as RA
 from parcelbook.plans import base as B
 from parcelbook.plans.registry import query
+from parcelbook.session import spread
 from parcelbook.sources.tables import load
 
 Spark = SparkSession
@@ -117,7 +118,7 @@ def x06(spark: Spark, d: str) -> DataFrame:
 
 @query(
     "x07_representative_point",
-    """SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN (p_partkey % 100) + 5.0 ELSE (p_partkey % 100) + 1.0 END AS px, CASE WHEN p_size % 2 = 0 THEN p_size + 4.0 ELSE p_size + 4.5 END AS py FROM part""",
+    """SELECT p_partkey, (CASE WHEN p_size % 2 = 0 THEN (p_partkey % 100) + 5.0 ELSE (p_partkey % 100) + 1.0 END)::DOUBLE AS px, (CASE WHEN p_size % 2 = 0 THEN p_size + 4.0 ELSE p_size + 4.5 END)::DOUBLE AS py FROM part""",
 )
 def x07(spark: Spark, d: str) -> DataFrame:
     # even sizes are plain rectangles; odd ones a U whose centroid falls in its gap
@@ -125,7 +126,7 @@ def x07(spark: Spark, d: str) -> DataFrame:
     corners = [(0, 0), (10, 0), (10, 9), (8, 9), (8, 0.5), (2, 0.5), (2, 8.5), (0, 8.5), (0, 0)]
     u = F.array(*[F.array(x + a, y + b) for a, b in corners])
     ring = F.when(F.col("p_size") % 2 == 0, G.rect(x, y, x + 10, y + 8)).otherwise(u)
-    return G.representative_points(load(spark, d, "part").select("p_partkey", F.array(ring).alias("rings")), ["p_partkey"], "rings")
+    return G.representative_points(spread(load(spark, d, "part")).select("p_partkey", F.array(ring).alias("rings")), ["p_partkey"], "rings")
 
 
 @query(
@@ -142,7 +143,7 @@ def x08(spark: Spark, d: str) -> DataFrame:
     two = F.array(G.rect(x + 4, y, x + 5, y + 1))
     shapes = F.when(F.col("p_size") % 3 == 0, F.array(one, two)).otherwise(F.array(one))
     # every fiftieth record has no geometry
-    records = load(spark, d, "part").select("p_partkey", F.when(F.col("p_partkey") % 50 != 0, shapes).alias("shapes"))
+    records = spread(load(spark, d, "part")).select("p_partkey", F.when(F.col("p_partkey") % 50 != 0, shapes).alias("shapes"))
     return G.assign_footprints(records, _areas(spark, d), "p_partkey", "shapes", "area", "polygons", 5.0)
 
 

@@ -44,6 +44,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/parcelbook-{name}-{uuid.uuid4().hex}"
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Spread a small scan over the cores before heavy per-row work.
+
+    Only for plain scans. A scan with at least one split per core is left alone, so
+    large inputs are never shuffled by this.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Materialise a reduced table once, reliably, before several branches read it.
 

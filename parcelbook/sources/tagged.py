@@ -34,15 +34,18 @@ def _count(c: Column) -> Column:
 
 def building_columns(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Typed record: dates with quality, counts, floor area, reference check."""
-    dq = date_quality(F.col("beginning"), F.col("end"))
     floor = F.col("value").try_cast("double")
-    return df.select(
+    dated = df.withColumn("_dq", date_quality(F.col("beginning"), F.col("end")))
+    return dated.select(
         *(keys or []),
         F.col("localId").alias("refcat"),
         F.col("localId").rlike("^[A-Z0-9]{14}$").alias("ref_ok"),
         F.col("currentUse").alias("current_use"),
         F.col("conditionOfConstruction").alias("condition"),
-        *[c.alias(n) for n, c in dq.items()],
+        "_dq.year_start",
+        "_dq.year_end",
+        "_dq.date_quality",
+        "_dq.reversed",
         _count(F.col("numberOfDwellings")).alias("dwelling_properties"),
         _count(F.col("numberOfBuildingUnits")).alias("building_units"),
         F.when(floor >= 0, floor).alias("gross_floor_m2"),
