@@ -44,8 +44,8 @@ def age_groups(c: Column) -> Column:
 
 
 _ISO = (
-    r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?"
-    r"(Z|[+-]([01]\d|2[0-3]):[0-5]\d)?$"
+    r"^\d{4}-\d{2}-\d{2}T([01]\d|2[0-3]):[0-5]\d:[0-5]\d(\.\d+)?"
+    r"(Z|[+-](0\d|1[0-3]):[0-5]\d|[+-]14:00)?$"
 )
 NO_DATE = "--01-01T00:00:00"
 
@@ -56,20 +56,15 @@ def construction_date(text: Column) -> Column:
 
 
 def _construction_date(c: Column) -> Column:
-    stamp = F.regexp_extract(c, r"^(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2})", 1)
-    hours = F.regexp_extract(c, r"[+-](\d{2}):(\d{2})$", 1).try_cast("int")
-    minutes = F.regexp_extract(c, r"[+-](\d{2}):(\d{2})$", 2).try_cast("int")
-    near = F.coalesce(hours * 60 + minutes, F.lit(0)) <= 14 * 60
-
     def decide(year: Column) -> Column:
-        good = year.between(1, 2100) & near
+        good = year.between(1, 2100)
         state = (
             F.when(c.isNull() | (c == NO_DATE), F.lit("missing")).when(good, F.lit("valid")).otherwise(F.lit("invalid"))
         )
         return F.struct(F.when(good & (c != NO_DATE), year).alias("year"), state.alias("state"))
 
-    # only text of the full shape is parsed at all
-    parsed = F.when(c.rlike(_ISO), F.year(F.try_to_timestamp(stamp, F.lit("yyyy-MM-dd'T'HH:mm:ss"))))
+    # the shape bounds clock and offset (14 h), so only the calendar day is left to parse
+    parsed = F.when(c.rlike(_ISO), F.year(F.substring(c, 1, 10).try_cast("date")))
     return let(parsed, decide)
 
 

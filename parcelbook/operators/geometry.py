@@ -134,24 +134,26 @@ def ring_location(x: Column, y: Column, ring: Column) -> Column:
         lambda a, b: F.struct(a[0].alias("ax"), a[1].alias("ay"), b[0].alias("bx"), b[1].alias("by")),
     )
 
-    def on_edge(e: Column) -> Column:
-        dx, dy = e["bx"] - e["ax"], e["by"] - e["ay"]
-        cross = (x - e["ax"]) * dy - (y - e["ay"]) * dx
-        return (
-            (F.abs(cross) <= EDGE_TOL * F.greatest(F.lit(1.0), F.hypot(dx, dy)))
-            & x.between(F.least(e["ax"], e["bx"]) - EDGE_TOL, F.greatest(e["ax"], e["bx"]) + EDGE_TOL)
-            & y.between(F.least(e["ay"], e["by"]) - EDGE_TOL, F.greatest(e["ay"], e["by"]) + EDGE_TOL)
-        )
+    def locate(s: Column) -> Column:
+        px, py = s["x"], s["y"]
+
+        def on_edge(e: Column) -> Column:
+            dx, dy = e["bx"] - e["ax"], e["by"] - e["ay"]
+            cross = (px - e["ax"]) * dy - (py - e["ay"]) * dx
+            return (
+                (F.abs(cross) <= EDGE_TOL * F.greatest(F.lit(1.0), F.hypot(dx, dy)))
+                & px.between(F.least(e["ax"], e["bx"]) - EDGE_TOL, F.greatest(e["ax"], e["bx"]) + EDGE_TOL)
+                & py.between(F.least(e["ay"], e["by"]) - EDGE_TOL, F.greatest(e["ay"], e["by"]) + EDGE_TOL)
+            )
 
-    def crosses(e: Column) -> Column:
-        straddles = (e["ay"] > y) != (e["by"] > y)
-        at = e["ax"] + (y - e["ay"]) * (e["bx"] - e["ax"]) / F.nullif(e["by"] - e["ay"], F.lit(0.0))
-        return straddles & (x < at)
+        def crosses(e: Column) -> Column:
+            straddles = (e["ay"] > py) != (e["by"] > py)
+            at = e["ax"] + (py - e["ay"]) * (e["bx"] - e["ax"]) / F.nullif(e["by"] - e["ay"], F.lit(0.0))
+            return straddles & (px < at)
 
-    return let(
-        edges,
-        lambda all_edges: F.when(F.exists(all_edges, on_edge), F.lit(2)).otherwise(F.size(F.filter(all_edges, crosses)) % 2),
-    )
+        return F.when(F.exists(s["e"], on_edge), F.lit(2)).otherwise(F.size(F.filter(s["e"], crosses)) % 2)
+
+    return let(F.struct(x.alias("x"), y.alias("y"), edges.alias("e")), locate)
 
 
 def covers(x: Column, y: Column, polygons: Column) -> Column:
@@ -272,12 +274,15 @@ def _inner_point(rings: list[np.ndarray], cx: float, cy: float) -> tuple[float,
 
 def representative_points(df: DataFrame, keys: list[str], rings: str, out_x: str = "px", out_y: str = "py") -> DataFrame:
     """Interior point of each polygon row (``rings``: outer ring first)."""
-    measured = df.select(*keys, rings, polygon_measure(F.array(F.col(rings))).alias("_m")).filter("_m is not null")
-    sides = F.transform(rings, lambda r: ring_location(F.col("_m.cx"), F.col("_m.cy"), r))
-    # strictly inside: in the outer ring, on no edge, in no hole
-    inner = let(sides, lambda s: (s[0] == 1) & (F.aggregate(s, F.lit(0), lambda a, v: a + v) == 1))
-    flat = measured.select(
-        *keys, rings, F.col("_m.cx").alias("_cx"), F.col("_m.cy").alias("_cy"), inner.alias("_inner")
+    def place(m: Column) -> Column:
+        sides = F.transform(rings, lambda r: ring_location(m["cx"], m["cy"], r))
+        # strictly inside: in the outer ring, on no edge, in no hole
+        inner = let(sides, lambda s: (s[0] == 1) & (F.aggregate(s, F.lit(0), lambda a, v: a + v) == 1))
+        return F.struct(m["cx"].alias("cx"), m["cy"].alias("cy"), inner.alias("inner"))
+
+    placed = let(polygon_measure(F.array(F.col(rings))), lambda m: F.when(m.isNotNull(), place(m)))
+    flat = df.select(*keys, rings, placed.alias("_m")).select(
+        *keys, rings, F.col("_m.cx").alias("_cx"), F.col("_m.cy").alias("_cy"), F.col("_m.inner").alias("_inner")
     )
     easy = flat.filter("_inner").select(*keys, F.col("_cx").alias(out_x), F.col("_cy").alias(out_y))
 

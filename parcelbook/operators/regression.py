@@ -150,13 +150,22 @@ def cluster_moments(df: DataFrame, columns: list[str], cluster: str, absorbed: i
         .withColumn("key", F.xxhash64("cluster"))
     )
     size = p * (p + 1) // 2
-    sums = table.agg(
-        F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), *[F.sum(F.col("m")[i]) for i in range(size)]
-    ).first()
-    if not sums[0]:
+
+    def totals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, g, acc = 0, 0, np.zeros(size)
+        for batch in batches:
+            if len(batch):
+                n, g = n + int(batch["n"].sum()), g + len(batch)
+                acc += np.stack(batch["m"].to_numpy()).sum(axis=0)
+        yield pd.DataFrame({"n": [n], "g": [g], "m": [acc]})
+
+    # one row per task comes back: counts and a k x k triangle
+    rows = table.select("n", "m").mapInPandas(totals, "n long, g long, m array<double>").collect()
+    if not sum(r["n"] for r in rows):
         raise ValueError("no rows to fit")
-    total = _square(np.array([sums[2:]], dtype=float), p)[0]
-    return Moments(table, cols, int(sums[0]), int(sums[1]), total, absorbed, {c: i for i, c in enumerate(cols)})
+    total = _square(np.sum([r["m"] for r in rows], axis=0)[None, :], p)[0]
+    n, g = sum(r["n"] for r in rows), sum(r["g"] for r in rows)
+    return Moments(table, cols, n, g, total, absorbed, {c: i for i, c in enumerate(cols)})
 
 
 def sum_over_clusters(m: Moments, width: int, part: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:

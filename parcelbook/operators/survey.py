@@ -104,6 +104,9 @@ def cell_cube(
         F.sum(F.when(F.col(valid), F.col(weight)).otherwise(0.0)).alias("_vw"),
         F.sum(F.when(F.col(valid) & F.col(flag), F.col(weight)).otherwise(0.0)).alias("_bw"),
     )
+    # pre-aggregated leaves are few per household; once a household's leaves sit
+    # together, the eightfold fan-out below is combined in place without a shuffle
+    leaf = leaf.repartition(hid)
     for n in names:
         leaf = leaf.withColumn(n, F.explode(F.array(F.lit("TOTAL"), F.col(n))))
     # one row per household and cell: distinct counts become plain counts
