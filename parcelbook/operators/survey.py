@@ -97,23 +97,32 @@ def cell_cube(
     before the cube multiplies them.
     """
     names = list(dims)
-    leaf = persons.groupBy(hid, *names).agg(
+    # category -> 1..n, 0 stands for TOTAL, null for a label outside the list
+    place = {
+        n: F.nullif(F.array_position(F.array(*[F.lit(c) for c in dims[n]]), F.col(n)), F.lit(0)).cast("int") for n in names
+    }
+    base = {}
+    step = 1
+    for n in reversed(names):
+        base[n] = step
+        step *= len(dims[n]) + 1
+    leaf = persons.groupBy(hid, *[place[n].alias(f"_{n}") for n in names]).agg(
         F.count("*").alias("_t"),
         F.count_if(F.col(valid)).alias("_v"),
         F.sum(weight).alias("_tw"),
         F.sum(F.when(F.col(valid), F.col(weight)).otherwise(0.0)).alias("_vw"),
         F.sum(F.when(F.col(valid) & F.col(flag), F.col(weight)).otherwise(0.0)).alias("_bw"),
     )
-    # pre-aggregated leaves are few per household; once a household's leaves sit
-    # together, the eightfold fan-out below is combined in place without a shuffle
-    leaf = leaf.repartition(hid)
+    # every subset of dimensions as one integer cell code
+    codes = [F.lit(0)]
     for n in names:
-        leaf = leaf.withColumn(n, F.explode(F.array(F.lit("TOTAL"), F.col(n))))
+        codes = [*codes, *[c + F.col(f"_{n}") * base[n] for c in codes]]
+    # pre-aggregated leaves are few per household; once a household's leaves sit
+    # together, the eightfold fan-out is combined in place without another shuffle
+    fan = leaf.repartition(hid).withColumn("_cell", F.explode(F.array_compact(F.array(*codes))))
     # one row per household and cell: distinct counts become plain counts
-    per_home = leaf.groupBy(*names, hid).agg(
-        *[F.sum(c).alias(c) for c in ("_t", "_v", "_tw", "_vw", "_bw")]
-    )
-    cells = per_home.groupBy(*names).agg(
+    per_home = fan.groupBy("_cell", hid).agg(*[F.sum(c).alias(c) for c in ("_t", "_v", "_tw", "_vw", "_bw")])
+    cells = per_home.groupBy("_cell").agg(
         F.sum("_t").alias("target_persons"),
         F.sum("_v").alias("valid_persons"),
         F.count("*").alias("target_households"),
@@ -122,14 +131,13 @@ def cell_cube(
         F.sum("_vw").alias("valid_weight"),
         F.sum("_bw").alias("_bw"),
     )
-    grid = persons.sparkSession.range(1).select(
-        F.explode(F.array(*[F.lit(c) for c in ["TOTAL", *dims[names[0]]]])).alias(names[0])
-    )
-    for n in names[1:]:
-        grid = grid.withColumn(n, F.explode(F.array(*[F.lit(c) for c in ["TOTAL", *dims[n]]])))
-    out = grid.join(cells, names, "left")
-    zero = [c for c in cells.columns if c not in names]
-    return out.na.fill(0, zero)
+    grid = persons.sparkSession.range(step).select(F.col("id").cast("int").alias("_cell"))
+    for n in names:
+        labels = F.array(*[F.lit(c) for c in ["TOTAL", *dims[n]]])
+        at = F.pmod(F.floor(F.col("_cell") / base[n]), F.lit(len(dims[n]) + 1)).cast("int")
+        grid = grid.withColumn(n, F.element_at(labels, at + 1))
+    counted = [c for c in cells.columns if c != "_cell"]
+    return grid.join(cells, "_cell", "left").na.fill(0, counted).drop("_cell")
 
 
 def disclosure_gate(cells: DataFrame) -> DataFrame:
