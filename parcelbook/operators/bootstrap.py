@@ -25,6 +25,11 @@ from parcelbook.operators.regression import Moments, _square, inverse, sum_over_
 from parcelbook.session import settle
 
 _REP_BLOCK = 256
+# fixed values: warnings of a tested grid
+NONE_ACCEPTED = "no_candidate_accepted_at_this_resolution"
+OPEN_BELOW = "accepted_set_may_extend_below_grid"
+OPEN_ABOVE = "accepted_set_may_extend_above_grid"
+DISJOINT = "disjoint_accepted_set"
 
 
 def signs(keys: np.ndarray, reps: np.ndarray, seed: int) -> np.ndarray:
@@ -213,9 +218,9 @@ def inversion_summary(tested: DataFrame, by: list[str], grid_bounds: tuple[float
         "warnings",
         F.concat_ws(
             ";",
-            F.when(F.col("accepted") == 0, "no_candidate_accepted_at_this_resolution"),
-            F.when(F.col("_low"), "accepted_set_may_extend_below_grid"),
-            F.when(F.col("_high"), "accepted_set_may_extend_above_grid"),
-            F.when(gap, "disjoint_accepted_set"),
+            F.when(F.col("accepted") == 0, NONE_ACCEPTED),
+            F.when(F.col("_low"), OPEN_BELOW),
+            F.when(F.col("_high"), OPEN_ABOVE),
+            F.when(gap, DISJOINT),
         ),
     ).drop("_low", "_high", "_grid")

@@ -74,7 +74,7 @@ def running_weight(
     probabilities = [i / pieces for i in range(1, pieces)]
     cuts = sorted(set(tagged.filter("_large").approxQuantile(value, probabilities, 0.1 / pieces)))
     bucketizer = Bucketizer(
-        splits=[float("-inf"), *cuts, float("inf")], inputCol="_v", outputCol="_range"
+        splits=[float("-inf"), *cuts, float("inf")], inputCol="_v", outputCol="_range", handleInvalid="keep"
     )
     ranged = bucketizer.transform(tagged.withColumn("_v", F.col(value).cast("double"))).withColumn(
         "_range", F.when(F.col("_large"), F.col("_range")).otherwise(F.lit(-1.0))

@@ -7,10 +7,14 @@ from pyspark.sql import functions as F
 
 from parcelbook.operators.order_stats import group_by_cuts, weighted_cuts
 
-# fixed values: release gates of a cell
+# fixed values: release gates of a cell and the wording of their reasons
 MIN_PERSONS = 50
 MIN_HOUSEHOLDS = 30
 MAX_MISSING = 0.05
+FEW_PERSONS = "less_than_50_valid_persons"
+FEW_HOUSEHOLDS = "less_than_30_valid_households"
+MUCH_LOSS = "over_5pct_weighted_cost_loss"
+MARGIN_NOTE = "overlapping_marginal_rate_not_published"
 
 
 def linkage_problems(
@@ -92,52 +96,73 @@ def cell_cube(
 ) -> DataFrame:
     """Every person counted under TOTAL and own value of each dimension, on the full grid.
 
-    ``dims`` lists the categories, so empty cells keep a row. Distinct households are
-    made distinct per leaf household first: rows are reduced to (household, leaf)
-    before the cube multiplies them.
+    ``dims`` lists the categories, so empty cells keep a row. Only leaf cells and
+    household *patterns* are fanned out to the margins: sums roll up from the leaves,
+    and households with the same set of leaves are counted together, so distinct
+    households stay exact without copying each household once per margin.
     """
     names = list(dims)
-    # category -> 1..n, 0 stands for TOTAL, null for a label outside the list
-    place = {
-        n: F.nullif(F.array_position(F.array(*[F.lit(c) for c in dims[n]]), F.col(n)), F.lit(0)).cast("int") for n in names
-    }
-    base = {}
-    step = 1
+    size = {n: len(dims[n]) + 2 for n in names}  # TOTAL, the categories, any other label
+    base, span = {}, 1
     for n in reversed(names):
-        base[n] = step
-        step *= len(dims[n]) + 1
-    leaf = persons.groupBy(hid, *[place[n].alias(f"_{n}") for n in names]).agg(
+        base[n] = span
+        span *= size[n]
+
+    def place(n: str) -> Column:
+        at = F.array_position(F.array(*[F.lit(c) for c in dims[n]]), F.col(n)).cast("int")
+        return F.when(F.coalesce(at, F.lit(0)) == 0, size[n] - 1).otherwise(at)
+
+    def margins(code: Column) -> Column:
+        out = [code]
+        for n in names:
+            own = F.pmod(F.floor(code / base[n]), F.lit(size[n])).cast("int") * base[n]
+            out = [*out, *[c - own for c in out]]
+        return F.array(*out)
+
+    own_code = sum((place(n) * base[n] for n in names), F.lit(0))
+    leaf = persons.groupBy(hid, own_code.alias("_code")).agg(
         F.count("*").alias("_t"),
         F.count_if(F.col(valid)).alias("_v"),
         F.sum(weight).alias("_tw"),
         F.sum(F.when(F.col(valid), F.col(weight)).otherwise(0.0)).alias("_vw"),
         F.sum(F.when(F.col(valid) & F.col(flag), F.col(weight)).otherwise(0.0)).alias("_bw"),
     )
-    # every subset of dimensions as one integer cell code
-    codes = [F.lit(0)]
-    for n in names:
-        codes = [*codes, *[c + F.col(f"_{n}") * base[n] for c in codes]]
-    # pre-aggregated leaves are few per household; once a household's leaves sit
-    # together, the eightfold fan-out is combined in place without another shuffle
-    fan = leaf.repartition(hid).withColumn("_cell", F.explode(F.array_compact(F.array(*codes))))
-    # one row per household and cell: distinct counts become plain counts
-    per_home = fan.groupBy("_cell", hid).agg(*[F.sum(c).alias(c) for c in ("_t", "_v", "_tw", "_vw", "_bw")])
-    cells = per_home.groupBy("_cell").agg(
+    sums = ["_t", "_v", "_tw", "_vw", "_bw"]
+    leaves = leaf.groupBy("_code").agg(*[F.sum(c).alias(c) for c in sums])
+    totals = leaves.withColumn("_cell", F.explode(margins(F.col("_code")))).groupBy("_cell").agg(
         F.sum("_t").alias("target_persons"),
         F.sum("_v").alias("valid_persons"),
-        F.count("*").alias("target_households"),
-        F.count_if(F.col("_v") > 0).alias("valid_households"),
         F.sum("_tw").alias("target_weight"),
         F.sum("_vw").alias("valid_weight"),
         F.sum("_bw").alias("_bw"),
     )
-    grid = persons.sparkSession.range(step).select(F.col("id").cast("int").alias("_cell"))
+    # a household has at most one entry per leaf cell
+    entry = F.struct(F.col("_code").alias("code"), (F.col("_v") > 0).alias("ok"))
+    patterns = (
+        leaf.groupBy(hid)
+        .agg(F.sort_array(F.collect_list(entry)).alias("_pattern"))
+        .groupBy("_pattern")
+        .agg(F.count("*").alias("_homes"))
+    )
+    homes = (
+        patterns.withColumn("_e", F.explode("_pattern"))
+        .withColumn("_cell", F.explode(margins(F.col("_e.code"))))
+        .groupBy("_pattern", "_cell")
+        .agg(F.max("_homes").alias("_homes"), F.bool_or("_e.ok").alias("_ok"))
+        .groupBy("_cell")
+        .agg(
+            F.sum("_homes").alias("target_households"),
+            F.sum(F.when(F.col("_ok"), F.col("_homes")).otherwise(0)).alias("valid_households"),
+        )
+    )
+    grid = persons.sparkSession.range(1).select(F.lit(0).alias("_cell"))
     for n in names:
-        labels = F.array(*[F.lit(c) for c in ["TOTAL", *dims[n]]])
-        at = F.pmod(F.floor(F.col("_cell") / base[n]), F.lit(len(dims[n]) + 1)).cast("int")
-        grid = grid.withColumn(n, F.element_at(labels, at + 1))
-    counted = [c for c in cells.columns if c != "_cell"]
-    return grid.join(cells, "_cell", "left").na.fill(0, counted).drop("_cell")
+        steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(c).alias("c")) for i, c in enumerate(["TOTAL", *dims[n]])])
+        grid = grid.withColumn("_s", F.explode(steps)).select(
+            *[c for c in grid.columns if c != "_cell"], F.col("_s.c").alias(n), (F.col("_cell") + F.col("_s.i") * base[n]).alias("_cell")
+        )
+    filled = ["target_persons", "valid_persons", "target_households", "valid_households", "target_weight", "valid_weight", "_bw"]
+    return grid.join(totals, "_cell", "left").join(homes, "_cell", "left").select(*names, *filled).na.fill(0, filled)
 
 
 def disclosure_gate(cells: DataFrame) -> DataFrame:
@@ -152,9 +177,9 @@ def disclosure_gate(cells: DataFrame) -> DataFrame:
     missing = F.when(F.col("target_weight") > 0, missing)
     reasons = F.concat_ws(
         ";",
-        F.when(F.col("valid_persons") < MIN_PERSONS, "less_than_50_valid_persons"),
-        F.when(F.col("valid_households") < MIN_HOUSEHOLDS, "less_than_30_valid_households"),
-        F.when(F.col("_missing") > MAX_MISSING + 1e-12, "over_5pct_weighted_cost_loss"),
+        F.when(F.col("valid_persons") < MIN_PERSONS, FEW_PERSONS),
+        F.when(F.col("valid_households") < MIN_HOUSEHOLDS, FEW_HOUSEHOLDS),
+        F.when(F.col("_missing") > MAX_MISSING + 1e-12, MUCH_LOSS),
     )
     counted = (F.col("target_persons") > 0) & (F.col("valid_persons") > 0)
     return (
@@ -182,12 +207,11 @@ def withhold_margins(cells: DataFrame, dims: list[str]) -> DataFrame:
     for d in dims:
         margin = margin | (F.col(d) == "TOTAL")
     hit = margin & F.col("status").isin("available", "suppressed")
-    note = "overlapping_marginal_rate_not_published"
     return (
         cells.withColumn("rate_pct", F.when(~hit, F.col("rate_pct")))
         .withColumn(
             "reasons",
-            F.when(hit, F.concat_ws(";", F.when(F.col("reasons") != "", F.col("reasons")), F.lit(note))).otherwise(
+            F.when(hit, F.concat_ws(";", F.when(F.col("reasons") != "", F.col("reasons")), F.lit(MARGIN_NOTE))).otherwise(
                 F.col("reasons")
             ),
         )

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from parcelbook.operators.order_stats import null_safe_join
+
 
 def melt_measure_year(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """``measure_YY`` columns -> (measure, yr, value) of populated cells."""
@@ -17,13 +19,28 @@ def melt_measure_year(df: DataFrame, keys: list[str], columns: list[str]) -> Dat
     )
 
 
-def carry_section(df: DataFrame, sheet: list[str], row_no: str, header: str, out: str) -> DataFrame:
+def carry_section(
+    df: DataFrame, sheet: list[str], row_no: str, header: str, out: str, block: int = 1_000_000
+) -> DataFrame:
     """Rows inherit the last section header above them on the same sheet.
 
-    A sheet is the unit of parallelism: its length is bounded by the publisher's page.
+    Row numbers are cut into blocks, so a long sheet is shared by many tasks: the last
+    header of each block is carried into the following blocks, then filled inside.
     """
-    w = Window.partitionBy(*sheet).orderBy(row_no).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(out, F.last(header, ignorenulls=True).over(w))
+    rows = df.withColumn("_block", F.floor(F.col(row_no) / block))
+    seen = F.col(header).isNotNull()
+    ends = rows.groupBy(*sheet, "_block").agg(
+        F.max_by(header, F.when(seen, F.col(row_no))).alias("_end")
+    )
+    above = Window.partitionBy(*sheet).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(*sheet, "_block", F.last("_end", ignorenulls=True).over(above).alias("_carry"))
+    inside = Window.partitionBy(*sheet, "_block").orderBy(row_no).rowsBetween(Window.unboundedPreceding, 0)
+    filled = rows.withColumn("_in", F.last(header, ignorenulls=True).over(inside))
+    return (
+        null_safe_join(filled, carried, [*sheet, "_block"])
+        .withColumn(out, F.coalesce("_in", "_carry"))
+        .drop("_in", "_carry", "_block")
+    )
 
 
 def on_key_grid(

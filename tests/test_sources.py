@@ -72,7 +72,8 @@ def test_series_and_wide_years(spark, rows):
 
 def test_sections_and_grid(spark, rows):
     df = spark.createDataFrame([("s", 1, None), ("s", 2, "A"), ("s", 3, None), ("s", 4, "B")], "sheet string, n int, h string")
-    assert rows(ML.carry_section(df, ["sheet"], "n", "h", "sec"), "n", "sec") == [(1, None), (2, "A"), (3, "A"), (4, "B")]
+    for block in (1, 2, 1000):
+        assert rows(ML.carry_section(df, ["sheet"], "n", "h", "sec", block), "n", "sec") == [(1, None), (2, "A"), (3, "A"), (4, "B")]
     a = spark.createDataFrame([(1, "x", 5.0), (2, "y", 6.0)], "k int, l string, v double")
     b = spark.createDataFrame([(2, "z", 7.0)], "k int, l string, v double")
     assert rows(ML.on_key_grid({"a": a, "b": b}, ["k"], "l", "v"), "k", "label_conflict", "a", "b") == [(1, False, 5.0, None), (2, True, 6.0, 7.0)]
