@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelbook.operators.order_stats import group_by_cuts, weighted_cuts
+from parcelbook.session import settle
 
 # fixed values: release gates of a cell and the wording of their reasons
 MIN_PERSONS = 50
@@ -128,27 +129,27 @@ def cell_cube(
         F.sum(F.when(F.col(valid) & F.col(flag), F.col(weight)).otherwise(0.0)).alias("_bw"),
     )
     sums = ["_t", "_v", "_tw", "_vw", "_bw"]
-    leaves = leaf.groupBy("_code").agg(*[F.sum(c).alias(c) for c in sums])
-    totals = leaves.withColumn("_cell", F.explode(margins(F.col("_code")))).groupBy("_cell").agg(
+    # a household has at most one entry per leaf cell, so its entries stay few
+    homes = leaf.groupBy(hid).agg(F.sort_array(F.collect_list(F.struct("_code", *sums))).alias("_cells"))
+    shape = F.transform("_cells", lambda c: F.struct(c["_code"].alias("code"), (c["_v"] > 0).alias("ok")))
+    entries = homes.select(shape.alias("_pattern"), F.explode("_cells").alias("_c")).select("_pattern", "_c.*")
+    # every household of a pattern has each of its codes once: rows per code = households
+    patterns = settle(
+        entries.groupBy("_pattern", "_code").agg(
+            F.count("*").alias("_homes"), F.max(F.col("_v") > 0).alias("_ok"), *[F.sum(c).alias(c) for c in sums]
+        )
+    )
+    fan = patterns.withColumn("_cell", F.explode(margins(F.col("_code"))))
+    totals = fan.groupBy("_cell").agg(
         F.sum("_t").alias("target_persons"),
         F.sum("_v").alias("valid_persons"),
         F.sum("_tw").alias("target_weight"),
         F.sum("_vw").alias("valid_weight"),
         F.sum("_bw").alias("_bw"),
     )
-    # a household has at most one entry per leaf cell
-    entry = F.struct(F.col("_code").alias("code"), (F.col("_v") > 0).alias("ok"))
-    patterns = (
-        leaf.groupBy(hid)
-        .agg(F.sort_array(F.collect_list(entry)).alias("_pattern"))
-        .groupBy("_pattern")
-        .agg(F.count("*").alias("_homes"))
-    )
-    homes = (
-        patterns.withColumn("_e", F.explode("_pattern"))
-        .withColumn("_cell", F.explode(margins(F.col("_e.code"))))
-        .groupBy("_pattern", "_cell")
-        .agg(F.max("_homes").alias("_homes"), F.bool_or("_e.ok").alias("_ok"))
+    homes_in = (
+        fan.groupBy("_pattern", "_cell")
+        .agg(F.max("_homes").alias("_homes"), F.bool_or("_ok").alias("_ok"))
         .groupBy("_cell")
         .agg(
             F.sum("_homes").alias("target_households"),
@@ -162,7 +163,7 @@ def cell_cube(
             *[c for c in grid.columns if c != "_cell"], F.col("_s.c").alias(n), (F.col("_cell") + F.col("_s.i") * base[n]).alias("_cell")
         )
     filled = ["target_persons", "valid_persons", "target_households", "valid_households", "target_weight", "valid_weight", "_bw"]
-    return grid.join(totals, "_cell", "left").join(homes, "_cell", "left").select(*names, *filled).na.fill(0, filled)
+    return grid.join(totals, "_cell", "left").join(homes_in, "_cell", "left").select(*names, *filled).na.fill(0, filled)
 
 
 def disclosure_gate(cells: DataFrame) -> DataFrame:
