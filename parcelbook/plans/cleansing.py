@@ -10,10 +10,9 @@ from parcelbook.functions import keys as K
 from parcelbook.functions import numbers as N
 from parcelbook.operators import joins as J
 from parcelbook.operators import periods as P
-from parcelbook.operators import quality as QL
 from parcelbook.plans import base as B
 from parcelbook.plans.registry import query
-from parcelbook.session import spread
+from parcelbook.session import settle, spread
 from parcelbook.sources.tables import load
 
 Spark = SparkSession
@@ -292,7 +291,7 @@ K22_SQL = f"""WITH {B.NY}, a AS (SELECT region, yr, sum(n_orders) AS anchor FROM
     f"""{K22_SQL} SELECT region, yr, CASE WHEN n = 2 THEN nm || ' (unit)' ELSE nm END AS label, round(v, 6) AS v, code FROM s WHERE NOT (rn = 1 AND gap <= 0.005)""",
 )
 def k22(spark: Spark, d: str) -> DataFrame:
-    ny = B.nation_year(spark, d)
+    ny = settle(B.nation_year(spark, d))
     shared = [f"NATION_{i}" for i in range(5)]
     anchor = ny.groupBy("region", "yr").agg(F.sum("n_orders").alias("anchor"))
     total = anchor.select(F.col("region").alias("nm"), "region", "yr", (F.col("anchor").cast("double") * 1.001).alias("v"), F.lit("sum").alias("code"))
@@ -339,7 +338,7 @@ def j13(spark: Spark, d: str) -> DataFrame:
     SELECT unit, u.yr, coalesce(v, rv) AS value, CASE WHEN v IS NOT NULL THEN 'own' WHEN rv IS NOT NULL THEN 'region' END AS source FROM u JOIN r ON u.region = r.region AND u.yr = r.yr""",
 )
 def j14(spark: Spark, d: str) -> DataFrame:
-    u = B.nation_month(spark, d).groupBy("unit", "region", "yr").agg(
+    u = settle(B.nation_month(spark, d)).groupBy("unit", "region", "yr").agg(
         F.when(F.count("*") == 12, F.sum("n_orders").cast("double")).alias("v")
     )
     r = u.groupBy("region", "yr").agg(F.when(F.count("v") >= 4, F.round(F.avg("v"), 6)).alias("rv"))

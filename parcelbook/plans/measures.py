@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelbook.functions.keys import norm_name
 from parcelbook.functions.numbers import ratio
 from parcelbook.operators import aggregates as A
 from parcelbook.operators import joins as J
@@ -14,6 +13,7 @@ from parcelbook.operators import order_stats as Q
 from parcelbook.operators import periods as P
 from parcelbook.plans import base as B
 from parcelbook.plans.registry import query
+from parcelbook.session import settle
 from parcelbook.sources.tables import load
 
 Spark = SparkSession
@@ -128,7 +128,7 @@ def m07(spark: Spark, d: str) -> DataFrame:
     SELECT region, yr, n_orders, customers, round(price_index, 6) AS price_index, round(CAST(n_orders AS DOUBLE) / nullif(customers, 0), 6) AS orders_per_customer, round((n_orders - p) / CAST(p AS DOUBLE) * 100, 6) AS change_pct FROM x""",
 )
 def m08(spark: Spark, d: str) -> DataFrame:
-    ny = B.nation_year(spark, d)
+    ny = settle(B.nation_year(spark, d))
     own = ny.filter(F.col("unit").isin([f"NATION_{i}" for i in range(5)])).select("region", "yr", F.col("price").alias("price_index"))
     mart = M.region_mart(ny, "region", "yr", ["n_orders", "customers"], own, "price_index", "ALL")
     return mart.withColumns(
@@ -171,7 +171,7 @@ def m10(spark: Spark, d: str) -> DataFrame:
     SELECT unit, round(max(real) FILTER (WHERE yr = 1995), 6) AS real_start, round(max(real) FILTER (WHERE yr = 2000), 6) AS real_end, round((max(real) FILTER (WHERE yr = 2000) / max(real) FILTER (WHERE yr = 1995) - 1) * 100, 6) AS real_pct FROM r GROUP BY 1""",
 )
 def m11(spark: Spark, d: str) -> DataFrame:
-    ny = B.nation_year(spark, d)
+    ny = settle(B.nation_year(spark, d))
     index = ny.groupBy("yr").agg((F.round(F.sum("revenue"), 2) / F.sum("n_orders")).alias("lvl"))
     real = ny.join(index, "yr").withColumn("real", P.deflate(ny, "yr", F.col("price"), index, "lvl", 2000))
     return J.endpoint_change(real, ["unit"], "yr", 1995, 2000, ["real"]).select(
@@ -190,7 +190,7 @@ def m11(spark: Spark, d: str) -> DataFrame:
 )
 def m12(spark: Spark, d: str) -> DataFrame:
     alone = F.col("unit").isin("NATION_5", "NATION_6")
-    detail = B.nation_year(spark, d).filter("yr = 1999").select(
+    detail = settle(B.nation_year(spark, d)).filter("yr = 1999").select(
         "unit", F.when(alone, F.concat(F.lit("SINGLE_"), "unit")).otherwise(F.col("region")).alias("region"), F.col("n_orders").cast("double").alias("v")
     )
     named = detail.filter(F.col("unit").isin("NATION_1", "NATION_2", "NATION_3")).select(F.col("unit").alias("label"), "v")
@@ -376,7 +376,7 @@ def m24(spark: Spark, d: str) -> DataFrame:
     SELECT unit, rate FROM u ORDER BY rate DESC, unit LIMIT 10""",
 )
 def m25(spark: Spark, d: str) -> DataFrame:
-    y = B.nation_year(spark, d).filter("yr = 1999")
+    y = settle(B.nation_year(spark, d)).filter("yr = 1999")
     rate = ratio(F.col("urgent"), F.col("customers"), scale=100000.0)
     nat = y.agg(F.sum("urgent").alias("urgent"), F.sum("customers").alias("customers")).withColumn("unit", F.lit("ALL"))
     both = y.select("unit", rate.alias("rate")).unionByName(nat.select("unit", rate.alias("rate")))

@@ -12,6 +12,7 @@ from parcelbook.operators import order_stats as Q
 from parcelbook.operators import periods as P
 from parcelbook.plans import base as B
 from parcelbook.plans.registry import query
+from parcelbook.session import settle
 from parcelbook.sources.tables import compose, constant_rows, load
 
 Spark = SparkSession
@@ -271,7 +272,7 @@ def j08(spark: Spark, d: str) -> DataFrame:
 def j09(spark: Spark, d: str) -> DataFrame:
     return compose(
         spark,
-        {"j09_ny": B.nation_year(spark, d)},
+        {"j09_ny": settle(B.nation_year(spark, d))},
         """WITH ok AS (SELECT * FROM j09_ny WHERE yr < (SELECT max(yr) FROM j09_ny))
         SELECT unit, yr, n_orders, (SELECT max(n_orders) FROM ok b WHERE b.unit = a.unit) AS best
         FROM ok a WHERE yr = (SELECT max(yr) FROM ok)""",
@@ -283,7 +284,7 @@ def j09(spark: Spark, d: str) -> DataFrame:
     f"""WITH {B.NY} SELECT unit, yr, n_orders FROM ny WHERE EXISTS (SELECT 1 FROM ny WHERE n_orders > 5) AND NOT EXISTS (SELECT 1 FROM ny WHERE n_orders > 1000000000)""",
 )
 def j10(spark: Spark, d: str) -> DataFrame:
-    ny = B.nation_year(spark, d)
+    ny = settle(B.nation_year(spark, d))
     gate = ny.agg((F.coalesce(F.bool_or(F.col("n_orders") > 5), F.lit(False)) & ~F.bool_or(F.col("n_orders") > 1000000000)).alias("g"))
     return ny.filter(gate.scalar()).select("unit", "yr", "n_orders")
 
@@ -396,7 +397,7 @@ def g05(spark: Spark, d: str) -> DataFrame:
 )
 def g06(spark: Spark, d: str) -> DataFrame:
     return A.with_local_aggregates(
-        B.nation_year(spark, d), "unit", ["yr"], ["n_orders"], "TOTAL", {"NATION_1+2": ["NATION_1", "NATION_2"]}
+        settle(B.nation_year(spark, d)), "unit", ["yr"], ["n_orders"], "TOTAL", {"NATION_1+2": ["NATION_1", "NATION_2"]}
     )
 
 

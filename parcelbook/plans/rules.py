@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from parcelbook.functions.numbers import finite
 from parcelbook.operators import joins as J
-from parcelbook.operators import periods as P
 from parcelbook.operators import quality as QL
 from parcelbook.plans import base as B
 from parcelbook.plans.registry import query
@@ -35,7 +34,7 @@ def q01(spark: Spark, d: str) -> DataFrame:
     SELECT region, yr, CAST(leaf_sum AS BIGINT) AS leaf_sum, CAST(published AS BIGINT) AS published, CAST(leaf_sum - published AS DOUBLE) AS gap FROM l JOIN p USING (region, yr) WHERE leaf_sum <> published AND NOT (region = 'AFRICA' AND yr = 1996)""",
 )
 def q02(spark: Spark, d: str) -> DataFrame:
-    nm = B.nation_month(spark, d)
+    nm = settle(B.nation_month(spark, d))
     off = F.when((F.col("region") == "ASIA") & (F.col("yr") == 1998), 4).when((F.col("region") == "AFRICA") & (F.col("yr") == 1996), -2).otherwise(0)
     published = nm.groupBy("region", "yr").agg(F.sum("n_orders").alias("n")).select("region", "yr", (F.col("n") + off).alias("n_orders"))
     return QL.hierarchy_breaks(nm, published, "region", ["yr"], "n_orders", known=[("AFRICA", 1996)])
@@ -85,7 +84,7 @@ def q05b(spark: Spark, d: str) -> DataFrame:
     f"""WITH {B.NY}, b AS (SELECT unit, max(price) FILTER (WHERE yr = 1997) AS p FROM ny GROUP BY 1), i AS (SELECT ny.unit, yr, 100 * price / b.p AS idx FROM ny JOIN b ON ny.unit = b.unit) SELECT unit, round(max(idx) FILTER (WHERE yr = 1997), 6) AS base_value, count(idx) AS periods, abs(max(idx) FILTER (WHERE yr = 1997) - 100) <= 1e-9 AS passed FROM i GROUP BY 1""",
 )
 def q06(spark: Spark, d: str) -> DataFrame:
-    ny = B.nation_year(spark, d)
+    ny = settle(B.nation_year(spark, d))
     base = ny.groupBy("unit").agg(F.max(F.when(F.col("yr") == 1997, F.col("price"))).alias("p"))
     idx = ny.join(base, "unit").withColumn("idx", 100 * F.col("price") / F.col("p"))
     at = F.max(F.when(F.col("yr") == 1997, F.col("idx")))
@@ -97,7 +96,7 @@ def q06(spark: Spark, d: str) -> DataFrame:
     f"""WITH {B.NY}, g AS (SELECT unit, 100.0 * abs(n_orders - customers) / nullif(CAST(customers AS DOUBLE), 0) AS g FROM ny WHERE yr = 1999) SELECT round(max(g), 6) AS worst_pct, arg_max(unit, (g, unit)) AS worst_unit, count(*) AS covered, max(g) <= 80 AND count(*) = 25 AS passed FROM g""",
 )
 def q07(spark: Spark, d: str) -> DataFrame:
-    y = B.nation_year(spark, d).filter("yr = 1999")
+    y = settle(B.nation_year(spark, d)).filter("yr = 1999")
     return QL.anchor_gap(y.select("unit", F.col("n_orders").alias("v")), y.select("unit", F.col("customers").alias("v")), "unit", "v", 25, 80.0)
 
 
@@ -171,7 +170,7 @@ def q12(spark: Spark, d: str) -> DataFrame:
     f"""WITH {B.NY}, a AS (SELECT unit, yr, CASE WHEN yr = 1999 AND unit = 'NATION_4' THEN n_orders + 1 ELSE n_orders END AS n_orders FROM ny), b AS (SELECT unit, yr, n_orders FROM ny) SELECT *, 'stored' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT *, 'fresh' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)""",
 )
 def q13(spark: Spark, d: str) -> DataFrame:
-    fresh = B.nation_year(spark, d).select("unit", "yr", "n_orders")
+    fresh = settle(B.nation_year(spark, d)).select("unit", "yr", "n_orders")
     changed = F.when((F.col("yr") == 1999) & (F.col("unit") == "NATION_4"), F.col("n_orders") + 1).otherwise(F.col("n_orders"))
     return QL.table_difference(fresh.withColumn("n_orders", changed), fresh)
 

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from parcelbook.operators import datum as D
 from parcelbook.operators import geometry as G
 from parcelbook.operators import raster as RA
-from parcelbook.plans import base as B
 from parcelbook.plans.registry import query
 from parcelbook.session import spread
 from parcelbook.sources.tables import load

@@ -71,7 +71,7 @@ WINDOWS = [(1995, 1997), (1997, 2000), (1995, 2000)]
     r AS (SELECT *, {rank_sql('win', 'x')} AS rx, {rank_sql('win', 'y')} AS ry FROM g) SELECT win, count(*) AS n, {corr_sql('x', 'y', 3)} AS pearson, {corr_sql('rx', 'ry', 3)} AS spearman FROM r GROUP BY 1""",
 )
 def e04(spark: Spark, d: str) -> DataFrame:
-    changes = C.windowed_changes(B.nation_year(spark, d), ["unit"], "yr", ["n_orders", "price"], WINDOWS)
+    changes = C.windowed_changes(settle(B.nation_year(spark, d)), ["unit"], "yr", ["n_orders", "price"], WINDOWS)
     label = F.concat_ws("-", F.col("w_start").cast("string"), F.col("w_end").cast("string"))
     both = changes.withColumn("win", F.explode(F.array(label, F.lit("pooled"))))
     pearson = both.groupBy("win").agg(A.guarded_corr("n_orders_pct", "price_pct", 3).alias("pearson"))
@@ -319,7 +319,7 @@ def e25(spark: Spark, d: str) -> DataFrame:
     SELECT study, count(*) AS n, {corr_sql('x', 'y', 3)} AS pearson, {corr_sql('rx', 'ry', 3)} AS spearman FROM r GROUP BY 1""",
 )
 def e26(spark: Spark, d: str) -> DataFrame:
-    e = J.endpoint_change(B.nation_year(spark, d), ["unit"], "yr", 1995, 2000, ["n_orders", "price", "urgent"])
+    e = J.endpoint_change(settle(B.nation_year(spark, d)), ["unit"], "yr", 1995, 2000, ["n_orders", "price", "urgent"])
     growth = e.select(
         F.lit("growth_price").alias("study"), ratio(F.col("n_orders_change"), F.col("n_orders_start")).alias("x"), ratio(F.col("price_change"), F.col("price_start")).alias("y")
     )
