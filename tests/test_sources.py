@@ -104,3 +104,9 @@ def test_pins(spark, tmp_path, rows):
 def test_snapshot_age(spark):
     df = spark.createDataFrame([("2024-01-01",), ("soon",), (None,)], "s string")
     assert [r[0] for r in df.select(MF.snapshot_age(F.col("s"), F.lit("2024-01-31").cast("date"))).collect()] == [30, None, None]
+
+
+def test_stale_outputs(spark, rows):
+    now = spark.createDataFrame([("a", "1"), ("b", "2")], "file string, sha256 string")
+    stamps = spark.createDataFrame([("x", "a", "1"), ("y", "a", "1"), ("y", "b", "0"), ("z", "gone", "9")], "output string, file string, sha256 string")
+    assert rows(MF.stale_outputs(stamps, now), "output", "state") == [("x", "fresh"), ("y", "stale"), ("z", "stale")]
