@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,8 +15,10 @@ from pyspark.sql import functions as F
 from parcelbook.llm.common import Query, bodies, fold, mix, octets, table, word_hashes
 
 BITS = 20
-SAMPLE = 8000
+SAMPLE = 16_000
 PIECE = 1 << 16
+STEM = 8
+MARKS = string.punctuation.encode()
 
 
 @dataclass(frozen=True)
@@ -33,21 +36,22 @@ class Weights:
 
 
 def features(words: list[bytes]) -> Iterator[np.ndarray]:
-    """Hashed words, word pairs and pairs with one word between, in pieces of a long text."""
+    """Hashed words, their first bytes, word pairs and pairs with one word between, in pieces of a long text."""
     for at in range(0, len(words), PIECE):
         h = word_hashes(words[at : at + PIECE + 2])
         own = len(h) if at + PIECE + 2 >= len(words) else PIECE
         pair = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]
         skip = h[:-2] * np.uint64(0xD1B54A32D192ED03) + h[2:]
-        for x in (h[:own], mix(pair[:own]), mix(skip[:own])):
+        stem = word_hashes([w[:STEM] for w in words[at : at + own]]) + np.uint64(STEM)
+        for x in (h[:own], mix(stem), mix(pair[:own]), mix(skip[:own])):
             yield (x >> np.uint64(64 - BITS)).astype(np.int64)
 
 
 def words_of(body: bytes) -> list[bytes]:
-    return [w for w in (x.strip(b".,;:!?\"'()[]") for x in body.lower().split()) if w]
+    return [w for w in (x.strip(MARKS) for x in body.lower().split()) if w]
 
 
-def fit(vectors: list[np.ndarray], labels: np.ndarray, alpha: float = 0.1, beta: float = 1.0, l1: float = 0.5, l2: float = 1.0, epochs: int = 3) -> Weights:
+def fit(vectors: list[np.ndarray], labels: np.ndarray, alpha: float = 1.0, beta: float = 1.0, l1: float = 12.0, l2: float = 1.0, epochs: int = 8) -> Weights:
     """FTRL-proximal: each coordinate has its own rate, and those below ``l1`` stay at zero."""
     z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
     rate = float(labels.mean()) if len(labels) else 0.0

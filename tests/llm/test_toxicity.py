@@ -40,4 +40,4 @@ def test_no_labels_and_no_documents(spark):
 def test_pieces_of_a_long_text_give_the_same_features():
     words = [b"%d" % (i % 7919) for i in range(PIECE + 100)]
     n = sum(len(x) for x in features(words))
-    assert n == len(words) + (len(words) - 1) + (len(words) - 2)
+    assert n == 2 * len(words) + (len(words) - 1) + (len(words) - 2)
