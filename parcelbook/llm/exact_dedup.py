@@ -10,21 +10,28 @@ from pyspark.sql import functions as F
 from parcelbook.llm.common import Query, stored, table
 from parcelbook.session import discard, scratch_path
 
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+STATE = "spark.sql.streaming.stateStore."
+#: Keyed state on disk; many small stores must not reserve disk ahead.
+ON_DISK = {
+    STATE + "providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    STATE + "rocksdb.allowFAllocate": "false",
+    STATE + "rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 @contextmanager
 def _state_on_disk(spark: SparkSession):
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKS)
+    before = {key: spark.conf.get(key, None) for key in ON_DISK}
+    for key, value in ON_DISK.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
-def absorb(marks: DataFrame, state: str, files_per_batch: int = 64) -> DataFrame:
+def absorb(marks: DataFrame, state: str, files_per_batch: int = 256) -> DataFrame:
     """Stream (doc_id, digest, n_bytes) rows into the keyed state below ``state``.
 
     The state holds for each digest the id that stays (the largest), the number of rows
@@ -50,7 +57,7 @@ def absorb(marks: DataFrame, state: str, files_per_batch: int = 64) -> DataFrame
     return touched.groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"))
 
 
-def deduplicate(docs: DataFrame, digest: Column | None = None, files_per_batch: int = 64) -> DataFrame:
+def deduplicate(docs: DataFrame, digest: Column | None = None, files_per_batch: int = 256) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256), a row for each row of ``docs``.
 
     Texts are equal when identical byte by byte; null counts as empty. Of equal texts the
