@@ -1,7 +1,7 @@
 """Operators for training-data pipelines; nothing else in the library imports them."""
 
-from parcelbook.llm import exact_dedup, license_scan, simhash, toxicity, url_filters
+from parcelbook.llm import exact_dedup, language_id, license_scan, simhash, toxicity, url_filters
 
-_MODULES = (exact_dedup, license_scan, simhash, toxicity, url_filters)
+_MODULES = (exact_dedup, language_id, license_scan, simhash, toxicity, url_filters)
 QUERIES = {name: run for m in _MODULES for name, run in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
