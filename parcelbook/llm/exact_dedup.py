@@ -74,10 +74,10 @@ def deduplicate(docs: DataFrame, digest: Column | None = None, files_per_batch:
     state = scratch_path(spark, "state")
     groups = stored(absorb(marks.select("doc_id", "digest"), state, files_per_batch), "groups")
     discard(spark, state)
-    # full bytes of every hit: equal texts meet as one row from each task
-    hit = rows.select("digest", "text", "doc_id").join(groups.where("group_size > 1").select("digest"), "digest", "left_semi")
-    texts = hit.groupBy("digest", "text").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"), F.first(F.sha2(F.col("text").cast("binary"), 256)).alias("text_sha256"))
-    apart = stored(texts.select("digest", "text_sha256", F.col("keep_id").alias("own_id"), F.col("group_size").alias("own_size")), "texts")
+    # full bytes: equal texts meet as one row from each task, before any join deals them by digest
+    texts = rows.groupBy("digest", "text").agg(F.max("doc_id").alias("own_id"), F.count(F.lit(1)).alias("own_size"), F.first("text_sha256").alias("text_sha256"))
+    hit = groups.where("group_size > 1").select("digest")
+    apart = stored(texts.select("digest", "text_sha256", "own_id", "own_size").join(hit, "digest", "left_semi"), "texts")
     split = apart.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
     own = apart.join(split.select("digest"), "digest", "left_semi")
     return (
