@@ -80,16 +80,11 @@ def deduplicate(docs: DataFrame, digest: Column | None = None, files_per_batch:
     apart = stored(texts.select("digest", "text_sha256", "own_id", "own_size").join(hit, "digest", "left_semi"), "texts")
     split = apart.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
     own = apart.join(split.select("digest"), "digest", "left_semi")
+    keep = F.when(F.col("own_size").isNull(), F.col("keep_id")).otherwise(F.col("own_id"))
     return (
         marks.join(groups, "digest")
         .join(own, ["digest", "text_sha256"], "left")
-        .select(
-            "doc_id",
-            F.coalesce("own_id", "keep_id").alias("keep_id"),
-            F.coalesce("own_size", "group_size").alias("group_size"),
-            F.coalesce(F.col("doc_id") == F.coalesce("own_id", "keep_id"), F.lit(False)).alias("kept"),
-            "text_sha256",
-        )
+        .select("doc_id", keep.alias("keep_id"), F.coalesce("own_size", "group_size").alias("group_size"), F.coalesce(F.col("doc_id") == keep, F.lit(False)).alias("kept"), "text_sha256")
     )
 
 
