@@ -14,10 +14,11 @@ from parcelbook.llm.common import Query, bodies, mix, octets, table, word_hashes
 
 WIDTH = 5
 SIMILARITY = 0.8
-RADIUS = 15
-BLOCKS = 16
+RADIUS = 11
+BLOCKS = 12
 SLICE = 20_000
 PIECE = 1 << 17
+MAYBE = 20
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -45,8 +46,9 @@ class Index:
     fps: np.ndarray
     grams: list[dict[int, int]]
     known: np.ndarray
+    owners: list[list[int]]
+    maybe: np.ndarray
     weights: dict[int, float]
-    by_size: dict[int, np.ndarray]
 
 
 def index_of(items: list[tuple[object, bytes]], weights: dict[int, float] | None = None) -> Index:
@@ -62,7 +64,24 @@ def index_of(items: list[tuple[object, bytes]], weights: dict[int, float] | None
         weights = {s: 1 / n for s, n in seen.items()}
     sizes = np.array([len(h) for _, h in hashed], np.int64)
     known = np.array(sorted({s for g in grams for s in g}), np.uint64)
-    return Index([i for i, _ in hashed], sizes, np.array([simhash(h) for _, h in hashed], np.uint64), grams, known, weights, {int(n): np.flatnonzero(sizes == n) for n in np.unique(sizes)})
+    owned: dict[int, list[int]] = {}
+    for row, g in enumerate(grams):
+        for x in g:
+            owned.setdefault(x, []).append(row)
+    owners = [owned[x] for x in known.tolist()]
+    maybe = np.zeros(1 << MAYBE, bool)
+    maybe[known >> np.uint64(64 - MAYBE)] = True
+    return Index([i for i, _ in hashed], sizes, np.array([simhash(h) for _, h in hashed], np.uint64), grams, known, owners, maybe, weights)
+
+
+def has_known(grams: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray]:
+    """(place, row of ``known``) of shingles that some item has; most others are told by their first bits."""
+    at = np.flatnonzero(index.maybe[grams >> np.uint64(64 - MAYBE)])
+    if not len(at):
+        return at, at
+    found = np.minimum(np.searchsorted(index.known, grams[at]), len(index.known) - 1)
+    same = index.known[found] == grams[at]
+    return at[same], found[same]
 
 
 def _counted(s: np.ndarray) -> dict[int, int]:
@@ -105,17 +124,17 @@ def candidates(fps: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def leaks_in(h: np.ndarray, index: Index, least: float) -> dict[int, tuple[float, int]]:
     """{row of the index: (similarity, first word)} of the best window for each leaked item.
 
-    Fingerprints are taken of every item-sized window that has a shingle of some item; a
-    window without one has similarity 0 to all.
+    Fingerprints are taken of every item-sized window that has a shingle of some item, for
+    the sizes of items that have one; without a common shingle the similarity is 0.
     """
     best: dict[int, tuple[float, int]] = {}
     for width, rows in _by_width(index).items():
-        grams = shingles(h, width) if len(h) >= width else np.zeros(0, np.uint64)
-        hit = np.flatnonzero(np.isin(grams, index.known)) if len(grams) else np.zeros(0, np.int64)
+        hit, known = has_known(shingles(h, width) if len(h) >= width else np.zeros(0, np.uint64), index)
         if not len(hit):
             continue
-        for size in np.unique(index.sizes[rows]).tolist():
-            items = np.intersect1d(index.by_size[size], rows)
+        near = np.array(sorted({i for k in set(known.tolist()) for i in index.owners[k]} & rows), np.int64)
+        for size in np.unique(index.sizes[near]).tolist():
+            items = near[index.sizes[near] == size]
             reach = size - width + 1
             starts = np.unique((hit[:, None] - np.arange(reach)[None, :]).ravel()) if len(hit) * reach < 1 << 22 else np.arange(len(h))
             starts = np.unique(np.clip(starts, 0, max(0, len(h) - size)))
@@ -131,9 +150,9 @@ def leaks_in(h: np.ndarray, index: Index, least: float) -> dict[int, tuple[float
     return best
 
 
-def _by_width(index: Index) -> dict[int, np.ndarray]:
+def _by_width(index: Index) -> dict[int, set[int]]:
     widths = np.minimum(index.sizes, WIDTH)
-    return {int(w): np.flatnonzero(widths == w) for w in np.unique(widths)}
+    return {int(w): set(np.flatnonzero(widths == w).tolist()) for w in np.unique(widths)}
 
 
 def _window_fps(h: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
