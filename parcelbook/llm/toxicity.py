@@ -116,14 +116,32 @@ def score_texts(docs: DataFrame, weights: Weights) -> DataFrame:
         for batch in batches:
             out = np.zeros(batch.num_rows)
             for i, body in enumerate(bodies(batch)):
-                hit = [x[active[x]] for x in features(words_of(body))]
-                idx = np.unique(np.concatenate(hit)) if hit else np.zeros(0, np.int64)
-                out[i] = 1 / (1 + np.exp(-np.clip(weights.bias + float(dense[idx].sum()), -30, 30)))
+                out[i] = probability(words_of(body), dense, active, weights.bias)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out)], ["doc_id", "score"])
 
     return octets(docs).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
 
 
+def probability(words: list[bytes], dense: np.ndarray, active: np.ndarray, bias: float) -> float:
+    hit = [x[active[x]] for x in features(words)]
+    idx = np.unique(np.concatenate(hit)) if hit else np.zeros(0, np.int64)
+    return float(1 / (1 + np.exp(-np.clip(bias + float(dense[idx].sum()), -30, 30))))
+
+
+def without_toxic(docs: DataFrame, weights: Weights) -> DataFrame:
+    """Rows of ``docs``, all columns, whose score is under 0.5."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dense = weights.dense()
+        active = dense != 0
+        for batch in batches:
+            texts = batch.column("text")
+            keep = [probability(words_of((texts[i].as_py() or "").encode()), dense, active, weights.bias) < 0.5 for i in range(len(texts))]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every whole text of ``docs``.
 
