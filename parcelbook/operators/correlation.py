@@ -42,21 +42,21 @@ def centred(df: DataFrame, by: list[str], values: dict[str, str]) -> DataFrame:
     return out
 
 
-def spearman(df: DataFrame, by: list[str], x: str, y: str, least: int = 3, limit: int | None = None) -> DataFrame:
+def spearman(df: DataFrame, by: list[str], x: str, y: str, least: int = 3, pieces: int | None = None) -> DataFrame:
     """Pearson correlation of average ranks per group."""
     pairs = settle(df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()))
-    ranked = rank_values(rank_values(pairs, by, x, "_rx", limit=limit), by, y, "_ry", limit=limit)
+    ranked = rank_values(rank_values(pairs, by, x, "_rx", pieces=pieces), by, y, "_ry", pieces=pieces)
     grouped = ranked.groupBy(*by) if by else ranked.groupBy()
     return grouped.agg(F.count("*").alias("n"), guarded_corr("_rx", "_ry", least).alias("spearman"))
 
 
-def group_centred(df: DataFrame, by: list[str], group: str, x: str, y: str, limit: int | None = None) -> DataFrame:
+def group_centred(df: DataFrame, by: list[str], group: str, x: str, y: str, pieces: int | None = None) -> DataFrame:
     """Pearson, Spearman and the correlation of ranks centred inside ``group``.
 
     Ranks are global inside ``by``; a group with one row adds zeros and is counted.
     """
     pairs = settle(df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()))
-    ranked = rank_values(rank_values(pairs, by, x, "_rx", limit=limit), by, y, "_ry", limit=limit)
+    ranked = rank_values(rank_values(pairs, by, x, "_rx", pieces=pieces), by, y, "_ry", pieces=pieces)
     c = centred(ranked, [*by, group], {"_dx": "_rx", "_dy": "_ry"})
     grouped = c.groupBy(*by) if by else c.groupBy()
     return grouped.agg(
@@ -69,7 +69,7 @@ def group_centred(df: DataFrame, by: list[str], group: str, x: str, y: str, limi
     )
 
 
-def partial_rank(df: DataFrame, by: list[str], group: str, x: str, y: str, z: str, limit: int | None = None) -> DataFrame:
+def partial_rank(df: DataFrame, by: list[str], group: str, x: str, y: str, z: str, pieces: int | None = None) -> DataFrame:
     """Correlation of centred ranks after projecting both on the centred rank of ``z``.
 
     With centred ranks dx, dy, dz the residual sums follow from six moments:
@@ -78,7 +78,7 @@ def partial_rank(df: DataFrame, by: list[str], group: str, x: str, y: str, z: st
     full = settle(df.filter(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(z).isNotNull()))
     ranked = full
     for v, r in ((x, "_rx"), (y, "_ry"), (z, "_rz")):
-        ranked = rank_values(ranked, by, v, r, limit=limit)
+        ranked = rank_values(ranked, by, v, r, pieces=pieces)
     c = centred(ranked, [*by, group], {"_dx": "_rx", "_dy": "_ry", "_dz": "_rz"})
     grouped = c.groupBy(*by) if by else c.groupBy()
 

@@ -2,24 +2,21 @@
 
 Everything rests on one primitive: the running weight of each distinct value inside
 its group. Values are first counted (map-side combine), so ties collapse before any
-shuffle. Groups small enough for a task use an ordinary window. A group with more
-distinct values than a task should hold is cut into value ranges: running weights are
-computed inside each range and shifted by the totals of the ranges below it.
+shuffle. The counts are dealt out in ranges of (group, value); running weights are
+computed inside each range and shifted by the totals of the ranges below it. The
+same steps run at every size and for every type that has an order.
 """
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import reduce
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelbook.session import settle
 
-# distinct values one task may order inside a group
-RANGE_ROWS = 2_000_000
-
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Equi-join on keys where null equals null; right keys are dropped."""
@@ -40,74 +37,47 @@ def value_counts(df: DataFrame, by: list[str], value: str, weight: str | None =
     )
 
 
-def _large_groups(counts: DataFrame, by: list[str], limit: int) -> DataFrame:
-    return counts.groupBy(*by).agg(F.count("*").alias("_values")).filter(F.col("_values") > limit)
+def in_ranges(df: DataFrame, order: list[str | Column], pieces: int | None = None) -> DataFrame:
+    """Settled rows with ``_range``: rows of a lower range come before those of a higher one."""
+    dealt = df.repartitionByRange(pieces, *order) if pieces else df.repartitionByRange(*order)
+    return settle(dealt.withColumn("_range", F.spark_partition_id()))
 
 
-def running_weight(
-    counts: DataFrame, by: list[str], value: str, weight: str = "weight", limit: int | None = None
-) -> DataFrame:
+def running_weight(counts: DataFrame, by: list[str], value: str, weight: str = "weight", pieces: int | None = None) -> DataFrame:
     """Adds ``cum`` (weight up to and including the value) and ``total``.
 
-    ``counts`` must be settled: several branches read it.
+    ``pieces`` sets the number of ranges; by default it follows the shuffle settings.
     """
-    limit = limit or RANGE_ROWS
-    whole = Window.partitionBy(*by)
-    upto = whole.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    if by:
-        large = _large_groups(counts, by, limit)
-        size = large.agg(F.sum("_values")).first()[0] or 0
-    else:
-        size = counts.count()
-        size = size if size > limit else 0
-    if not size:
-        return counts.withColumn("cum", F.sum(weight).over(upto)).withColumn(
-            "total", F.sum(weight).over(whole)
-        )
-    if by:
-        tagged = null_safe_join(
-            counts, large.withColumn("_large", F.lit(True)).drop("_values"), by, "left"
-        )
-    else:
-        tagged = counts.withColumn("_large", F.lit(True))
-    pieces = int(size // limit) + 1
-    probabilities = [i / pieces for i in range(1, pieces)]
-    cuts = sorted(set(tagged.filter("_large").approxQuantile(value, probabilities, 0.1 / pieces)))
-    bucketizer = Bucketizer(
-        splits=[float("-inf"), *cuts, float("inf")], inputCol="_v", outputCol="_range", handleInvalid="keep"
-    )
-    ranged = bucketizer.transform(tagged.withColumn("_v", F.col(value).cast("double"))).withColumn(
-        "_range", F.when(F.col("_large"), F.col("_range")).otherwise(F.lit(-1.0))
-    )
-    # per group at most ``pieces`` ranges, so these windows are small whatever the group
+    ranged = in_ranges(counts, [*by, value], pieces)
+    # a group has at most one row for each range, so these windows are small whatever the group
     per_range = ranged.groupBy(*by, "_range").agg(F.sum(weight).alias("_in_range"))
+    whole = Window.partitionBy(*by)
     below = whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    shift = per_range.select(
-        *by,
-        "_range",
-        F.coalesce(F.sum("_in_range").over(below), F.lit(0)).alias("_below"),
-        F.sum("_in_range").over(whole).alias("total"),
-    )
-    inside = (
-        Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    )
+    shift = per_range.select(*by, "_range", F.coalesce(F.sum("_in_range").over(below), F.lit(0)).alias("_below"), F.sum("_in_range").over(whole).alias("total"))
+    inside = Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     within = ranged.withColumn("_cum", F.sum(weight).over(inside))
-    return (
-        null_safe_join(within, shift, [*by, "_range"])
-        .withColumn("cum", F.col("_cum") + F.col("_below"))
-        .drop("_v", "_range", "_large", "_cum", "_below")
-    )
+    return null_safe_join(within, shift, [*by, "_range"]).withColumn("cum", F.col("_cum") + F.col("_below")).drop("_range", "_cum", "_below")
+
+
+def places(df: DataFrame, order: list[Column], out: str) -> DataFrame:
+    """Place of every row in one total order (1-based), without a sort in one task."""
+    ranged = in_ranges(df, order)
+    inside = Window.partitionBy("_range").orderBy(*order)
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_rows"))
+    below = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    shift = sizes.select("_range", F.coalesce(F.sum("_rows").over(below), F.lit(0)).alias("_below"))
+    return ranged.withColumn("_in", F.row_number().over(inside)).join(shift, "_range").withColumn(out, F.col("_in") + F.col("_below")).drop("_range", "_in", "_below")
 
 
 def rank_values(
-    df: DataFrame, by: list[str], value: str, out: str, method: str = "average", limit: int | None = None
+    df: DataFrame, by: list[str], value: str, out: str, method: str = "average", pieces: int | None = None
 ) -> DataFrame:
     """Rank of every row's value inside its group (1-based); null values get null.
 
     ``average`` shares the mean position among ties, ``first`` gives the lowest.
     """
-    counts = settle(value_counts(df, by, value))
-    run = running_weight(counts, by, value, limit=limit)
+    counts = value_counts(df, by, value)
+    run = running_weight(counts, by, value, pieces=pieces)
     before = F.col("cum") - F.col("weight")
     rank: Column = before + 1.0
     if method == "average":
@@ -167,7 +137,7 @@ def quantiles(
     value: str,
     wanted: dict[str, list[Column]],
     weight: str | None = None,
-    limit: int | None = None,
+    pieces: int | None = None,
 ) -> DataFrame:
     """Several quantiles per group from one running weight; ``total`` is kept.
 
@@ -176,7 +146,7 @@ def quantiles(
     carry nothing.
     """
     source = df.filter(F.col(weight) > 0) if weight else df
-    run = running_weight(settle(value_counts(source, by, value, weight)), by, value, limit=limit)
+    run = running_weight(value_counts(source, by, value, weight), by, value, pieces=pieces)
     aggs = []
     for out, positions in wanted.items():
         total = _covering(positions[0], value).cast("double")
@@ -192,19 +162,20 @@ def weighted_cuts(
     value: str,
     weight: str,
     fractions: dict[str, float],
-    limit: int | None = None,
+    pieces: int | None = None,
 ) -> DataFrame:
     """First value whose running weight exceeds q of the total.
 
     If a value reaches q of the total exactly, the cut is the midpoint with the next
     distinct value. Works on value-level weights, so one step lookahead is enough:
-    the next value is the smallest one whose running weight exceeds the target.
+    the next value is the smallest one whose running weight exceeds the target. Weights
+    are summed as decimals, so an exact hit does not depend on how rows were dealt.
     """
-    source = df.filter(F.col(weight) > 0)
-    run = running_weight(settle(value_counts(source, by, value, weight)), by, value, limit=limit)
+    source = df.filter(F.col(weight) > 0).withColumn(weight, F.col(weight).cast("decimal(24,8)"))
+    run = running_weight(value_counts(source, by, value, weight), by, value, pieces=pieces)
     aggs = []
     for out, q in fractions.items():
-        target = F.col("total") * F.lit(q)
+        target = F.col("total") * F.lit(Decimal(str(q)))
         over = F.min(F.when(F.col("cum") > target, F.col(value)))
         exact = F.max(F.when(F.col("cum") == target, F.col(value)))
         last = F.max(value)
@@ -214,7 +185,7 @@ def weighted_cuts(
             .cast("double")
             .alias(out)
         )
-    return run.groupBy(*by).agg(F.max("total").alias("total"), *aggs)
+    return run.groupBy(*by).agg(F.max("total").cast("double").alias("total"), *aggs)
 
 
 def group_by_cuts(value: Column, cuts: list[float]) -> Column:
@@ -231,11 +202,11 @@ def terciles(df: DataFrame, by: list[str], value: str, tie: str, out: str) -> Da
     ``tie`` is a unique number that orders equal values: the position of a row is the
     count of smaller values plus its place among equals.
     """
-    run = running_weight(settle(value_counts(df, by, value)), by, value)
+    run = running_weight(value_counts(df, by, value), by, value)
     table = run.select(
         *by, value, (F.col("cum") - F.col("weight")).alias("_before"), F.col("total").alias("_n")
     )
-    rows = settle(df.filter(F.col(value).isNotNull()).withColumn("weight", F.lit(1)))
+    rows = df.filter(F.col(value).isNotNull()).withColumn("weight", F.lit(1))
     equals = running_weight(rows, [*by, value], tie).withColumnRenamed("cum", "_among")
     placed = null_safe_join(equals.drop("weight", "total"), table, [*by, value]).withColumn(
         "_pos", F.col("_before") + F.col("_among")

@@ -251,7 +251,7 @@ def k19(spark: Spark, d: str) -> DataFrame:
 
 @query(
     "k20_crosswalk",
-    """WITH a AS (SELECT upper(p_name) AS key, count(*) AS n, max(p_partkey) AS code FROM part WHERE p_size <= 10 GROUP BY 1), b AS (SELECT upper(p_name) AS key, count(*) AS n, max(p_partkey) AS code FROM part WHERE p_retailprice < 1000 AND p_size > 25 GROUP BY 1)
+    """WITH a AS (SELECT upper(p_name) AS key, count(*) AS n, max(p_partkey) AS code FROM part WHERE p_size <= 10 GROUP BY 1), b AS (SELECT upper(p_name) AS key, count(*) AS n, max(p_partkey) AS code FROM part WHERE p_size > 10 GROUP BY 1)
     SELECT coalesce(a.key, b.key) AS key, CASE WHEN coalesce(a.n, 1) = 1 THEN a.code END AS code_a, CASE WHEN coalesce(b.n, 1) = 1 THEN b.code END AS code_b,
     CASE WHEN b.n IS NULL THEN 'missing_right' WHEN a.n IS NULL THEN 'missing_left' WHEN a.n > 1 OR b.n > 1 THEN 'duplicate' ELSE 'ok' END AS pair_status FROM a FULL JOIN b ON a.key = b.key""",
 )
@@ -259,7 +259,7 @@ def k20(spark: Spark, d: str) -> DataFrame:
     p = load(spark, d, "part")
     key = K.norm_name(F.col("p_name")).alias("key")
     a = p.filter(F.col("p_size") <= 10).select(key, F.col("p_partkey").alias("code_a"))
-    b = p.filter((F.col("p_retailprice") < 1000) & (F.col("p_size") > 25)).select(key, F.col("p_partkey").alias("code_b"))
+    b = p.filter(F.col("p_size") > 10).select(key, F.col("p_partkey").alias("code_b"))
     return J.crosswalk_check(a, b, "key", "code_a", "code_b")
 
 
@@ -321,14 +321,14 @@ def k22(spark: Spark, d: str) -> DataFrame:
 @query(
     "j13_unique_match",
     """WITH r AS (SELECT upper(p_name) AS key, count(*) AS matches, max(p_brand) AS lb, max(nullif(p_retailprice, 0) - 920) AS v FROM part WHERE p_size <= 6 GROUP BY 1),
-    l AS (SELECT p_partkey, upper(p_name) AS key, p_brand FROM part WHERE p_size > 40), j AS (SELECT l.*, coalesce(matches, 0) AS matches, lb, v FROM l LEFT JOIN r USING (key))
+    l AS (SELECT p_partkey, upper(p_name) AS key, p_brand FROM part WHERE p_size > 6), j AS (SELECT l.*, coalesce(matches, 0) AS matches, lb, v FROM l LEFT JOIN r USING (key))
     SELECT p_partkey, matches, CASE WHEN matches = 0 THEN 'missing' WHEN matches > 1 THEN 'duplicate' WHEN replace(lb, 'Brand#', '') = '' OR regexp_replace(lb, '[0-9#]', '', 'g') <> regexp_replace(p_brand, '[0-9#]', '', 'g') THEN 'label_mismatch'
       WHEN v IS NULL THEN 'missing' WHEN v <= 0 THEN 'nonpositive' ELSE 'valid' END AS status, CASE WHEN matches = 1 AND v > 0 THEN round(v, 6) END AS value FROM j""",
 )
 def j13(spark: Spark, d: str) -> DataFrame:
     p = load(spark, d, "part").withColumn("key", K.place_key(F.col("p_name")))
     right = p.filter(F.col("p_size") <= 6).select("key", F.col("p_brand").alias("lb"), (F.nullif(F.col("p_retailprice"), F.lit(0.0)) - 920).alias("v"))
-    left = p.filter(F.col("p_size") > 40).select("p_partkey", "key", "p_brand")
+    left = p.filter(F.col("p_size") > 6).select("p_partkey", "key", "p_brand")
     return J.unique_match(left, right, "key", "p_brand", "lb", "v").select("p_partkey", "matches", "status", "value")
 
 

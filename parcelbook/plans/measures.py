@@ -334,14 +334,15 @@ def m21(spark: Spark, d: str) -> DataFrame:
 
 @query(
     "m22_area_summary",
-    f"""WITH {B.PB}, a AS (SELECT DISTINCT p_brand AS area, CAST(1 + CAST(replace(p_brand, 'Brand#', '') AS INT) AS DOUBLE) AS km2 FROM part), r AS (SELECT area, count(*) AS records, sum(w) AS homes, round(sum(floor_m2), 2) AS floor_m2, count(floor_m2) AS with_floor, count(vintage) AS with_year FROM pb WHERE kind = 'SMALL' AND vintage > 2010 GROUP BY 1)
+    f"""WITH {B.PB}, a AS (SELECT area, CAST(1 + CAST(replace(replace(area, 'Brand#', ''), 'Empty#', '') AS INT) AS DOUBLE) AS km2 FROM (SELECT DISTINCT p_brand AS area FROM part UNION SELECT DISTINCT replace(p_brand, 'Brand', 'Empty') FROM part)), r AS (SELECT area, count(*) AS records, sum(w) AS homes, round(sum(floor_m2), 2) AS floor_m2, count(floor_m2) AS with_floor, count(vintage) AS with_year FROM pb GROUP BY 1)
     SELECT a.area, km2, coalesce(records, 0) AS records, CAST(homes AS BIGINT) AS homes, floor_m2, coalesce(with_floor, 0) AS with_floor, coalesce(with_year, 0) AS with_year, round(homes / km2, 6) AS homes_per_km2 FROM a LEFT JOIN r USING (area)""",
 )
 def m22(spark: Spark, d: str) -> DataFrame:
-    areas = load(spark, d, "part").select(F.col("p_brand").alias("area")).distinct().withColumn(
-        "km2", (1 + F.replace("area", F.lit("Brand#"), F.lit("")).cast("int")).cast("double")
-    )
-    records = B.buildings(spark, d).filter((F.col("kind") == "SMALL") & (F.col("vintage") > 2010))
+    # areas with parts, and as many without
+    brand = F.col("p_brand")
+    names = load(spark, d, "part").select(F.explode(F.array(brand, F.replace(brand, F.lit("Brand"), F.lit("Empty")))).alias("area")).distinct()
+    areas = names.withColumn("km2", (1 + F.element_at(F.split("area", "#"), -1).cast("int")).cast("double"))
+    records = B.buildings(spark, d)
     out = M.area_summary(areas, records, "area", "km2", "w", "floor_m2", "vintage")
     return out.select("area", "km2", "records", F.col("homes"), F.round("floor_m2", 2).alias("floor_m2"), "with_floor", "with_year", "homes_per_km2")
 

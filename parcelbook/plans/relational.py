@@ -145,13 +145,12 @@ def p08(spark: Spark, d: str) -> DataFrame:
 @query(
     "j01_inner_join",
     """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, o_orderpriority, l_quantity, l_extendedprice FROM lineitem
-    JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= 45 AND o_orderpriority = '1-URGENT'""",
+    JOIN orders ON l_orderkey = o_orderkey""",
 )
 def j01(spark: Spark, d: str) -> DataFrame:
     li, o = load(spark, d, "lineitem"), load(spark, d, "orders")
     return (
         li.join(o, li.l_orderkey == o.o_orderkey)
-        .filter((F.col("l_quantity") >= 45) & (F.col("o_orderpriority") == "1-URGENT"))
         .select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "o_orderpriority", "l_quantity", "l_extendedprice")
     )
 
@@ -787,20 +786,13 @@ def w12(spark: Spark, d: str) -> DataFrame:
 @query(
     "o01_ordered_nulls_last",
     """SELECT c_custkey, nullif(c_mktsegment, 'BUILDING') AS segment, row_number() OVER (ORDER BY CASE WHEN c_mktsegment = 'MACHINERY' THEN 0 ELSE 1 END, nullif(c_mktsegment, 'BUILDING') DESC NULLS LAST, c_custkey) AS place
-    FROM customer QUALIFY place <= 400""",
+    FROM customer""",
 )
 def o01(spark: Spark, d: str) -> DataFrame:
     segment = F.nullif(F.col("c_mktsegment"), F.lit("BUILDING"))
     first = F.when(F.col("c_mktsegment") == "MACHINERY", 0).otherwise(1)
-    top = (
-        load(spark, d, "customer")
-        .select("c_custkey", segment.alias("segment"), first.alias("f"))
-        .orderBy("f", F.desc_nulls_last("segment"), "c_custkey")
-        .limit(400)
-    )
-    # the place of a report of 400 rows; the sort above is a distributed top-k
-    w = Window.orderBy("f", F.desc_nulls_last("segment"), "c_custkey")
-    return top.select("c_custkey", "segment", F.row_number().over(w).cast("long").alias("place"))
+    rows = load(spark, d, "customer").select("c_custkey", segment.alias("segment"), first.alias("f"))
+    return Q.places(rows, [F.col("f"), F.desc_nulls_last("segment"), F.col("c_custkey")], "place").select("c_custkey", "segment", F.col("place").cast("long").alias("place"))
 
 
 @query(
@@ -850,11 +842,11 @@ def u01(spark: Spark, d: str) -> DataFrame:
 
 @query(
     "u02_union_distinct",
-    "SELECT c_nationkey AS nation FROM customer WHERE c_acctbal > 9000 UNION SELECT s_nationkey FROM supplier WHERE s_acctbal > 9000",
+    "SELECT c_nationkey AS nation, c_acctbal > 5000 AS rich FROM customer UNION SELECT s_nationkey, s_acctbal > 5000 FROM supplier",
 )
 def u02(spark: Spark, d: str) -> DataFrame:
-    c = load(spark, d, "customer").filter(F.col("c_acctbal") > 9000).select(F.col("c_nationkey").alias("nation"))
-    s = load(spark, d, "supplier").filter(F.col("s_acctbal") > 9000).select(F.col("s_nationkey").alias("nation"))
+    c = load(spark, d, "customer").select(F.col("c_nationkey").alias("nation"), (F.col("c_acctbal") > 5000).alias("rich"))
+    s = load(spark, d, "supplier").select(F.col("s_nationkey").alias("nation"), (F.col("s_acctbal") > 5000).alias("rich"))
     return c.union(s).distinct()
 
 

@@ -22,10 +22,9 @@ from parcelbook.sources.tables import load
 Spark = SparkSession
 
 
-@query("s01_parquet_scan", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate::DATE::VARCHAR AS day FROM lineitem WHERE l_quantity >= 48 AND l_returnflag = 'R'")
+@query("s01_parquet_scan", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate::DATE::VARCHAR AS day FROM lineitem")
 def s01(spark: Spark, d: str) -> DataFrame:
-    li = load(spark, d, "lineitem").filter((F.col("l_quantity") >= 48) & (F.col("l_returnflag") == "R"))
-    return li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.date_format("l_shipdate", "yyyy-MM-dd").alias("day"))
+    return load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.date_format("l_shipdate", "yyyy-MM-dd").alias("day"))
 
 
 @query("s02_delimited_text", "SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS name, p_brand AS brand, CAST(p_size AS VARCHAR) AS size FROM part")

@@ -15,33 +15,33 @@ def data(seed=1, n=400):
     return [(i, "hot" if rng.random() < 0.7 else rng.choice("abc"), float(rng.randint(0, 60)), rng.randint(0, 4)) for i in range(n)]
 
 
-@pytest.mark.parametrize("limit", [None, 5])
-def test_average_and_first_rank(spark, limit):
+@pytest.mark.parametrize("pieces", [None, 5])
+def test_average_and_first_rank(spark, pieces):
     rows = data()
     df = spark.createDataFrame(rows, "id int, g string, v double, w int")
-    got = {r["id"]: (r["a"], r["f"]) for r in Q.rank_values(Q.rank_values(df, ["g"], "v", "a", limit=limit), ["g"], "v", "f", "first", limit=limit).collect()}
+    got = {r["id"]: (r["a"], r["f"]) for r in Q.rank_values(Q.rank_values(df, ["g"], "v", "a", pieces=pieces), ["g"], "v", "f", "first", pieces=pieces).collect()}
     for i, g, v, _ in rows:
         peers = [x[2] for x in rows if x[1] == g]
         less, same = sum(p < v for p in peers), sum(p == v for p in peers)
         assert got[i] == (less + (same + 1) / 2, less + 1)
 
 
-@pytest.mark.parametrize("limit", [None, 5])
-def test_global_rank(spark, limit):
+@pytest.mark.parametrize("pieces", [None, 5])
+def test_global_rank(spark, pieces):
     rows = data(2)
     df = spark.createDataFrame(rows, "id int, g string, v double, w int")
-    got = {r["id"]: r["a"] for r in Q.rank_values(df, [], "v", "a", limit=limit).collect()}
+    got = {r["id"]: r["a"] for r in Q.rank_values(df, [], "v", "a", pieces=pieces).collect()}
     for i, _, v, _ in rows:
         assert got[i] == sum(x[2] < v for x in rows) + (sum(x[2] == v for x in rows) + 1) / 2
 
 
-@pytest.mark.parametrize("limit", [None, 4])
-def test_quantile_rules(spark, limit):
+@pytest.mark.parametrize("pieces", [None, 5])
+def test_quantile_rules(spark, pieces):
     rows = data(3)
     df = spark.createDataFrame(rows, "id int, g string, v double, w int")
     wanted = {k: Q.rule(k) for k in ("averaging", "upper", "lower", "quarter", "three")} | {"p90": Q.rule("index", 0.9), "disc": Q.rule("discrete", 0.5)}
-    got = {r["g"]: r.asDict() for r in Q.quantiles(df, ["g"], "v", wanted, limit=limit).collect()}
-    weighted = {r["g"]: r.asDict() for r in Q.quantiles(df, ["g"], "v", {"m": Q.rule("averaging"), "d": Q.rule("discrete", 0.5)}, weight="w", limit=limit).collect()}
+    got = {r["g"]: r.asDict() for r in Q.quantiles(df, ["g"], "v", wanted, pieces=pieces).collect()}
+    weighted = {r["g"]: r.asDict() for r in Q.quantiles(df, ["g"], "v", {"m": Q.rule("averaging"), "d": Q.rule("discrete", 0.5)}, weight="w", pieces=pieces).collect()}
     for g in {r[1] for r in rows}:
         s = sorted(r[2] for r in rows if r[1] == g)
         n = len(s)
@@ -59,10 +59,10 @@ def test_weighted_cut_midpoint(spark):
     assert (r["q25"], r["q50"], r["q75"]) == (1.5, 3.0, 4.0)
 
 
-@pytest.mark.parametrize("limit", [None, 3])
-def test_null_groups_and_null_values(spark, limit):
+@pytest.mark.parametrize("pieces", [None, 5])
+def test_null_groups_and_null_values(spark, pieces):
     df = spark.createDataFrame([(None, 1.0), (None, None), ("a", 2.0), (None, 3.0)], "g string, v double")
-    got = sorted(((r["g"], r["v"], r["k"]) for r in Q.rank_values(df, ["g"], "v", "k", limit=limit).collect()), key=str)
+    got = sorted(((r["g"], r["v"], r["k"]) for r in Q.rank_values(df, ["g"], "v", "k", pieces=pieces).collect()), key=str)
     assert got == sorted([(None, 1.0, 1.0), (None, None, None), ("a", 2.0, 1.0), (None, 3.0, 2.0)], key=str)
 
 
@@ -75,3 +75,18 @@ def test_terciles_middle_takes_the_rest(spark):
 def test_group_by_cuts_ties_go_down(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (2.5,), (3.0,), (9.0,)], "v double")
     assert [r[0] for r in df.select(Q.group_by_cuts(F.col("v"), [1.0, 2.0, 3.0])).collect()] == [1, 2, 3, 3, 4]
+
+
+@pytest.mark.parametrize("kind", ["string", "date", "decimal(12,3)", "timestamp"])
+def test_ranks_of_every_ordered_type_in_forced_ranges(spark, kind):
+    days = [f"20{10 + i % 7}-0{1 + i % 9}-1{i % 5}" for i in range(60)]
+    cast = F.col("d") if kind in ("string", "date", "timestamp") else F.translate("d", "-", "")
+    df = spark.createDataFrame([(i, d) for i, d in enumerate(days)], "id int, d string").select("id", "d", cast.cast(kind).alias("v"))
+    got = {r.id: r.k for r in Q.rank_values(df, [], "v", "k", "first", pieces=7).collect()}
+    assert all(got[i] == 1 + sum(x < d for x in days) for i, d in enumerate(days))
+
+
+def test_places_of_all_rows(spark):
+    df = spark.range(0, 1000, 1, 7).select(((F.col("id") * 7919) % 1000).alias("k"), F.when(F.col("id") % 3 > 0, F.col("id") % 5).alias("s"))
+    got = [(r.s, r.k) for r in sorted(Q.places(df, [F.desc_nulls_last("s"), F.col("k")], "place").collect(), key=lambda r: r.place)]
+    assert got == sorted(got, key=lambda t: (t[0] is None, -(t[0] or 0), t[1])) and len(got) == 1000
