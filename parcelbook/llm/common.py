@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 from collections.abc import Callable, Iterator
 
@@ -45,6 +46,12 @@ def drop_stored(df: DataFrame) -> None:
         discard(df.sparkSession, path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver forget finished jobs now, so that Spark's cleaner deletes their shuffle files."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def tasks_for(rows: int, per_task: int, spark: SparkSession) -> int:
     """Shuffle tasks so that one holds ``per_task`` rows on average, and no fewer than the session's."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / per_task))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelbook.llm.common import Query, bodies, drop_stored, mix, octets, stored, table
+from parcelbook.llm.common import Query, bodies, drop_stored, mix, octets, release, stored, table
 from parcelbook.llm.store import pack, unpack
 
 SPAN = 50
@@ -30,7 +30,7 @@ CHUNK = 1 << 23
 CROWD = 100_000
 BYTES_PER_BUCKET = 64_000_000
 STEP = np.uint64(0x9E3779B97F4A7C15)
-BATCHES = 4
+BATCHES = 3
 NEW, FLAG, LEVEL = 0, 1, 2
 
 
@@ -218,6 +218,7 @@ class SuffixIndex:
         for _, level in merged:
             drop_stored(level)
         drop_stored(made)
+        release(self.spark)
 
     def flagged(self) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -382,6 +383,13 @@ def apply_spans(body: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, list[
     return b"".join(kept), [tuple(r) for r in runs]
 
 
+def whole_copies(texts: DataFrame) -> DataFrame:
+    """(doc, n_bytes) of texts that a smaller document has too; they go as a whole and are not compared further."""
+    marks = stored(texts.select("doc_id", F.sha2("body", 256).alias("digest"), F.octet_length("body").cast("long").alias("n_bytes")).where(F.col("n_bytes") >= SPAN), "digests")
+    first = marks.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return stored(marks.join(first, "digest").where("doc_id > first").select(F.col("doc_id").alias("doc"), "n_bytes").distinct(), "copies")
+
+
 def removed_spans(docs: DataFrame, batches: int = BATCHES, crowd: int = CROWD, bytes_per_bucket: int = BYTES_PER_BUCKET) -> tuple[DataFrame, DataFrame]:
     """(dealt, spans): texts with an id dealt by it, and (doc, spans) of what is to go from each.
 
@@ -398,15 +406,25 @@ def removed_spans(docs: DataFrame, batches: int = BATCHES, crowd: int = CROWD, b
     for i, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
         part = known if lo is None else known.where(F.col("doc_id") > lo)
         index.add(part if hi is None else part.where(F.col("doc_id") <= hi), size / batches, keep=i < len(edges) - 2)
-    pairs = stored(index.flagged().distinct(), "pairs")
+    for level in index.levels:
+        drop_stored(level[1])
+    index.levels.clear()
+    pairs = index.flagged()
+    crowds = stored(pairs.groupBy("head").count().where(F.col("count") > crowd).select("head"), "crowds")
+    if crowds.isEmpty():
+        marked = pairs.withColumn("full", F.lit(False))
+    else:
+        marked = pairs.join(crowds.withColumn("full", F.lit(True)), "head", "left").withColumn("full", F.coalesce("full", F.lit(False)))
+    wanted = marked.groupBy("doc").agg(F.collect_set(F.when(~F.col("full"), F.col("head"))).alias("heads"), F.collect_set(F.when(F.col("full"), F.col("head"))).alias("crowded"))
+    copies = whole_copies(known)
+    wanted = stored(wanted.join(copies, "doc", "left_anti"), "wanted")
     index.close()
-    packed = stored(pairs.groupBy("head").count().where(F.col("count") > crowd).select("head", F.lit(True).alias("full")), "crowds")
-    marked = pairs.join(packed, "head", "left")
-    wanted = marked.groupBy("doc").agg(F.collect_set(F.when(F.col("full").isNull(), F.col("head"))).alias("heads"), F.collect_set(F.when(F.col("full"), F.col("head"))).alias("crowded"))
+    release(spark)
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / bytes_per_bucket))
     dealt = known.repartition(tasks, "doc_id")
     around = _slices(dealt.join(wanted, F.col("doc_id") == F.col("doc")).select("doc_id", "body", "heads", "crowded"))
     found = _settled(around.repartition(tasks, "key").sortWithinPartitions("key"))
+    found = found.union(copies.select("doc", F.lit(0).cast("long"), "n_bytes"))
     return dealt, found.groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
 
