@@ -126,21 +126,30 @@ def tolerance_buckets(value: Column, width: Column) -> Column:
 
 
 def unmatched_numbers(
-    numbers: DataFrame, claims: DataFrame, value: str, slack: str, claim: str, tol: str, width: float
+    numbers: DataFrame, claims: DataFrame, value: str, slack: str, claim: str, tol: str, width: float | None = None
 ) -> DataFrame:
     """Numbers that lie within tolerance + slack of no claim.
 
-    Both sides are bucketed by ``width``, which must be at least the largest sum of
-    tolerance and slack; claims are spread over three neighbouring buckets, numbers
-    stay in one, and the residual test is exact. Distinct (value, slack) pairs are
-    tested once and the verdict is joined back, so a hot number costs one probe.
+    Both sides are bucketed by a width of at least the largest sum of tolerance and
+    slack: ``width``, or the power of ten above each number's own sum, so that coarse
+    numbers do not crowd one bucket with fine ones. Claims are spread over three
+    neighbouring buckets of each width, numbers stay in one, and the residual test is
+    exact. Distinct (value, slack) pairs are tested once and the verdict is joined back,
+    so a hot number costs one probe.
     """
-    probe = numbers.select(value, slack).distinct().withColumn("_b", F.floor(F.col(value) / width))
-    spread = claims.select(
-        F.col(claim).alias("_c"),
-        F.col(tol).alias("_t"),
-        F.explode(tolerance_buckets(F.col(claim), F.lit(width))).alias("_b"),
-    ).distinct()
+    probe = numbers.select(value, slack).distinct()
+    if width is None:
+        most = claims.agg(F.max(tol)).first()[0] or 0.0
+        probe = probe.withColumn("_e", F.ceil(F.log10(F.col(slack) + F.lit(float(most)))).cast("int"))
+        powers = sorted(r[0] for r in probe.select("_e").distinct().collect() if r[0] is not None)  # at most one for each digit of a double
+        sizes = F.array(*[F.struct(F.lit(e).alias("_e"), F.lit(10.0**e).alias("_w")) for e in powers]) if powers else F.array().cast("array<struct<_e:int,_w:double>>")
+        probe = probe.withColumn("_w", F.pow(F.lit(10.0), F.col("_e")))
+    else:
+        sizes = F.array(F.struct(F.lit(0).alias("_e"), F.lit(float(width)).alias("_w")))
+        probe = probe.withColumns({"_e": F.lit(0), "_w": F.lit(float(width))})
+    probe = probe.withColumn("_b", F.floor(F.col(value) / F.col("_w"))).drop("_w")
+    dealt = claims.select(F.col(claim).alias("_c"), F.col(tol).alias("_t"), F.explode(sizes).alias("_s"))
+    spread = dealt.select("_c", "_t", F.col("_s._e").alias("_e"), F.explode(tolerance_buckets(F.col("_c"), F.col("_s._w"))).alias("_b")).distinct()
     hit = F.abs(F.col(value) - F.col("_c")) <= F.col("_t") + F.col(slack)
-    lonely = probe.join(spread, (probe["_b"] == spread["_b"]) & hit, "left_anti").drop("_b")
+    lonely = probe.join(spread, (probe["_b"] == spread["_b"]) & (probe["_e"] == spread["_e"]) & hit, "left_anti").drop("_b", "_e")
     return numbers.join(lonely, [value, slack], "left_semi")

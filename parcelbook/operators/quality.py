@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parcelbook.operators.joins import unmatched_numbers
+
 
 def additive_breaks(df: DataFrame, parts: list[str], total: str, tol: float = 0.0) -> DataFrame:
     """Rows whose parts do not add up to the total within the tolerance."""
@@ -148,43 +150,51 @@ def coverage_report(tables: dict[str, tuple[DataFrame, str, list[str]]]) -> Data
 # ------------------------------------------------------------ numbers in text
 
 
-# fixed values: what is not a result in a text (code, links, dates, labels)
-NOT_RESULTS = [
-    r"(?s)```.*?```",
-    r"`[^`]*`",
-    r"https?://\S+",
-    r"\b(19|20)\d{2}-\d{2}(-\d{2})?\b",
-    r"\bL\d+\b",
-    r"\b(19|20)\d0s\b",
-    r"\b\d+y\b",
-]
-_TOKEN = r"(?<![A-Za-z0-9.,])([-+]?\d+(?:\.\d+)?\s?[kM%]?)(?![A-Za-z0-9])"
+#: Signs that part two tokens, and the minus sign; each maps to one character.
+_MARKS = ("−–—→×~±…†²", "-         ")
+_OPEN, _CLOSE = r"^[(\[{<'\"*_]+", r"[)\]}>'\"*_.,;:!?]+$"
+_RANGE = r"^[+-]?[0-9][0-9.,]*(-[0-9][0-9.,]*)+[kM%]?$"
+_DATE = r"^[0-9]{4}-[0-9]{2}(-[0-9]{2})?$"
+_GROUPED = r"^[+-]?[0-9]{1,3}(,[0-9]{3})+(\.[0-9]+)?[kM%y]?$"
+_PLAIN = r"^[+-]?[0-9]+(\.[0-9]+)?[kM%y]?$"
+_COMMA = r"^[+-]?[0-9]+,[0-9]{1,2}[kM%y]?$"
+
+
+def prose_tokens(text: Column) -> Column:
+    """Words of a text outside code: what stands between backticks is every other piece."""
+    pieces = F.filter(F.split(text, "`"), lambda _, i: i % 2 == 0)
+    prose = F.regexp_replace(F.array_join(pieces, " "), r"(^|\n)[ \t]*[0-9]+[.][ \t]+", " ")
+    words = F.filter(F.split(F.translate(prose, *_MARKS), r"\s+"), lambda w: F.instr(w, "://") == 0)
+    return F.transform(words, lambda w: F.regexp_replace(F.regexp_replace(w, _OPEN, ""), _CLOSE, ""))
 
 
 def text_numbers(df: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """(keys, value, slack) of every number in a text.
+    """(keys, token, value, slack) of every number in a text.
 
-    Signs and separators are normalised, ranges give both ends, ``k`` and ``M`` scale,
-    a lone digit and calendar years are labels. Slack is half the last printed place.
+    A text is cut into words once and each whole word is one of: a range (both ends
+    count), a number with grouped thousands, a plain one or one with a decimal comma,
+    perhaps with k, M, % or y behind it; any other word has no number, so dates, labels
+    and identifiers drop out. A lone digit, a whole number of years and a calendar year
+    are labels. Slack is half the last printed place, scaled like the number.
     """
-    t = F.col(text)
-    for pattern in NOT_RESULTS:
-        t = F.regexp_replace(t, pattern, " ")
-    t = F.regexp_replace(t, r"(?m)^\s*\d+\.\s+", "")
-    t = F.translate(t, "−–—→×~±…", "-       ")
-    t = F.regexp_replace(t, r"(\d)-(?=\d)", "$1 ")
-    t = F.regexp_replace(t, r"(\d),(\d{3})(?!\d)", "$1$2")
-    t = F.regexp_replace(t, r"(\d),(\d{1,2})(?!\d)", "$1.$2")
-    tokens = df.select(*keys, F.explode(F.regexp_extract_all(t, F.lit(_TOKEN), 1)).alias("token"))
-    unit = F.right(F.trim("token"), F.lit(1))
+    word = df.select(*keys, F.explode(prose_tokens(F.col(text))).alias("word"))
+    ends = F.when(F.col("word").rlike(_DATE), F.array().cast("array<string>")).when(F.col("word").rlike(_RANGE), F.filter(F.split("word", "-"), lambda e: e != "")).otherwise(F.array("word"))
+    token = word.select(*keys, F.explode(ends).alias("token"))
+    t = F.col("token")
+    digits = F.regexp_replace(t, "[kM%y]$", "")
+    number = F.when(t.rlike(_GROUPED), F.replace(digits, F.lit(","), F.lit(""))).when(t.rlike(_PLAIN), digits).when(t.rlike(_COMMA), F.replace(digits, F.lit(","), F.lit(".")))
+    unit = F.right(t, F.lit(1))
     scale = F.when(unit == "k", 1e3).when(unit == "M", 1e6).otherwise(1.0)
-    digits = F.trim(F.regexp_replace("token", "[kM%]$", ""))
-    places = F.when(F.instr(digits, ".") > 0, F.length(digits) - F.instr(digits, ".")).otherwise(0)
-    out = tokens.filter(~F.trim("token").rlike(r"^[-+]?\d$")).select(
-        *keys,
-        "token",
-        (digits.try_cast("double") * scale).alias("value"),
-        (F.lit(0.5) * F.pow(F.lit(10.0), -places) * scale).alias("slack"),
-    )
+    places = F.when(F.instr("number", ".") > 0, F.length("number") - F.instr("number", ".")).otherwise(0)
+    out = token.withColumn("number", number).where(F.col("number").isNotNull() & ~t.rlike("^[+-]?[0-9]$") & ~t.rlike("^[+-]?[0-9]+y$"))
+    out = out.select(*keys, "token", (F.col("number").try_cast("double") * scale).alias("value"), (F.lit(0.5) * F.pow(F.lit(10.0), -places) * scale).alias("slack"))
     year = (F.col("value") == F.floor("value")) & F.col("value").between(1990, 2030)
     return out.filter(F.col("value").isNotNull() & ~year)
+
+
+def unexplained(numbers: DataFrame, claims: DataFrame, allowed: list[float], value: str = "value", slack: str = "slack", claim: str = "claim", tol: str = "tol") -> DataFrame:
+    """Numbers of a text that no claim and no allowed value accounts for."""
+    rest = numbers
+    for v in allowed:
+        rest = rest.filter(F.abs(F.col(value) - v) > 1e-9)
+    return unmatched_numbers(rest, claims, value, slack, claim, tol)

@@ -37,7 +37,7 @@ def p02(spark: Spark, d: str) -> DataFrame:
     return compose(
         spark,
         {"p02_orders": load(spark, d, "orders")},
-        """SELECT o_orderkey, o_orderpriority, o_totalprice FROM p02_orders
+        """SELECT o_orderkey, o_orderpriority, o_totalprice FROM {p02_orders}
         WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_totalprice BETWEEN :lo AND :hi
           AND o_orderstatus <> 'P' AND o_orderdate >= make_timestamp_ntz(:yr, 1, 1, 0, 0, 0)
           AND o_orderdate < make_timestamp_ntz(:yr + 1, 1, 1, 0, 0, 0)""",
@@ -133,9 +133,9 @@ def p07(spark: Spark, d: str) -> DataFrame:
     f"WITH {B.NY}, open_years AS (SELECT * FROM ny WHERE yr < 2001) SELECT region, yr, CAST(sum(n_orders) AS BIGINT) AS n_orders FROM open_years GROUP BY 1, 2",
 )
 def p08(spark: Spark, d: str) -> DataFrame:
-    open_years = compose(spark, {"p08_panel": B.nation_year(spark, d)}, "SELECT * FROM p08_panel WHERE yr < :last", last=2001)
+    open_years = compose(spark, {"p08_panel": B.nation_year(spark, d)}, "SELECT * FROM {p08_panel} WHERE yr < :last", last=2001)
     return compose(
-        spark, {"p08_open": open_years}, "SELECT region, yr, sum(n_orders) AS n_orders FROM p08_open GROUP BY region, yr"
+        spark, {"p08_open": open_years}, "SELECT region, yr, sum(n_orders) AS n_orders FROM {p08_open} GROUP BY region, yr"
     )
 
 
@@ -272,7 +272,7 @@ def j09(spark: Spark, d: str) -> DataFrame:
     return compose(
         spark,
         {"j09_ny": settle(B.nation_year(spark, d))},
-        """WITH ok AS (SELECT * FROM j09_ny WHERE yr < (SELECT max(yr) FROM j09_ny))
+        """WITH ok AS (SELECT * FROM {j09_ny} WHERE yr < (SELECT max(yr) FROM {j09_ny}))
         SELECT unit, yr, n_orders, (SELECT max(n_orders) FROM ok b WHERE b.unit = a.unit) AS best
         FROM ok a WHERE yr = (SELECT max(yr) FROM ok)""",
     )

@@ -156,13 +156,14 @@ def q11(spark: Spark, d: str) -> DataFrame:
     return QL.check_claims(spark, claims)
 
 
-@query("q12_freshness_key")
+@query("q12_freshness_key", "SELECT * FROM (VALUES ('nation_year', 0::BIGINT, 2::BIGINT, 'fresh'), ('era_profile', 1::BIGINT, 1::BIGINT, 'stale')) AS t(output, changed_inputs, inputs, state)")
 def q12(spark: Spark, d: str) -> DataFrame:
     """Two outputs stamped with input hashes, one of them before an input changed."""
-    now = MF.file_hashes(spark, f"{d}/*.parquet").filter(F.col("file").isin("orders.parquet", "customer.parquet", "part.parquet"))
-    fresh = now.filter("file <> 'part.parquet'").select(F.lit("nation_year").alias("output"), "file", "sha256")
-    old = now.filter("file = 'part.parquet'").select(F.lit("era_profile").alias("output"), "file", F.reverse("sha256").alias("sha256"))
-    return MF.stale_outputs(fresh.unionByName(old), now)
+    paths = [f"{d}/{t}.parquet" for t in ("orders", "customer", "part")]
+    part = F.col("file") == "part.parquet"
+    stamped = F.when(part, F.reverse("sha256")).otherwise(F.col("sha256"))
+    stamps = MF.pins_of(spark, paths).select(F.when(part, "era_profile").otherwise("nation_year").alias("output"), "file", stamped.alias("sha256"))
+    return MF.stale_outputs(stamps, MF.file_hashes(spark, paths))
 
 
 @query(
@@ -175,18 +176,28 @@ def q13(spark: Spark, d: str) -> DataFrame:
     return QL.table_difference(fresh.withColumn("n_orders", changed), fresh)
 
 
-@query("q14_numbers_in_text")
+#: Numbers that texts may state without a claim.
+ALLOWED = [99.0, 4711.0]
+
+
+@query(
+    "q14_numbers_in_text",
+    rf"""WITH p AS (SELECT doc_id, array_to_string(list_filter(str_split(text, '`'), lambda x, i: i % 2 = 1), ' ') AS t FROM documents),
+    w AS (SELECT doc_id, unnest(str_split_regex(translate(regexp_replace(t, '(^|\n)[ \t]*[0-9]+[.][ \t]+', ' ', 'g'), '{QL._MARKS[0]}', '{QL._MARKS[1]}'), '\s+')) AS w FROM p),
+    c AS (SELECT doc_id, regexp_replace(regexp_replace(w, '{QL._OPEN.replace("'", "''")}', ''), '{QL._CLOSE.replace("'", "''")}', '') AS w FROM w WHERE instr(w, '://') = 0),
+    e AS (SELECT doc_id, unnest(CASE WHEN regexp_matches(w, '{QL._DATE}') THEN [] WHEN regexp_matches(w, '{QL._RANGE}') THEN list_filter(str_split(w, '-'), lambda x: x <> '') ELSE [w] END) AS t FROM c),
+    n AS (SELECT doc_id, t, CASE WHEN regexp_matches(t, '{QL._GROUPED}') THEN replace(regexp_replace(t, '[kM%y]$', ''), ',', '') WHEN regexp_matches(t, '{QL._PLAIN}') THEN regexp_replace(t, '[kM%y]$', '')
+      WHEN regexp_matches(t, '{QL._COMMA}') THEN replace(regexp_replace(t, '[kM%y]$', ''), ',', '.') END AS d, CASE right(t, 1) WHEN 'k' THEN 1e3 WHEN 'M' THEN 1e6 ELSE 1.0 END AS s FROM e),
+    v AS (SELECT doc_id, try_cast(d AS DOUBLE) * s AS value, 0.5 * pow(10.0, -(CASE WHEN instr(d, '.') > 0 THEN length(d) - instr(d, '.') ELSE 0 END)) * s AS slack FROM n WHERE d IS NOT NULL AND NOT regexp_matches(t, '^[+-]?[0-9]$') AND NOT regexp_matches(t, '^[+-]?[0-9]+y$'))
+    SELECT doc_id, count(*) AS unmatched, round(sum(log10(1 + abs(value))), 4) AS log_sum FROM v WHERE value IS NOT NULL AND NOT (value = floor(value) AND value BETWEEN 1990 AND 2030) AND abs(value - {ALLOWED[0]}) > 1e-9 AND abs(value - {ALLOWED[1]}) > 1e-9
+      AND NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT p_size * 1.0 AS claim FROM part) k WHERE abs(value - claim) <= 0.05 + slack) GROUP BY 1""",
+)
 def q14(spark: Spark, d: str) -> DataFrame:
-    """Numbers of whole documents that match no claim (claims: catalogue prices and counts)."""
+    """Numbers of whole documents that match no claim (claims: catalogue sizes) and are not allowed."""
     # numbers are few next to the texts: extract once, then probe
     numbers = settle(QL.text_numbers(spread(load(spark, d, "documents")), ["doc_id"], "text"))
     claims = load(spark, d, "part").select((F.col("p_size") * 1.0).alias("claim"), F.lit(0.05).alias("tol")).distinct()
-    wide = numbers.filter(F.col("slack") <= 0.5)
-    lonely = J.unmatched_numbers(wide, claims, "value", "slack", "claim", "tol", 1.0)
-    # scaled tokens (k, M) have wider slack than a bucket; they are compared on their own scale
-    scaled = numbers.filter(F.col("slack") > 0.5)
-    rest = J.unmatched_numbers(scaled, claims, "value", "slack", "claim", "tol", 1e6)
-    return lonely.unionByName(rest).groupBy("doc_id").agg(F.count("*").alias("unmatched"), F.round(F.sum("value"), 4).alias("value_sum"))
+    return QL.unexplained(numbers, claims, ALLOWED).groupBy("doc_id").agg(F.count("*").alias("unmatched"), F.round(F.sum(F.log10(1 + F.abs("value"))), 4).alias("log_sum"))
 
 
 @query(

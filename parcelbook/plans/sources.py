@@ -228,23 +228,34 @@ def s14(spark: Spark, d: str) -> DataFrame:
 @query("s15_namespaces", "SELECT p_brand, count(*) AS n, CAST(count(DISTINCT l_suppkey) AS BIGINT) AS suppliers FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1")
 def s15(spark: Spark, d: str) -> DataFrame:
     place = scratch_path(spark, "namespace")
-    TB.attach(spark, "stock", {"buildings": f"{d}/part.parquet"}, f"{place}/stock")
-    TB.attach(spark, "flows", {"lines": f"{d}/lineitem.parquet"}, f"{place}/flows")
+    stock = TB.attach(spark, "stock", {"buildings": f"{d}/part.parquet"}, f"{place}/stock")
+    flows = TB.attach(spark, "flows", {"lines": f"{d}/lineitem.parquet"}, f"{place}/flows")
     return spark.sql(
-        """SELECT p_brand, count(*) AS n, count(DISTINCT l_suppkey) AS suppliers
-        FROM flows.lines JOIN stock.buildings ON l_partkey = p_partkey GROUP BY p_brand"""
+        f"""SELECT p_brand, count(*) AS n, count(DISTINCT l_suppkey) AS suppliers
+        FROM {flows}.lines JOIN {stock}.buildings ON l_partkey = p_partkey GROUP BY p_brand"""
     )
 
 
-@query("s16_source_manifest")
+TABLES = ("customer", "documents", "lineitem", "nation", "orders", "part", "region", "supplier")
+
+
+@query(
+    "s16_source_manifest",
+    "SELECT * FROM (VALUES "
+    + ", ".join(f"('{t}.parquet', '{'mismatched' if t == 'nation' else 'unpinned' if t == 'region' else 'ok'}')" for t in TABLES)
+    + ", ('absent.parquet', 'missing')) AS t(file, status)",
+)
 def s16(spark: Spark, d: str) -> DataFrame:
-    """Hashes of the table files against pins with one absent, one altered and one extra file."""
-    found = MF.file_hashes(spark, f"{d}/*.parquet")
-    pins = found.filter(F.col("file") != "region.parquet").select(
+    """Hashes of the table files against pins with one absent, one altered and one extra file.
+
+    The pins are taken by another reader, from the files' whole content.
+    """
+    paths = [f"{d}/{t}.parquet" for t in TABLES]
+    pins = MF.pins_of(spark, paths).filter("file <> 'region.parquet'").select(
         "file", F.when(F.col("file") == "nation.parquet", F.lit("0" * 64)).otherwise(F.col("sha256")).alias("sha256")
     )
-    extra = found.filter(F.col("file") == "part.parquet").select(F.lit("absent.parquet").alias("file"), "sha256")
-    return MF.compare_to_pins(found, pins.unionByName(extra))
+    extra = F.when(F.col("file") == "part.parquet", F.array("file", F.lit("absent.parquet"))).otherwise(F.array("file"))
+    return MF.compare_to_pins(MF.file_hashes(spark, paths), pins.select(F.explode(extra).alias("file"), "sha256"))
 
 
 @query(

@@ -164,12 +164,16 @@ def x09(spark: Spark, d: str) -> DataFrame:
     return polys.select("p_partkey", F.when(F.col("g").isNotNull(), F.size("g")).alias("polygons"), G.polygon_measure(F.col("g"))["area"].alias("area"))
 
 
-@query("x10_datum_shift")
+@query(
+    "x10_datum_shift",
+    f"""SELECT c_custkey, x, y, round(east, 3) AS new_x, round(north, 3) AS new_y FROM ({D.shift_sql("SELECT c_custkey, 440000.0::DOUBLE + c_custkey % 997 * 10 AS x, 4110000.0::DOUBLE + c_custkey % 983 * 10 AS y FROM customer", "x", "y")})""",
+)
 def x10(spark: Spark, d: str) -> DataFrame:
     """Customer coordinates around one city moved between datums."""
     k = F.col("c_custkey")
     pts = load(spark, d, "customer").select("c_custkey", (440000.0 + k % 997 * 10).alias("x"), (4110000.0 + k % 983 * 10).alias("y"))
-    return D.shift_planar(pts, "x", "y", "new_x", "new_y")
+    moved = D.shift_planar(pts, "x", "y", "new_x", "new_y")
+    return moved.withColumns({c: F.round(c, 3) for c in ("new_x", "new_y")})
 
 
 DEG = 0.0008333

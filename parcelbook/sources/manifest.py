@@ -9,15 +9,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parcelbook.session import settle
+
 _BLOCK = 1 << 22
 
 
-def file_hashes(spark: SparkSession, pattern: str) -> DataFrame:
-    """(path, length, sha256), one file per task slot, read in fixed blocks.
+def file_hashes(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(path, length, sha256, file), one file per task slot, read once in fixed blocks.
 
-    Only paths come from the listing, so a file larger than memory is fine.
+    Only paths come from the listing, so a file larger than memory is fine. The table is
+    settled: however often it is used, files are read once. Only wanted paths should be
+    given, as every listed file is hashed.
     """
-    listing = spark.read.format("binaryFile").load(pattern).select("path", "length")
+    listing = spark.read.format("binaryFile").load(paths).select("path", "length")
 
     def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
@@ -34,9 +38,13 @@ def file_hashes(spark: SparkSession, pattern: str) -> DataFrame:
                 found.append((path, length, h.hexdigest()))
             yield pd.DataFrame(found, columns=["path", "length", "sha256"])
 
-    return listing.repartition("path").mapInPandas(
-        digest, "path string, length long, sha256 string"
-    ).withColumn("file", F.element_at(F.split("path", "/"), -1))
+    hashed = listing.repartition("path").mapInPandas(digest, "path string, length long, sha256 string")
+    return settle(hashed.withColumn("file", F.element_at(F.split("path", "/"), -1)))
+
+
+def pins_of(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(file, sha256) by Spark's own reader, through any Hadoop store; files of up to 2 GB."""
+    return spark.read.format("binaryFile").load(paths).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("sha256"))
 
 
 def compare_to_pins(hashes: DataFrame, pins: DataFrame) -> DataFrame:

@@ -14,12 +14,28 @@ def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def _swap(spark: SparkSession, staged_name: str, path: str) -> None:
+    """Move the table at ``path`` aside and the staged one there; atomic renames on HDFS only."""
+    jvm = spark._jvm
+    target, staged, old = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, staged_name, f"{path.rstrip('/')}.old-{uuid.uuid4().hex}"))
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(target) and not fs.rename(target, old):
+        raise OSError(f"cannot move the previous table of {path}")
+    if not fs.rename(staged, target):
+        fs.rename(old, target)
+        raise OSError(f"cannot publish {path}")
+    if fs.exists(old):
+        fs.delete(old, True)
+
+
 def replace_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Overwrite a Parquet table and return it as read back."""
-    writer = df.write.mode("overwrite")
+    """Replace a Parquet table and return it as read back; a failed job leaves the old one."""
+    staged = f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}"
+    writer = df.write.mode("error")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    writer.parquet(staged)
+    _swap(df.sparkSession, staged, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -44,36 +60,28 @@ def publish(df: DataFrame, declared: T.StructType, path: str) -> DataFrame:
         raise ValueError(f"columns missing for publish: {missing}")
     spark = df.sparkSession
     shaped = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in declared])
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    staged_name = f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}"
-    old_name = f"{path.rstrip('/')}.old-{uuid.uuid4().hex}"
-    staged, old = (jvm.org.apache.hadoop.fs.Path(p) for p in (staged_name, old_name))
-    shaped.write.mode("error").parquet(staged_name)
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(target) and not fs.rename(target, old):
-        raise OSError(f"cannot move the previous table of {path}")
-    if not fs.rename(staged, target):
-        fs.rename(old, target)
-        raise OSError(f"cannot publish {path}")
-    if fs.exists(old):
-        fs.delete(old, True)
+    staged = f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}"
+    shaped.write.mode("error").parquet(staged)
+    _swap(spark, staged, path)
     return spark.read.schema(declared).parquet(path)
 
 
-def attach(spark: SparkSession, namespace: str, tables: dict[str, str], location: str) -> None:
-    """One namespace per source set; every table stays where its files are."""
-    spark.sql(f"CREATE SCHEMA IF NOT EXISTS {namespace} LOCATION '{location}'")
+def attach(spark: SparkSession, namespace: str, tables: dict[str, str], location: str) -> str:
+    """One new namespace for a source set, whose name is returned; tables stay where their files are.
+
+    The name is unique to the call, so no table that exists is touched.
+    """
+    own = f"{namespace}_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE SCHEMA {own} LOCATION '{location}'")
     for name, path in tables.items():
-        spark.sql(f"DROP TABLE IF EXISTS {namespace}.{name}")
-        spark.sql(f"CREATE TABLE {namespace}.{name} USING parquet LOCATION '{path}'")
+        spark.sql(f"CREATE TABLE {own}.{name} USING parquet LOCATION '{path}'")
+    return own
 
 
 def compose(spark: SparkSession, named: dict[str, DataFrame], sql: str, **args) -> DataFrame:
-    """Run SQL over named sub-queries; parameters are bound, never pasted."""
-    for name, df in named.items():
-        df.createOrReplaceTempView(name)
-    return spark.sql(sql, args=args or None)
+    """Run SQL over named sub-queries, written ``{name}`` in it; no view of the session is replaced."""
+    values = {f"{k}": v for k, v in args.items()}
+    return spark.sql(sql, args=values or None, **named)
 
 
 def constant_rows(df: DataFrame, rows: list[tuple], names: list[str]) -> DataFrame:

@@ -85,11 +85,12 @@ def test_datum_shift_has_the_published_size(spark):
         assert -114 < r["nx"] - r["x"] < -107 and -211 < r["ny"] - r["y"] < -203
 
 
-def test_projection_round_trip(spark):
-    df = spark.createDataFrame([(447000.0, 4114000.0)], "x double, y double")
-    s = D.Spheroid.of(D.GRS80)
-    r = D._to_planar(D._to_geographic(df, F.col("x"), F.col("y"), s), s).first()
-    assert abs(r["_east"] - 447000) < 1e-3 and abs(r["_north"] - 4114000) < 1e-3
+def test_projection_round_trip_up_to_the_edge_of_the_zone(spark, monkeypatch):
+    for name, value in {"HAYFORD": D.GRS80, "SHIFT_M": (0.0, 0.0, 0.0), "ROTATION_ARCSEC": (0.0, 0.0, 0.0), "SCALE_PPM": 0.0}.items():
+        monkeypatch.setattr(D, name, value)
+    df = spark.createDataFrame([(447000.0, 4114000.0, 1), (120000.0, 4830000.0, 2), (880000.0, 3990000.0, 3), (None, 1.0, 4)], "x double, y double, lat int")
+    for r in D.shift_planar(df, "x", "y", "nx", "ny").collect():
+        assert (r.nx is None and r.lat == 4) or (abs(r.nx - r.x) < 1e-3 and abs(r.ny - r.y) < 1e-3)
 
 
 def test_raster(spark):

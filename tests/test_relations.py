@@ -181,3 +181,13 @@ def test_repeated_median_of_area_without_dates(spark):
     got = {r["area"]: r for r in M.era_profile(df, "area", "y", "w", [(0, 1960, "old"), (1961, 2100, "new")]).collect()}
     assert set(got) == {"a"} and got["a"]["median_year"] == 1970.0 and got["a"]["pct_old"] == 50.0 and got["a"]["dated"] == 4
     assert Q.quantiles(df, ["area"], "y", {"m": Q.rule("averaging")}, weight="w").count() == 1
+
+
+def test_text_numbers_take_whole_words(spark):
+    text = "1,147,000 homes; 12.5y and 6.2y, 18y; SHA-256, L12 `5,5` [77](http://a.b/99)\n3. about −4,5 % (1.2M), 2021-05 and 20–34 or 10-25k. ```\n88\n``` 1990s 4711 1.2.3"
+    df = spark.createDataFrame([(1, text), (2, None), (3, "")], "d int, t string")
+    got = sorted((r.value, r.slack) for r in QL.text_numbers(df, ["d"], "t").collect())
+    assert got == sorted([(1147000.0, 0.5), (12.5, 0.05), (6.2, 0.05), (-4.5, 0.05), (1200000.0, 50000.0), (20.0, 0.5), (34.0, 0.5), (10.0, 0.5), (25000.0, 500.0), (4711.0, 0.5)])
+    claims = spark.createDataFrame([(1147000.0, 0.0), (30.0, 5.0), (1.21e6, 0.0), (9.0, 0.0)], "claim double, tol double")
+    rest = QL.unexplained(QL.text_numbers(df, ["d"], "t"), claims, [4711.0])
+    assert sorted(r.value for r in rest.collect()) == [-4.5, 6.2, 10.0, 12.5, 20.0, 25000.0]
