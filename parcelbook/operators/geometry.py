@@ -7,10 +7,6 @@ grid cells with an exact test afterwards.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -186,42 +182,60 @@ def geojson_polygons(doc: Column) -> Column:
 # ---------------------------------------------------------------------- joins
 
 
-def _cells(lo: Column, hi: Column, size: float) -> Column:
+#: Cells an area may span in each direction; a larger area goes to a coarser grid.
+SPAN = 16
+
+
+def _cells(lo: Column, hi: Column, size: Column) -> Column:
     return F.sequence(F.floor((lo - EDGE_TOL) / size), F.floor((hi + EDGE_TOL) / size))
 
 
-def point_hits(
-    points: DataFrame, areas: DataFrame, key: str, x: str, y: str, area: str, polygons: str, cell: float
-) -> DataFrame:
-    """(point columns, area) of every covered pair.
+def _gridded(areas: DataFrame, area: str, polygons: str, cell: float) -> DataFrame:
+    """(area, box, level): the level whose cells are 2**level times ``cell`` so that the box spans few."""
+    boxes = areas.select(area, bbox(F.col(polygons)).alias("_b")).filter("_b.xmin IS NOT NULL")
+    longest = F.greatest(F.col("_b.xmax") - F.col("_b.xmin"), F.col("_b.ymax") - F.col("_b.ymin"))
+    return boxes.withColumn("_level", F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(longest, F.lit(1e-9)) / (cell * SPAN)))).cast("int"))
+
 
-    Each area is spread over the grid cells of its bounding box, each point falls in
-    one cell; the join is an equality on the cell followed by box and exact tests.
-    A crowded cell is split by Spark's skew handling because the join key is plain.
+def _candidates(points: DataFrame, areas: DataFrame, x: str, y: str, area: str, polygons: str, cell: float) -> DataFrame:
+    """Every point at least once, with each area whose box holds it and that area's polygons, else null.
+
+    Only ids and boxes are spread over cells, a bounded number for each area; a point
+    falls in one cell of each level in use. Polygons are attached to what is left.
     """
-    a = (
-        areas.select(area, polygons, bbox(F.col(polygons)).alias("_b"))
-        .withColumn("_cx", F.explode(_cells(F.col("_b.xmin"), F.col("_b.xmax"), cell)))
-        .withColumn("_cy", F.explode(_cells(F.col("_b.ymin"), F.col("_b.ymax"), cell)))
-    )
-    p = points.select(key, x, y).withColumns(
-        {"_cx": F.floor(F.col(x) / cell), "_cy": F.floor(F.col(y) / cell)}
+    grid = _gridded(areas, area, polygons, cell)
+    levels = sorted(r[0] for r in grid.select("_level").distinct().collect())  # at most one for each power of two of a double
+    size = F.lit(cell) * F.pow(F.lit(2.0), F.col("_level"))
+    spread = (
+        grid.withColumn("_cx", F.explode(_cells(F.col("_b.xmin"), F.col("_b.xmax"), size)))
+        .withColumn("_cy", F.explode(_cells(F.col("_b.ymin"), F.col("_b.ymax"), size)))
+        .withColumnRenamed(area, "_id")
     )
-    near = p.join(a, ["_cx", "_cy"]).filter(
-        F.col(x).between(F.col("_b.xmin"), F.col("_b.xmax"))
-        & F.col(y).between(F.col("_b.ymin"), F.col("_b.ymax"))
-    )
-    return near.filter(covers(F.col(x), F.col(y), F.col(polygons))).select(key, area)
+    at = points.withColumn("_level", F.explode(F.array(*[F.lit(v) for v in levels or [0]])))
+    at = at.withColumns({"_cx": F.floor(F.col(x) / size), "_cy": F.floor(F.col(y) / size)})
+    inside = F.col(x).between(F.col("_b.xmin"), F.col("_b.xmax")) & F.col(y).between(F.col("_b.ymin"), F.col("_b.ymax"))
+    keys = [at[c] == spread[c] for c in ("_level", "_cx", "_cy")]
+    near = at.join(spread, keys[0] & keys[1] & keys[2] & inside, "left").select(*points.columns, "_id")
+    shapes = areas.select(F.col(area).alias("_id"), F.col(polygons).alias("_shape"))
+    return near.join(shapes, "_id", "left")
+
+
+def point_hits(
+    points: DataFrame, areas: DataFrame, key: str, x: str, y: str, area: str, polygons: str, cell: float
+) -> DataFrame:
+    """(key, area) of every covered pair; the join is an equality on grid cells with exact tests afterwards."""
+    near = _candidates(points.select(key, x, y), areas, x, y, area, polygons, cell)
+    return near.filter(F.col("_id").isNotNull() & covers(F.col(x), F.col(y), F.col("_shape"))).select(key, F.col("_id").alias(area))
 
 
 def assign_points(
     points: DataFrame, areas: DataFrame, key: str, x: str, y: str, area: str, polygons: str, cell: float
 ) -> DataFrame:
-    """Exactly one covering area -> matched; several -> ambiguous; none -> outside."""
-    hits = point_hits(points, areas, key, x, y, area, polygons, cell).groupBy(key).agg(
-        F.count_distinct(area).alias("hits"), F.max(area).alias("_area")
-    )
-    out = points.join(hits, key, "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
+    """Exactly one covering area -> matched; several -> ambiguous; none -> outside. ``key`` is unique."""
+    near = _candidates(points, areas, x, y, area, polygons, cell)
+    held = F.when(F.col("_shape").isNotNull() & covers(F.col(x), F.col(y), F.col("_shape")), F.col("_id"))
+    others = [F.first(c).alias(c) for c in points.columns if c != key]
+    out = near.withColumn("_held", held).groupBy(key).agg(*others, F.count_distinct("_held").alias("hits"), F.max("_held").alias("_area"))
     return out.select(
         *points.columns,
         "hits",
@@ -232,75 +246,52 @@ def assign_points(
     )
 
 
-def _locate(px: float, py: float, ring: np.ndarray) -> int:
-    a, b = ring[:-1], ring[1:]
-    d = b - a
-    cross = (px - a[:, 0]) * d[:, 1] - (py - a[:, 1]) * d[:, 0]
-    close = np.abs(cross) <= EDGE_TOL * np.maximum(1.0, np.hypot(d[:, 0], d[:, 1]))
-    lo, hi = np.minimum(a, b) - EDGE_TOL, np.maximum(a, b) + EDGE_TOL
-    inside_box = (lo[:, 0] <= px) & (px <= hi[:, 0]) & (lo[:, 1] <= py) & (py <= hi[:, 1])
-    if np.any(close & inside_box):
-        return 2
-    up = (a[:, 1] > py) != (b[:, 1] > py)
-    if not up.any():
-        return 0
-    at = a[up, 0] + (py - a[up, 1]) * d[up, 0] / d[up, 1]
-    return int(np.count_nonzero(px < at) % 2)
-
-
-def _inner_point(rings: list[np.ndarray], cx: float, cy: float) -> tuple[float, float] | None:
-    """Centroid if strictly inside, else the middle of the widest scanline interval."""
-    where = [_locate(cx, cy, r) for r in rings]
-    if where[0] == 1 and not any(where[1:]):
-        return cx, cy
-    heights = np.unique(np.concatenate([r[:, 1] for r in rings]))
-    gaps = np.diff(heights)
-    for i in np.argsort(-gaps, kind="stable"):
-        y = (heights[i] + heights[i + 1]) / 2
-        xs = []
-        for r in rings:
-            a, b = r[:-1], r[1:]
-            cut = (a[:, 1] <= y) != (b[:, 1] <= y)
-            xs.append(a[cut, 0] + (y - a[cut, 1]) * (b[cut, 0] - a[cut, 0]) / (b[cut, 1] - a[cut, 1]))
-        line = np.sort(np.concatenate(xs))
-        if len(line) < 2 or len(line) % 2:
-            continue
-        widths = line[1::2] - line[::2]
-        j = int(np.argmax(widths))
-        if widths[j] > 0:
-            return float((line[2 * j] + line[2 * j + 1]) / 2), float(y)
-    return None
+def _scanline(rings: Column) -> Column:
+    """struct(x, y): middle of the widest inner interval on the line through the tallest gap between heights.
+
+    Lines through lower gaps are tried where a line has no interval; null if none has.
+    """
+    heights = F.array_sort(F.array_distinct(F.flatten(F.transform(rings, lambda r: F.transform(r, lambda p: p[1])))))
+
+    def gaps(h: Column) -> Column:
+        steps = F.zip_with(F.slice(h, F.lit(1), F.size(h) - 1), F.slice(h, F.lit(2), F.size(h) - 1), lambda a, b: F.struct((a - b).alias("less"), ((a + b) / 2).alias("y")))
+        return F.array_sort(steps)
+
+    def crossings(ring: Column, y: Column) -> Column:
+        edges = F.zip_with(
+            F.slice(ring, F.lit(1), F.size(ring) - 1),
+            F.slice(ring, F.lit(2), F.size(ring) - 1),
+            lambda a, b: F.when((a[1] <= y) != (b[1] <= y), a[0] + (y - a[1]) * (b[0] - a[0]) / F.nullif(b[1] - a[1], F.lit(0.0))),
+        )
+        return F.filter(edges, lambda v: v.isNotNull())
+
+    def widest(line: Column, y: Column) -> Column:
+        pairs = F.transform(F.sequence(F.lit(1), F.floor(F.size(line) / 2).cast("int")), lambda i: F.struct((line[2 * i - 1] - line[2 * i - 2]).alias("w"), (-i).alias("i"), ((line[2 * i - 1] + line[2 * i - 2]) / 2).alias("x")))
+        best = F.array_max(pairs)
+        return F.when((F.size(line) >= 2) & (F.size(line) % 2 == 0), let(best, lambda b: F.when(b["w"] > 0, F.struct(b["x"].alias("x"), y.alias("y")))))
+
+    lines = let(heights, lambda h: F.transform(gaps(h), lambda g: let(F.array_sort(F.flatten(F.transform(rings, lambda r: crossings(r, g["y"])))), lambda line: widest(line, g["y"]))))
+    return F.try_element_at(F.filter(lines, lambda p: p.isNotNull()), F.lit(1))
 
 
 def representative_points(df: DataFrame, keys: list[str], rings: str, out_x: str = "px", out_y: str = "py") -> DataFrame:
-    """Interior point of each polygon row (``rings``: outer ring first)."""
+    """Interior point of each polygon row (``rings``: outer ring first), with ``point_status``.
+
+    The centroid where it lies strictly inside, else a point of a scanline. A polygon
+    with a broken ring, or without area, keeps its row with a null point and ``broken``.
+    """
+
     def place(m: Column) -> Column:
         sides = F.transform(rings, lambda r: ring_location(m["cx"], m["cy"], r))
         # strictly inside: in the outer ring, on no edge, in no hole
         inner = let(sides, lambda s: (s[0] == 1) & (F.aggregate(s, F.lit(0), lambda a, v: a + v) == 1))
-        return F.struct(m["cx"].alias("cx"), m["cy"].alias("cy"), inner.alias("inner"))
+        return F.when(inner, F.struct(m["cx"].alias("x"), m["cy"].alias("y"), F.lit("centroid").alias("s"))).otherwise(
+            let(_scanline(F.col(rings)), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), F.when(p.isNotNull(), "scanline").otherwise("none").alias("s")))
+        )
 
     placed = let(polygon_measure(F.array(F.col(rings))), lambda m: F.when(m.isNotNull(), place(m)))
-    flat = df.select(*keys, rings, placed.alias("_m")).select(
-        *keys, rings, F.col("_m.cx").alias("_cx"), F.col("_m.cy").alias("_cy"), F.col("_m.inner").alias("_inner")
-    )
-    easy = flat.filter("_inner").select(*keys, F.col("_cx").alias(out_x), F.col("_cy").alias(out_y))
-
-    def locate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            pts = [
-                _inner_point([np.array([list(p) for p in r], dtype=float) for r in poly], cx, cy) or (None, None)
-                for poly, cx, cy in zip(b[rings], b["_cx"], b["_cy"], strict=True)
-            ]
-            out = b[keys].copy()
-            out[out_x] = pd.array([p[0] for p in pts], dtype="Float64")
-            out[out_y] = pd.array([p[1] for p in pts], dtype="Float64")
-            yield out
-
-    kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
-    # only shapes whose centroid lies outside need the scanline search
-    hard = flat.filter("NOT _inner").select(*keys, rings, "_cx", "_cy")
-    return easy.unionByName(hard.mapInPandas(locate, f"{kinds}, {out_x} double, {out_y} double"))
+    found = df.select(*keys, placed.alias("_p"))
+    return found.select(*keys, F.col("_p.x").alias(out_x), F.col("_p.y").alias(out_y), F.coalesce("_p.s", F.lit("broken")).alias("point_status"))
 
 
 def assign_footprints(

@@ -10,7 +10,7 @@ from parcelbook.functions.keys import zfill
 from parcelbook.functions.numbers import mixed_separator_number
 from parcelbook.plans import base as B
 from parcelbook.plans.registry import query
-from parcelbook.session import scratch_path, spread
+from parcelbook.session import scratch_path, settle, spread
 from parcelbook.sources import manifest as MF
 from parcelbook.sources import melt as ML
 from parcelbook.sources import nested as NS
@@ -167,23 +167,26 @@ def s10(spark: Spark, d: str) -> DataFrame:
 
 @query(
     "s11_html_tables",
-    """SELECT p_partkey, 1 AS row_no, 'nivel2' AS depth, p_name AS label, 2 AS n_cells, round(p_retailprice, 2) AS price FROM part""",
+    """SELECT p_partkey, 1 AS row_no, 'nivel2' AS depth, p_name AS label, 2 AS n_cells, round(p_retailprice, 2) AS price, CASE WHEN p_size % 4 = 0 THEN 'header_order' END AS violation FROM part""",
 )
 def s11(spark: Spark, d: str) -> DataFrame:
     # the driver's pages hold no tables, so a page per part is written around its values
     html = F.concat(
-        F.lit("<html><body><table><tr><th>name</th><th>brand</th></tr><tr><td class='nivel2'> "),
+        # a third of the pages leave out end tags, a quarter has its header in another order
+        F.when(F.col("p_size") % 4 == 0, "<html><body><table><tr><th>brand</th><th>name</th><th>price</th></tr>").otherwise("<html><body><table><tr><th>name<th>brand<th>price"),
+        F.lit("<tr><td class='nivel2'> "),
         F.col("p_name"),
-        F.lit(" </td><td>"),
+        F.when(F.col("p_size") % 3 == 0, "<td>").otherwise(" </td><td>"),
         F.col("p_brand"),
-        F.lit("</td><td>"),
+        F.when(F.col("p_size") % 3 == 0, "<td>").otherwise("</td><td>"),
         F.format_number("p_retailprice", 2),
-        F.lit("</td></tr></table></body></html>"),
+        F.when(F.col("p_size") % 3 == 0, "</table>").otherwise("</td></tr></table></body></html>"),
     )
     pages = spread(load(spark, d, "part")).select("p_partkey", html.alias("html"))
-    rows = TG.html_table_rows(pages, "p_partkey", "html").filter("depth <> ''")
-    return rows.select(
-        "p_partkey", "row_no", "depth", "label", F.size("cells").alias("n_cells"), mixed_separator_number(F.col("cells")[1]).alias("price")
+    rows = settle(TG.html_table_rows(pages, "p_partkey", "html"))
+    found = TG.table_violations(rows, "p_partkey", ["name", "brand", "price"], ["nivel2"]).select("p_partkey", "violation")
+    return rows.filter("NOT header").join(found, "p_partkey", "left").select(
+        "p_partkey", "row_no", "depth", "label", F.size("cells").alias("n_cells"), mixed_separator_number(F.col("cells")[1]).alias("price"), "violation"
     )
 
 

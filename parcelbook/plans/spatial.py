@@ -84,14 +84,17 @@ def x05(spark: Spark, d: str) -> DataFrame:
 
 
 def _areas(spark: Spark, d: str) -> DataFrame:
-    """One square per nation on a 5 x 5 board; neighbours share edges, one square overlaps the next."""
+    """One square per nation on a 5 x 5 board; neighbours share edges, one square overlaps the next.
+
+    The last one reaches far out, over more cells than a grid of one size would take.
+    """
     n = F.col("n_nationkey")
     x0, y0 = (n % 5) * 10.0, F.floor(n / 5) * 10.0
-    x1 = x0 + F.when(n == 7, 14.0).otherwise(10.0)
+    x1 = x0 + F.when(n == 7, 14.0).when(n == 24, 9000.0).otherwise(10.0)
     return load(spark, d, "nation").select(F.col("n_name").alias("area"), F.array(F.array(G.rect(x0, y0, x1, y0 + 10))).alias("polygons"))
 
 
-AREAS = "ar AS (SELECT n_name AS area, (n_nationkey % 5) * 10.0 AS x0, (n_nationkey // 5) * 10.0 AS y0, (n_nationkey % 5) * 10.0 + CASE WHEN n_nationkey = 7 THEN 14 ELSE 10 END AS x1 FROM nation)"
+AREAS = "ar AS (SELECT n_name AS area, (n_nationkey % 5) * 10.0 AS x0, (n_nationkey // 5) * 10.0 AS y0, (n_nationkey % 5) * 10.0 + CASE n_nationkey WHEN 7 THEN 14 WHEN 24 THEN 9000 ELSE 10 END AS x1 FROM nation)"
 POINTS = "pt AS (SELECT c_custkey, (c_custkey * 7 % 1099) / 20.0::DOUBLE AS x, (c_custkey * 13 % 1051) / 20.0::DOUBLE AS y FROM customer)"
 
 
@@ -117,14 +120,16 @@ def x06(spark: Spark, d: str) -> DataFrame:
 
 @query(
     "x07_representative_point",
-    """SELECT p_partkey, (CASE WHEN p_size % 2 = 0 THEN (p_partkey % 100) + 5.0 ELSE (p_partkey % 100) + 1.0 END)::DOUBLE AS px, (CASE WHEN p_size % 2 = 0 THEN p_size + 4.0 ELSE p_size + 4.5 END)::DOUBLE AS py FROM part""",
+    """SELECT p_partkey, CASE WHEN p_size % 7 > 0 THEN (CASE WHEN p_size % 2 = 0 THEN (p_partkey % 100) + 5.0 ELSE (p_partkey % 100) + 1.0 END)::DOUBLE END AS px, CASE WHEN p_size % 7 > 0 THEN (CASE WHEN p_size % 2 = 0 THEN p_size + 4.0 ELSE p_size + 4.5 END)::DOUBLE END AS py,
+    CASE WHEN p_size % 7 = 0 THEN 'broken' WHEN p_size % 2 = 0 THEN 'centroid' ELSE 'scanline' END AS point_status FROM part""",
 )
 def x07(spark: Spark, d: str) -> DataFrame:
-    # even sizes are plain rectangles; odd ones a U whose centroid falls in its gap
+    # even sizes are plain rectangles; odd ones a U whose centroid falls in its gap; some rings are not closed
     x, y = _k() * 1.0, F.col("p_size") * 1.0
     corners = [(0, 0), (10, 0), (10, 9), (8, 9), (8, 0.5), (2, 0.5), (2, 8.5), (0, 8.5), (0, 0)]
     u = F.array(*[F.array(x + a, y + b) for a, b in corners])
     ring = F.when(F.col("p_size") % 2 == 0, G.rect(x, y, x + 10, y + 8)).otherwise(u)
+    ring = F.when(F.col("p_size") % 7 == 0, F.slice(ring, 1, 4)).otherwise(ring)
     return G.representative_points(spread(load(spark, d, "part")).select("p_partkey", F.array(ring).alias("rings")), ["p_partkey"], "rings")
 
 

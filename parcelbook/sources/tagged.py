@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parcelbook.functions.buckets import date_quality
@@ -53,20 +53,46 @@ def building_columns(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
 
 
 class _Rows(HTMLParser):
-    """Collects rows of cells together with the class of the first header cell."""
+    """Collects rows of cells with the class of the first cell; end tags may be left out.
+
+    A new cell closes the open one, a new row closes the open row, and the end of a
+    section, of the table or of the page closes both. A table inside a cell adds its own
+    rows; the outer row goes on behind it.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.rows: list[tuple[str, list[str]]] = []
+        self.rows: list[tuple[str, list[str], bool]] = []
+        self._outer: list[tuple] = []
+        self._reset_row()
+
+    def _reset_row(self) -> None:
         self._cells: list[str] | None = None
-        self._depth = ""
+        self._depth, self._header = "", True
         self._text: list[str] | None = None
 
+    def _end_cell(self) -> None:
+        if self._text is not None and self._cells is not None:
+            self._cells.append(" ".join("".join(self._text).split()))
+        self._text = None
+
+    def _end_row(self) -> None:
+        self._end_cell()
+        if self._cells:
+            self.rows.append((self._depth, self._cells, self._header))
+        self._reset_row()
+
     def handle_starttag(self, tag, attrs):
-        if tag == "tr":
-            self._cells, self._depth = [], ""
+        if tag == "table":
+            self._outer.append((self._cells, self._depth, self._header, self._text))
+            self._reset_row()
+        elif tag in ("tr", "thead", "tbody", "tfoot"):
+            self._end_row()
+            self._cells = [] if tag == "tr" else None
         elif tag in ("td", "th") and self._cells is not None:
+            self._end_cell()
             self._text = []
+            self._header &= tag == "th"
             if not self._cells:
                 self._depth = dict(attrs).get("class") or ""
 
@@ -75,17 +101,24 @@ class _Rows(HTMLParser):
             self._text.append(data)
 
     def handle_endtag(self, tag):
-        if tag in ("td", "th") and self._text is not None and self._cells is not None:
-            self._cells.append(" ".join("".join(self._text).split()))
-            self._text = None
-        elif tag == "tr" and self._cells is not None:
-            if self._cells:
-                self.rows.append((self._depth, self._cells))
-            self._cells = None
+        if tag in ("td", "th"):
+            self._end_cell()
+        elif tag in ("tr", "thead", "tbody", "tfoot"):
+            self._end_row()
+        elif tag == "table":
+            self._end_row()
+            if self._outer:
+                self._cells, self._depth, self._header, self._text = self._outer.pop()
+
+    def close(self):
+        super().close()
+        while self._outer:
+            self.handle_endtag("table")
+        self._end_row()
 
 
 def html_table_rows(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """(key, row number, depth class, label, cells) of every table row of every page."""
+    """(key, row number, depth class, label, cells, header) of every table row of every page."""
     kind = pages.schema[key].dataType.simpleString()
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -94,10 +127,43 @@ def html_table_rows(pages: DataFrame, key: str, html: str) -> DataFrame:
             for page, text in zip(batch[key], batch[html], strict=True):
                 parser = _Rows()
                 parser.feed(text or "")
-                for i, (depth, cells) in enumerate(parser.rows):
-                    out.append((page, i, depth, cells[0], cells[1:]))
-            yield pd.DataFrame(out, columns=[key, "row_no", "depth", "label", "cells"])
+                parser.close()
+                for i, (depth, cells, header) in enumerate(parser.rows):
+                    out.append((page, i, depth, cells[0], cells[1:], header))
+            yield pd.DataFrame(out, columns=[key, "row_no", "depth", "label", "cells", "header"])
 
     return pages.select(key, html).mapInPandas(
-        parse, f"{key} {kind}, row_no int, depth string, label string, cells array<string>"
+        parse, f"{key} {kind}, row_no int, depth string, label string, cells array<string>, header boolean"
+    )
+
+
+def table_violations(rows: DataFrame, key: str, columns: list[str], levels: list[str]) -> DataFrame:
+    """(key, row_no, violation) of parsed table rows; a sound table gives no row.
+
+    ``columns`` are the header's cells in order, ``levels`` the depth classes from the
+    outermost in. A page needs one header with these cells, each body row a value for
+    every column but the label, a known level, and a level at most one below that of the
+    row before; a label stands once under its level and outer label.
+    """
+    cells = F.concat(F.array("label"), F.col("cells"))
+    rank = F.array_position(F.array(*[F.lit(v) for v in levels]), F.col("depth"))
+    heads = rows.filter("header")
+    wrong = heads.filter(cells != F.array(*[F.lit(c) for c in columns])).select(key, "row_no", F.lit("header_order").alias("violation"))
+    counted = rows.groupBy(key).agg(F.count_if("header").alias("n")).filter("n <> 1")
+    number = counted.select(key, F.lit(None).cast("int").alias("row_no"), F.lit("header_count").alias("violation"))
+    page = Window.partitionBy(key).orderBy("row_no")  # the rows of one page
+    body = rows.filter(~F.col("header")).withColumn("_rank", rank).withColumn("_before", F.lag("_rank").over(page))
+    outer = body.withColumn("_outer", F.last(F.when(F.col("_rank") == 1, F.col("label")), ignorenulls=True).over(page))
+    again = Window.partitionBy(key, "_outer", "_rank", "label").orderBy("row_no")
+    marked = outer.withColumn("_again", F.row_number().over(again)).withColumn(
+        "_found",
+        F.array_compact(
+            F.array(
+                F.when(F.size("cells") != len(columns) - 1, "cell_count"),
+                F.when(F.col("_rank") == 0, "unknown_level"),
+                F.when((F.col("_rank") > 0) & (F.col("_rank") > F.coalesce("_before", F.lit(0)) + 1), "level_jump"),
+                F.when(F.col("_again") > 1, "repeated_label"),
+            )
+        ),
     )
+    return wrong.unionByName(number).unionByName(marked.select(key, "row_no", F.explode("_found").alias("violation")))

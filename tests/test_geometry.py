@@ -106,3 +106,20 @@ def test_zonal_shares_with_overlap_of_flags(spark):
     df = spark.createDataFrame([("z", True, True, 1e6), ("z", True, False, 1e6), ("z", False, False, 2e6)], "zone string, s boolean, w boolean, a double")
     r = RA.zonal_shares(df, "zone", F.col("s"), F.col("w"), F.col("a")).first()
     assert (r["land_km2"], r["undevelopable_share"], r["steep_share"], r["water_share"]) == (4.0, 0.5, 0.5, 0.25)
+
+
+def test_a_large_area_takes_few_cells(spark):
+    areas = shapes(spark, [("big", [[[[0.0, 0.0], [3000.0, 0.0], [3000.0, 2000.0], [0.0, 2000.0], [0.0, 0.0]]]]), ("small", [[SQ]])])
+    grid = G._gridded(areas, "id", "g", 5.0).collect()
+    for r in grid:
+        size = 5.0 * 2 ** r["_level"]
+        assert (r["_b"].xmax - r["_b"].xmin) / size <= G.SPAN
+    pts = spark.createDataFrame([(1, 2999.0, 1999.0), (2, 1.0, 0.5), (3, -1.0, 0.0)], "k int, x double, y double")
+    hits = {(r.k, r.id) for r in G.point_hits(pts, areas, "k", "x", "y", "id", "g", 5.0).collect()}
+    assert (1, "big") in hits and {(2, "big"), (2, "small")} <= hits and not any(k == 3 for k, _ in hits)
+
+
+def test_broken_rings_keep_their_row(spark):
+    df = spark.createDataFrame([("open", [SQ[:-1]]), ("hole", [SQ, HOLE[:-1]]), ("sq", [SQ]), ("null", None)], f"id string, rings array<{G.RING}>")
+    got = {r.id: (r.px, r.point_status) for r in G.representative_points(df, ["id"], "rings").collect()}
+    assert got == {"open": (None, "broken"), "hole": (None, "broken"), "sq": (2.0, "centroid"), "null": (None, "broken")}

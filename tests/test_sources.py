@@ -117,3 +117,19 @@ def test_stale_outputs(spark, rows):
     now = spark.createDataFrame([("a", "1"), ("b", "2")], "file string, sha256 string")
     stamps = spark.createDataFrame([("x", "a", "1"), ("y", "a", "1"), ("y", "b", "0"), ("z", "gone", "9")], "output string, file string, sha256 string")
     assert rows(MF.stale_outputs(stamps, now), "output", "state") == [("x", "fresh"), ("y", "stale"), ("z", "stale")]
+
+
+def test_html_rows_without_end_tags_and_nested(spark):
+    html = "<table><thead><tr><th>h<th>v<tbody><tr><td class=n1>A<td>1<tr><td class=n2>B<td><table><tr><td>in</table>2"
+    got = TG.html_table_rows(spark.createDataFrame([(1, html)], "id int, html string"), "id", "html").orderBy("row_no").collect()
+    assert [(r.depth, r.label, r.cells, r.header) for r in got] == [("", "h", ["v"], True), ("n1", "A", ["1"], False), ("", "in", [], False), ("n2", "B", ["2"], False)]
+
+
+def test_html_table_violations(spark):
+    sound = "<table><tr><th>area<th>n<tr><td class=n1>A<td>1<tr><td class=n2>a<td>1<tr><td class=n1>B<td>2<tr><td class=n2>a<td>2</table>"
+    broken = "<table><tr><th>n<th>area<tr><td class=n2>a<td>1<tr><td class=n1>A<td>1<td>2<tr><td class=n2>x<td>1<tr><td class=n2>x<td>1<tr><td class=n9>y<td>1</table>"
+    pages = spark.createDataFrame([(1, sound), (2, broken), (3, "<table><tr><td class=n1>A<td>1</table>")], "id int, html string")
+    got = TG.table_violations(TG.html_table_rows(pages, "id", "html"), "id", ["area", "n"], ["n1", "n2"]).collect()
+    assert sorted((r.id, r.row_no if r.row_no is not None else -1, r.violation) for r in got) == [
+        (2, 0, "header_order"), (2, 1, "level_jump"), (2, 2, "cell_count"), (2, 4, "repeated_label"), (2, 5, "unknown_level"), (3, -1, "header_count"),
+    ]
