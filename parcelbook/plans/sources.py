@@ -141,28 +141,45 @@ def s09(spark: Spark, d: str) -> DataFrame:
 
 @query(
     "s10_tagged_records",
-    """SELECT lpad(CAST(p_partkey AS VARCHAR), 14, '0') AS refcat, TRUE AS ref_ok, p_type AS current_use, CASE WHEN p_size % 3 <> 0 THEN 'functional' END AS condition, CASE WHEN p_size % 4 <> 0 THEN 1950 + p_size END AS year_start,
-    1950 + p_size AS year_end, CASE WHEN p_size % 4 <> 0 THEN 'complete' ELSE 'partial' END AS date_quality, FALSE AS reversed, CAST(p_size AS BIGINT) AS dwelling_properties, CAST(NULL AS BIGINT) AS building_units, p_retailprice AS gross_floor_m2 FROM part""",
+    """SELECT p_partkey, lpad(CAST(p_partkey AS VARCHAR), 14, '0') AS refcat, p_type AS current_use, CASE WHEN p_size % 3 <> 0 THEN 'functional' END AS condition, CASE WHEN p_size % 4 <> 0 THEN 1950 + p_size END AS year_start,
+    1950 + p_size AS year_end, CASE WHEN p_size % 4 <> 0 THEN 'complete' ELSE 'partial' END AS date_quality, CASE WHEN p_size % 11 <> 0 THEN CAST(p_size AS BIGINT) END AS dwelling_properties, CASE WHEN p_size % 13 <> 0 THEN p_retailprice END AS gross_floor_m2,
+    CASE WHEN p_size % 7 > 0 AND p_size % 5 <> 1 THEN (CASE WHEN p_size % 2 = 0 THEN 96.0 ELSE 100.0 END) * CASE WHEN p_size % 9 = 0 THEN 2 ELSE 1 END END::DOUBLE AS footprint_m2,
+    CASE WHEN p_size % 7 > 0 AND p_size % 5 <> 1 THEN 5.0 + CASE WHEN p_size % 9 = 0 THEN 10 ELSE 0 END END::DOUBLE AS centroid_x, CASE WHEN p_size % 7 > 0 AND p_size % 5 <> 1 THEN 5.0 END::DOUBLE AS centroid_y,
+    concat_ws(',', CASE WHEN p_size % 17 = 0 THEN 'identifier' END, CASE WHEN p_size % 11 = 0 THEN 'dwellings' END, CASE WHEN p_size % 13 = 0 THEN 'area_definition' END, CASE WHEN p_size % 7 > 0 AND p_size % 5 = 1 THEN 'broken_ring' END) AS violations FROM part""",
 )
 def s10(spark: Spark, d: str) -> DataFrame:
-    stamp = F.concat((1950 + F.col("p_size")).cast("string"), F.lit("-01-01T00:00:00"))
-
-    def tag(name: str, value):
-        return F.concat(F.lit(f"<{name}>"), value, F.lit(f"</{name}>"))
-
-    xml = F.concat(
-        F.lit("<featureMember>"),
-        tag("localId", zfill(F.col("p_partkey"), 14)),
-        tag("currentUse", F.col("p_type")),
-        F.when(F.col("p_size") % 3 != 0, tag("conditionOfConstruction", F.lit("functional"))).otherwise(""),
-        tag("beginning", F.when(F.col("p_size") % 4 != 0, stamp).otherwise("--01-01T00:00:00")),
-        tag("end", stamp),
-        tag("numberOfDwellings", F.col("p_size").cast("string")),
-        tag("value", F.col("p_retailprice").cast("string")),
-        F.lit("</featureMember>"),
+    """Nested, namespaced records with holes, several patches, nil geometry and broken rules."""
+    size, ref = F.col("p_size"), zfill(F.col("p_partkey"), 14)
+    stamp = F.concat((1950 + size).cast("string"), F.lit("-01-01T00:00:00"))
+
+    def tag(name: str, *inner, attributes=""):
+        return F.concat(F.lit(f"<{name}{attributes}>"), *[F.lit(i) if isinstance(i, str) else i for i in inner], F.lit(f"</{name}>"))
+
+    def ring(points: str, name: str):
+        return tag(f"gml:{name}", tag("gml:LinearRing", tag("gml:posList", points, attributes=' srsDimension="2"')))
+
+    outer = F.when(size % 5 == 1, ring("0 0 10 0 10 10 0 10", "exterior")).otherwise(ring("0 0 10 0 10 10 0 10 0 0", "exterior"))
+    far = F.when(size % 5 == 1, ring("20 0 30 0 30 10", "exterior")).otherwise(ring("20 0 30 0 30 10 20 10 20 0", "exterior"))
+    hole = F.when(size % 2 == 0, ring("4 4 6 4 6 6 4 6 4 4", "interior")).otherwise("")
+    far_hole = F.when(size % 2 == 0, ring("24 4 26 4 26 6 24 6 24 4", "interior")).otherwise("")
+    second = F.when(size % 9 == 0, tag("gml:PolygonPatch", far, far_hole)).otherwise("")
+    surface = tag("gml:Surface", tag("gml:patches", tag("gml:PolygonPatch", outer, hole), second), attributes=f' srsName="{TG.CRS}"')
+    drawn = tag("bu:geometry", tag("bu:BuildingGeometry", tag("bu:geometry", surface), tag("bu:horizontalGeometryReference", "footPrint")))
+    record = F.concat(
+        F.lit('<gml:featureMember xmlns:gml="http://www.opengis.net/gml/3.2" xmlns:bu="urn:bu" xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance"><bu:Building gml:id="'),
+        F.lit(TG.ID_PREFIX), F.when(size % 17 == 0, "other").otherwise(ref), F.lit('">'),
+        tag("bu:inspireId", tag("base:Identifier", tag("base:localId", ref), attributes=' xmlns:base="urn:base"')),
+        tag("bu:dateOfConstruction", tag("bu:DateOfEvent", tag("bu:beginning", F.when(size % 4 != 0, stamp).otherwise("--01-01T00:00:00")), tag("bu:end", stamp))),
+        tag("bu:currentUse", F.col("p_type")),
+        F.when(size % 3 != 0, tag("bu:conditionOfConstruction", "functional")).otherwise('<bu:conditionOfConstruction xsi:nil="true"/>'),
+        tag("bu:numberOfDwellings", F.when(size % 11 == 0, "-3").otherwise(size.cast("string"))),
+        tag("bu:officialArea", tag("bu:OfficialArea", tag("bu:officialAreaReference", F.when(size % 13 == 0, "netFloorArea").otherwise("grossFloorArea")), tag("bu:value", F.col("p_retailprice").cast("string"), attributes=' uom="m2"'))),
+        F.when(size % 7 == 0, '<bu:geometry xsi:nil="true"/>').otherwise(drawn),
+        F.lit("</bu:Building></gml:featureMember>"),
     )
-    records = spread(load(spark, d, "part")).select(TG.parse_record(xml).alias("r")).select("r.*")
-    return TG.building_columns(records)
+    records = spread(load(spark, d, "part")).select("p_partkey", TG.parse_record(record).alias("r")).select("p_partkey", "r.*")
+    out = TG.building_columns(records, ["p_partkey"])
+    return out.select("p_partkey", "refcat", "current_use", "condition", "year_start", "year_end", "date_quality", "dwelling_properties", "gross_floor_m2", "footprint_m2", "centroid_x", "centroid_y", F.array_join("violations", ",").alias("violations"))
 
 
 @query(

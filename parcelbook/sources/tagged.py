@@ -9,46 +9,139 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from parcelbook.functions import let
 from parcelbook.functions.buckets import date_quality
+from parcelbook.operators.geometry import polygon_measure, ring_ok
 
-# declared shape of one building record
+# declared shape of one building record, without namespaces; attributes start with "_"
+_RING = "STRUCT<LinearRing: STRUCT<posList: STRUCT<_VALUE: STRING, _srsDimension: STRING, _count: STRING>>>"
+_SURFACE = f"STRUCT<_srsName: STRING, patches: STRUCT<PolygonPatch: ARRAY<STRUCT<exterior: {_RING}, interior: ARRAY<{_RING}>>>>>"
 BUILDING = (
-    "localId STRING, currentUse STRING, conditionOfConstruction STRING, beginning STRING, "
-    "`end` STRING, numberOfDwellings STRING, numberOfBuildingUnits STRING, value STRING, posList STRING"
+    "Building STRUCT<_id: STRING, inspireId: STRUCT<Identifier: STRUCT<localId: STRING>>, "
+    "dateOfConstruction: STRUCT<DateOfEvent: STRUCT<beginning: STRING, `end`: STRING>>, "
+    "currentUse: STRING, conditionOfConstruction: STRING, numberOfDwellings: STRING, numberOfBuildingUnits: STRING, "
+    "officialArea: STRUCT<OfficialArea: STRUCT<officialAreaReference: STRING, value: STRUCT<_VALUE: STRING, _uom: STRING>>>, "
+    f"geometry: ARRAY<STRUCT<_nil: STRING, BuildingGeometry: STRUCT<geometry: STRUCT<_nil: STRING, Surface: ARRAY<{_SURFACE}>>, horizontalGeometryReference: STRING>>>>"
 )
+# fixed values: identifier prefix, area definition and unit, planar reference system
+ID_PREFIX = "ES.SDGC.BU."
+AREA_KIND, AREA_UNIT = "grossFloorArea", "m2"
+CRS = "urn:ogc:def:crs:EPSG::25830"
 
 
 def read_records(spark: SparkSession, path: str, row_tag: str = "featureMember") -> DataFrame:
     """Row-tag splitting of the XML source; records never pass through one task."""
-    return spark.read.format("xml").option("rowTag", row_tag).schema(BUILDING).load(path)
+    return spark.read.format("xml").option("rowTag", row_tag).option("ignoreNamespace", True).schema(BUILDING).load(path)
 
 
 def parse_record(xml: Column) -> Column:
     """The same record held as text in a column."""
-    return F.from_xml(xml, BUILDING)
+    return F.from_xml(xml, BUILDING, {"ignoreNamespace": "true"})
+
+
+def _text(c: Column) -> Column:
+    return F.nullif(F.trim(c), F.lit(""))
 
 
 def _count(c: Column) -> Column:
-    return F.when(F.trim(c).rlike(r"^\d+$"), F.trim(c).try_cast("long"))
+    return F.when(c.rlike(r"^\d+$"), c.try_cast("long"))
+
+
+def _numbers(pos: Column) -> Column:
+    return F.transform(F.split(F.trim(pos["_VALUE"]), r"\s+"), lambda v: v.try_cast("double"))
+
+
+def _ring(pos: Column) -> Column:
+    """Points of a position list; an odd or unreadable list gives a ring that is not valid."""
+    return let(_numbers(pos), lambda n: F.transform(F.sequence(F.lit(0), F.ceil(F.size(n) / 2).cast("int") - 1), lambda i: F.array(F.get(n, 2 * i), F.get(n, 2 * i + 1))))
+
+
+def _patch_rings(patch: Column) -> Column:
+    """Position lists of a patch, the outer one first."""
+    inner = F.coalesce(patch["interior"], F.array().cast(f"ARRAY<{_RING}>"))
+    return F.transform(F.concat(F.array(patch["exterior"]), inner), lambda r: r["LinearRing"]["posList"])
 
 
 def building_columns(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Typed record: dates with quality, counts, floor area, reference check."""
-    floor = F.col("value").try_cast("double")
-    dated = df.withColumn("_dq", date_quality(F.col("beginning"), F.col("end")))
-    return dated.select(
+    """Typed record of each ``Building``: dates, counts, floor area, footprint and what is wrong with it.
+
+    ``violations`` names every broken rule; a value that breaks one is null, so nothing
+    is published in part. Geometry that is declared nil is missing, not wrong.
+    """
+    b = F.col("Building")
+    area = b["officialArea"]["OfficialArea"]
+    shapes = F.coalesce(b["geometry"], F.array().cast(df.schema["Building"].dataType["geometry"].dataType))
+    nil = F.exists(shapes, lambda g: F.coalesce(g["_nil"] == "true", F.lit(False)) | F.coalesce(g["BuildingGeometry"]["geometry"]["_nil"] == "true", F.lit(False)))
+    surfaces = F.flatten(F.filter(F.transform(shapes, lambda g: g["BuildingGeometry"]["geometry"]["Surface"]), lambda x: x.isNotNull()))
+    raw = df.select(
+        *(keys or []),
+        b["inspireId"]["Identifier"]["localId"].alias("refcat"),
+        b["_id"].alias("_gml"),
+        _text(b["currentUse"]).alias("current_use"),
+        _text(b["conditionOfConstruction"]).alias("condition"),
+        date_quality(_text(b["dateOfConstruction"]["DateOfEvent"]["beginning"]), _text(b["dateOfConstruction"]["DateOfEvent"]["end"])).alias("_dq"),
+        _text(b["numberOfDwellings"]).alias("_dwellings"),
+        _text(b["numberOfBuildingUnits"]).alias("_units"),
+        area["officialAreaReference"].alias("_kind"),
+        area["value"]["_uom"].alias("_uom"),
+        _text(area["value"]["_VALUE"]).alias("_floor"),
+        nil.alias("_nil"),
+        F.exists(shapes, lambda g: g["BuildingGeometry"]["geometry"]["Surface"].isNotNull() & (F.lower(F.coalesce(g["BuildingGeometry"]["horizontalGeometryReference"], F.lit(""))) != "footprint")).alias("_other"),
+        F.exists(surfaces, lambda s: F.coalesce(s["_srsName"] != CRS, F.lit(True))).alias("_crs"),
+        F.flatten(F.transform(surfaces, lambda s: F.transform(s["patches"]["PolygonPatch"], _patch_rings))).alias("_pos"),
+    )
+    rings = raw.withColumns(
+        {
+            "_polygons": F.transform("_pos", lambda p: F.transform(p, _ring)),
+            "_all": F.flatten("_pos"),
+            "_size": F.col("_floor").try_cast("double"),
+        }
+    )
+    infinite = F.lit(float("inf"))
+    wrong_area = F.col("_floor").isNotNull() & (F.coalesce(F.col("_kind") != AREA_KIND, F.lit(True)) | F.coalesce(F.col("_uom") != AREA_UNIT, F.lit(True)))
+    bad_area = F.col("_floor").isNotNull() & ~F.coalesce((F.col("_size") >= 0) & (F.col("_size") < infinite), F.lit(False))
+    sound = F.col("refcat").rlike("^[A-Z0-9]{14}$")
+    geometry = {
+        "partly_missing_geometry": F.col("_nil") & (F.size("_polygons") > 0),
+        "not_a_footprint": F.col("_other"),
+        "reference_system": F.col("_crs"),
+        "dimension": F.exists("_all", lambda p: F.coalesce(p["_srsDimension"], F.lit("2")) != "2"),
+        "declared_points": F.exists("_all", lambda p: F.coalesce(p["_count"].try_cast("int") * 2 != F.size(_numbers(p)), F.lit(False))),
+        "broken_ring": F.exists("_polygons", lambda rings: F.exists(rings, lambda r: ~ring_ok(r))),
+    }
+    rules = {
+        "reference": ~F.coalesce(sound, F.lit(False)),
+        "identifier": ~F.coalesce(F.col("_gml") == F.concat(F.lit(ID_PREFIX), "refcat"), F.lit(False)),
+        "reversed_dates": F.coalesce(F.col("_dq.reversed"), F.lit(False)),
+        "dwellings": F.col("_dwellings").isNotNull() & _count(F.col("_dwellings")).isNull(),
+        "units": F.col("_units").isNotNull() & _count(F.col("_units")).isNull(),
+        "area_definition": wrong_area,
+        "area_value": bad_area,
+        **geometry,
+    }
+    found = F.array_compact(F.array(*[F.when(broken, name) for name, broken in rules.items()]))
+    marked = rings.withColumn("violations", found)
+    whole = (F.size("_polygons") > 0) & ~F.arrays_overlap("violations", F.array(*[F.lit(g) for g in geometry]))
+    shaped = marked.withColumn("polygons", F.when(whole, F.col("_polygons")))
+    measured = shaped.withColumn("_m", F.when(F.col("polygons").isNotNull(), polygon_measure(F.col("polygons"))))
+    return measured.select(
         *(keys or []),
-        F.col("localId").alias("refcat"),
-        F.col("localId").rlike("^[A-Z0-9]{14}$").alias("ref_ok"),
-        F.col("currentUse").alias("current_use"),
-        F.col("conditionOfConstruction").alias("condition"),
+        "refcat",
+        F.coalesce(sound, F.lit(False)).alias("ref_ok"),
+        "current_use",
+        "condition",
         "_dq.year_start",
         "_dq.year_end",
         "_dq.date_quality",
         "_dq.reversed",
-        _count(F.col("numberOfDwellings")).alias("dwelling_properties"),
-        _count(F.col("numberOfBuildingUnits")).alias("building_units"),
-        F.when(floor >= 0, floor).alias("gross_floor_m2"),
+        _count(F.col("_dwellings")).alias("dwelling_properties"),
+        _count(F.col("_units")).alias("building_units"),
+        F.when(~wrong_area & ~bad_area, F.col("_size")).alias("gross_floor_m2"),
+        "polygons",
+        F.col("_m.area").alias("footprint_m2"),
+        F.col("_m.cx").alias("centroid_x"),
+        F.col("_m.cy").alias("centroid_y"),
+        "violations",
     )
 
 

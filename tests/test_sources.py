@@ -43,17 +43,40 @@ def test_margin(spark, rows):
     assert rows(kept.select(code, label, "t")) == [("01", "A", "5")]
 
 
+def building(ref, inner, gml=None):
+    return (
+        f'<gml:featureMember><bu:Building gml:id="{gml or TG.ID_PREFIX + ref}"><bu:inspireId><base:Identifier xmlns:base="b"><base:localId>{ref}</base:localId></base:Identifier></bu:inspireId>{inner}</bu:Building></gml:featureMember>'
+    )
+
+
+def surface(positions, attributes="", crs=TG.CRS, use="footPrint"):
+    ring = f"<gml:exterior><gml:LinearRing><gml:posList{attributes}>{positions}</gml:posList></gml:LinearRing></gml:exterior>"
+    return f'<bu:geometry><bu:BuildingGeometry><bu:geometry><gml:Surface srsName="{crs}"><gml:patches><gml:PolygonPatch>{ring}</gml:PolygonPatch></gml:patches></gml:Surface></bu:geometry><bu:horizontalGeometryReference>{use}</bu:horizontalGeometryReference></bu:BuildingGeometry></bu:geometry>'
+
+
 def test_building_xml(spark, tmp_path):
+    square = "0 0 10 0 10 10 0 10 0 0"
+    dates = "<bu:dateOfConstruction><bu:DateOfEvent><bu:beginning>1950-01-01T00:00:00</bu:beginning><bu:end>1940-01-01T00:00:00</bu:end></bu:DateOfEvent></bu:dateOfConstruction>"
+    area = '<bu:officialArea><bu:OfficialArea><bu:officialAreaReference>grossFloorArea</bu:officialAreaReference><bu:value uom="{}">{}</bu:value></bu:OfficialArea></bu:officialArea>'
+    nil = '<bu:geometry xsi:nil="true"/>'
+    cases = {
+        "A0000000000001": (dates + "<bu:numberOfDwellings>3</bu:numberOfDwellings>" + area.format("m2", "120.5") + surface(square, ' srsDimension="2" count="5"'), ["reversed_dates"]),
+        "short": ("<bu:numberOfDwellings>x</bu:numberOfDwellings><bu:numberOfBuildingUnits>-1</bu:numberOfBuildingUnits>" + area.format("m2", "-1") + nil, ["reference", "dwellings", "units", "area_value"]),
+        "A0000000000003": (area.format("ft2", "5") + surface(square) + nil, ["area_definition", "partly_missing_geometry"]),
+        "A0000000000004": (surface(square, crs="other", use="outline"), ["not_a_footprint", "reference_system"]),
+        "A0000000000005": (surface("0 0 10 0 10 10 0", ' srsDimension="3" count="9"'), ["dimension", "declared_points", "broken_ring"]),
+        "A0000000000006": ("", []),
+    }
     path = tmp_path / "b.xml"
-    path.write_text(
-        "<c><featureMember><localId>ABCDEFGHIJ1234</localId><currentUse>res</currentUse><beginning>1950-01-01T00:00:00</beginning><end>1940-01-01T00:00:00</end>"
-        "<numberOfDwellings>3</numberOfDwellings><value>120.5</value></featureMember>"
-        "<featureMember><localId>short</localId><beginning>--01-01T00:00:00</beginning><numberOfDwellings>x</numberOfDwellings><value>-1</value></featureMember></c>"
-    )
-    got = {r["refcat"]: r for r in TG.building_columns(TG.read_records(spark, str(path))).collect()}
-    full, broken = got["ABCDEFGHIJ1234"], got["short"]
-    assert full["ref_ok"] and full["reversed"] and full["date_quality"] == "complete" and full["dwelling_properties"] == 3 and full["gross_floor_m2"] == 120.5
-    assert not broken["ref_ok"] and broken["date_quality"] == "missing" and broken["dwelling_properties"] is None and broken["gross_floor_m2"] is None
+    members = "".join(building(ref, inner) for ref, (inner, _) in cases.items())
+    path.write_text(f'<c xmlns:gml="g" xmlns:bu="u" xmlns:xsi="x">{members}</c>')
+    got = {r.refcat: r for r in TG.building_columns(TG.read_records(spark, str(path))).collect()}
+    assert {ref: r.violations for ref, r in got.items()} == {ref: found for ref, (_, found) in cases.items()}
+    full = got["A0000000000001"]
+    assert (full.dwelling_properties, full.gross_floor_m2, full.footprint_m2, full.centroid_x) == (3, 120.5, 100.0, 5.0)
+    assert full.date_quality == "complete" and full.polygons == [[[[0.0, 0.0], [10.0, 0.0], [10.0, 10.0], [0.0, 10.0], [0.0, 0.0]]]]
+    assert all(got[r].polygons is None and got[r].footprint_m2 is None for r in cases if r != "A0000000000001")
+    assert got["short"].gross_floor_m2 is None and got["A0000000000003"].gross_floor_m2 is None
 
 
 def test_html_rows(spark):
