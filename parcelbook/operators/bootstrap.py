@@ -164,7 +164,8 @@ def summarise(draws: DataFrame, reps: int, seed: int, levels: dict[str, float])
         F.max(F.when(F.col("rep") == 0, F.col("statistic"))).alias("observed"),
         F.sort_array(F.collect_list(star)).alias("_sorted"),
     )
-    extreme = F.size(F.filter("_sorted", lambda t: F.abs(t) >= F.abs(F.col("observed"))))
+    # a draw that repeats the observed signs ties with it, in whatever order the sums were taken
+    extreme = F.size(F.filter("_sorted", lambda t: F.abs(t) >= F.abs(F.col("observed")) * (1 - 1e-9)))
     out = base.withColumn("p", (extreme + 1) / F.lit(float(reps + 1)))
     for name, q in levels.items():
         out = out.withColumn(name, F.col("_sorted")[min(reps - 1, int(q * reps))])

@@ -351,11 +351,16 @@ EQ = f"""{B.PS}, pa AS (SELECT *, CASE WHEN age = -1 THEN 0 ELSE age END AS a0 F
 
 
 def _eq(spark: Spark, d: str) -> DataFrame:
-    ps = B.persons(spark, d).withColumn("a0", BK.reference_age(F.col("age")))
-    scale = V.household_scale(ps, "hid", "a0")
-    return ps.join(scale.filter("adults > 0"), "hid").withColumn(
-        "eqv", F.round(V.equivalised(F.col("income"), F.col("adults"), F.col("children")), 8)
-    )
+    """Persons with their equivalised income, settled, as the poverty line and its users read it.
+
+    The household's scale needs its members' ages alone, so lines are grouped before any join.
+    """
+    age = F.when(F.col("l_linenumber") == 7, -1).otherwise(F.col("l_linenumber") * 13)
+    members = load(spark, d, "lineitem").select(F.col("l_orderkey").alias("hid"), BK.reference_age(age).alias("a0"))
+    scale = V.household_scale(members, "hid", "a0")
+    persons = B.persons(spark, d).withColumn("a0", BK.reference_age(F.col("age")))
+    eqv = F.round(V.equivalised(F.col("income"), F.col("adults"), F.col("children")), 8)
+    return settle(persons.join(scale.filter("adults > 0"), "hid").withColumn("eqv", eqv))
 
 
 @query("v02_equivalised_income", f"WITH {EQ} SELECT hid, round(max(eqv), 6) AS eqv, count(*) AS persons FROM eq GROUP BY 1")
