@@ -173,6 +173,12 @@ def concentration(df: DataFrame, by: list[str], value: str, key: str, k: int = 5
     )
 
 
+def concentration_members(df: DataFrame, by: list[str], value: str, key: str, k: int = 5) -> DataFrame:
+    """(by, key, value, role): the k largest positive units by name, and every negative one."""
+    top = largest(df.filter(F.col(value) > 0), by, value, key, k).select(*by, key, value, F.lit("top").alias("role"))
+    return top.unionByName(df.filter(F.col(value) < 0).select(*by, key, value, F.lit("negative").alias("role")))
+
+
 def largest(df: DataFrame, by: list[str], value: str, key: str, k: int, salt: int = 64) -> DataFrame:
     """Top k rows per group in two rounds, so no task sorts a whole hot group.
 

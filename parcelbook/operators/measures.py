@@ -10,6 +10,7 @@ from parcelbook.functions.numbers import annuity, ratio
 from parcelbook.operators import order_stats as Q
 from parcelbook.operators import periods as P
 from parcelbook.operators.aggregates import all_or_nothing
+from parcelbook.session import settle
 
 
 def dimension_with_check(df: DataFrame, code: str, name: str) -> DataFrame:
@@ -136,6 +137,7 @@ def bounded_gap(cells: DataFrame, created: DataFrame, unit: str, national: str)
         upper.alias("gap_upper"),
         F.when(F.col("cells_expected") == F.col("cells_observed"), upper).alias("gap"),
     )
+    rows = settle(rows)
     names = [c for c in rows.columns if c != unit]
     total = rows.agg(*[all_or_nothing(F.col(c)).alias(c) for c in names]).select(F.lit(national).alias(unit), *names)
     return rows.unionByName(total)

@@ -828,6 +828,17 @@ def o03(spark: Spark, d: str) -> DataFrame:
     return A.concentration(e, ["region"], "n_orders_change", "unit", 2)
 
 
+@query(
+    "o03_concentration_members",
+    f"""WITH {B.NY}, g AS (SELECT region, unit, CAST(max(n_orders) FILTER (WHERE yr = 2000) - max(n_orders) FILTER (WHERE yr = 1996) AS BIGINT) AS gap FROM ny GROUP BY 1, 2),
+    r AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY gap DESC NULLS LAST, unit) AS rn FROM g)
+    SELECT region, unit, gap, CASE WHEN gap > 0 THEN 'top' ELSE 'negative' END AS role FROM r WHERE (gap > 0 AND rn <= 2) OR gap < 0""",
+)
+def o03b(spark: Spark, d: str) -> DataFrame:
+    e = J.endpoint_change(B.nation_year(spark, d), ["region", "unit"], "yr", 1996, 2000, ["n_orders"])
+    return A.concentration_members(settle(e.select("region", "unit", F.col("n_orders_change").alias("gap"))), ["region"], "gap", "unit", 2)
+
+
 @query(
     "u01_stack_measures",
     f"""WITH {B.NY} SELECT unit, yr, 'orders' AS measure, CAST(n_orders AS DOUBLE) AS value FROM ny UNION ALL SELECT unit, yr, 'customers', CAST(customers AS DOUBLE) FROM ny
