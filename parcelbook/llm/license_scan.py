@@ -126,4 +126,23 @@ def op2_license_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {"op2_license_scan": op2_license_scan}
-ORACLES: dict[str, str] = {}
+_GRAMS = ", ".join(str((n, label, at, len(t) - GRAM + 1, " ".join(t[at : at + GRAM]))) for n, (label, text) in enumerate(TEMPLATES) for t in [text.split()] for at in range(len(t) - GRAM + 1))
+ORACLES = {
+    "op2_license_scan": rf"""
+        with rows as (select row_number() over () as k, doc_id, list_filter(str_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{BREAKS}'), lambda x: x <> '') as w from documents),
+        p(label, words) as (values {", ".join(str(x) for x in PHRASES)}),
+        places as (select k, w, unnest(range(0, len(w))) as i from rows),
+        base as (select k, label, i from places join p on w[i + 1 : i + len(str_split(words, ' '))] = str_split(words, ' ')),
+        bases as (select k, count(*) as n, min(i) as a, max(i) as z, string_agg(distinct label, ',' order by label) as labels from base group by k),
+        g(template, label, place, size, gram) as (values {_GRAMS}),
+        votes as (select k, template, label, size, i - place as diagonal, list(distinct place) as found from places join g on array_to_string(w[i + 1 : i + {GRAM}], ' ') = gram group by all),
+        steps as (select *, case when diagonal - lag(diagonal) over (partition by k, template order by diagonal) <= {REACH} then 0 else 1 end as fresh from votes),
+        runs as (select *, sum(fresh) over (partition by k, template order by diagonal) as run from steps),
+        spans as (select k, label, len(list_distinct(flatten(list(found)))) / size as coverage from runs group by k, template, label, size, run),
+        good as (select * from spans where coverage >= {SHARE}),
+        best as (select k, max(coverage) as coverage from good group by k),
+        named as (select k, string_agg(distinct label, ',' order by label) as labels from (select k, label from good union all select k, label from base) group by k)
+        select doc_id, len(w)::bigint as n_words, coalesce(n, 0)::bigint as n_base, a::bigint as first_word, z::bigint as last_word, coalesce(bases.labels, '') as base_labels, coalesce(named.labels, '') as labels,
+          case when n > 0 then 1.0 else coalesce(coverage, 0.0) end::double as score
+        from rows left join bases using (k) left join best using (k) left join named using (k)"""
+}

@@ -459,4 +459,17 @@ def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {"op1_suffix_dedup": op1_suffix_dedup}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op1_suffix_dedup": f"""
+        with d as (select row_number() over () as k, doc_id, encode(coalesce(text, '')) as b from documents),
+        starts as (select k, doc_id, b, unnest(range(1, octet_length(b) - {SPAN - 2})) as i from d),
+        strings as (select k, doc_id, i, array_slice(b, i, i + {SPAN - 1}) as s from starts),
+        least as (select s, min(doc_id) as first from strings group by s),
+        hits as (select distinct k, i from strings join least using (s) where first < doc_id),
+        bytes as (select k, unnest(range(1, octet_length(b) + 1)) as i, b from d),
+        marked as (select k, i, hex(array_slice(b, i, i)) as x, max(case when hits.k is null then 0 else 1 end) over (partition by k order by i rows between {SPAN - 1} preceding and current row) as gone
+          from bytes left join hits using (k, i)),
+        edges as (select *, gone = 1 and coalesce(lag(gone) over (partition by k order by i), 0) = 0 as opens from marked),
+        sums as (select k, count(*) as n, sum(gone) as r, count(*) filter (where opens) as o, string_agg(x, '' order by i) filter (where gone = 0) as rest from edges group by k)
+        select doc_id, coalesce(n, 0)::bigint as n_bytes, coalesce(r, 0)::bigint as n_removed, coalesce(o, 0)::bigint as n_spans, sha256(unhex(coalesce(rest, ''))) as kept_sha256 from d left join sums using (k)"""
+}
