@@ -81,20 +81,24 @@ def keyed(marks: DataFrame) -> DataFrame:
     return marks.select("doc", "lo", "hi").mapInArrow(run, "key long, doc long, lo long, hi long")
 
 
-def nearest(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> list[tuple[int, int, int]]:
-    """(smaller, larger, bits): each document's nearest smaller and nearest larger one within REACH; sorted by doc."""
-    out = []
+def nearest(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, smaller, its bits, larger, its bits) of documents with a neighbour within REACH; sorted by doc.
+
+    A side without such a neighbour has more than REACH bits.
+    """
     m = len(doc)
+    out = []
     for at in range(0, m, ROWS):
         d = np.bitwise_count(lo[at : at + ROWS, None] ^ lo[None, :]) + np.bitwise_count(hi[at : at + ROWS, None] ^ hi[None, :])
         own = np.arange(at, at + len(d))[:, None]
+        found = []
         for side in (np.arange(m)[None, :] < own, np.arange(m)[None, :] > own):
             x = np.where(side, d, 255)
             j = x.argmin(axis=1)
-            i = np.flatnonzero(x[np.arange(len(x)), j] <= REACH)
-            a, b = doc[at + i], doc[j[i]]
-            out += zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), x[i, j[i]].tolist(), strict=True)
-    return out
+            found += [doc[j], x[np.arange(len(x)), j].astype(np.int32)]
+        near = (found[1] <= REACH) | (found[3] <= REACH)
+        out.append([doc[at : at + ROWS][near], *[f[near] for f in found]])
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
 def candidate_pairs(marks: DataFrame) -> DataFrame:
@@ -111,9 +115,9 @@ def candidate_pairs(marks: DataFrame) -> DataFrame:
             k, doc, lo, hi = (t.column(c).to_numpy() for c in ("key", "doc", "lo", "hi"))
             lo, hi = lo.view(np.uint64), hi.view(np.uint64)
             cut = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1], [True])))
-            found = [x for s, e in zip(cut[:-1], cut[1:], strict=True) if e - s > 1 for x in nearest(doc[s:e], lo[s:e], hi[s:e])]
-            cols = list(zip(*set(found), strict=True)) if found else [(), (), ()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t_) for c, t_ in zip(cols, (pa.int64(), pa.int64(), pa.int32()), strict=True)], ["a", "b", "bits"])
+            found = [nearest(doc[s:e], lo[s:e], hi[s:e]) for s, e in zip(cut[:-1], cut[1:], strict=True) if e - s > 1]
+            none = (np.zeros(0, np.int64), *(np.zeros(0, k) for k in (np.int64, np.int32) * 2))
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(none, *found, strict=True)], ["doc", "a", "a_bits", "b", "b_bits"])
 
         for batch in batches:
             if batch.num_rows:
@@ -129,9 +133,11 @@ def candidate_pairs(marks: DataFrame) -> DataFrame:
     first = stored(marks.groupBy("lo", "hi").agg(F.min("doc").alias("doc")), "sketches")
     same = marks.join(first.withColumnRenamed("doc", "a"), ["lo", "hi"]).where("doc > a").select("a", F.col("doc").alias("b"))
     tasks = tasks_for(first.count(), 20_000, marks.sparkSession)
-    near = stored(keyed(first).repartition(tasks, "key").sortWithinPartitions("key", "doc").mapInArrow(run, "a long, b long, bits int"), "near")
-    down = near.groupBy("b").agg(F.min(F.struct("bits", "a")).alias("x")).select("x.a", "b")
-    up = near.groupBy("a").agg(F.min(F.struct("bits", "b")).alias("x")).select("a", "x.b")
+    near = keyed(first).repartition(tasks, "key").sortWithinPartitions("key", "doc").mapInArrow(run, "doc long, a long, a_bits int, b long, b_bits int")
+    sides = [F.min(F.when(F.col(f"{x}_bits") <= REACH, F.struct(f"{x}_bits", x))).alias(x) for x in ("a", "b")]
+    best = stored(near.groupBy("doc").agg(*sides), "near")
+    down = best.select(F.col("a.a").alias("a"), F.col("doc").alias("b")).where("a is not null")
+    up = best.select(F.col("doc").alias("a"), F.col("b.b").alias("b")).where("b is not null")
     return stored(same.union(down).union(up).distinct(), "pairs")
 
 
