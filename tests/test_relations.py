@@ -93,14 +93,14 @@ def brute_spearman(pairs):
     return float(np.corrcoef(ranks([p[0] for p in pairs]), ranks([p[1] for p in pairs]))[0, 1])
 
 
-@pytest.mark.parametrize("limit", [None, 3])
-def test_omitting_groups_refits_ranks(spark, limit):
+@pytest.mark.parametrize("pieces", [None, 3])
+def test_omitting_groups_refits_ranks(spark, pieces):
     import random
 
     rng = random.Random(4)
     data = [("p", rng.choice("abc"), float(rng.randint(0, 9)), float(rng.randint(0, 9))) for _ in range(40)] + [("q", "z", 1.0, 2.0)]
     df = spark.createDataFrame(data, "v string, g string, x double, y double")
-    fits = C.spearman(C.omission_samples(df, ["v"], "g", "o"), ["v", "o"], "x", "y", 2, limit=limit)
+    fits = C.spearman(C.omission_samples(df, ["v"], "g", "o"), ["v", "o"], "x", "y", 2, pieces=pieces)
     got = {(r["v"], r["o"]): r["spearman"] for r in C.omission_frame(df, ["v"], "g", "o").join(fits, ["v", "o"], "left").collect()}
     for o in "abc":
         assert got[("p", o)] == pytest.approx(brute_spearman([(x, y) for v, g, x, y in data if v == "p" and g != o]))
