@@ -1,4 +1,4 @@
-"""Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact check."""
+"""Benchmark decontamination: SimHash of item-sized windows, Hamming blocks, a bound for windows beyond, exact check."""
 
 from __future__ import annotations
 
@@ -14,11 +14,12 @@ from parcelbook.llm.common import Query, bodies, mix, octets, table, word_hashes
 
 WIDTH = 5
 SIMILARITY = 0.8
-RADIUS = 11
-BLOCKS = 12
+RADIUS = 15
+BLOCKS = 16
 SLICE = 20_000
 PIECE = 1 << 17
 MAYBE = 20
+ROUNDING = 1e-9
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -122,34 +123,72 @@ def candidates(fps: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def leaks_in(h: np.ndarray, index: Index, least: float) -> dict[int, tuple[float, int]]:
-    """{row of the index: (similarity, first word)} of the best window for each leaked item.
+    """{row of the index: (similarity, first word)} of the best window for each leaked item; the first of equals.
 
-    Fingerprints are taken of every item-sized window that has a shingle of some item, for
-    the sizes of items that have one; without a common shingle the similarity is 0.
+    Windows whose fingerprint is within RADIUS bits of the item's are compared first. The
+    weight of the item's shingles in a window over that of the whole item bounds their
+    similarity from above, so every other window is compared too unless its bound is below
+    ``least`` or the best so far: what the fingerprints miss is not lost.
     """
     best: dict[int, tuple[float, int]] = {}
     for width, rows in _by_width(index).items():
         hit, known = has_known(shingles(h, width) if len(h) >= width else np.zeros(0, np.uint64), index)
-        if not len(hit):
-            continue
-        near = np.array(sorted({i for k in set(known.tolist()) for i in index.owners[k]} & rows), np.int64)
-        for size in np.unique(index.sizes[near]).tolist():
-            items = near[index.sizes[near] == size]
+        for size, held in _holders(hit, known, rows, index, least).items():
             reach = size - width + 1
-            starts = np.unique((hit[:, None] - np.arange(reach)[None, :]).ravel()) if len(hit) * reach < 1 << 22 else np.arange(len(h))
+            items = np.array(sorted(held), np.int64)
+            places = np.unique(np.concatenate([held[i][0] for i in held]))
+            starts = np.unique((places[:, None] - np.arange(reach)[None, :]).ravel()) if len(places) * reach < 1 << 22 else np.arange(len(h))
             starts = np.unique(np.clip(starts, 0, max(0, len(h) - size)))
             for at in range(0, len(starts), 1 << 14):
                 part = starts[at : at + (1 << 14)]
+                bounds = {i: _bounds(part, reach, *held[i]) for i in items.tolist()}
+                if max(float(b.max()) for b in bounds.values()) < least - ROUNDING:
+                    continue
                 lo, hi = int(part[0]), min(len(h), int(part[-1]) + size)
                 fps = _window_fps(h[lo:hi], part - lo, min(size, hi - lo))
+                near: dict[int, list[int]] = {}
                 for w, i in zip(*candidates(fps, index.fps[items]), strict=True):
-                    start, item = int(part[w]), int(items[i])
-                    sim = similarity(_counted(shingles(h[start : start + size])), index.grams[item], index.weights)
-                    if sim >= least and sim > best.get(item, (0.0, 0))[0]:
-                        best[item] = (sim, start)
+                    near.setdefault(int(items[i]), []).append(int(w))
+                for item, bound in bounds.items():
+                    beyond = np.ones(len(part), bool)
+                    beyond[near.get(item, [])] = False
+                    may = np.flatnonzero(bound >= least - ROUNDING)
+                    for w in may[np.lexsort((part[may], -bound[may], beyond[may]))].tolist():
+                        top, first = best.get(item, (0.0, 0))
+                        if bound[w] < top - ROUNDING:
+                            continue
+                        start = int(part[w])
+                        sim = similarity(_counted(shingles(h[start : start + size])), index.grams[item], index.weights)
+                        if sim >= least and (sim > top or sim == top and start < first):
+                            best[item] = (sim, start)
     return best
 
 
+def _holders(hit: np.ndarray, known: np.ndarray, rows: set[int], index: Index, least: float) -> dict[int, dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """{size: {item: (places, shares)}} of items that the whole text might hold.
+
+    ``places`` are those of the item's shingles in the text, ``shares`` their running weight
+    as a part of the item's, from 0.
+    """
+    placed: dict[int, list[int]] = {}
+    for at, k in enumerate(known.tolist()):
+        for i in index.owners[k]:
+            if i in rows:
+                placed.setdefault(i, []).append(at)
+    out: dict[int, dict[int, tuple[np.ndarray, np.ndarray]]] = {}
+    for i, at in placed.items():
+        whole = sum(index.weights[s] * n for s, n in index.grams[i].items())
+        run = np.cumsum([0.0, *(index.weights[s] for s in index.known[known[at]].tolist())]) / whole
+        if run[-1] >= least - ROUNDING:
+            out.setdefault(int(index.sizes[i]), {})[i] = (hit[at], run)
+    return out
+
+
+def _bounds(starts: np.ndarray, reach: int, places: np.ndarray, run: np.ndarray) -> np.ndarray:
+    """Greatest similarity that the item could have with the window at each start."""
+    return run[np.searchsorted(places, starts + reach)] - run[np.searchsorted(places, starts)]
+
+
 def _by_width(index: Index) -> dict[int, set[int]]:
     widths = np.minimum(index.sizes, WIDTH)
     return {int(w): set(np.flatnonzero(widths == w).tolist()) for w in np.unique(widths)}

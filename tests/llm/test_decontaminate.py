@@ -3,7 +3,7 @@ import random
 import numpy as np
 
 from parcelbook.llm.common import word_hashes
-from parcelbook.llm.decontaminate import RADIUS, candidates, index_of, leaks, leaks_in, similarity, _counted, shingles
+from parcelbook.llm.decontaminate import RADIUS, candidates, index_of, leaks, leaks_in, simhash, similarity, _counted, shingles
 
 
 def corpus():
@@ -61,3 +61,33 @@ def test_blocks_miss_no_pair():
 def test_best_window(spark):
     index = index_of([(1, b"a b c d e f g")])
     assert leaks_in(word_hashes(b"x x a b c d e f g x".split()), index, 0.8) == {0: (1.0, 2)}
+
+
+def test_edits_up_to_the_threshold(spark):
+    """Leaks with words replaced at either end, inside or scattered: as by all windows, though bits differ widely."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(3000)]
+    items = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(30, 90)))) for i in range(40)]
+    docs = []
+    for i, text in items:
+        n = len(text.split())
+        most = (n - 4) // 9
+        edits = [range(most), range(n - most, n), range(n // 2, n // 2 + max(1, most - 4))]
+        for places in edits:
+            t = text.split()
+            for at in places:
+                t[at] = rng.choice(words)
+            docs.append((len(docs), " ".join([*rng.sample(words, 25), *t, *rng.sample(words, 25)])))
+    index = index_of([(i, t.encode()) for i, t in items])
+    want, beyond = {}, 0
+    for d, t in docs:
+        i, h = d // 3, word_hashes(t.encode().split())
+        size = int(index.sizes[i])
+        windows = [h[s : s + size] for s in range(len(h) - size + 1)]
+        sims = [similarity(_counted(shingles(w)), index.grams[i], index.weights) for w in windows]
+        if max(sims) >= 0.8:
+            want[d, i] = max(sims)
+            beyond += all(s < 0.8 or (simhash(w) ^ int(index.fps[i])).bit_count() > 11 for s, w in zip(sims, windows, strict=True))
+    assert len(want) > 100 and beyond >= 3
+    got = {(r.doc_id, r.item_id): r.similarity for r in leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
