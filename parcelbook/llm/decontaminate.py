@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelbook.llm.common import Query, bodies, mix, octets, table, word_hashes
+from parcelbook.llm.common import Query, bodies, drop_stored, mix, octets, stored, table, word_hashes
 
 WIDTH = 5
 SIMILARITY = 0.8
@@ -53,7 +53,11 @@ class Index:
 
 
 def index_of(items: list[tuple[object, bytes]], weights: dict[int, float] | None = None) -> Index:
-    """A shingle weighs 1 / (number of items that have it): what items share says less about a leak."""
+    """A shingle weighs 1 / (number of items that have it): what items share says less about a leak.
+
+    ``weights`` are those of the whole benchmark, where 1 may be left out; without them
+    ``items`` are the whole benchmark.
+    """
     hashed = [(i, word_hashes(t.lower().split())) for i, t in items]
     hashed = [(i, h) for i, h in hashed if len(h)]
     grams = [_counted(shingles(h)) for _, h in hashed]
@@ -63,6 +67,7 @@ def index_of(items: list[tuple[object, bytes]], weights: dict[int, float] | None
             for s in g:
                 seen[s] = seen.get(s, 0) + 1
         weights = {s: 1 / n for s, n in seen.items()}
+    weights = {s: weights.get(s, 1.0) for g in grams for s in g}
     sizes = np.array([len(h) for _, h in hashed], np.int64)
     known = np.array(sorted({s for g in grams for s in g}), np.uint64)
     owned: dict[int, list[int]] = {}
@@ -91,11 +96,17 @@ def _counted(s: np.ndarray) -> dict[int, int]:
 
 
 def similarity(window: dict[int, int], item: dict[int, int], weights: dict[int, float]) -> float:
-    """Weighted Jaccard similarity of two multisets of shingles; a shingle of no item weighs 1."""
-    both = sum(weights.get(s, 1.0) * min(n, item.get(s, 0)) for s, n in window.items())
-    either = sum(weights.get(s, 1.0) * max(n, item.get(s, 0)) for s, n in window.items())
-    either += sum(weights.get(s, 1.0) * n for s, n in item.items() if s not in window)
-    return both / either if either else 0.0
+    """Weighted Jaccard similarity of two multisets of shingles.
+
+    A shingle that the item lacks weighs as much as the item's own on average, so neither
+    other items nor the slice they are in change the similarity.
+    """
+    both = sum(weights[s] * min(n, window.get(s, 0)) for s, n in item.items())
+    either = sum(weights[s] * max(n, window.get(s, 0)) for s, n in item.items())
+    if not either:
+        return 0.0
+    mean = sum(weights[s] * n for s, n in item.items()) / sum(item.values())
+    return both / (either + mean * sum(n for s, n in window.items() if s not in item))
 
 
 def _block_bounds() -> list[tuple[int, int]]:
@@ -231,22 +242,45 @@ def _scan(docs: DataFrame, index: Index, least: float) -> DataFrame:
     return octets(docs).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id long, similarity double, first_word long")
 
 
+def shared_shingles(items: DataFrame) -> DataFrame:
+    """(slice, shingle, n) of each shingle that ``n`` > 1 items of all slices have, for the slices that have it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(shingles(word_hashes(b.lower().split()))) for b in bodies(batch)]
+            at = np.repeat(np.arange(len(found)), [len(x) for x in found])
+            grams = np.concatenate([np.zeros(0, np.uint64), *found])
+            yield pa.RecordBatch.from_arrays([batch.column("slice").take(pa.array(at, pa.int64())), pa.array(grams.view(np.int64))], ["slice", "shingle"])
+
+    held = items.select("slice", F.col("text").cast("binary").alias("body")).mapInArrow(run, "slice long, shingle long")
+    by_slice = held.groupBy("slice", "shingle").agg(F.count("*").alias("own"))
+    many = by_slice.groupBy("shingle").agg(F.sum("own").alias("n")).where("n > 1")
+    return stored(by_slice.join(many, "shingle").select("slice", "shingle", "n"), "shared")
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY, per_slice: int = SLICE) -> DataFrame:
     """(doc_id, item_id, similarity, first_word): every item of the benchmark that a text holds nearly whole.
 
     Windows of an item's size are compared with it; ``similarity`` is the weighted Jaccard
     similarity of their five-word shingles (fewer words: of the whole), at least ``least``.
-    Items go to the tasks in slices of at most ``per_slice``, so what a task holds is
-    bounded and a larger benchmark takes more passes. Null and empty texts and items leak
-    nothing; items with a null id are ignored; rows that repeat a doc_id give rows alike.
+    Items go to the tasks in slices of about ``per_slice``, so what a task holds is
+    bounded and a larger benchmark takes more passes; weights are counted over the whole
+    benchmark, so slices change no result. Null and empty texts and items leak nothing;
+    items with a null id are ignored; rows that repeat a doc_id give rows alike.
     """
     items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).groupBy("item_id").agg(F.max("text").alias("text"))
     slices = -(-items.count() // per_slice)
     out = docs.sparkSession.createDataFrame([], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id long, similarity double, first_word long")
+    if not slices:
+        return out
+    items = items.withColumn("slice", F.pmod(F.xxhash64("item_id"), F.lit(slices)))
+    shared = shared_shingles(items)
     for s in range(slices):
-        part = items if slices == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == s)
-        held = [(r.item_id, r.text.encode()) for r in part.orderBy("item_id").collect()]
-        out = out.union(_scan(docs, index_of(held), least))
+        own = F.col("slice") == s
+        held = [(r.item_id, r.text.encode()) for r in items.where(own).orderBy("item_id").collect()]
+        weights = {r.shingle % (1 << 64): 1 / r.n for r in shared.where(own).select("shingle", "n").collect()}
+        out = out.union(_scan(docs, index_of(held, weights), least))
+    drop_stored(shared)
     return out
 
 

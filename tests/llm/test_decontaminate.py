@@ -91,3 +91,18 @@ def test_edits_up_to_the_threshold(spark):
     assert len(want) > 100 and beyond >= 3
     got = {(r.doc_id, r.item_id): r.similarity for r in leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+
+
+def test_slices_of_items_that_share_text(spark):
+    """Twins, alike or with a first word of their own: edited leaks are found, alike in any slices."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(900)]
+    common = [rng.choice(words) for _ in range(49)]
+    items = [(i, " ".join([f"own{i}" if i > 24 else "one", *common])) for i in range(50)] + [(60, " ".join(rng.choice(words) for _ in range(40)))]
+    docs = [(0, " ".join(["one", *common[:-1], "changed"])), (1, " ".join(["x", "own29", *common[:-1], "y"])), (2, items[-1][1] + " z"), (3, " ".join(common[:30]))]
+    want = brute(docs, items)
+    assert {(0, i) for i in range(25)} <= want.keys() and (1, 29) in want and (2, 60) in want and not {k for k in want if k[0] == 3}
+    frame, bench = (spark.createDataFrame(x, f"{c} long, text string") for x, c in ((docs, "doc_id"), (items, "item_id")))
+    for per_slice in (1000, 17):
+        got = {(r.doc_id, r.item_id): r.similarity for r in leaks(frame, bench, per_slice=per_slice).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
