@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +19,7 @@ TABLES = 16
 EXACT_BITS = 9
 REACH = 32
 ROWS = 512
+OFFERS = 8
 
 
 def sketch(words: list[bytes], width: int) -> tuple[int, int]:
@@ -70,15 +71,17 @@ def table_keys(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def keyed(marks: DataFrame) -> DataFrame:
+    """(key, doc, root, lo, hi) of ``marks``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
                 lo, hi = (part.column(c).to_numpy().view(np.uint64) for c in ("lo", "hi"))
                 r, k = table_keys(lo, hi)
-                yield pa.RecordBatch.from_arrays([pa.array(k), part.column("doc").take(pa.array(r)), pa.array(lo[r].view(np.int64)), pa.array(hi[r].view(np.int64))], ["key", "doc", "lo", "hi"])
+                yield pa.RecordBatch.from_arrays([pa.array(k), *(part.column(c).take(pa.array(r)) for c in ("doc", "root")), pa.array(lo[r].view(np.int64)), pa.array(hi[r].view(np.int64))], ["key", "doc", "root", "lo", "hi"])
 
-    return marks.select("doc", "lo", "hi").mapInArrow(run, "key long, doc long, lo long, hi long")
+    return marks.select("doc", "root", "lo", "hi").mapInArrow(run, "key long, doc long, root long, lo long, hi long")
 
 
 def nearest(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -101,44 +104,83 @@ def nearest(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
-def candidate_pairs(marks: DataFrame) -> DataFrame:
-    """(a, b): for each document its nearest smaller and larger one over all keys, a < b.
+def apart(doc: np.ndarray, root: np.ndarray, lo: np.ndarray, hi: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(a, b, cut) of documents of different roots within REACH, ``most`` nearest smaller ones a document; by parts.
 
-    Documents with one sketch are linked to the smallest of them and only that one is
-    keyed, so exact and near exact copies do not crowd a key.
+    ``cut`` tells that b has more of them. Documents are sorted.
     """
+    for at in range(0, len(doc), ROWS):
+        own = np.arange(at, min(at + ROWS, len(doc)))
+        d = np.bitwise_count(lo[own, None] ^ lo[None, : own[-1]]) + np.bitwise_count(hi[own, None] ^ hi[None, : own[-1]])
+        d[(np.arange(own[-1])[None, :] >= own[:, None]) | (root[own, None] == root[None, : own[-1]])] = 255
+        r, j = np.nonzero(d <= REACH)
+        order = np.lexsort((j, d[r, j], r))
+        r, j = r[order], j[order]
+        held = np.bincount(r, minlength=len(own))
+        rank = np.arange(len(r)) - np.repeat(np.cumsum(held) - held, held)
+        keep = rank < most
+        yield doc[j[keep]], doc[own[r[keep]]], held[r[keep]] > most
+
+
+def by_key(marks: DataFrame, tasks: int, found: Callable[..., Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """What ``found(doc, root, lo, hi)`` gives for the documents of each key, sorted by doc."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
-        def done(t: pa.Table) -> pa.RecordBatch:
-            k, doc, lo, hi = (t.column(c).to_numpy() for c in ("key", "doc", "lo", "hi"))
+        def done(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            k, doc, root, lo, hi = (t.column(c).to_numpy() for c in ("key", "doc", "root", "lo", "hi"))
             lo, hi = lo.view(np.uint64), hi.view(np.uint64)
             cut = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1], [True])))
-            found = [nearest(doc[s:e], lo[s:e], hi[s:e]) for s, e in zip(cut[:-1], cut[1:], strict=True) if e - s > 1]
-            none = (np.zeros(0, np.int64), *(np.zeros(0, k) for k in (np.int64, np.int32) * 2))
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(none, *found, strict=True)], ["doc", "a", "a_bits", "b", "b_bits"])
+            whole = np.flatnonzero(np.diff(cut) > 1)
+            rows, size = [], 0
+            for s, e in zip(cut[whole], cut[whole + 1], strict=True):
+                for part in found(doc[s:e], root[s:e], lo[s:e], hi[s:e]):
+                    if part.num_rows:
+                        rows.append(part)
+                        size += part.num_rows
+                    if size > 100_000:
+                        yield from pa.Table.from_batches(rows).combine_chunks().to_batches()
+                        rows, size = [], 0
+            if rows:
+                yield from pa.Table.from_batches(rows).combine_chunks().to_batches()
 
         for batch in batches:
             if batch.num_rows:
                 key = batch.column("key").to_numpy()
                 cut = int(np.searchsorted(key, key[-1]))
                 if cut:
-                    yield done(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                    yield from done(pa.Table.from_batches([*held, batch.slice(0, cut)]))
                     held = []
                 held.append(batch.slice(cut))
         if held:
-            yield done(pa.Table.from_batches(held))
+            yield from done(pa.Table.from_batches(held))
 
-    first = stored(marks.groupBy("lo", "hi").agg(F.min("doc").alias("doc")), "sketches")
-    same = marks.join(first.withColumnRenamed("doc", "a"), ["lo", "hi"]).where("doc > a").select("a", F.col("doc").alias("b"))
-    tasks = tasks_for(first.count(), 20_000, marks.sparkSession)
-    near = keyed(first).repartition(tasks, "key").sortWithinPartitions("key", "doc").mapInArrow(run, "doc long, a long, a_bits int, b long, b_bits int")
+    return keyed(marks).repartition(tasks, "key").sortWithinPartitions("key", "doc").mapInArrow(run, schema)
+
+
+def nearest_pairs(first: DataFrame, tasks: int) -> DataFrame:
+    """(a, b): for each document its nearest smaller and larger one over all keys, a < b."""
+
+    def found(doc: np.ndarray, root: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in nearest(doc, lo, hi)], ["doc", "a", "a_bits", "b", "b_bits"])
+
+    near = by_key(first.withColumn("root", F.col("doc")), tasks, found, "doc long, a long, a_bits int, b long, b_bits int")
     sides = [F.min(F.when(F.col(f"{x}_bits") <= REACH, F.struct(f"{x}_bits", x))).alias(x) for x in ("a", "b")]
     best = stored(near.groupBy("doc").agg(*sides), "near")
     down = best.select(F.col("a.a").alias("a"), F.col("doc").alias("b")).where("a is not null")
     up = best.select(F.col("doc").alias("a"), F.col("b.b").alias("b")).where("b is not null")
-    return stored(same.union(down).union(up).distinct(), "pairs")
+    return down.union(up)
+
+
+def pairs_apart(marks: DataFrame, tasks: int, most: int) -> DataFrame:
+    """(a, b, cut) over all keys, as ``apart`` says."""
+
+    def found(doc: np.ndarray, root: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for part in apart(doc, root, lo, hi, most):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in part], ["a", "b", "cut"])
+
+    return by_key(marks, tasks, found, "a long, b long, cut boolean").groupBy("a", "b").agg(F.max("cut").alias("cut"))
 
 
 def similarity(a: bytes, b: bytes, width: int = WIDTH) -> float:
@@ -166,15 +208,38 @@ def similar_groups(docs: DataFrame, width: int = WIDTH, least: float = SIMILARIT
     """(doc, root) of every document that has a near-duplicate; root is the group's smallest id.
 
     A group is joined by pairs whose sets of ``width``-word shingles have a Jaccard
-    similarity of at least ``least``. Rows without an id or without words are in no
+    similarity of at least ``least``: first every document's nearest by sketch are compared,
+    then, in rounds, all others within REACH in a key that are not yet in one group, more a
+    document in each round until no document has any left. Of equal sketches the first
+    stands for those that are like it. Rows without an id or without words are in no
     group; of rows that repeat an id one counts.
     """
     marks = stored(sketches(docs, width), "sketch")
-    pairs = candidate_pairs(marks)
-    found = stored(verified(docs, pairs, width, least), "verified")
-    groups = components(found)
-    drop_stored(marks)
-    drop_stored(pairs)
+    first = stored(marks.groupBy("lo", "hi").agg(F.min("doc").alias("doc")), "sketches")
+    same = marks.join(first.withColumnRenamed("doc", "a"), ["lo", "hi"]).where("doc > a").select("a", F.col("doc").alias("b"))
+    tasks = tasks_for(first.count(), 20_000, docs.sparkSession)
+    tried = stored(same.union(nearest_pairs(first, tasks)).distinct(), "pairs")
+    links = stored(verified(docs, tried, width, least), "verified")
+    groups = components(links)
+    # A document that is unlike the first of its sketch stands for itself.
+    unlike = same.join(links, ["a", "b"], "left_anti").select(F.col("b").alias("doc"))
+    alone = stored(first.select("doc", "lo", "hi").union(marks.join(unlike, "doc", "left_semi").select("doc", "lo", "hi")), "alone")
+    most, cut = OFFERS, True
+    while cut:
+        rooted = alone.join(groups.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
+        offered = stored(pairs_apart(rooted, tasks, most), "apart")
+        cut = bool(offered.where("cut").limit(1).count())
+        fresh = stored(offered.select("a", "b").join(tried, ["a", "b"], "left_anti"), "pairs")
+        drop_stored(offered)
+        if fresh.limit(1).count():
+            more = stored(verified(docs, fresh, width, least), "verified")
+            tried = tried.union(fresh)
+            if more.limit(1).count():
+                links = links.union(more)
+                groups = components(links)
+        most *= OFFERS
+    for held in (marks, first, alone, tried):
+        drop_stored(held)
     return groups.select(F.col("node").alias("doc"), "root")
 
 

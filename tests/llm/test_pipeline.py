@@ -1,12 +1,13 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from parcelbook.llm.common import fold, word_hashes
 from parcelbook.llm.decontaminate import index_of, leaks_in
-from parcelbook.llm.near_groups import similarity, similar_groups
+from parcelbook.llm.near_groups import REACH, similarity, similar_groups, sketch, table_keys
 from parcelbook.llm.toxicity import probability, train, words_of
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept int, root string"
@@ -97,3 +98,33 @@ def test_groups_of_many_edited_copies(spark):
     rows += [(100 + i, " ".join(rng.sample(base, 200))) for i in range(10)] + [(200, None), (201, ""), (202, "one two")]
     got = {r.doc: r.root for r in similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == dict.fromkeys(range(25), 0)
+
+
+def test_groups_compare_every_candidate(spark):
+    """Families around the threshold: the groups are those of all pairs that share a key, not of the nearest alone."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(5000)]
+    texts = []
+    for family in range(60):
+        base = [rng.choice(words) for _ in range(rng.randint(60, 160))]
+        for _ in range(3 if family else 60):
+            t = list(base)
+            for at in rng.sample(range(len(t)), max(1, round(len(t) * rng.uniform(0.006, 0.02)))):
+                t[at] = rng.choice(words)
+            texts.append(" ".join(t[rng.randint(0, len(t) // 14) :]))
+    texts = [texts[i] for i in rng.sample(range(len(texts)), len(texts))]
+    marks = [sketch(t.encode().split(), 5) for t in texts]
+    lo, hi = (np.array([m[j] for m in marks], np.uint64) for j in (0, 1))
+    keys = {}
+    for r, k in zip(*(x.tolist() for x in table_keys(lo, hi)), strict=True):
+        keys.setdefault(k, []).append(r)
+    bits = lambda i, j: sum((x ^ y).bit_count() for x, y in zip(marks[i], marks[j], strict=True))
+    offered = {(i, j) for held in keys.values() for i in held for j in held if i < j and bits(i, j) <= REACH}
+    alike = {(i, j) for i, j in offered if similarity(texts[i].encode(), texts[j].encode()) >= 0.8}
+    root = list(range(len(texts)))
+    for _ in texts:
+        for i, j in alike:
+            root[i] = root[j] = min(root[i], root[j])
+    want = {i: root[i] for pair in alike for i in pair}
+    got = {r.doc: r.root for r in similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert len(offered) > len(alike) > 100 and got == want
