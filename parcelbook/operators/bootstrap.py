@@ -7,13 +7,15 @@ the tested rows of inv(X'X), a replicate needs only
     delta = B sum_g v_g b_g          and          sum_g v_g r_g (x) N_g
 
 so every task reduces its clusters to one small row per replicate and candidate, and
-replicates never need all clusters in one place. Signs are a hash of
-(seed, replicate, cluster): all candidates share the same draws and a lost task
-repeats them exactly. Replicate 0 has all signs +1, which is the observed statistic.
+replicates never need all clusters in one place. Signs are bits of
+md5("seed:block:cluster"), so all candidates share the same draws, a lost task repeats
+them exactly, and any engine that has md5 can draw them too. Replicate 0 has all signs
++1, which is the observed statistic.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from parcelbook.operators.regression import Moments, _square, inverse, sum_over_clusters
 from parcelbook.session import settle
 
-_REP_BLOCK = 256
+_REP_BLOCK, BITS = 256, 128
 # fixed values: warnings of a tested grid
 NONE_ACCEPTED = "no_candidate_accepted_at_this_resolution"
 OPEN_BELOW = "accepted_set_may_extend_below_grid"
@@ -32,17 +34,17 @@ OPEN_ABOVE = "accepted_set_may_extend_above_grid"
 DISJOINT = "disjoint_accepted_set"
 
 
-def signs(keys: np.ndarray, reps: np.ndarray, seed: int) -> np.ndarray:
-    """+1 / -1 per (replicate, cluster) from a 64-bit mix; replicate 0 is all +1."""
-    with np.errstate(over="ignore"):
-        x = keys.astype(np.int64).view(np.uint64)[None, :] ^ (
-            (reps.astype(np.uint64)[:, None] + np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15)
-        )
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        x = x ^ (x >> np.uint64(31))
-    v = np.where(x >> np.uint64(63), 1.0, -1.0)
-    v[reps == 0] = 1.0
+def signs(clusters: list[str], reps: int, seed: int) -> np.ndarray:
+    """+1 / -1 as (replicate, cluster) for replicates 0 to ``reps``; replicate 0 is all +1.
+
+    The sign of replicate r is +1 where bit r % 128, from the first digit on, of
+    md5("seed:r div 128:cluster") is set.
+    """
+    blocks = range(reps // BITS + 1)
+    drawn = b"".join(hashlib.md5(f"{seed}:{b}:{c}".encode(), usedforsecurity=False).digest() for c in clusters for b in blocks)
+    bits = np.unpackbits(np.frombuffer(drawn, np.uint8)).reshape(len(clusters), -1)[:, : reps + 1]
+    v = 2 * bits.T.astype(np.int8) - 1
+    v[0] = 1
     return v
 
 
@@ -108,10 +110,9 @@ def replicate_statistics(
             b, r, n = pieces(_square(np.stack(batch["m"].to_numpy()), p))
             rn = np.einsum("gcz,gqj->gczqj", r, n).reshape(len(batch), nc, kz * kz * k)
             terms = np.concatenate([b, rn], axis=2).reshape(len(batch), nc * width)
-            keys = batch["key"].to_numpy()
+            v = signs(batch["label"].tolist(), reps, seed)
             for lo in range(0, reps + 1, _REP_BLOCK):
-                block = np.arange(lo, min(lo + _REP_BLOCK, reps + 1))
-                acc[block] += signs(keys, block, seed) @ terms
+                acc[lo : lo + _REP_BLOCK] += v[lo : lo + _REP_BLOCK].astype(np.float64) @ terms
         if seen:
             stacked = acc.reshape(reps + 1, nc, width)
             for c in range(nc):
@@ -122,7 +123,7 @@ def replicate_statistics(
     # few clusters need few tasks: each task emits one row per replicate
     tasks = max(1, min(m.table.rdd.getNumPartitions(), m.clusters // 64))
     partial = (
-        m.table.select("key", "m").coalesce(tasks).mapInPandas(reduce_clusters, "cand int, rep int, s array<double>")
+        m.table.select(F.coalesce(F.col("cluster").cast("string"), F.lit("")).alias("label"), "m").coalesce(tasks).mapInPandas(reduce_clusters, "cand int, rep int, s array<double>")
     )
     summed = partial.groupBy("cand", "rep").agg(
         F.array(*[F.sum(F.col("s")[i]) for i in range(width)]).alias("s")

@@ -4,7 +4,8 @@ Everything rests on one primitive: the running weight of each distinct value ins
 its group. Values are first counted (map-side combine), so ties collapse before any
 shuffle. The counts are dealt out in ranges of (group, value); running weights are
 computed inside each range and shifted by the totals of the ranges below it. The
-same steps run at every size and for every type that has an order.
+same steps run at every size and for every type that has an order. Quantiles of numbers
+in few groups take the shorter way of ``selection``.
 """
 
 from __future__ import annotations
@@ -14,7 +15,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from parcelbook.operators import selection
 from parcelbook.session import settle
 
 
@@ -131,6 +134,15 @@ def rule(name: str, q: float = 0.5) -> list[Column]:
     raise ValueError(f"unknown quantile rule {name}")
 
 
+def _table(df: DataFrame, by: list[str], source: DataFrame, weight: str | None, rows: list[tuple], outs: list[str]) -> DataFrame:
+    """The groups' results as a table; there are as few of them as there are brackets."""
+    total = source.agg(F.sum(weight)).schema[0].dataType if weight else T.LongType()
+    if rows and isinstance(rows[0][len(by)], float):
+        total = T.DoubleType()
+    fields = [*[df.schema[c] for c in by], T.StructField("total", total), *[T.StructField(o, T.DoubleType()) for o in outs]]
+    return df.sparkSession.createDataFrame(rows, T.StructType(fields))
+
+
 def quantiles(
     df: DataFrame,
     by: list[str],
@@ -143,9 +155,21 @@ def quantiles(
 
     With a weight every unit counts as a repetition of the value, but nothing is
     repeated: positions are looked up in the running weight. Non-positive weights
-    carry nothing.
+    carry nothing. Numbers in few groups are found by narrowing brackets, which shuffles
+    histograms only; otherwise the distinct values are ranged. Both ways are exact.
     """
     source = df.filter(F.col(weight) > 0) if weight else df
+    if pieces is None:
+        flat = [p for positions in wanted.values() for p in positions]
+        found = selection.select(source, by, value, F.col(weight) if weight else F.lit(1).cast("long"), flat)
+        if found is not None:
+            rows = []
+            for facts, at in found:
+                places, outs = iter(at), []
+                for positions in wanted.values():
+                    outs.append(sum(float(next(places).value) for _ in positions) / len(positions))
+                rows.append((*[facts[c] for c in by], facts["total"], *outs))
+            return _table(df, by, source, weight, rows, list(wanted))
     run = running_weight(value_counts(source, by, value, weight), by, value, pieces=pieces)
     aggs = []
     for out, positions in wanted.items():
@@ -172,6 +196,17 @@ def weighted_cuts(
     are summed as decimals, so an exact hit does not depend on how rows were dealt.
     """
     source = df.filter(F.col(weight) > 0).withColumn(weight, F.col(weight).cast("decimal(24,8)"))
+    if pieces is None:
+        found = selection.select(source, by, value, F.col(weight), [F.col("total") * F.lit(Decimal(str(q))) for q in fractions.values()])
+        if found is not None:
+            rows = []
+            for facts, at in found:
+                outs = []
+                for q, f in zip(fractions.values(), at, strict=True):
+                    exact = f.cum == facts["total"] * Decimal(str(q)) and f.following is not None
+                    outs.append((float(f.value) + float(f.following)) / 2.0 if exact else float(f.value))
+                rows.append((*[facts[c] for c in by], float(facts["total"]), *outs))
+            return _table(df, by, source, None, rows, list(fractions)).withColumn("total", F.col("total").cast("double"))
     run = running_weight(value_counts(source, by, value, weight), by, value, pieces=pieces)
     aggs = []
     for out, q in fractions.items():

@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelbook.operators.order_stats import null_safe_join
@@ -314,6 +314,144 @@ def coefficient_table(m: Moments, fit: Fit, shown: list[str], **labels: str) ->
     return df
 
 
+# ------------------------------------------------------------ many panel models
+
+
+@dataclass(frozen=True)
+class Spec:
+    """One two-way panel model: its columns, the rows it is fitted on and whether units have trends."""
+
+    name: str
+    y: str
+    regressors: list[str]
+    sample: Column | None = None
+    trend: str | None = None
+
+
+def unit_products(df: DataFrame, unit: str, periods: list[str], cluster: str, specs: list[Spec]) -> tuple[DataFrame, list[str], dict[str, list[tuple[str, object]]]]:
+    """(spec, unit, cluster, n, m): raw cross products of each model's complete cases, from one pass.
+
+    Rows are grouped by unit, cluster and the set of models that use them, so a row is
+    multiplied out once however many models there are. Values are taken from their overall
+    mean first, which keeps the later subtraction of unit means accurate.
+    """
+    values = list(dict.fromkeys(c for s in specs for c in [s.y, *s.regressors]))
+    trends = list(dict.fromkeys(s.trend for s in specs if s.trend))
+    if len(trends) > 1:
+        raise ValueError("all unit trends must follow one column")
+    member = F.lit(0).cast("long")
+    for i, s in enumerate(specs):
+        complete = s.sample if s.sample is not None else F.lit(True)
+        for c in [s.y, *s.regressors]:
+            complete = complete & F.col(c).isNotNull()
+        member = member.bitwiseOR(F.when(complete, F.lit(1 << i)).otherwise(F.lit(0)))
+    picked = df.select(
+        F.col(unit).alias("_unit"),
+        F.col(cluster).alias("_cluster"),
+        *[F.col(p).alias(f"_p{i}") for i, p in enumerate(periods)],
+        *[F.col(t).cast("double").alias("_trend") for t in trends],
+        *[F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(values)],
+        member.alias("_models"),
+    )
+    # read for its calendar and means, then for its products
+    rows = settle(picked.filter("_models > 0"))
+    numbers = [*[f"_v{i}" for i in range(len(values))], *["_trend"] * bool(trends)]
+    facts = rows.agg(*[F.avg(c).alias(c) for c in numbers], *[F.sort_array(F.collect_set(f"_p{i}")).alias(f"_p{i}") for i in range(len(periods))]).first()
+    marks = {p: [(f"_d{i}_{j}", level) for j, level in enumerate(facts[f"_p{i}"])] for i, p in enumerate(periods)}
+    columns = [(c, F.col(c) - (facts[c] or 0.0)) for c in numbers]
+    for i, p in enumerate(periods):
+        columns += [(name, F.when(F.col(f"_p{i}") == level, 1.0).otherwise(0.0)) for name, level in marks[p]]
+    columns.append((ONE, F.lit(1.0)))
+    wide = rows.select("_unit", "_cluster", "_models", *[c.alias(name) for name, c in columns])
+    names = [name for name, _ in columns]
+    triangle = list(zip(*np.triu_indices(len(names)), strict=True))
+    own = wide.groupBy("_unit", "_cluster", "_models").agg(F.array(*[F.coalesce(F.sum(F.col(names[i]) * F.col(names[j])), F.lit(0.0)) for i, j in triangle]).alias("m"))
+    used = F.filter(F.array(*[F.lit(i) for i in range(len(specs))]), lambda i: F.col("_models").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i)) != 0)
+    dealt = own.select(F.explode(used).alias("spec"), "_unit", "_cluster", "m").repartition("spec", "_unit")
+    summed = dealt.groupBy("spec", "_unit", "_cluster").agg(F.array(*[F.sum(F.col("m")[i]) for i in range(len(triangle))]).alias("m"))
+    labels = dict(zip([f"_v{i}" for i in range(len(values))], values, strict=True))
+    return summed, [labels.get(n, n) for n in names], marks
+
+
+def within_moments(df: DataFrame, unit: str, periods: list[str], cluster: str, specs: list[Spec]) -> dict[str, tuple[Moments, list[str]]]:
+    """For each model the cluster moments after unit means (and unit trends) are taken off, and its dummies.
+
+    With S the sums of a unit's rows in one cluster, n their number, and U and N those of
+    the whole unit, the products of deviations are S_xz - U_x S_z / N - S_x U_z / N +
+    n U_x U_z / N^2; a unit's line goes the same way. No second look at the rows is needed.
+    """
+    summed, names, marks = unit_products(df, unit, periods, cluster, specs)
+    p = len(names)
+    at = {c: i for i, c in enumerate(names)}
+    i, j = np.triu_indices(p)
+    flat = {(a, b): k for k, (a, b) in enumerate(zip(i.tolist(), j.tolist(), strict=True))}
+    one, trend = p - 1, at.get("_trend")
+    place = lambda a, b: F.col("m")[flat[min(a, b), max(a, b)]]
+    whole = Window.partitionBy("spec", "_unit")
+    of_unit = summed.select(
+        "spec",
+        F.col("_cluster").alias("cluster"),
+        "m",
+        F.array(*[F.sum(place(c, one)).over(whole) for c in range(p)]).alias("u"),
+        F.array(*[F.sum(place(c, trend)).over(whole) for c in range(p)] if trend is not None else [F.lit(0.0)]).alias("ut"),
+        F.count("*").over(whole).alias("shares"),
+    )
+    with_trend = np.array([s.trend is not None for s in specs])
+
+    def deviations(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            s = _square(np.stack(batch["m"].to_numpy()), p)
+            u = np.stack(batch["u"].to_numpy())
+            n, own, total = s[:, one, one], s[:, :, one], u[:, one]
+            mean = u / total[:, None]
+            w = s - mean[:, :, None] * own[:, None, :] - own[:, :, None] * mean[:, None, :] + n[:, None, None] * mean[:, :, None] * mean[:, None, :]
+            if trend is not None:
+                lined = with_trend[batch["spec"].to_numpy()]
+                joint = np.stack(batch["ut"].to_numpy()) - u * mean[:, [trend]]
+                spread = joint[:, trend]
+                slope = np.where((lined & (spread > 1e-9))[:, None], joint / np.where(spread > 1e-9, spread, 1.0)[:, None], 0.0)
+                wt = w[:, :, trend]
+                w = w - slope[:, :, None] * wt[:, None, :] - wt[:, :, None] * slope[:, None, :] + w[:, trend, trend][:, None, None] * slope[:, :, None] * slope[:, None, :]
+            w[:, one, :] = w[:, :, one] = 0.0
+            w[:, one, one] = n
+            kept = np.concatenate([w[:, i, j], own, (1.0 / batch["shares"].to_numpy())[:, None]], axis=1)
+            yield pd.DataFrame({"spec": batch["spec"], "cluster": batch["cluster"], "w": list(kept)})
+
+    width = len(i) + p + 1
+    kind = summed.schema["_cluster"].dataType.simpleString()
+    parts = of_unit.mapInPandas(deviations, f"spec int, cluster {kind}, w array<double>")
+    table = settle(parts.groupBy("spec", "cluster").agg(F.array(*[F.sum(F.col("w")[k]) for k in range(width)]).alias("w")))
+    # one row for each model comes back
+    totals = {r.spec: (r.g, np.array(r.w)) for r in table.groupBy("spec").agg(F.count("*").alias("g"), F.array(*[F.sum(F.col("w")[k]) for k in range(width)]).alias("w")).collect()}
+    out = {}
+    for number, spec in enumerate(specs):
+        if number not in totals:
+            raise ValueError(f"no rows to fit {spec.name}")
+        clusters, w = totals[number]
+        square, raw = _square(w[None, : len(i)], p)[0], w[len(i) : -1]
+        dummies = []
+        for place_no, period in enumerate(periods):
+            present = [name for name, _ in marks[period] if raw[at[name]] > 0]
+            # the common trend lies in the span of unit trends, so one more dummy goes
+            dummies += present[2 if spec.trend and place_no == 0 else 1 :]
+        own = table.filter(F.col("spec") == number).select("cluster", F.slice("w", 1, len(i)).alias("m"), F.xxhash64("cluster").alias("key"))
+        out[spec.name] = (Moments(own, names, round(square[one, one]), clusters, square, round(w[-1]) if spec.trend else 0, at), dummies)
+    return out
+
+
+def panel_fits(df: DataFrame, unit: str, periods: list[str], cluster: str, specs: list[Spec]) -> DataFrame:
+    """Tidy coefficients of several two-way panel models, each on its own complete cases."""
+    moments = within_moments(df, unit, periods, cluster, specs)
+    out = None
+    for s in specs:
+        m, dummies = moments[s.name]
+        shown = coefficient_table(m, ols(m, [*s.regressors, *dummies], s.y), s.regressors, spec=s.name)
+        out = shown if out is None else out.unionByName(shown)
+    return out
+
+
 def panel_fit(
     df: DataFrame,
     y: str,
@@ -325,13 +463,4 @@ def panel_fit(
     spec: str = "spec",
 ) -> DataFrame:
     """Two-way panel regression on the complete cases of one specification."""
-    labels = list(dict.fromkeys([unit, *periods, cluster, *([trend] if trend else [])]))
-    rows = complete_cases(df.select(*dict.fromkeys([*labels, y, *regressors])), [y, *regressors])
-    # the panel is read for its calendar, its unit means and its rows: settle it once
-    cast = settle(rows.withColumns({c: F.col(c).cast("double") for c in [y, *regressors]}))
-    # one line per unit is absorbed and one dummy fewer is kept
-    absorbed = cast.select(unit).distinct().count() if trend else 0
-    design, dummies = within(cast, unit, periods, [y, *regressors], trend)
-    x = [*regressors, *dummies]
-    m = cluster_moments(design, [*x, y], cluster, absorbed)
-    return coefficient_table(m, ols(m, x, y), regressors, spec=spec)
+    return panel_fits(df, unit, periods, cluster, [Spec(spec, y, regressors, None, trend)])

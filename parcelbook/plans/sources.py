@@ -64,22 +64,61 @@ def s04(spark: Spark, d: str) -> DataFrame:
     return NS.series_rows(payload, "payload", ["Total", "Orders"], []).drop("series_code")
 
 
+EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
+CUBES_SQL = """e AS (SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, sum(CAST(props->>'k' AS BIGINT)) AS k FROM events GROUP BY 1, 2), l(t, i) AS (VALUES ('click', 0), ('error', 1), ('purchase', 2), ('signup', 3), ('view', 4)),
+  g AS (SELECT d.day, l.t, m, n, k FROM (SELECT DISTINCT day FROM e) d CROSS JOIN l CROSS JOIN (VALUES (0), (1)) x(m) LEFT JOIN e ON e.day = d.day AND e.event_type = l.t)"""
+
+
+def _event_cubes(spark: Spark, d: str) -> DataFrame:
+    """A cube of event type by measure for each day: sparse or dense, in both orders of dimensions.
+
+    A count divisible by three is left out and flagged; every eighth day has a text for a number.
+    """
+    k = F.from_json("props", "k long")["k"]
+    e = load(spark, d, "events").groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count("*").alias("n"), F.sum(k).alias("k"))
+    by = e.groupBy("day").agg(F.map_from_entries(F.collect_list(F.struct("event_type", F.struct("n", "k")))).alias("m"))
+
+    def cell(t: str, measure: int):
+        x = F.try_element_at("m", F.lit(t))
+        return F.when(x["n"] % 3 != 0, x["n"]) if measure == 0 else x["k"]
+
+    def flag(t: str, measure: int):
+        return F.when(F.try_element_at("m", F.lit(t))["n"] % 3 == 0, "c") if measure == 0 else F.lit(None).cast("string")
+
+    turned, listed, odd = F.dayofmonth("day") % 4 >= 2, F.dayofmonth("day") % 2 == 1, F.dayofmonth("day") % 8 == 5
+    plain = [(t, m) for t in EVENT_TYPES for m in (0, 1)]
+    other = [(t, m) for m in (0, 1) for t in EVENT_TYPES]
+
+    def container(make):
+        cells = F.when(turned, F.array(*[make(t, m).cast("string") for t, m in other])).otherwise(F.array(*[make(t, m).cast("string") for t, m in plain]))
+        quoted = F.transform(cells, lambda c: F.when(c.rlike("^-?[0-9]"), c).otherwise(F.concat(F.lit('"'), c, F.lit('"'))))
+        as_list = F.concat(F.lit("["), F.array_join(quoted, ",", "null"), F.lit("]"))
+        pairs = F.array_compact(F.transform(quoted, lambda c, i: F.concat(F.lit('"'), i.cast("string"), F.lit('":'), c)))
+        return F.when(listed, as_list).otherwise(F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}")))
+
+    value = F.when(odd, F.regexp_replace(container(cell), r"([0-9]+)(\]|\})$", '"many"$2')).otherwise(container(cell))
+    types = ",".join(f'"{t}":{i}' for i, t in enumerate(EVENT_TYPES))
+    labels = ",".join(f'"{t}":"{t.title()}"' for t in EVENT_TYPES)
+    dimension = f'"dimension":{{"type":{{"category":{{"index":{{{types}}},"label":{{{labels}}}}}}},"measure":{{"category":{{"index":["n","k"]}}}}}}'
+    shape = F.when(turned, '"id":["measure","type"],"size":[2,5]').otherwise('"id":["type","measure"],"size":[5,2]')
+    payload = F.concat(F.lit("{"), shape, F.lit(f',{dimension},"value":'), value, F.lit(',"status":'), container(flag), F.lit("}"))
+    return by.select(F.col("day").cast("string").alias("day"), payload.alias("payload"))
+
+
 @query(
     "s05_dimensional_cube",
-    """WITH e AS (SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, sum(CAST(props->>'k' AS BIGINT)) AS k FROM events GROUP BY 1, 2), l(t, i) AS (VALUES ('click', 0), ('error', 1), ('purchase', 2), ('signup', 3), ('view', 4))
-    SELECT CAST(day AS VARCHAR) AS day, i AS dim0, m AS dim1, CASE WHEN m = 1 THEN CAST(k AS DOUBLE) WHEN n % 3 <> 0 THEN CAST(n AS DOUBLE) END AS value FROM (SELECT DISTINCT day FROM e) CROSS JOIN l CROSS JOIN (VALUES (0), (1)) t(m) LEFT JOIN e USING (day) WHERE e.event_type = l.t""",
+    f"""WITH {CUBES_SQL} SELECT CAST(day AS VARCHAR) AS day, t AS type, upper(t[1]) || t[2:] AS type_label, CASE m WHEN 0 THEN 'n' ELSE 'k' END AS measure, CASE WHEN m = 1 AND NOT (t = 'view' AND day(day) % 8 = 5) THEN CAST(k AS DOUBLE) WHEN m = 0 AND n % 3 <> 0 THEN CAST(n AS DOUBLE) END AS value, CASE WHEN m = 0 AND n % 3 = 0 THEN 'c' END AS status FROM g""",
 )
 def s05(spark: Spark, d: str) -> DataFrame:
-    # cube per day: event type x measure; a count divisible by three is left out of the map
-    e = load(spark, d, "events")
-    k = F.from_json("props", "k long")["k"]
-    by = e.groupBy(F.to_date("ts").cast("string").alias("day"), "event_type").agg(F.count("*").alias("n"), F.sum(k).alias("k"))
-    types = ["click", "error", "purchase", "signup", "view"]
-    pos = F.array_position(F.array(*[F.lit(t) for t in types]), F.col("event_type")) - 1
-    cell = by.select("day", F.explode(F.array(F.struct((pos * 2).alias("i"), F.when(F.col("n") % 3 != 0, F.col("n")).alias("v")), F.struct((pos * 2 + 1).alias("i"), F.col("k").alias("v")))).alias("c")).filter("c.v is not null")
-    values = cell.groupBy("day").agg(F.map_from_entries(F.collect_list(F.struct(F.col("c.i").cast("string"), F.col("c.v").cast("double")))).alias("value"))
-    doc = values.select("day", F.to_json(F.struct(F.array(F.lit("type"), F.lit("measure")).alias("id"), F.array(F.lit(5), F.lit(2)).alias("size"), F.col("value"))).alias("payload"))
-    return NS.cube_rows(doc, "payload", ["day"], 2).select("day", "dim0", "dim1", "value")
+    return NS.cube_cells(_event_cubes(spark, d), "payload", ["day"], ["type", "measure"]).select("day", "type", "type_label", "measure", "value", "status")
+
+
+@query(
+    "s05_cube_violations",
+    f"WITH {CUBES_SQL} SELECT DISTINCT CAST(day AS VARCHAR) AS day, 'not_a_number' AS violation FROM g WHERE day(day) % 8 = 5 UNION ALL SELECT DISTINCT CAST(day AS VARCHAR), 'out_of_bounds' FROM g WHERE m = 1 AND k > 2000 AND NOT (t = 'view' AND day(day) % 8 = 5)",
+)
+def s05b(spark: Spark, d: str) -> DataFrame:
+    return NS.cube_violations(_event_cubes(spark, d), "payload", ["day"], ["measure", "type"], low=0, high=2000)
 
 
 @query(
@@ -139,16 +178,12 @@ def s09(spark: Spark, d: str) -> DataFrame:
     return ML.on_key_grid({"final": final, "low": low}, ["k"], "label", "v")
 
 
-@query(
-    "s10_tagged_records",
-    """SELECT p_partkey, lpad(CAST(p_partkey AS VARCHAR), 14, '0') AS refcat, p_type AS current_use, CASE WHEN p_size % 3 <> 0 THEN 'functional' END AS condition, CASE WHEN p_size % 4 <> 0 THEN 1950 + p_size END AS year_start,
-    1950 + p_size AS year_end, CASE WHEN p_size % 4 <> 0 THEN 'complete' ELSE 'partial' END AS date_quality, CASE WHEN p_size % 11 <> 0 THEN CAST(p_size AS BIGINT) END AS dwelling_properties, CASE WHEN p_size % 13 <> 0 THEN p_retailprice END AS gross_floor_m2,
-    CASE WHEN p_size % 7 > 0 AND p_size % 5 <> 1 THEN (CASE WHEN p_size % 2 = 0 THEN 96.0 ELSE 100.0 END) * CASE WHEN p_size % 9 = 0 THEN 2 ELSE 1 END END::DOUBLE AS footprint_m2,
-    CASE WHEN p_size % 7 > 0 AND p_size % 5 <> 1 THEN 5.0 + CASE WHEN p_size % 9 = 0 THEN 10 ELSE 0 END END::DOUBLE AS centroid_x, CASE WHEN p_size % 7 > 0 AND p_size % 5 <> 1 THEN 5.0 END::DOUBLE AS centroid_y,
-    concat_ws(',', CASE WHEN p_size % 17 = 0 THEN 'identifier' END, CASE WHEN p_size % 11 = 0 THEN 'dwellings' END, CASE WHEN p_size % 13 = 0 THEN 'area_definition' END, CASE WHEN p_size % 7 > 0 AND p_size % 5 = 1 THEN 'broken_ring' END) AS violations FROM part""",
-)
-def s10(spark: Spark, d: str) -> DataFrame:
-    """Nested, namespaced records with holes, several patches, nil geometry and broken rules."""
+def _register_files(spark: Spark, d: str) -> str:
+    """Folder of XML files of building records, each with the number of its records.
+
+    Nested, namespaced records with holes, several patches, nil geometry and broken rules;
+    every 19th has a tag that is not closed, and one file in eight declares a record too many.
+    """
     size, ref = F.col("p_size"), zfill(F.col("p_partkey"), 14)
     stamp = F.concat((1950 + size).cast("string"), F.lit("-01-01T00:00:00"))
 
@@ -170,16 +205,54 @@ def s10(spark: Spark, d: str) -> DataFrame:
         F.lit(TG.ID_PREFIX), F.when(size % 17 == 0, "other").otherwise(ref), F.lit('">'),
         tag("bu:inspireId", tag("base:Identifier", tag("base:localId", ref), attributes=' xmlns:base="urn:base"')),
         tag("bu:dateOfConstruction", tag("bu:DateOfEvent", tag("bu:beginning", F.when(size % 4 != 0, stamp).otherwise("--01-01T00:00:00")), tag("bu:end", stamp))),
-        tag("bu:currentUse", F.col("p_type")),
+        F.concat(F.lit("<bu:currentUse>"), F.col("p_type"), F.when(F.col("p_partkey") % 19 == 0, "").otherwise("</bu:currentUse>")),
         F.when(size % 3 != 0, tag("bu:conditionOfConstruction", "functional")).otherwise('<bu:conditionOfConstruction xsi:nil="true"/>'),
         tag("bu:numberOfDwellings", F.when(size % 11 == 0, "-3").otherwise(size.cast("string"))),
         tag("bu:officialArea", tag("bu:OfficialArea", tag("bu:officialAreaReference", F.when(size % 13 == 0, "netFloorArea").otherwise("grossFloorArea")), tag("bu:value", F.col("p_retailprice").cast("string"), attributes=' uom="m2"'))),
         F.when(size % 7 == 0, '<bu:geometry xsi:nil="true"/>').otherwise(drawn),
         F.lit("</bu:Building></gml:featureMember>"),
     )
-    records = spread(load(spark, d, "part")).select("p_partkey", TG.parse_record(record).alias("r")).select("p_partkey", "r.*")
-    out = TG.building_columns(records, ["p_partkey"])
-    return out.select("p_partkey", "refcat", "current_use", "condition", "year_start", "year_end", "date_quality", "dwelling_properties", "gross_floor_m2", "footprint_m2", "centroid_x", "centroid_y", F.array_join("violations", ",").alias("violations"))
+    file = F.col("p_partkey") % 8
+    records = spread(load(spark, d, "part")).select(file.alias("file"), F.lit(1).alias("place"), record.alias("value"))
+    counts = load(spark, d, "part").groupBy(file.alias("file")).agg(F.count("*").alias("n"))
+    declared = (F.col("n") + F.when(F.col("file") == 3, 1).otherwise(0)).cast("string")
+    opening = counts.select("file", F.lit(0).alias("place"), F.concat(F.lit('<gml:FeatureCollection xmlns:gml="http://www.opengis.net/gml/3.2" numberReturned="'), declared, F.lit('">')).alias("value"))
+    closing = counts.select("file", F.lit(2).alias("place"), F.lit("</gml:FeatureCollection>").alias("value"))
+    path = scratch_path(spark, "register")
+    lines = opening.unionByName(records).unionByName(closing)
+    # each number has a folder of its own, so a file is one whole collection however Spark deals them
+    lines.withColumnRenamed("file", "part").repartition(8, "part").sortWithinPartitions("part", "place").select("part", "value").write.partitionBy("part").text(path)
+    return path
+
+
+@query(
+    "s10_tagged_records",
+    """SELECT p_partkey, lpad(CAST(p_partkey AS VARCHAR), 14, '0') AS refcat, p_type AS current_use, CASE WHEN p_size % 3 <> 0 THEN 'functional' END AS condition, CASE WHEN p_size % 4 <> 0 THEN 1950 + p_size END AS year_start,
+    1950 + p_size AS year_end, CASE WHEN p_size % 4 <> 0 THEN 'complete' ELSE 'partial' END AS date_quality, CASE WHEN p_size % 11 <> 0 THEN CAST(p_size AS BIGINT) END AS dwelling_properties, CASE WHEN p_size % 13 <> 0 THEN p_retailprice END AS gross_floor_m2,
+    CASE WHEN p_size % 7 > 0 AND p_size % 5 <> 1 THEN (CASE WHEN p_size % 2 = 0 THEN 96.0 ELSE 100.0 END) * CASE WHEN p_size % 9 = 0 THEN 2 ELSE 1 END END::DOUBLE AS footprint_m2,
+    CASE WHEN p_size % 7 > 0 AND p_size % 5 <> 1 THEN 5.0 + CASE WHEN p_size % 9 = 0 THEN 10 ELSE 0 END END::DOUBLE AS centroid_x, CASE WHEN p_size % 7 > 0 AND p_size % 5 <> 1 THEN 5.0 END::DOUBLE AS centroid_y,
+    concat_ws(',', CASE WHEN p_size % 17 = 0 THEN 'identifier' END, CASE WHEN p_size % 11 = 0 THEN 'dwellings' END, CASE WHEN p_size % 13 = 0 THEN 'area_definition' END, CASE WHEN p_size % 7 > 0 AND p_size % 5 = 1 THEN 'broken_ring' END) AS violations FROM part WHERE p_partkey % 19 <> 0 UNION ALL SELECT p_partkey, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'corrupt_record' FROM part WHERE p_partkey % 19 = 0""",
+)
+def s10(spark: Spark, d: str) -> DataFrame:
+    """Building records read from files by row tag; a broken record is a row that says so."""
+    records = TG.read_records(spark, _register_files(spark, d))
+    out = TG.building_columns(records, [TG.CORRUPT])
+    broken = F.col(TG.CORRUPT).isNotNull()
+    key = F.when(broken, F.regexp_extract(TG.CORRUPT, "localId>0*([0-9]+)<", 1)).otherwise(F.col("refcat")).cast("int")
+    shown = ["refcat", "current_use", "condition", "year_start", "year_end", "date_quality", "dwelling_properties", "gross_floor_m2", "footprint_m2", "centroid_x", "centroid_y"]
+    found = F.when(broken, "corrupt_record").otherwise(F.array_join("violations", ","))
+    return out.select(key.cast(load(spark, d, "part").schema["p_partkey"].dataType).alias("p_partkey"), *[F.when(~broken, F.col(c)).alias(c) for c in shown], found.alias("violations"))
+
+
+@query(
+    "s10_record_counts",
+    """WITH f AS (SELECT p_partkey % 8 AS f, count(*) AS n, count(*) FILTER (WHERE p_partkey % 19 = 0) AS corrupt FROM part GROUP BY 1)
+    SELECT n + CASE WHEN f = 3 THEN 1 ELSE 0 END AS declared, n AS read, corrupt, CASE WHEN f = 3 THEN 'count_differs' WHEN corrupt > 0 THEN 'corrupt_records' ELSE 'ok' END AS verdict FROM f""",
+)
+def s10b(spark: Spark, d: str) -> DataFrame:
+    """Records of every file against the number that the file declares."""
+    path = _register_files(spark, d)
+    return TG.record_counts(TG.read_records(spark, path), TG.declared_counts(spark, path)).select("declared", "read", "corrupt", "verdict")
 
 
 @query(

@@ -16,6 +16,7 @@ from parcelbook.operators import regression as R
 from parcelbook.operators import shiftshare as SS
 from parcelbook.operators import survey as V
 from parcelbook.plans import base as B
+from parcelbook.plans import panel_sql as PS
 from parcelbook.plans.registry import query
 from parcelbook.session import settle
 from parcelbook.sources.tables import load
@@ -162,23 +163,41 @@ def e10(spark: Spark, d: str) -> DataFrame:
     return R.coefficient_table(m, R.ols(m, ["disc"], "y"), ["disc"]).select("term", "b", "se", "n", "clusters")
 
 
-def _spec_union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+SUPPLIER_LAGS = f"{B.SY}, lg AS MATERIALIZED (SELECT *, lag(disc) OVER w AS l_disc, lag(qty) OVER w AS l_qty FROM sy WINDOW w AS (PARTITION BY id ORDER BY yr))"
+E11 = {"s0": ["disc"], "s1": ["disc", "tax", "qty"], "s2": ["disc", "tax", "qty", "l_disc", "l_qty"], "s3": ["disc", "l_disc"]}
 
 
-@query("e11_panel_specifications")
+def fits_sql(head: str, fits: list[tuple[str, str, list[str], list[str], dict, str]]) -> str:
+    """SQL of two-way fits: (name, sample, regressors, carried columns, periods, trend) each."""
+    ctes, selects = [head], []
+    for name, sample, regressors, keys, periods, trend in fits:
+        ctes.append(f"{name}x AS MATERIALIZED ({sample})")
+        within, dummies = PS.within(f"{name}w", f"{name}x", keys[0], ["cl"], ["y", *regressors], periods, trend)
+        extra = f"(SELECT count(DISTINCT {keys[0]}) FROM {name}x)" if trend else "0"
+        body, select = PS.fit(name, f"{name}w", "y", regressors, dummies, regressors, extra, name)
+        ctes += [within, body]
+        selects.append(select)
+    return f"WITH {', '.join(ctes)} {' UNION ALL '.join(selects)}"
+
+
+@query(
+    "e11_panel_specifications",
+    fits_sql(SUPPLIER_LAGS, [(s, f"SELECT * FROM lg WHERE {' AND '.join(f'{c} IS NOT NULL' for c in ['y', *regs])}", regs, ["id"], {"yr": (PS.YEARS, 1)}, "") for s, regs in E11.items()]),
+)
 def e11(spark: Spark, d: str) -> DataFrame:
-    """Four specifications with controls and lags, each on its own complete cases."""
+    """Four specifications with controls and lags, each on its own complete cases, from one pass."""
     sy = B.supplier_year(spark, d)
-    lags = settle(sy.withColumns({f"l_{v}": P.previous(["id"], "yr", v, strict=False) for v in ("disc", "qty")}))
-    specs = {"s0": ["disc"], "s1": ["disc", "tax", "qty"], "s2": ["disc", "tax", "qty", "l_disc", "l_qty"], "s3": ["disc", "l_disc"]}
-    return _spec_union([R.panel_fit(lags, "y", regs, "id", ["yr"], "cl", spec=s) for s, regs in specs.items()])
+    lags = sy.withColumns({f"l_{v}": P.previous(["id"], "yr", v, strict=False) for v in ("disc", "qty")})
+    return R.panel_fits(lags, "id", ["yr"], "cl", [R.Spec(s, "y", regs) for s, regs in E11.items()])
 
 
-@query("e12_two_dummy_sets")
+@query(
+    "e12_two_dummy_sets",
+    fits_sql(
+        "pa AS MATERIALIZED (SELECT l_suppkey AS id, any_value(s_nationkey) AS cl, CAST(year(l_shipdate) AS INT) AS yr, CAST(quarter(l_shipdate) AS INT) AS q, ln(avg(l_extendedprice)) AS y, avg(l_discount) AS disc, avg(l_quantity) AS qty FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 3, 4)",
+        [("quarterly", "SELECT * FROM pa", ["disc", "qty"], ["id"], {"yr": (PS.YEARS, 1), "q": (range(1, 5), 1)}, "")],
+    ),
+)
 def e12(spark: Spark, d: str) -> DataFrame:
     """Quarterly panel with year and season dummies, both demeaned by unit."""
     li = load(spark, d, "lineitem")
@@ -190,7 +209,11 @@ def e12(spark: Spark, d: str) -> DataFrame:
     return R.panel_fit(panel, "y", ["disc", "qty"], "l_suppkey", ["yr", "q"], "cl", spec="quarterly")
 
 
-@query("e13_cross_section_year_effects")
+_E13_NAMES, _E13_MARKS = PS.marks({"yr": (PS.YEARS, 1)}, "sy")
+_E13_BODY, _E13_SELECT = PS.fit("f", "x", "y", ["disc10", "_const"], _E13_NAMES, ["disc10", "_const"])
+
+
+@query("e13_cross_section_year_effects", f"WITH {B.SY}, x AS MATERIALIZED (SELECT cl, y, disc / 0.1 AS disc10, 1.0::DOUBLE AS _const, {_E13_MARKS} FROM sy), {_E13_BODY} {_E13_SELECT}")
 def e13(spark: Spark, d: str) -> DataFrame:
     """Regressor per 0.1 with constant and year effects, no unit effects."""
     sy = settle(B.supplier_year(spark, d)).withColumn("disc10", F.col("disc") / 0.1)
@@ -199,35 +222,61 @@ def e13(spark: Spark, d: str) -> DataFrame:
     return R.coefficient_table(m, R.ols(m, ["disc10", *extra], "y"), ["disc10", "_const"])
 
 
-@query("e14_trends_and_interaction")
+@query(
+    "e14_trends_and_interaction",
+    fits_sql(
+        f"{B.SY}, si AS MATERIALIZED (SELECT *, disc * bal / 1000 AS disc_x_bal FROM sy)",
+        [
+            ("trends", "SELECT * FROM si", ["disc"], ["id"], {"yr": (PS.YEARS, 2)}, "yr"),
+            ("interaction", "SELECT * FROM si", ["disc", "disc_x_bal"], ["id"], {"yr": (PS.YEARS, 1)}, ""),
+            ("drop_two", "SELECT * FROM si WHERE cl NOT IN (3, 7)", ["disc"], ["id"], {"yr": (PS.YEARS, 1)}, ""),
+            ("late", "SELECT * FROM si WHERE yr >= 1998", ["disc"], ["id"], {"yr": (PS.YEARS, 1)}, ""),
+        ],
+    ),
+)
 def e14(spark: Spark, d: str) -> DataFrame:
-    """Unit trends, an interaction, a sample without two clusters and a sub-period."""
-    sy = settle(B.supplier_year(spark, d)).withColumn("disc_x_bal", F.col("disc") * F.col("bal") / 1000)
-    return _spec_union(
+    """Unit trends, an interaction, a sample without two clusters and a sub-period, from one pass."""
+    sy = B.supplier_year(spark, d).withColumn("disc_x_bal", F.col("disc") * F.col("bal") / 1000)
+    return R.panel_fits(
+        sy,
+        "id",
+        ["yr"],
+        "cl",
         [
-            R.panel_fit(sy, "y", ["disc"], "id", ["yr"], "cl", trend="yr", spec="trends"),
-            R.panel_fit(sy, "y", ["disc", "disc_x_bal"], "id", ["yr"], "cl", spec="interaction"),
-            R.panel_fit(sy.filter(~F.col("cl").isin(3, 7)), "y", ["disc"], "id", ["yr"], "cl", spec="drop_two"),
-            R.panel_fit(sy.filter("yr >= 1998"), "y", ["disc"], "id", ["yr"], "cl", spec="late"),
-        ]
+            R.Spec("trends", "y", ["disc"], trend="yr"),
+            R.Spec("interaction", "y", ["disc", "disc_x_bal"]),
+            R.Spec("drop_two", "y", ["disc"], ~F.col("cl").isin(3, 7)),
+            R.Spec("late", "y", ["disc"], F.col("yr") >= 1998),
+        ],
     )
 
 
-@query("e15_wild_bootstrap_t")
+_E15_WITHIN, _E15_DUMMIES = PS.within("w", "sy", "id", ["cl"], ["y", "disc", "tax"], {"yr": (PS.YEARS, 1)})
+SEED, SEED_AR = 20261006, 20261007
+
+
+@query(
+    "e15_wild_bootstrap_t",
+    f"WITH {B.SY}, {_E15_WITHIN}, {PS.wild('t', 'w', 'disc', 'y', '0.0', [*_E15_DUMMIES, 'tax'], 'SELECT 0.0::DOUBLE AS candidate', 999, SEED)} SELECT *, 'disc' AS term FROM ({PS.summary('t', 999, SEED, {'t_lo': 0.025, 't_hi': 0.975})})",
+)
 def e15(spark: Spark, d: str) -> DataFrame:
     sy = settle(B.supplier_year(spark, d).select("id", "cl", "yr", "y", "disc", "tax"))
     design, dummies = R.within(sy, "id", ["yr"], ["y", "disc", "tax"])
     x = ["disc", "tax", *dummies]
-    return BS.wild_t(R.cluster_moments(design, [*x, "y"], "cl"), x, "y", "disc", reps=999)
+    return BS.wild_t(R.cluster_moments(design, [*x, "y"], "cl"), x, "y", "disc", reps=999, seed=SEED)
 
 
 GRID = [round(-3 + 0.25 * i, 2) for i in range(25)]
+GRID_SQL = "SELECT round(-3 + 0.25 * i, 2)::DOUBLE AS candidate FROM (SELECT unnest(range(0, 25, {step})) AS i)"
 
 
-@query("e16_inversion_grid")
+@query(
+    "e16_inversion_grid",
+    f"WITH {ONE_REG}, {PS.wild('t', 'm', 'x', 'yy', 'x', ['z'], GRID_SQL.format(step=1), 399, SEED)} SELECT *, p >= 0.05 AS keep FROM ({PS.summary('t', 399, SEED)})",
+)
 def e16(spark: Spark, d: str) -> DataFrame:
     m = _one_regressor(spark, d)
-    return BS.wild_inversion(m, ["disc", "tax"], "y", "disc", GRID, reps=399)
+    return BS.wild_inversion(m, ["disc", "tax"], "y", "disc", GRID, reps=399, seed=SEED)
 
 
 @query(
@@ -258,11 +307,14 @@ def e19(spark: Spark, d: str) -> DataFrame:
     return ar.withColumn("statistic", F.round("statistic", 5))
 
 
-@query("e20_wild_anderson_rubin")
+@query(
+    "e20_wild_anderson_rubin",
+    f"WITH {B.SY}, m AS (SELECT cl, y - avg(y) OVER w AS yy, disc - avg(disc) OVER w AS d, tax - avg(tax) OVER w AS z, qty - avg(qty) OVER w AS c FROM sy WINDOW w AS (PARTITION BY id)), {PS.wild('t', 'm', 'z', 'yy', 'd', ['c'], GRID_SQL.format(step=4), 299, SEED_AR, square=True)} SELECT *, observed < critical AS keep FROM ({PS.summary('t', 299, SEED_AR, {'critical': 0.95})})",
+)
 def e20(spark: Spark, d: str) -> DataFrame:
     sy = B.supplier_year(spark, d).select("id", "cl", "y", "disc", "tax", "qty")
     m = R.cluster_moments(R.demean(sy, "id", ["y", "disc", "tax", "qty"]), ["y", "disc", "tax", "qty"], "cl")
-    return BS.wild_anderson_rubin(m, "y", "disc", ["qty"], ["tax"], GRID[::4], reps=299)
+    return BS.wild_anderson_rubin(m, "y", "disc", ["qty"], ["tax"], GRID[::4], reps=299, seed=SEED_AR)
 
 
 SHIFT = f"""{B.ST}, w AS (SELECT unit, origin, sum(CASE WHEN yr = 1995 THEN stock ELSE 0 END) AS base, sum(CASE WHEN yr = 2000 THEN stock ELSE 0 END) AS e FROM st WHERE yr IN (1995, 2000) GROUP BY 1, 2),
@@ -303,12 +355,19 @@ def e24(spark: Spark, d: str) -> DataFrame:
     return g.select("id", lo.alias("lo"), hi.alias("hi"), ((lo >= 0.045) & (hi <= 0.055)).alias("inside"))
 
 
-@query("e25_inversion_summary")
+@query(
+    "e25_inversion_summary",
+    f"""WITH {ONE_REG}, {PS.wild('t', 'm', 'x', 'yy', 'x', [], GRID_SQL.format(step=1), 199, SEED)}, {PS.wild('u', 'm', 'x', 'yy', 'x', ['z'], GRID_SQL.format(step=1), 199, SEED)},
+    a AS (SELECT 'bivariate' AS model, candidate, p >= 0.05 AS keep FROM ({PS.summary('t', 199, SEED)}) UNION ALL SELECT 'with_tax', candidate, p >= 0.05 FROM ({PS.summary('u', 199, SEED)})),
+    b AS (SELECT *, min(candidate) FILTER (WHERE keep) OVER w AS lo, max(candidate) FILTER (WHERE keep) OVER w AS hi FROM a WINDOW w AS (PARTITION BY model))
+    SELECT model, min(lo) AS accepted_min, max(hi) AS accepted_max, count(*) FILTER (WHERE keep) AS accepted, count(*) AS tested, concat_ws(';', CASE WHEN count(*) FILTER (WHERE keep) = 0 THEN '{BS.NONE_ACCEPTED}' END, CASE WHEN bool_or(keep AND candidate = -3) THEN '{BS.OPEN_BELOW}' END,
+      CASE WHEN bool_or(keep AND candidate = 3) THEN '{BS.OPEN_ABOVE}' END, CASE WHEN bool_or(NOT keep AND candidate > lo AND candidate < hi) THEN '{BS.DISJOINT}' END) AS warnings FROM b GROUP BY 1""",
+)
 def e25(spark: Spark, d: str) -> DataFrame:
     """Tested grids of two models reduced to accepted range, count and warnings."""
     m = _one_regressor(spark, d)
-    one = BS.wild_inversion(m, ["disc"], "y", "disc", GRID, reps=199).withColumn("model", F.lit("bivariate"))
-    two = BS.wild_inversion(m, ["disc", "tax"], "y", "disc", GRID, reps=199).withColumn("model", F.lit("with_tax"))
+    one = BS.wild_inversion(m, ["disc"], "y", "disc", GRID, reps=199, seed=SEED).withColumn("model", F.lit("bivariate"))
+    two = BS.wild_inversion(m, ["disc", "tax"], "y", "disc", GRID, reps=199, seed=SEED).withColumn("model", F.lit("with_tax"))
     return BS.inversion_summary(one.unionByName(two), ["model"], (GRID[0], GRID[-1]))
 
 

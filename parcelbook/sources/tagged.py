@@ -29,9 +29,34 @@ AREA_KIND, AREA_UNIT = "grossFloorArea", "m2"
 CRS = "urn:ogc:def:crs:EPSG::25830"
 
 
+CORRUPT = "_corrupt_record"
+
+
 def read_records(spark: SparkSession, path: str, row_tag: str = "featureMember") -> DataFrame:
-    """Row-tag splitting of the XML source; records never pass through one task."""
-    return spark.read.format("xml").option("rowTag", row_tag).option("ignoreNamespace", True).schema(BUILDING).load(path)
+    """Row-tag splitting of XML files; records never pass through one task.
+
+    A record that cannot be parsed is a row too: it has null columns and its text in
+    ``_corrupt_record``. ``file`` is the name of the file a record stands in.
+    """
+    reader = spark.read.format("xml").option("rowTag", row_tag).option("ignoreNamespace", True)
+    declared = f"{BUILDING}, {CORRUPT} STRING"
+    scan = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).schema(declared).load(path)
+    return scan.select("Building", CORRUPT, F.col("_metadata.file_name").alias("file"))
+
+
+def declared_counts(spark: SparkSession, path: str, attribute: str = "numberReturned") -> DataFrame:
+    """(file, declared): how many records each file says it has, from the attribute of its collection."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"))
+    said = F.regexp_extract("value", rf"\b{attribute}\s*=\s*[\"'](\d+)[\"']", 1)
+    return lines.filter(F.contains("value", F.lit(attribute))).groupBy("file").agg(F.sum(F.nullif(said, F.lit("")).cast("long")).alias("declared"))
+
+
+def record_counts(records: DataFrame, declared: DataFrame) -> DataFrame:
+    """(file, declared, read, corrupt, verdict): records of each file against the number it declares."""
+    read = records.groupBy("file").agg(F.count("*").alias("read"), F.count(CORRUPT).alias("corrupt"))
+    both = declared.join(read, "file", "full").select("file", "declared", F.coalesce("read", F.lit(0)).alias("read"), F.coalesce("corrupt", F.lit(0)).alias("corrupt"))
+    verdict = F.when(F.col("declared").isNull(), "undeclared").when(F.col("declared") != F.col("read"), "count_differs").when(F.col("corrupt") > 0, "corrupt_records").otherwise("ok")
+    return both.withColumn("verdict", verdict)
 
 
 def parse_record(xml: Column) -> Column:

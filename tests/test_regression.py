@@ -1,5 +1,7 @@
 """Estimators against dense numpy formulas and exact identities."""
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -128,13 +130,24 @@ def brute_t(x, y, cl, j, v):
 def test_wild_statistics_equal_refits(spark, toy):
     m = R.cluster_moments(frame(spark, toy), ["d", "w", "one", "y"], "cl")
     draws = {r["rep"]: r["statistic"] for r in BS.replicate_statistics(m, ["d", "w", "one"], "y", ["d"], None, [0.0], 20, 5).collect()}
-    keys = {r["cluster"]: r["key"] for r in m.table.select("cluster", "key").collect()}
     x = np.column_stack([toy["d"], toy["w"], toy["one"]])
     for rep in (0, 1, 7, 20):
-        v = np.array([BS.signs(np.array([keys[c]]), np.array([rep]), 5)[0, 0] for c in toy["cl"]])
+        v = np.array([sign(5, rep, c) for c in toy["cl"]])
         assert np.isclose(draws[rep], brute_t(x, toy["y"], toy["cl"], 0, v), rtol=1e-7)
 
 
+def sign(seed, rep, cluster):
+    """The drawing rule, bit by bit."""
+    digest = int(hashlib.md5(f"{seed}:{rep // 128}:{cluster}".encode()).hexdigest(), 16)
+    return 1 if rep == 0 or digest >> (127 - rep % 128) & 1 else -1
+
+
+def test_signs_follow_the_rule_in_every_block():
+    v = BS.signs(["a", "7", ""], 300, 9)
+    assert v.shape == (301, 3) and v.tolist() == [[sign(9, r, c) for c in ("a", "7", "")] for r in range(301)]
+    assert abs(BS.signs([str(i) for i in range(200)], 499, 1)[1:].mean()) < 0.02
+
+
 def test_inversion_shares_draws_and_is_deterministic(spark, toy):
     m = R.cluster_moments(frame(spark, toy), ["d", "w", "one", "y"], "cl")
     x = ["d", "w", "one"]

@@ -92,6 +92,51 @@ def test_cube_keeps_zero_and_missing(spark, rows):
         (0, 0, 1.5, None), (0, 1, None, ":"), (0, 2, 0.0, None), (1, 0, None, None), (1, 1, None, None), (1, 2, 9.0, None)]
 
 
+CATEGORIES = '"dimension":{"g":{"category":{"index":{"b":1,"a":0},"label":{"a":"First","b":"Second"}}},"t":{"category":{"index":["2024","2025","2026"]}}}'
+
+
+def test_cube_forms_orders_and_labels_agree(spark, rows):
+    want = [("a", "First", "2024", 0.0, "b"), ("a", "First", "2025", None, None), ("a", "First", "2026", 2.5, None), ("b", "Second", "2024", None, "c"), ("b", "Second", "2025", None, None), ("b", "Second", "2026", 9.0, None)]
+    docs = [
+        ("map", '{"id":["g","t"],"size":[2,3],"value":{"0":0,"2":2.5,"5":9},"status":{"0":"b","3":"c"},' + CATEGORIES + "}"),
+        ("list", '{"id":["g","t"],"size":[2,3],"value":[0,null,2.5,null,null,9.0],"status":["b",null,null,"c"],' + CATEGORIES + "}"),
+        ("short", '{"id":["g","t"],"size":[2,3],"value":[0,null,2.5,null,null,9.0,7,7],"status":{"0":"b","3":"c","9":"x","01":"y"},' + CATEGORIES + "}"),
+        ("turned", '{"id":["t","g"],"size":[3,2],"value":{"0":0,"4":2.5,"5":9},"status":["b","c"],' + CATEGORIES + "}"),
+    ]
+    df = NS.cube_cells(spark.createDataFrame(docs, "k string, doc string"), "doc", ["k"], ["g", "t"])
+    for name, _ in docs:
+        assert rows(df.filter(df.k == name), "g", "g_label", "t", "value", "status") == sorted(want, key=lambda t: tuple((v is None, str(v)) for v in t)), name
+    assert rows(NS.cube_violations(spark.createDataFrame(docs, "k string, doc string"), "doc", ["k"], ["g", "t"])) == [("short", "position_out_of_range")]
+
+
+def test_broken_cubes_are_named_and_give_no_wrong_cell(spark, rows):
+    cube = lambda value, sizes="[2,3]", ids='["g","t"]': f'{{"id":{ids},"size":{sizes},"value":{value},{CATEGORIES}}}'
+    docs = [
+        ("text", cube('{"0":"12.5","1":true,"2":3}')),
+        ("none", cube("{}")),
+        ("number", cube("7")),
+        ("sizes", cube("[1]", "[2]")),
+        ("index", cube("[1]", "[3,3]")),
+        ("dims", cube("[1]", "[2,3]", '["g","x"]')),
+        ("twice", cube("[1]", "[2,2]", '["g","g"]')),
+        ("outside", cube('{"-1":1,"2":3,"6":1}')),
+        ("high", cube("[101, 0]")),
+        ("broken", "{"),
+        ("null", None),
+    ]
+    df = spark.createDataFrame(docs, "k string, doc string")
+    got = {}
+    for r in NS.cube_violations(df, "doc", ["k"], ["g", "t"], {"g": "a"}, 0, 100).filter("violation <> 'unexpected_g'").collect():
+        got.setdefault(r.k, set()).add(r.violation)
+    assert got["text"] == {"not_a_number"} and got["none"] == {"no_values"} and got["number"] == {"value_container", "no_values"}
+    assert got["sizes"] >= {"size_mismatch"} and got["index"] == {"category_index"} and got["outside"] == {"position_out_of_range"}
+    assert got["dims"] == {"unexpected_dimensions", "category_index"} and got["twice"] >= {"repeated_dimension"} and got["high"] == {"out_of_bounds"}
+    assert got["broken"] >= {"unreadable"} and got["null"] >= {"unreadable"}
+    cells = NS.cube_rows(df, "doc", ["k"], 2)
+    assert rows(cells.filter("k in ('text', 'outside') and value is not null"), "k", "pos", "value") == [("outside", 2, 3.0), ("text", 2, 3.0)]
+    assert cells.filter("k in ('sizes', 'broken', 'null')").count() == 0
+
+
 def test_series_and_wide_years(spark, rows):
     doc = '[{"Nombre":"Álava. Total. Personas.","COD":"X","Data":[{"Anyo":2020,"FK_Periodo":28,"Valor":5.0},{"Anyo":2021,"FK_Periodo":28,"Valor":null}]},{"Nombre":"Álava. Hombres. Personas.","COD":"Y","Data":[]}]'
     df = NS.series_rows(spark.createDataFrame([(doc,)], "doc string"), "doc", ["Total", "Personas"], [])
