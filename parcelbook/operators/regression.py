@@ -13,7 +13,9 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from parcelbook.operators.order_stats import null_safe_join
@@ -103,6 +105,12 @@ def year_effects(df: DataFrame, period: str) -> tuple[DataFrame, list[str]]:
 # ------------------------------------------------------------- cluster moments
 
 
+def vector_sum(array: Column | str, over: WindowSpec | None = None) -> Column:
+    """Place-wise sum of arrays of equal length as one aggregate, however long they are."""
+    summary = Summarizer.metrics("sum").summary(array_to_vector(F.col(array) if isinstance(array, str) else array))
+    return vector_to_array((summary.over(over) if over is not None else summary)["sum"])
+
+
 @dataclass
 class Moments:
     """Per-cluster upper-triangle cross products of ``columns`` (last one is ONE)."""
@@ -232,9 +240,14 @@ def sandwich(m: Moments, left: list[str], y: str, x: list[str], beta: np.ndarray
 def ols(m: Moments, x: list[str], y: str) -> Fit:
     """Least squares with CR1V covariance (equals HC1 when clusters are single rows)."""
     bread = inverse(m.block(x, x))
+    return fitted(m, x, y, bread, sandwich(m, x, y, x, bread @ m.block(x, [y])[:, 0]))
+
+
+def fitted(m: Moments, x: list[str], y: str, bread: np.ndarray, meat: np.ndarray) -> Fit:
+    """The fit whose score products are known."""
     xy = m.block(x, [y])[:, 0]
     beta = bread @ xy
-    cov = bread @ sandwich(m, x, y, x, beta) @ bread * m.correction(len(x))
+    cov = bread @ meat @ bread * m.correction(len(x))
     yy = m.block([y], [y])[0, 0]
     sse = yy - 2 * beta @ xy + beta @ m.block(x, x) @ beta
     sst = yy - m.block([y], [ONE])[0, 0] ** 2 / m.rows
@@ -298,17 +311,21 @@ def anderson_rubin(m: Moments, y: str, d: str, w: list[str], z: list[str], grid:
     return m.table.sparkSession.createDataFrame(rows, "candidate double, statistic double, keep boolean")
 
 
-def coefficient_table(m: Moments, fit: Fit, shown: list[str], **labels: str) -> DataFrame:
-    """Tidy table of the shown terms with t and the normal interval."""
+COEFFICIENTS = "term string, b double, se double, t double, lo95 double, hi95 double, n long, k int, clusters long, r2 double"
+
+
+def coefficient_rows(fit: Fit, shown: list[str]) -> list[tuple]:
     rows = []
     for term in shown:
         i = fit.terms.index(term)
         b, s = float(fit.beta[i]), float(fit.se[i])
         rows.append((term, b, s, b / s if s > 0 else None, b - 1.96 * s, b + 1.96 * s, fit.n, fit.k, fit.clusters, fit.r2))
-    df = m.table.sparkSession.createDataFrame(
-        rows,
-        "term string, b double, se double, t double, lo95 double, hi95 double, n long, k int, clusters long, r2 double",
-    )
+    return rows
+
+
+def coefficient_table(m: Moments, fit: Fit, shown: list[str], **labels: str) -> DataFrame:
+    """Tidy table of the shown terms with t and the normal interval."""
+    df = m.table.sparkSession.createDataFrame(coefficient_rows(fit, shown), COEFFICIENTS)
     for name, value in labels.items():
         df = df.withColumn(name, F.lit(value))
     return df
@@ -365,16 +382,17 @@ def unit_products(df: DataFrame, unit: str, periods: list[str], cluster: str, sp
     wide = rows.select("_unit", "_cluster", "_models", *[c.alias(name) for name, c in columns])
     names = [name for name, _ in columns]
     triangle = list(zip(*np.triu_indices(len(names)), strict=True))
-    own = wide.groupBy("_unit", "_cluster", "_models").agg(F.array(*[F.coalesce(F.sum(F.col(names[i]) * F.col(names[j])), F.lit(0.0)) for i, j in triangle]).alias("m"))
+    product = F.expr(f"array({', '.join(f'coalesce({names[i]} * {names[j]}, 0D)' for i, j in triangle)})")
+    own = wide.select("_unit", "_cluster", "_models", product.alias("m")).groupBy("_unit", "_cluster", "_models").agg(vector_sum("m").alias("m"))
     used = F.filter(F.array(*[F.lit(i) for i in range(len(specs))]), lambda i: F.col("_models").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i)) != 0)
     dealt = own.select(F.explode(used).alias("spec"), "_unit", "_cluster", "m").repartition("spec", "_unit")
-    summed = dealt.groupBy("spec", "_unit", "_cluster").agg(F.array(*[F.sum(F.col("m")[i]) for i in range(len(triangle))]).alias("m"))
+    summed = dealt.groupBy("spec", "_unit", "_cluster").agg(vector_sum("m").alias("m"))
     labels = dict(zip([f"_v{i}" for i in range(len(values))], values, strict=True))
     return summed, [labels.get(n, n) for n in names], marks
 
 
-def within_moments(df: DataFrame, unit: str, periods: list[str], cluster: str, specs: list[Spec]) -> dict[str, tuple[Moments, list[str]]]:
-    """For each model the cluster moments after unit means (and unit trends) are taken off, and its dummies.
+def within_moments(df: DataFrame, unit: str, periods: list[str], cluster: str, specs: list[Spec]) -> tuple[DataFrame, dict[str, tuple[Moments, list[str]]]]:
+    """Cluster moments after unit means (and unit trends) are taken off: of all models together, and of each with its dummies.
 
     With S the sums of a unit's rows in one cluster, n their number, and U and N those of
     the whole unit, the products of deviations are S_xz - U_x S_z / N - S_x U_z / N +
@@ -386,16 +404,11 @@ def within_moments(df: DataFrame, unit: str, periods: list[str], cluster: str, s
     i, j = np.triu_indices(p)
     flat = {(a, b): k for k, (a, b) in enumerate(zip(i.tolist(), j.tolist(), strict=True))}
     one, trend = p - 1, at.get("_trend")
-    place = lambda a, b: F.col("m")[flat[min(a, b), max(a, b)]]
+    # products with the constant and with the trend, whose sums over the unit are needed
+    wanted = [flat[c, one] for c in range(p)] + ([flat[min(c, trend), max(c, trend)] for c in range(p)] if trend is not None else [])
     whole = Window.partitionBy("spec", "_unit")
-    of_unit = summed.select(
-        "spec",
-        F.col("_cluster").alias("cluster"),
-        "m",
-        F.array(*[F.sum(place(c, one)).over(whole) for c in range(p)]).alias("u"),
-        F.array(*[F.sum(place(c, trend)).over(whole) for c in range(p)] if trend is not None else [F.lit(0.0)]).alias("ut"),
-        F.count("*").over(whole).alias("shares"),
-    )
+    picked = F.transform(F.lit(wanted), lambda k: F.get("m", k))
+    of_unit = summed.select("spec", F.col("_cluster").alias("cluster"), "m", vector_sum(picked, whole).alias("u"), F.count("*").over(whole).alias("shares"))
     with_trend = np.array([s.trend is not None for s in specs])
 
     def deviations(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -403,13 +416,13 @@ def within_moments(df: DataFrame, unit: str, periods: list[str], cluster: str, s
             if not len(batch):
                 continue
             s = _square(np.stack(batch["m"].to_numpy()), p)
-            u = np.stack(batch["u"].to_numpy())
+            u, ut = np.split(np.stack(batch["u"].to_numpy()), [p], axis=1)
             n, own, total = s[:, one, one], s[:, :, one], u[:, one]
             mean = u / total[:, None]
             w = s - mean[:, :, None] * own[:, None, :] - own[:, :, None] * mean[:, None, :] + n[:, None, None] * mean[:, :, None] * mean[:, None, :]
             if trend is not None:
                 lined = with_trend[batch["spec"].to_numpy()]
-                joint = np.stack(batch["ut"].to_numpy()) - u * mean[:, [trend]]
+                joint = ut - u * mean[:, [trend]]
                 spread = joint[:, trend]
                 slope = np.where((lined & (spread > 1e-9))[:, None], joint / np.where(spread > 1e-9, spread, 1.0)[:, None], 0.0)
                 wt = w[:, :, trend]
@@ -419,12 +432,11 @@ def within_moments(df: DataFrame, unit: str, periods: list[str], cluster: str, s
             kept = np.concatenate([w[:, i, j], own, (1.0 / batch["shares"].to_numpy())[:, None]], axis=1)
             yield pd.DataFrame({"spec": batch["spec"], "cluster": batch["cluster"], "w": list(kept)})
 
-    width = len(i) + p + 1
     kind = summed.schema["_cluster"].dataType.simpleString()
     parts = of_unit.mapInPandas(deviations, f"spec int, cluster {kind}, w array<double>")
-    table = settle(parts.groupBy("spec", "cluster").agg(F.array(*[F.sum(F.col("w")[k]) for k in range(width)]).alias("w")))
+    table = settle(parts.groupBy("spec", "cluster").agg(vector_sum("w").alias("w")))
     # one row for each model comes back
-    totals = {r.spec: (r.g, np.array(r.w)) for r in table.groupBy("spec").agg(F.count("*").alias("g"), F.array(*[F.sum(F.col("w")[k]) for k in range(width)]).alias("w")).collect()}
+    totals = {r.spec: (r.g, np.array(r.w)) for r in table.groupBy("spec").agg(F.count("*").alias("g"), vector_sum("w").alias("w")).collect()}
     out = {}
     for number, spec in enumerate(specs):
         if number not in totals:
@@ -438,18 +450,36 @@ def within_moments(df: DataFrame, unit: str, periods: list[str], cluster: str, s
             dummies += present[2 if spec.trend and place_no == 0 else 1 :]
         own = table.filter(F.col("spec") == number).select("cluster", F.slice("w", 1, len(i)).alias("m"), F.xxhash64("cluster").alias("key"))
         out[spec.name] = (Moments(own, names, round(square[one, one]), clusters, square, round(w[-1]) if spec.trend else 0, at), dummies)
-    return out
+    return table.select("spec", F.slice("w", 1, len(i)).alias("m")), out
 
 
 def panel_fits(df: DataFrame, unit: str, periods: list[str], cluster: str, specs: list[Spec]) -> DataFrame:
-    """Tidy coefficients of several two-way panel models, each on its own complete cases."""
-    moments = within_moments(df, unit, periods, cluster, specs)
-    out = None
-    for s in specs:
-        m, dummies = moments[s.name]
-        shown = coefficient_table(m, ols(m, [*s.regressors, *dummies], s.y), s.regressors, spec=s.name)
-        out = shown if out is None else out.unionByName(shown)
-    return out
+    """Tidy coefficients of several two-way panel models, each on its own complete cases.
+
+    The score products of all models are added up in one job.
+    """
+    together, moments = within_moments(df, unit, periods, cluster, specs)
+    models = [(s, m, [*s.regressors, *dummies]) for s, (m, dummies) in zip(specs, moments.values(), strict=True)]
+    bread = [inverse(m.block(x, x)) for _, m, x in models]
+    beta = [b @ m.block(x, [s.y])[:, 0] for b, (s, m, x) in zip(bread, models, strict=True)]
+    places = [(m.at(x), m.where[s.y], len(m.columns)) for s, m, x in models]
+
+    def scores(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        acc = [np.zeros((len(x), len(x))) for x, _, _ in places]
+        for batch in batches:
+            for number, own in batch.groupby("spec"):
+                x, y, p = places[number]
+                mm = _square(np.stack(own["m"].to_numpy()), p)
+                s = mm[:, x, y] - mm[:, x][:, :, x] @ beta[number]
+                acc[number] += s.T @ s
+        yield pd.DataFrame({"spec": range(len(acc)), "s": [a.ravel() for a in acc]})
+
+    meat = {r.spec: np.array(r.s) for r in together.mapInPandas(scores, "spec int, s array<double>").groupBy("spec").agg(vector_sum("s").alias("s")).collect()}
+    rows = []
+    for i, (s, m, x) in enumerate(models):
+        fit = fitted(m, x, s.y, bread[i], meat[i].reshape(len(x), len(x)))
+        rows += [(*row, s.name) for row in coefficient_rows(fit, s.regressors)]
+    return df.sparkSession.createDataFrame(rows, f"{COEFFICIENTS}, spec string")
 
 
 def panel_fit(

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Brackets at most; bins of one round over all brackets; rows that end the narrowing.
-BRACKETS, BINS, LAST_ROWS = 2048, 1 << 17, 50_000
+BRACKETS, BINS, LAST_ROWS = 2048, 1 << 12, 5_000
 _PLAIN = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
 
@@ -63,33 +63,30 @@ def few_groups(df: DataFrame, by: list[str], value: str, weight: Column, positio
     facts = df.filter(F.col(value).isNotNull()).groupBy(*by).agg(F.sum(weight).alias("total"), F.count("*").alias("_rows"), F.min(value).alias("_low"), F.max(value).alias("_high"), odd.alias("_odd"))
     most = BRACKETS // max(1, len(flat))
     groups = facts.select("*", *flat).limit(most + 1).collect()
-    if not by:
-        groups = [g for g in groups if g["_rows"]]
+    if not by and not groups[0]["_rows"]:
+        return None
     return None if len(groups) > most or any(g["_odd"] for g in groups) else groups
 
 
 def _in_brackets(df: DataFrame, by: list[str], value: str, weight: Column, open_: dict[tuple, Bracket]) -> DataFrame:
     """(_b, _v, _w, _lo, _hi): rows of the brackets with the bracket's number and range.
 
-    The table of brackets has BRACKETS entries at most, so it is sent to every task.
+    Brackets of one group do not overlap. Their table has BRACKETS entries at most, so it
+    is sent to every task.
     """
     kind = df.schema[value].dataType
-    entry = T.StructType([T.StructField("b", T.IntegerType()), T.StructField("lo", kind), T.StructField("hi", kind)])
-    of_group: dict[tuple, list[tuple]] = {}
-    for i, ((group, _, _), b) in enumerate(open_.items()):
-        of_group.setdefault(group, []).append((i, b.low, b.high))
-    rows = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"), weight.alias("_w"))
+    picked = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"), weight.alias("_w"))
     if by:
         names = [f"_g{i}" for i in range(len(by))]
-        fields = [T.StructField(n, df.schema[c].dataType) for n, c in zip(names, by, strict=True)]
-        table = F.broadcast(df.sparkSession.createDataFrame([(*g, own) for g, own in of_group.items()], T.StructType([*fields, T.StructField("_own", T.ArrayType(entry))])))
+        fields = [*[T.StructField(n, df.schema[c].dataType) for n, c in zip(names, by, strict=True)], T.StructField("_b", T.IntegerType()), T.StructField("_lo", kind), T.StructField("_hi", kind)]
+        table = df.sparkSession.createDataFrame([(*group, i, b.low, b.high) for i, ((group, _, _), b) in enumerate(open_.items())], T.StructType(fields))
         same = reduce(lambda a, c: a & c, [F.col(c).eqNullSafe(F.col(n)) for n, c in zip(names, by, strict=True)])
-        rows = rows.join(table, same)
-    else:
-        own = [F.struct(F.lit(i).alias("b"), F.lit(low).cast(kind).alias("lo"), F.lit(high).cast(kind).alias("hi")) for i, low, high in of_group.get((), [])]
-        rows = rows.withColumn("_own", F.array(*own).cast(T.ArrayType(entry)))
-    fits = F.explode(F.filter("_own", lambda e: F.col("_v").between(e["lo"], e["hi"])))
-    return rows.select("_v", "_w", fits.alias("_e")).select("_e.b", "_v", "_w", "_e.lo", "_e.hi").toDF("_b", "_v", "_w", "_lo", "_hi")
+        return picked.join(F.broadcast(table), same & F.col("_v").between(F.col("_lo"), F.col("_hi"))).select("_b", "_v", "_w", "_lo", "_hi")
+    own = F.lit(None)
+    for i, b in enumerate(open_.values()):
+        low, high = F.lit(b.low).cast(kind), F.lit(b.high).cast(kind)
+        own = F.when(F.col("_v").between(low, high), F.struct(F.lit(i).alias("_b"), low.alias("_lo"), high.alias("_hi"))).otherwise(own)
+    return picked.withColumn("_e", own).filter("_e is not null").select("_e._b", "_v", "_w", "_e._lo", "_e._hi")
 
 
 def select(df: DataFrame, by: list[str], value: str, weight: Column, positions: list[Column]) -> list[tuple[object, list[Found]]] | None:
@@ -99,8 +96,8 @@ def select(df: DataFrame, by: list[str], value: str, weight: Column, positions:
     share are counted once.
     """
     groups = few_groups(df, by, value, weight, positions)
-    if groups is None:
-        return None
+    if not groups:
+        return groups
     held: dict[tuple, Bracket] = {}
     target: dict[tuple, object] = {}
     for g in groups:
@@ -116,7 +113,7 @@ def select(df: DataFrame, by: list[str], value: str, weight: Column, positions:
         if turn > 1 and rows >= before[-2]:  # values that differ beyond what a double tells apart
             return None
         before.append(rows)
-        bins = max(16, BINS // len(open_))
+        bins = max(8, BINS // len(open_))
         own = _in_brackets(df, by, value, weight, open_)
         x, lo, hi = (F.col(c).cast("double") for c in ("_v", "_lo", "_hi"))
         place = (_linear if turn % 2 else _logarithmic)(x, lo, hi, bins)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -32,21 +33,28 @@ CRS = "urn:ogc:def:crs:EPSG::25830"
 CORRUPT = "_corrupt_record"
 
 
-def read_records(spark: SparkSession, path: str, row_tag: str = "featureMember") -> DataFrame:
-    """Row-tag splitting of XML files; records never pass through one task.
+def read_records(spark: SparkSession, path: str, row_tag: str = "gml:featureMember") -> DataFrame:
+    """(Building, _corrupt_record, file): the records of XML files (UTF-8), one row each.
 
-    A record that cannot be parsed is a row too: it has null columns and its text in
-    ``_corrupt_record``. ``file`` is the name of the file a record stands in.
+    Files are cut behind the end tag of a record by the text reader, which deals parts of
+    one file to several tasks, and at every start tag, so a record without an end is one of
+    its own. A record that cannot be parsed has null columns and its text in
+    ``_corrupt_record``, and those behind it are read all the same (the ``xml`` source
+    stops at the first of a file). ``row_tag`` is the tag as written, prefix included.
     """
-    reader = spark.read.format("xml").option("rowTag", row_tag).option("ignoreNamespace", True)
-    declared = f"{BUILDING}, {CORRUPT} STRING"
-    scan = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).schema(declared).load(path)
-    return scan.select("Building", CORRUPT, F.col("_metadata.file_name").alias("file"))
+    end = f"</{row_tag}>"
+    # what stands behind the last end tag has no start tag and goes
+    pieces = spark.read.option("lineSep", end).text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    starts = F.split("value", rf"(?=<{re.escape(row_tag)}[\s>])")
+    whole = F.transform(starts, lambda x, i: F.when(x.rlike(rf"^<{re.escape(row_tag)}[\s>]"), F.when(i == F.size(starts) - 1, F.concat(x, F.lit(end))).otherwise(x)))
+    records = pieces.select("file", F.explode(F.array_compact(whole)).alias("text"))
+    parsed = records.select("file", F.from_xml("text", f"{BUILDING}, {CORRUPT} STRING", {"ignoreNamespace": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}).alias("r"))
+    return parsed.select("r.Building", F.col(f"r.{CORRUPT}").alias(CORRUPT), "file")
 
 
 def declared_counts(spark: SparkSession, path: str, attribute: str = "numberReturned") -> DataFrame:
     """(file, declared): how many records each file says it has, from the attribute of its collection."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"))
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
     said = F.regexp_extract("value", rf"\b{attribute}\s*=\s*[\"'](\d+)[\"']", 1)
     return lines.filter(F.contains("value", F.lit(attribute))).groupBy("file").agg(F.sum(F.nullif(said, F.lit("")).cast("long")).alias("declared"))
 

@@ -90,3 +90,45 @@ def test_places_of_all_rows(spark):
     df = spark.range(0, 1000, 1, 7).select(((F.col("id") * 7919) % 1000).alias("k"), F.when(F.col("id") % 3 > 0, F.col("id") % 5).alias("s"))
     got = [(r.s, r.k) for r in sorted(Q.places(df, [F.desc_nulls_last("s"), F.col("k")], "place").collect(), key=lambda r: r.place)]
     assert got == sorted(got, key=lambda t: (t[0] is None, -(t[0] or 0), t[1])) and len(got) == 1000
+
+
+@pytest.mark.parametrize("by", [["g"], ["g", "h"], []])
+def test_brackets_narrow_to_the_same_values(spark, monkeypatch, by):
+    from parcelbook.operators import selection
+
+    monkeypatch.setattr(selection, "LAST_ROWS", 10)
+    monkeypatch.setattr(selection, "BINS", 24)
+    rng = random.Random(8)
+    odd = [0.0, -1e300, 1e300, 1e-300, 5.0, 5.0 + 1e-12]
+    rows = [(rng.choice(["a", "b", None]), rng.choice([1, 2]), rng.choice([rng.gauss(0, 1), rng.lognormvariate(0, 9), rng.choice(odd), float(rng.randint(0, 9))]), rng.randint(0, 3)) for _ in range(900)]
+    rows += [("c", 1, None, 1)]
+    df = spark.createDataFrame(rows, "g string, h int, v double, w int").repartition(3)
+    wanted = {k: Q.rule(k) for k in ("averaging", "upper", "quarter", "three")} | {"p90": Q.rule("index", 0.9), "d": Q.rule("discrete", 0.25)}
+    shown = ["total", *wanted]
+    key = lambda r: tuple(r[c] for c in by)
+    for weight in (None, "w"):
+        narrow = {key(r): [r[c] for c in shown] for r in Q.quantiles(df, by, "v", wanted, weight=weight).collect()}
+        ranged = {key(r): [r[c] for c in shown] for r in Q.quantiles(df, by, "v", wanted, weight=weight, pieces=3).collect()}
+        assert narrow == ranged and len(narrow) == (1 if not by else len({key(dict(zip("ghvw", r, strict=True))) for r in rows if r[2] is not None}))
+    fractions = {"a": 0.1, "b": 0.5, "c": 0.9}
+    cuts = {key(r): [r[c] for c in ("total", *fractions)] for r in Q.weighted_cuts(df, by, "v", "w", fractions).collect()}
+    assert cuts == {key(r): [r[c] for c in ("total", *fractions)] for r in Q.weighted_cuts(df, by, "v", "w", fractions, pieces=3).collect()}
+
+
+@pytest.mark.parametrize("values", [[1, 2, 2, 10**17 + 1, 10**17 + 2, 10**17 + 3], [], [None], [7]])
+def test_brackets_of_whole_numbers_and_nothing(spark, monkeypatch, values):
+    from parcelbook.operators import selection
+
+    monkeypatch.setattr(selection, "LAST_ROWS", 0)
+    df = spark.createDataFrame([(v,) for v in values], "v long")
+    wanted = {"m": Q.rule("upper"), "q": Q.rule("three")}
+    assert [tuple(r) for r in Q.quantiles(df, [], "v", wanted).collect()] == [tuple(r) for r in Q.quantiles(df, [], "v", wanted, pieces=2).collect()]
+
+
+def test_brackets_shuffle_histograms_only(spark):
+    from parcelbook.operators import selection
+
+    df = spark.range(200_000).select((F.col("id") % 3).alias("g"), F.rand(1).alias("v"))
+    rows = selection._in_brackets(df, ["g"], "v", F.lit(1), {((g,), 0.2, 0.4): selection.Bracket(0.2, 0.4, 0, 1) for g in range(3)})
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan and "rangepartitioning" not in plan

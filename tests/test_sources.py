@@ -85,6 +85,36 @@ def test_html_rows(spark):
     assert [(r["id"], r["depth"], r["label"], r["cells"]) for r in got] == [(7, "", "h", []), (7, "n1", "A & B", ["1 2", ""])]
 
 
+def test_broken_records_are_rows_and_cost_no_other(spark, tmp_path, rows):
+    good = [building(f"A000000000000{i}", f"<bu:numberOfDwellings>{i}</bu:numberOfDwellings>") for i in range(6)]
+    unclosed = building("A0000000000007", "<bu:currentUse>x")
+    no_end = building("A0000000000008", "").removesuffix("</gml:featureMember>")
+    head = '<?xml version="1.0"?>\n<gml:FeatureCollection xmlns:gml="g" xmlns:bu="u" numberReturned="{}">\n'
+    (tmp_path / "a.xml").write_text(head.format(5) + "\n".join([good[0], unclosed, no_end, good[1], good[2]]) + "\n</gml:FeatureCollection>")
+    (tmp_path / "b.xml").write_text(head.format(4) + "".join(good[3:]) + "</gml:FeatureCollection>\n")
+    (tmp_path / "c.xml").write_text("<gml:FeatureCollection>" + good[0] + building("A0000000000009", "")[:-60])
+    (tmp_path / "d.xml").write_text(head.format(0) + "</gml:FeatureCollection>")
+    records = TG.read_records(spark, str(tmp_path))
+    out = TG.building_columns(records.filter("_corrupt_record is null"), ["file"])
+    name = F.element_at(F.split("file", "/"), -1).alias("file")
+    assert rows(out, name, "refcat", "dwelling_properties") == sorted([("a.xml" if i < 3 else "b.xml", f"A000000000000{i}", i) for i in range(6)] + [("c.xml", "A0000000000000", 0)])
+    assert sorted(r[0][:40] for r in records.filter("_corrupt_record is not null").select("_corrupt_record").collect()) == sorted(x[:40] for x in (unclosed, no_end, building("A0000000000009", "")))
+    assert rows(TG.record_counts(records, TG.declared_counts(spark, str(tmp_path))), name, "declared", "read", "corrupt", "verdict") == [
+        ("a.xml", 5, 5, 2, "corrupt_records"), ("b.xml", 4, 3, 0, "count_differs"), ("c.xml", None, 2, 1, "undeclared"), ("d.xml", 0, 0, 0, "ok")]
+
+
+def test_records_are_dealt_from_one_file(spark, tmp_path):
+    (tmp_path / "big.xml").write_text("<c>" + "".join(building(f"A{i:013d}", "") for i in range(3000)) + "</c>")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    try:
+        records = TG.read_records(spark, str(tmp_path))
+        assert records.rdd.getNumPartitions() > 3
+        assert TG.building_columns(records).select("refcat").distinct().count() == 3000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_cube_keeps_zero_and_missing(spark, rows):
     doc = '{"id":["g","t"],"size":[2,3],"value":{"0":1.5,"2":0.0,"5":9.0},"status":{"1":":"}}'
     df = NS.cube_rows(spark.createDataFrame([("k", doc)], "k string, doc string"), "doc", ["k"], 2)
