@@ -6,11 +6,13 @@ ranked column reads them again.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parcelbook.operators.aggregates import guarded_corr
-from parcelbook.operators.order_stats import null_safe_join, rank_values
+from parcelbook.operators.aggregates import guarded_corr, vector_sum
+from parcelbook.operators.order_stats import in_ranges, null_safe_join, rank_values
 from parcelbook.session import settle
 
 RESIDUAL_FLOOR = 1e-12
@@ -136,6 +138,120 @@ def omission_frame(df: DataFrame, by: list[str], group: str, out: str) -> DataFr
     return df.select(*by, F.col(group).alias(out)).distinct()
 
 
+# ------------------------------------------------- ranks without one group at a time
+
+#: Labels a row may have counts for; with more, rows fan out by ``omission_samples``.
+LABELS = 512
+
+
+def label_places(df: DataFrame, by: list[str], group: str, most: int = LABELS) -> tuple[DataFrame, int] | None:
+    """(by, group, _k): the place of each label inside its ``by``, and how many places there are; None beyond ``most``."""
+    labels = df.select(*by, group).filter(F.col(group).isNotNull()).distinct()
+    sizes = labels.groupBy(*by).agg(F.count("*").alias("n")) if by else labels.agg(F.count("*").alias("n"))
+    n = sizes.agg(F.max("n")).first()[0] or 0
+    if n > most:
+        return None
+    return settle(labels.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(group)) - 1)), n
+
+
+def ranks_without(df: DataFrame, by: list[str], value: str, out: str, places: int, pieces: int | None = None) -> DataFrame:
+    """Adds ``out``: the average rank of the row's value without each label ``_k`` in turn, less the mean rank.
+
+    The rank without a label is the rank less the label's own rows below the value (and
+    half of those at it), so each distinct value carries one count a label and no row is
+    repeated. Values are counted and ranged as for a plain rank.
+    """
+    mine = F.transform(F.sequence(F.lit(0), F.lit(places - 1)), lambda g: F.when(g == F.col("_k"), 1.0).otherwise(0.0))
+    counts = df.groupBy(*by, value).agg(vector_sum(mine).alias("_own"))
+    ranged = in_ranges(counts, [*by, value], pieces)
+    per_range = ranged.groupBy(*by, "_range").agg(vector_sum("_own").alias("_in"))
+    whole = Window.partitionBy(*by)
+    upto = whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
+    shift = per_range.select(*by, "_range", F.zip_with(vector_sum("_in", upto), "_in", lambda a, b: a - b).alias("_below"), vector_sum("_in", whole).alias("_total"))
+    inside = Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    run = null_safe_join(ranged.withColumn("_cum", vector_sum("_own", inside)), shift, [*by, "_range"])
+    before = F.transform(F.arrays_zip("_cum", "_below", "_own"), lambda c: c["_cum"] + c["_below"] - c["_own"])
+    add = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    table = run.withColumn("_before", before).withColumns({"_b": add(F.col("_before")), "_e": add(F.col("_own")), "_n": add(F.col("_total"))})
+    rank = F.transform(F.arrays_zip("_before", "_own", "_total"), lambda c: (F.col("_b") - c["_before"]) + (F.col("_e") - c["_own"] + 1) / 2 - (F.col("_n") - c["_total"] + 1) / 2)
+    return null_safe_join(df, table.select(*by, value, rank.alias(out)), [*by, value])
+
+
+def omission_moments(df: DataFrame, by: list[str], group: str, values: list[str], within: str | None = None, pieces: int | None = None) -> DataFrame | None:
+    """(by, group, n, s_ab..): sums of products of ranks of the rows outside each label, from one set of rows.
+
+    ``s_0_1`` is that of the first and second value and so on. With ``within`` ranks are
+    centred inside its groups. None where there are too many labels for counts by row.
+    """
+    complete = df.select(*by, group, *values, *([within] if within and within not in (*by, group) else []))
+    for v in (group, *values):
+        complete = complete.filter(F.col(v).isNotNull())
+    rows = settle(complete)
+    found = label_places(rows, by, group)
+    if found is None:
+        return None
+    labels, places = found
+    if not places:
+        return None
+    ranked = null_safe_join(rows, labels, [*by, group])
+    for i, v in enumerate(values):
+        ranked = ranks_without(ranked, by, v, f"_r{i}", places, pieces)
+    pairs = [(i, j) for i in range(len(values)) for j in range(i, len(values))]
+    zipped = F.arrays_zip(F.sequence(F.lit(0), F.lit(places - 1)).alias("k"), *[F.col(f"_r{i}").alias(f"r{i}") for i in range(len(values))])
+    factors: list[list[int]] = [[], *[[i] for i in range(len(values))], *[[i, j] for i, j in pairs]]
+
+    def outside(term: list[int]) -> Column:
+        product = lambda c: reduce(lambda a, i: a * c[f"r{i}"], term, F.lit(1.0))
+        return F.transform(zipped, lambda c: F.when(c["k"] != F.col("_k"), product(c)).otherwise(0.0))
+
+    wide = F.concat(*[outside(term) for term in factors])
+    keys = [*by, *([F.col(within).alias("_within")] if within else [])]
+    sums = ranked.groupBy(*keys).agg(vector_sum(wide).alias("_s"))
+    # from here on one row for each label and inner group
+    at = lambda t, k: F.get("_s", k + t * places)
+    cell = lambda k: F.struct(k.alias("k"), *[at(t, k).alias(f"t{t}") for t in range(len(factors))])
+    long = sums.select(*by, F.explode(F.transform(F.sequence(F.lit(0), F.lit(places - 1)), cell)).alias("_c")).select(*by, "_c.*").filter("t0 > 0")
+    moments = []
+    for p, (i, j) in enumerate(pairs):
+        product = F.col(f"t{1 + len(values) + p}")
+        moments.append(F.sum(product - F.col(f"t{1 + i}") * F.col(f"t{1 + j}") / F.col("t0") if within else product).alias(f"s_{i}_{j}"))
+    out = long.groupBy(*by, "k").agg(F.sum("t0").cast("long").alias("n"), *moments)
+    named = labels.withColumnRenamed("_k", "k")
+    return null_safe_join(named, out, [*by, "k"], "left").drop("k")
+
+
+def _moment_corr(xy: str, xx: str, yy: str) -> Column:
+    ok = (F.col(xx) > 0) & (F.col(yy) > 0)
+    return F.when(ok, F.col(xy) / F.sqrt(F.when(ok, F.col(xx) * F.col(yy))))
+
+
+def omission_spearman(df: DataFrame, by: list[str], group: str, out: str, x: str, y: str, least: int = 2, pieces: int | None = None) -> DataFrame:
+    """(by, out, n, spearman) of the rows outside each label; an empty remainder keeps its row."""
+    frame = omission_frame(df, by, group, out)
+    m = omission_moments(df, by, group, [x, y], pieces=pieces)
+    if m is None:
+        fits = spearman(omission_samples(df, by, group, out), [*by, out], x, y, least, pieces)
+    else:
+        r = F.when(F.col("n") >= least, _moment_corr("s_0_1", "s_0_0", "s_1_1"))
+        fits = m.select(*by, F.col(group).alias(out), "n", r.alias("spearman"))
+    return null_safe_join(frame, fits, [*by, out], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+def omission_partial(df: DataFrame, by: list[str], group: str, out: str, within: str, x: str, y: str, z: str, pieces: int | None = None) -> DataFrame:
+    """(by, out, n, partial): the partial rank correlation of the rows outside each label, ranks centred inside ``within``."""
+    m = omission_moments(df, by, group, [x, y, z], within, pieces)
+    if m is None:
+        fan = omission_samples(df, by, group, out)
+        return partial_rank(fan, [*by, out], within, x, y, z, pieces).select(*by, out, "n", "partial")
+    zz = F.nullif(F.col("s_2_2"), F.lit(0.0))
+    exx = F.col("s_0_0") - F.col("s_0_2") * F.col("s_0_2") / zz
+    eyy = F.col("s_1_1") - F.col("s_1_2") * F.col("s_1_2") / zz
+    exy = F.col("s_0_1") - F.col("s_0_2") * F.col("s_1_2") / zz
+    enough = (exx > RESIDUAL_FLOOR * F.col("s_0_0")) & (eyy > RESIDUAL_FLOOR * F.col("s_1_1"))
+    partial = F.when(enough, exy / F.sqrt(F.when(enough, exx * eyy)))
+    return m.filter("n > 0").select(*by, F.col(group).alias(out), "n", partial.alias("partial"))
+
+
 def windowed_changes(df: DataFrame, keys: list[str], period: str, values: list[str], windows: list[tuple[int, int]]) -> DataFrame:
     """Endpoint changes of every window, stacked with its bounds."""
     spans = F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("end")) for a, b in windows])

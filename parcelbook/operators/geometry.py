@@ -7,6 +7,8 @@ grid cells with an exact test afterwards.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -167,6 +169,142 @@ def covers(x: Column, y: Column, polygons: Column) -> Column:
     return F.coalesce(F.exists(polygons, one), F.lit(False))
 
 
+# -------------------------------------------------------------------- topology
+
+
+def _segments(ring: Column) -> Column:
+    """Edges of a ring as structs; those without length are left out."""
+    pairs = F.zip_with(
+        F.slice(ring, F.lit(1), F.size(ring) - 1),
+        F.slice(ring, F.lit(2), F.size(ring) - 1),
+        lambda a, b: F.struct(a[0].alias("ax"), a[1].alias("ay"), b[0].alias("bx"), b[1].alias("by")),
+    )
+    return F.filter(pairs, lambda e: (e["ax"] != e["bx"]) | (e["ay"] != e["by"]))
+
+
+def _turn(e: Column, x: Column, y: Column) -> Column:
+    """Distance of a point from an edge's line, with the side as its sign."""
+    dx, dy = e["bx"] - e["ax"], e["by"] - e["ay"]
+    return (dx * (y - e["ay"]) - dy * (x - e["ax"])) / F.hypot(dx, dy)
+
+
+def _boxes_meet(e: Column, f: Column) -> Column:
+    return (
+        (F.least(e["ax"], e["bx"]) <= F.greatest(f["ax"], f["bx"]) + EDGE_TOL)
+        & (F.least(f["ax"], f["bx"]) <= F.greatest(e["ax"], e["bx"]) + EDGE_TOL)
+        & (F.least(e["ay"], e["by"]) <= F.greatest(f["ay"], f["by"]) + EDGE_TOL)
+        & (F.least(f["ay"], f["by"]) <= F.greatest(e["ay"], e["by"]) + EDGE_TOL)
+    )
+
+
+def _meet(e: Column, f: Column) -> Column:
+    """Whether two edges have a point in common."""
+    sides = lambda g, h: (_turn(g, h["ax"], h["ay"]) > EDGE_TOL) & (_turn(g, h["bx"], h["by"]) > EDGE_TOL) | (_turn(g, h["ax"], h["ay"]) < -EDGE_TOL) & (_turn(g, h["bx"], h["by"]) < -EDGE_TOL)
+    return _boxes_meet(e, f) & ~sides(e, f) & ~sides(f, e)
+
+
+def _turns_back(e: Column, f: Column) -> Column:
+    """Whether the next edge runs back along this one."""
+    dot = (e["bx"] - e["ax"]) * (f["bx"] - f["ax"]) + (e["by"] - e["ay"]) * (f["by"] - f["ay"])
+    return (F.abs(_turn(e, f["bx"], f["by"])) <= EDGE_TOL) & (dot < 0)
+
+
+def ring_crosses(ring: Column) -> Column:
+    """Whether a ring meets itself anywhere but where one edge ends and the next begins.
+
+    Edges are compared two by two inside the row, boxes first, so the work follows the
+    square of a ring's points and needs no shuffle.
+    """
+
+    def crossing(s: Column) -> Column:
+        n = F.size(s)
+
+        def against(e: Column, i: Column) -> Column:
+            def pair(f: Column, j: Column) -> Column:
+                following, last = j == i + 1, (i == 0) & (j == n - 1)
+                return F.when(j <= i, False).when(following, _turns_back(e, f)).when(last, _turns_back(f, e)).otherwise(_meet(e, f))
+
+            return F.exists(F.transform(s, pair), lambda x: x)
+
+        return (n < 3) | F.exists(F.transform(s, against), lambda x: x)
+
+    return let(_segments(ring), crossing)
+
+
+def _parts_between(e: Column, others: Column) -> Column:
+    """Middles of the parts into which the edges ``others`` cut an edge."""
+    dx, dy = e["bx"] - e["ax"], e["by"] - e["ay"]
+
+    def cuts(f: Column) -> Column:
+        fx, fy = f["bx"] - f["ax"], f["by"] - f["ay"]
+        across = dx * fy - dy * fx
+        slant = F.abs(across) > 1e-12 * F.hypot(dx, dy) * F.hypot(fx, fy)
+        at = ((f["ax"] - e["ax"]) * fy - (f["ay"] - e["ay"]) * fx) / F.when(slant, across)
+        along = lambda x, y: ((x - e["ax"]) * dx + (y - e["ay"]) * dy) / (dx * dx + dy * dy)
+        return F.when(~_meet(e, f), F.array().cast("array<double>")).when(slant, F.array(at)).otherwise(F.array(along(f["ax"], f["ay"]), along(f["bx"], f["by"])))
+
+    inner = F.filter(F.flatten(F.transform(others, cuts)), lambda t: (t > 0) & (t < 1))
+    stops = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)), inner)))
+    middles = F.zip_with(F.slice(stops, F.lit(1), F.size(stops) - 1), F.slice(stops, F.lit(2), F.size(stops) - 1), lambda a, b: (a + b) / 2)
+    return F.transform(middles, lambda t: F.array(e["ax"] + t * dx, e["ay"] + t * dy))
+
+
+def _pieces(ring: Column, other: Column) -> Column:
+    """Middles of all parts of a ring's boundary between its meetings with another ring."""
+    return let(_segments(other), lambda o: F.flatten(F.transform(_segments(ring), lambda e: _parts_between(e, o))))
+
+
+def _ring_inside(ring: Column, other: Column, side: int) -> Column:
+    """Whether a part of the ring's boundary lies on that side of another ring (0 outside, 1 inside)."""
+    return F.exists(_pieces(ring, other), lambda p: ring_location(p[0], p[1], other) == side)
+
+
+def topology(polygons: Column) -> Column:
+    """States of polygons with holes whose rings are sound: an empty array where all is right.
+
+    ``self_crossing``: a ring meets itself. ``hole_outside``: a part of a hole lies outside
+    its outer ring. ``hole_overlap``: two holes of a polygon share area. ``overlap``: two
+    polygons share area; shared edges and points are no fault. Null where a ring is broken
+    (``ring_ok``) or there is no polygon.
+    """
+    sound = (F.size(polygons) > 0) & F.forall(polygons, lambda rings: (F.size(rings) > 0) & F.forall(rings, ring_ok))
+
+    def any_two(items: Column, test: Callable[[Column, Column], Column]) -> Column:
+        """Whether any item passes the test against another, in either order.
+
+        Both orders are visited, not written side by side: Spark takes higher-order
+        functions that differ only in the order of outer lambda variables for the same.
+        """
+        return F.exists(F.transform(items, lambda a, i: F.exists(F.transform(items, lambda b, j: F.when(j != i, test(a, b)).otherwise(False)), lambda x: x)), lambda x: x)
+
+    def same_area(a: Column, b: Column) -> Column:
+        """Whether the inner point of a ring lies inside another."""
+        return let(_scanline(F.array(a)), lambda p: F.coalesce(ring_location(p["x"], p["y"], b) == 1, F.lit(False)))
+
+    def share(a: Column, b: Column) -> Column:
+        return _ring_inside(a, b, 1) | same_area(a, b)
+
+    holes = lambda rings: F.slice(rings, F.lit(2), F.greatest(F.size(rings) - 1, F.lit(0)))
+
+    def inside(x: Column, y: Column, rings: Column) -> Column:
+        """Strictly inside a polygon: in its outer ring, in no hole and on no edge."""
+        return (ring_location(x, y, rings[0]) == 1) & F.forall(holes(rings), lambda h: ring_location(x, y, h) == 0)
+
+    def enters(a: Column, b: Column) -> Column:
+        """Whether a part of a's outer boundary, cut by all rings of b, or a's inner point lies inside b."""
+        edges = F.flatten(F.transform(b, _segments))
+        cut = let(edges, lambda o: F.exists(F.flatten(F.transform(_segments(a[0]), lambda e: _parts_between(e, o))), lambda p: inside(p[0], p[1], b)))
+        return cut | let(_scanline(a), lambda p: F.coalesce(inside(p["x"], p["y"], b), F.lit(False)))
+
+    states = {
+        "self_crossing": F.exists(polygons, lambda rings: F.exists(rings, ring_crosses)),
+        "hole_outside": F.exists(polygons, lambda rings: F.exists(holes(rings), lambda h: _ring_inside(h, rings[0], 0))),
+        "hole_overlap": F.exists(polygons, lambda rings: any_two(holes(rings), share)),
+        "overlap": any_two(polygons, enters),
+    }
+    return F.when(sound, F.array_compact(F.array(*[F.when(wrong, name) for name, wrong in states.items()])))
+
+
 def geojson_polygons(doc: Column) -> Column:
     """Polygon or MultiPolygon document -> polygon array with the first two coordinates."""
     kind = F.get_json_object(doc, "$.type")

@@ -13,11 +13,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parcelbook.operators.aggregates import vector_sum
 from parcelbook.operators.order_stats import null_safe_join
 from parcelbook.session import settle
 
@@ -105,12 +104,6 @@ def year_effects(df: DataFrame, period: str) -> tuple[DataFrame, list[str]]:
 # ------------------------------------------------------------- cluster moments
 
 
-def vector_sum(array: Column | str, over: WindowSpec | None = None) -> Column:
-    """Place-wise sum of arrays of equal length as one aggregate, however long they are."""
-    summary = Summarizer.metrics("sum").summary(array_to_vector(F.col(array) if isinstance(array, str) else array))
-    return vector_to_array((summary.over(over) if over is not None else summary)["sum"])
-
-
 @dataclass
 class Moments:
     """Per-cluster upper-triangle cross products of ``columns`` (last one is ONE)."""

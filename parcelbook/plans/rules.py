@@ -139,21 +139,31 @@ def q10(spark: Spark, d: str) -> DataFrame:
     return QL.era_completeness(ny, "yr", "v", 1998)
 
 
-@query(
-    "q11_claim_audit",
-    """SELECT 'priorities' AS label, 5.0::DOUBLE AS expected, count(DISTINCT o_orderpriority)::DOUBLE AS found, 0.0::DOUBLE AS tol, CASE WHEN count(DISTINCT o_orderpriority) = 5 THEN 'ok' ELSE 'fail' END AS verdict FROM orders
-    UNION ALL SELECT 'mean_discount', 0.05, round(avg(l_discount), 6), 0.001, CASE WHEN abs(avg(l_discount) - 0.05) <= 0.001 THEN 'ok' ELSE 'fail' END FROM lineitem
-    UNION ALL SELECT 'segments', 6, count(DISTINCT c_mktsegment), 0, CASE WHEN count(DISTINCT c_mktsegment) = 6 THEN 'ok' ELSE 'fail' END FROM customer""",
-)
-def q11(spark: Spark, d: str) -> DataFrame:
-    for name in ("orders", "lineitem", "customer"):
-        load(spark, d, name).createOrReplaceTempView(f"audit_{name}")
-    claims = [
-        ("priorities", "SELECT count(DISTINCT o_orderpriority) FROM audit_orders", 5, 0),
-        ("mean_discount", "SELECT avg(l_discount) FROM audit_lineitem", 0.05, 0.001),
-        ("segments", "SELECT count(DISTINCT c_mktsegment) FROM audit_customer", 6, 0),
+def _claims() -> list[QL.Claim]:
+    """Six hundred claims on three tables; some do not hold."""
+    out = [
+        QL.Claim("priorities", "orders", "count(DISTINCT o_orderpriority)", 5),
+        QL.Claim("mean_discount", "lineitem", "avg(l_discount)", 0.05, 0.001),
+        QL.Claim("segments", "customer", "count(DISTINCT c_mktsegment)", 6),
+        QL.Claim("nothing", "customer", "max(c_acctbal)", 0, 1, "c_nationkey = -1"),
     ]
-    return QL.check_claims(spark, claims)
+    for n in range(25):
+        out += [QL.Claim(f"customers_{n}_{s}", "customer", "count(*)", 3 * s, 2, f"c_nationkey = {n} AND c_custkey % 8 = {s}") for s in range(8)]
+    for status in ("F", "O", "P"):
+        out += [QL.Claim(f"price_{status}_{m}", "orders", "avg(o_totalprice)", 250000, 20000, f"o_orderstatus = '{status}' AND month(o_orderdate) = {m} AND o_orderkey % 5 = {k}") for m in range(1, 13) for k in range(5)]
+    for yr in range(1995, 2002):
+        out += [QL.Claim(f"discount_{yr}_{q}", "lineitem", "avg(l_discount)", 0.05, 0.002, f"year(l_shipdate) = {yr} AND l_quantity = {q}") for q in range(1, 32)]
+    return out
+
+
+def _claim_sql(c: QL.Claim) -> str:
+    found = f"{c.aggregate}{f' FILTER (WHERE {c.where})' if c.where else ''}::DOUBLE"
+    return f"SELECT '{c.label}' AS label, {float(c.expected)}::DOUBLE AS expected, {found} AS found, {float(c.tol)}::DOUBLE AS tol FROM {c.source}"
+
+
+@query("q11_claim_audit", f"SELECT label, expected, round(found, 6) AS found, tol, CASE WHEN abs(found - expected) <= tol THEN 'ok' ELSE 'fail' END AS verdict FROM ({' UNION ALL '.join(map(_claim_sql, _claims()))})")
+def q11(spark: Spark, d: str) -> DataFrame:
+    return QL.check_claims({name: load(spark, d, name) for name in ("orders", "lineitem", "customer")}, _claims())
 
 
 @query("q12_freshness_key", "SELECT * FROM (VALUES ('nation_year', 0::BIGINT, 2::BIGINT, 'fresh'), ('era_profile', 1::BIGINT, 1::BIGINT, 'stale')) AS t(output, changed_inputs, inputs, state)")

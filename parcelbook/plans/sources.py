@@ -306,7 +306,10 @@ def s12(spark: Spark, d: str) -> DataFrame:
 @query("s13_table_replace", f"WITH {B.NY} SELECT unit, region, yr, n_orders, customers, revenue FROM ny")
 def s13(spark: Spark, d: str) -> DataFrame:
     panel = B.nation_year(spark, d).select("unit", "region", "yr", "n_orders", "customers", "revenue")
-    return TB.replace_table(panel, scratch_path(spark, "replace"), ["yr"]).select(*panel.columns)
+    path = scratch_path(spark, "replace")
+    TB.publish_version(panel.filter("yr < 1998"), path, ["yr"])  # an older version that readers no longer see
+    TB.publish_version(panel, path, ["yr"])
+    return TB.read_version(spark, path).select(*panel.columns)
 
 
 @query("s14_declared_publish", f"WITH {B.NY} SELECT unit, CAST(yr AS BIGINT) AS yr, CAST(n_orders AS DOUBLE) AS n_orders, yr < 2001 AS closed FROM ny")
@@ -315,7 +318,7 @@ def s14(spark: Spark, d: str) -> DataFrame:
         [T.StructField("unit", T.StringType()), T.StructField("yr", T.LongType()), T.StructField("n_orders", T.DoubleType()), T.StructField("closed", T.BooleanType())]
     )
     panel = B.nation_year(spark, d).withColumn("closed", F.col("yr") < 2001)
-    return TB.publish(panel, declared, scratch_path(spark, "publish"))
+    return TB.publish(panel, declared, scratch_path(spark, "publish"), versioned=True)
 
 
 @query("s15_namespaces", "SELECT p_brand, count(*) AS n, CAST(count(DISTINCT l_suppkey) AS BIGINT) AS suppliers FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1")

@@ -63,6 +63,34 @@ def x03(spark: Spark, d: str) -> DataFrame:
     return parts.select("p_partkey", "m.area", "m.cx", "m.cy")
 
 
+@query(
+    "x03_topology",
+    """SELECT p_partkey, CASE p_size % 8 WHEN 1 THEN 'self_crossing' WHEN 2 THEN 'hole_outside' WHEN 3 THEN 'overlap' WHEN 5 THEN 'hole_overlap' WHEN 6 THEN 'self_crossing,overlap' WHEN 7 THEN NULL ELSE '' END AS states FROM part""",
+)
+def x03b(spark: Spark, d: str) -> DataFrame:
+    """Polygons that cross themselves, whose holes lie outside or share area, or that overlap; shared edges are sound."""
+    x, y = _k() * 20.0, F.col("p_size") * 30.0
+    kind = F.col("p_size") % 8
+
+    def box(x0: float, y0: float, x1: float, y1: float):
+        return G.rect(x + x0, y + y0, x + x1, y + y1)
+
+    bow = F.array(*[F.array(x + a, y + b) for a, b in ((0, 0), (8, 8), (8, 0), (0, 8), (0, 0))])
+    shell, hole = box(0, 0, 8, 8), box(1, 1, 3, 3)
+    polygons = (
+        F.when(kind == 0, F.array(F.array(shell, hole), F.array(box(8, 0, 12, 8))))
+        .when(kind == 1, F.array(F.array(bow)))
+        .when(kind == 2, F.array(F.array(shell, box(6, 6, 9, 9))))
+        .when(kind == 3, F.array(F.array(shell), F.array(box(4, 0, 12, 8))))
+        .when(kind == 4, F.array(F.array(shell, hole), F.array(hole)))
+        .when(kind == 5, F.array(F.array(shell, hole, box(2, 2, 4, 4))))
+        .when(kind == 6, F.array(F.array(bow), F.array(box(1, 3, 3, 5))))
+        .otherwise(F.array(F.array(F.slice(shell, 1, 4))))
+    )
+    parts = spread(load(spark, d, "part")).select("p_partkey", polygons.alias("g"))
+    return parts.select("p_partkey", F.array_join(G.topology(F.col("g")), ",").alias("states"))
+
+
 @query("x04_bounding_box", f"SELECT p_partkey, x0::DOUBLE AS xmin, y0::DOUBLE AS ymin, (x0 + w)::DOUBLE AS xmax, (y0 + h)::DOUBLE AS ymax FROM (SELECT p_partkey, {FOOT} FROM part)")
 def x04(spark: Spark, d: str) -> DataFrame:
     return load(spark, d, "part").select("p_partkey", G.bbox(_footprint()).alias("b")).select("p_partkey", "b.xmin", "b.ymin", "b.xmax", "b.ymax")

@@ -106,10 +106,8 @@ def e06(spark: Spark, d: str) -> DataFrame:
     SELECT region, omitted, count(x) AS n, {corr_sql('rx', 'ry')} AS spearman FROM r GROUP BY 1, 2""",
 )
 def e07(spark: Spark, d: str) -> DataFrame:
-    sm = B.supplier_means(spark, d)
-    frame = C.omission_frame(sm, ["region"], "grp", "omitted")
-    fits = C.spearman(C.omission_samples(sm, ["region"], "grp", "omitted"), ["region", "omitted"], "x", "y", least=2)
-    return frame.join(fits, ["region", "omitted"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    """Rank correlations without one nation at a time; no row is repeated."""
+    return C.omission_spearman(B.supplier_means(spark, d), ["region"], "grp", "omitted", "x", "y")
 
 
 @query(
@@ -119,8 +117,7 @@ def e07(spark: Spark, d: str) -> DataFrame:
     SELECT omitted, count(*) AS n, round(corr(dx - bx * dz, dy - byy * dz), 6) AS partial FROM b GROUP BY 1""",
 )
 def e07b(spark: Spark, d: str) -> DataFrame:
-    fan = C.omission_samples(B.supplier_means(spark, d), [], "region", "omitted")
-    return C.partial_rank(fan, ["omitted"], "grp", "x", "y", "z").select("omitted", "n", "partial")
+    return C.omission_partial(B.supplier_means(spark, d), [], "region", "omitted", "grp", "x", "y", "z")
 
 
 @query(

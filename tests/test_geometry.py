@@ -123,3 +123,45 @@ def test_broken_rings_keep_their_row(spark):
     df = spark.createDataFrame([("open", [SQ[:-1]]), ("hole", [SQ, HOLE[:-1]]), ("sq", [SQ]), ("null", None)], f"id string, rings array<{G.RING}>")
     got = {r.id: (r.px, r.point_status) for r in G.representative_points(df, ["id"], "rings").collect()}
     assert got == {"open": (None, "broken"), "hole": (None, "broken"), "sq": (2.0, "centroid"), "null": (None, "broken")}
+
+
+def _ring(*points):
+    return [[float(a), float(b)] for a, b in points]
+
+
+def _box(x0, y0, x1, y1):
+    return _ring((x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0))
+
+
+TOPOLOGY = {
+    "plain": ([[_box(0, 0, 10, 10)]], []),
+    "hole": ([[_box(0, 0, 10, 10), _box(2, 2, 4, 4)]], []),
+    "bow-tie": ([[_ring((0, 0), (10, 10), (10, 0), (0, 10), (0, 0))]], ["self_crossing"]),
+    "spike": ([[_ring((0, 0), (10, 0), (10, 10), (10, 15), (10, 10), (0, 10), (0, 0))]], ["self_crossing"]),
+    "touches itself": ([[_ring((0, 0), (5, 5), (10, 0), (10, 10), (5, 5), (0, 10), (0, 0))]], ["self_crossing"]),
+    "repeated point": ([[_ring((0, 0), (0, 0), (10, 0), (10, 10), (0, 10), (0, 0))]], []),
+    "hole across": ([[_box(0, 0, 10, 10), _box(8, 8, 12, 12)]], ["hole_outside"]),
+    "hole far": ([[_box(0, 0, 10, 10), _box(20, 20, 22, 22)]], ["hole_outside"]),
+    "hole touches": ([[_box(0, 0, 10, 10), _ring((0, 5), (2, 4), (2, 6), (0, 5))]], []),
+    "same hole": ([[_box(0, 0, 10, 10), _box(2, 2, 4, 4), _box(2, 2, 4, 4)]], ["hole_overlap"]),
+    "hole in hole": ([[_box(0, 0, 10, 10), _box(3, 3, 4, 4), _box(2, 2, 6, 6)]], ["hole_overlap"]),
+    "holes share an edge": ([[_box(0, 0, 10, 10), _box(2, 2, 4, 4), _box(4, 2, 6, 4)]], []),
+    "shared edge": ([[_box(0, 0, 10, 10)], [_box(10, 0, 20, 10)]], []),
+    "shared corner": ([[_box(0, 0, 10, 10)], [_box(10, 10, 12, 12)]], []),
+    "overlap": ([[_box(0, 0, 10, 10)], [_box(5, 5, 15, 15)]], ["overlap"]),
+    "overlap along edges": ([[_box(0, 0, 10, 10)], [_box(5, 0, 15, 10)]], ["overlap"]),
+    "twice": ([[_box(0, 0, 10, 10)], [_box(0, 0, 10, 10)]], ["overlap"]),
+    "inside": ([[_box(2, 2, 3, 3)], [_box(0, 0, 10, 10)]], ["overlap"]),
+    "in a hole": ([[_box(0, 0, 10, 10), _box(2, 2, 8, 8)], [_box(3, 3, 5, 5)]], []),
+    "fills a hole": ([[_box(0, 0, 10, 10), _box(2, 2, 8, 8)], [_box(2, 2, 8, 8)]], []),
+    "over a hole": ([[_box(0, 0, 10, 10), _box(2, 2, 8, 8)], [_box(1, 1, 9, 9)]], ["overlap"]),
+    "open ring": ([[_box(0, 0, 1, 1)[:4]]], None),
+    "nothing": ([], None),
+    "null": (None, None),
+}
+
+
+def test_topology_names_what_is_wrong(spark):
+    df = spark.createDataFrame([(k, g) for k, (g, _) in TOPOLOGY.items()], "k string, g array<array<array<array<double>>>>")
+    got = {r.k: r.t for r in df.select("k", G.topology(df.g).alias("t")).collect()}
+    assert got == {k: want for k, (_, want) in TOPOLOGY.items()}

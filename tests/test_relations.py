@@ -191,3 +191,64 @@ def test_text_numbers_take_whole_words(spark):
     claims = spark.createDataFrame([(1147000.0, 0.0), (30.0, 5.0), (1.21e6, 0.0), (9.0, 0.0)], "claim double, tol double")
     rest = QL.unexplained(QL.text_numbers(df, ["d"], "t"), claims, [4711.0])
     assert sorted(r.value for r in rest.collect()) == [-4.5, 6.2, 10.0, 12.5, 20.0, 25000.0]
+
+
+def test_claims_scan_each_source_once(spark, tmp_path):
+    for name in ("a", "b", "c"):
+        spark.range(50).select("id", (F.col("id") % 5).alias("g"), (F.col("id") * 1.5).alias("v")).write.parquet(str(tmp_path / name))
+    sources = {name: spark.read.parquet(str(tmp_path / name)) for name in ("a", "b", "c")}
+    claims = [QL.Claim(f"{s} '{i}'\\", s, ["count(*)", "sum(v)", "max(v)", "count(DISTINCT g)"][i % 4], 10, 0.5, f"g = {i % 6} AND id >= {i // 40 * 10}") for s in sources for i in range(170)]
+    out = QL.check_claims(sources, claims)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 3
+    got = {r.label: r for r in out.collect()}
+    assert len(got) == 510
+    for c in claims:
+        i = int(c.label.split("'")[1])
+        ids = [x for x in range(50) if x % 5 == i % 6 and x >= i // 40 * 10]
+        found = [len(ids), sum(ids) * 1.5 if ids else None, max(ids) * 1.5 if ids else None, len({x % 5 for x in ids})][i % 4]
+        r = got[c.label]
+        assert r.found == found and r.verdict == ("ok" if found is not None and abs(found - 10) <= 0.5 else "fail")
+
+
+def test_equal_tables_shuffle_only_sums(spark, rows):
+    a = spark.createDataFrame([(1, None, 0.0), (2, "x", 1.0), (2, "x", 1.0), (None, "y", 2.0)], "k int, s string, v double")
+    assert QL.table_difference(a, a.repartition(3)).count() == 0
+    # a value that moved to the next column, another multiplicity, a null for an empty text
+    b = spark.createDataFrame([(None, "1", 0.0), (2, "x", 1.0), (None, "y", 2.0), (3, "", 1.0)], "k int, s string, v double")
+    assert rows(QL.table_difference(a, b), "k", "s", "side") == sorted([(1, None, "stored"), (2, "x", "stored"), (None, "1", "fresh"), (3, "", "fresh")], key=lambda t: tuple((v is None, str(v)) for v in t))
+    assert rows(QL.table_difference(a, b, buckets=1), "k", "side") == rows(QL.table_difference(a, b), "k", "side")
+    big = spark.range(20_000)
+    plan = QL.table_difference(big, big)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LocalRelation <empty>" in plan
+    assert [r.id for r in QL.table_difference(big, big.filter("id <> 777")).collect()] == [777]
+
+
+def test_omission_ranks_equal_fanned_out_rows(spark, rows, monkeypatch):
+    import random
+
+    from parcelbook.operators import correlation as C
+
+    rng = random.Random(4)
+    data = [(rng.choice("pq"), rng.choice(["a", "b", "c", None]), rng.choice("uvw"), rng.choice([1.0, 2.0, 5.5, None]), float(rng.randint(0, 9)), rng.gauss(0, 1)) for _ in range(160)]
+    data += [("r", "only", "u", 1.0, 2.0, 3.0), ("s", "a", "u", 1.0, 1.0, 1.0), ("s", "b", "u", 2.0, 1.0, 0.0), ("s", "b", "v", 3.0, 4.0, 2.0)]
+    df = spark.createDataFrame(data, "r string, g string, h string, x double, y double, z double").repartition(3)
+    near = lambda t: [(None if v is None else round(v, 9) if isinstance(v, float) else v) for v in t]
+
+    def both():
+        one = rows(C.omission_spearman(df.filter("g is not null"), ["r"], "g", "out", "x", "y", pieces=2), "r", "out", "n", "spearman")
+        two = rows(C.omission_partial(df, [], "g", "out", "h", "x", "y", "z", pieces=2), "out", "n", "partial")
+        return [near(t) for t in one], [near(t) for t in two]
+
+    counted = both()
+    monkeypatch.setattr(C, "LABELS", 0)
+    monkeypatch.setattr(C.label_places, "__defaults__", (0,))
+    assert counted == both() and ["r", "only", 0, None] in counted[0] and len(counted[1]) == 4
+
+
+def test_no_row_fans_out_for_omitted_labels(spark):
+    from parcelbook.operators import correlation as C
+
+    df = spark.createDataFrame([("a", 1.0, 2.0), ("b", 2.0, 1.0), ("c", 3.0, 3.0)], "g string, x double, y double")
+    ranked = C.ranks_without(df.withColumn("_k", F.lit(0)), [], "x", "r", 3)
+    assert "Generate" not in ranked._jdf.queryExecution().executedPlan().toString() and ranked.count() == 3

@@ -231,3 +231,21 @@ def test_html_table_violations(spark):
     assert sorted((r.id, r.row_no if r.row_no is not None else -1, r.violation) for r in got) == [
         (2, 0, "header_order"), (2, 1, "level_jump"), (2, 2, "cell_count"), (2, 4, "repeated_label"), (2, 5, "unknown_level"), (3, -1, "header_count"),
     ]
+
+
+def test_a_reader_keeps_the_version_it_began_with(spark, tmp_path, rows):
+    path = str(tmp_path / "t")
+    old = TB.publish_version(spark.createDataFrame([(1, "a")], "k int, p string"), path, ["p"])
+    reading = TB.read_version(spark, path)
+    new = TB.publish_version(spark.createDataFrame([(2, "a"), (3, "b")], "k int, p string"), path, ["p"])
+    assert rows(reading, "k") == rows(old, "k") == [(1,)] and rows(TB.read_version(spark, path), "k") == rows(new, "k") == [(2,), (3,)]
+    with pytest.raises(Exception, match="DIVIDE_BY_ZERO"):
+        TB.publish_version(spark.range(3).select((F.lit(1) / F.col("id")).alias("k")), path)
+    assert rows(TB.read_version(spark, path), "k") == [(2,), (3,)] and rows(reading, "k") == [(1,)]
+    # the pointer alone decides: a version that was written but never pointed to is not read
+    spark.createDataFrame([(9, "z")], "k int, p string").write.parquet(f"{path}/v999999999999-half")
+    assert rows(TB.read_version(spark, path), "k") == [(2,), (3,)]
+    for k in (4, 5):
+        TB.publish_version(spark.createDataFrame([(k, "a")], "k int, p string"), path, ["p"])
+    assert rows(TB.read_version(spark, path), "k") == [(5,)] and len(TB.current_versions(spark, path)) == 2
+    assert sorted(p.name for p in (tmp_path / "t").iterdir() if not p.name.startswith(("v", ".CURRENT.crc"))) == ["CURRENT"]
