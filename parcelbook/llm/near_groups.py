@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parcelbook.llm.common import bodies, drop_stored, mix, octets, stored, tasks_for
 from parcelbook.llm.components import components
 from parcelbook.llm.simhash import codeword_indices, shingle_hashes, shingles
+from parcelbook.llm.store import mapped, ranged, save
+from parcelbook.session import discard, scratch_path
 
 WIDTH = 5
 SIMILARITY = 0.8
@@ -19,13 +22,19 @@ TABLES = 16
 EXACT_BITS = 9
 REACH = 32
 ROWS = 512
-OFFERS = 8
+PAIRS = 20_000
+#: Hashes in a file of shingle sets; keys of more rows are looked at one by one.
+SET_ROWS, SMALL = 4_000_000, 32
 
 
 def sketch(words: list[bytes], width: int) -> tuple[int, int]:
     """Two fingerprints of the shingles by independent hashes."""
+    return sketch_of(shingle_hashes(words, width))
+
+
+def sketch_of(hashes: Iterable[np.ndarray]) -> tuple[int, int]:
     ones, n = np.zeros(128, np.int64), 0
-    for h in shingle_hashes(words, width):
+    for h in hashes:
         for at, x in ((0, h), (64, mix(h + np.uint64(1)))):
             ones[at : at + 64] += np.unpackbits(x.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
         n += len(h)
@@ -33,18 +42,77 @@ def sketch(words: list[bytes], width: int) -> tuple[int, int]:
     return int.from_bytes(raw[:8], "big"), int.from_bytes(raw[8:], "big")
 
 
-def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """(doc, lo, hi) of texts with an id and at least one word."""
+def sketches(docs: DataFrame, width: int, folder: str) -> DataFrame:
+    """(doc, lo, hi, slot) of texts with an id and at least one word; their shingle sets go to ``folder``.
+
+    A file holds the sorted shingle hashes of some thousand texts behind one another. Its
+    name is the task attempt that wrote it and a number, and so is the slot's upper part,
+    so a task that is run again leaves the slots of its first run right.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        attempt, chunk, held = TaskContext.get().taskAttemptId(), 0, 0
+        sets: list[np.ndarray] = []
+        rows: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            at = f"{folder}/{attempt}-{chunk}"
+            save(f"{at}.end", np.cumsum([len(x) for x in sets], dtype=np.int64))
+            save(f"{at}.set", np.concatenate(sets))
+            first = (attempt << 32) | (chunk << 20)
+            kinds = {"doc": pa.int64(), "lo": pa.int64(), "hi": pa.int64(), "slot": pa.int64()}
+            signed = lambda x: x - (1 << 64) if x >> 63 else x
+            columns = zip(*[(d, signed(lo), signed(hi), first + i) for i, (d, lo, hi) in enumerate(rows)], strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], list(kinds))
+
         for batch in batches:
-            rows = [(i, *sketch(w, width)) for i, b in enumerate(bodies(batch)) if (w := b.lower().split())]
-            at = pa.array([r[0] for r in rows], pa.int64())
-            lo, hi = (np.array([r[j] for r in rows], np.uint64).view(np.int64) for j in (1, 2))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), pa.array(lo), pa.array(hi)], ["doc", "lo", "hi"])
+            for doc, body in zip(batch.column("doc_id").to_pylist(), bodies(batch), strict=True):
+                if words := body.lower().split():
+                    hashes = list(shingle_hashes(words, width))
+                    rows.append((doc, *sketch_of(hashes)))
+                    sets.append(np.unique(np.concatenate(hashes)))
+                    held += len(sets[-1])
+                if held >= SET_ROWS:
+                    yield flush()
+                    chunk, sets, rows, held = chunk + 1, [], [], 0
+        if rows:
+            yield flush()
 
     known = octets(docs).where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "body")
-    return known.mapInArrow(run, "doc long, lo long, hi long").dropDuplicates(["doc"])
+    return known.mapInArrow(run, "doc long, lo long, hi long, slot long").dropDuplicates(["doc"])
+
+
+class Sets:
+    """Shingle sets by slot; only what is asked for is read, mapped or by range."""
+
+    def __init__(self, folder: str) -> None:
+        self.folder, self.files, self.held = folder, {}, {}
+
+    def _file(self, slot: int) -> tuple:
+        name = f"{slot >> 32}-{(slot >> 20) & 4095}"
+        if name not in self.files:
+            self.files[name] = (mapped(f"{self.folder}/{name}.end", np.int64), ranged(f"{self.folder}/{name}.set", np.uint64))
+        return self.files[name]
+
+    def size(self, slot: int) -> int:
+        end, i = self._file(slot)[0], slot & 0xFFFFF
+        return int(end[i] - (end[i - 1] if i else 0))
+
+    def get(self, slot: int) -> set:
+        if slot not in self.held:
+            if len(self.held) >= 20_000:
+                self.held.clear()
+            (end, read), i = self._file(slot), slot & 0xFFFFF
+            self.held[slot] = set(read(int(end[i - 1]) if i else 0, int(end[i])).tolist())
+        return self.held[slot]
+
+    def alike(self, a: int, b: int, least: float) -> bool:
+        """Whether two sets have a Jaccard similarity of ``least``."""
+        m, n = self.size(a), self.size(b)
+        if min(m, n) < least * max(m, n):
+            return False
+        both = len(self.get(a) & self.get(b))
+        return both >= least * (m + n - both)
 
 
 def table_keys(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -71,7 +139,7 @@ def table_keys(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def keyed(marks: DataFrame) -> DataFrame:
-    """(key, doc, root, lo, hi) of ``marks``."""
+    """(key, doc, slot, lo, hi) of ``marks``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -79,108 +147,105 @@ def keyed(marks: DataFrame) -> DataFrame:
                 part = batch.slice(at, 2000)
                 lo, hi = (part.column(c).to_numpy().view(np.uint64) for c in ("lo", "hi"))
                 r, k = table_keys(lo, hi)
-                yield pa.RecordBatch.from_arrays([pa.array(k), *(part.column(c).take(pa.array(r)) for c in ("doc", "root")), pa.array(lo[r].view(np.int64)), pa.array(hi[r].view(np.int64))], ["key", "doc", "root", "lo", "hi"])
+                yield pa.RecordBatch.from_arrays([pa.array(k), *(part.column(c).take(pa.array(r)) for c in ("doc", "slot")), pa.array(lo[r].view(np.int64)), pa.array(hi[r].view(np.int64))], ["key", "doc", "slot", "lo", "hi"])
 
-    return marks.select("doc", "root", "lo", "hi").mapInArrow(run, "key long, doc long, root long, lo long, hi long")
+    return marks.select("doc", "slot", "lo", "hi").mapInArrow(run, "key long, doc long, slot long, lo long, hi long")
 
 
-def nearest(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(doc, smaller, its bits, larger, its bits) of documents with a neighbour within REACH; sorted by doc.
+def close_pairs(key: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j) of rows of one key within REACH, i before j, for all keys at once: rows one apart, then two apart and so on."""
+    at = np.arange(len(key))
+    for step in range(1, len(key)):
+        at = at[at + step < len(key)]
+        at = at[key[at] == key[at + step]]
+        if not len(at):
+            break
+        near = np.bitwise_count(lo[at] ^ lo[at + step]).astype(np.int32) + np.bitwise_count(hi[at] ^ hi[at + step]) <= REACH
+        yield at[near], at[near] + step
 
-    A side without such a neighbour has more than REACH bits.
-    """
-    m = len(doc)
-    out = []
-    for at in range(0, m, ROWS):
-        d = np.bitwise_count(lo[at : at + ROWS, None] ^ lo[None, :]) + np.bitwise_count(hi[at : at + ROWS, None] ^ hi[None, :])
-        own = np.arange(at, at + len(d))[:, None]
-        found = []
-        for side in (np.arange(m)[None, :] < own, np.arange(m)[None, :] > own):
-            x = np.where(side, d, 255)
-            j = x.argmin(axis=1)
-            found += [doc[j], x[np.arange(len(x)), j].astype(np.int32)]
-        near = (found[1] <= REACH) | (found[3] <= REACH)
-        out.append([doc[at : at + ROWS][near], *[f[near] for f in found]])
-    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
-
-
-def apart(doc: np.ndarray, root: np.ndarray, lo: np.ndarray, hi: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(a, b, cut) of documents of different roots within REACH, ``most`` nearest smaller ones a document; by parts.
-
-    ``cut`` tells that b has more of them. Documents are sorted.
-    """
-    for at in range(0, len(doc), ROWS):
-        own = np.arange(at, min(at + ROWS, len(doc)))
-        d = np.bitwise_count(lo[own, None] ^ lo[None, : own[-1]]) + np.bitwise_count(hi[own, None] ^ hi[None, : own[-1]])
-        d[(np.arange(own[-1])[None, :] >= own[:, None]) | (root[own, None] == root[None, : own[-1]])] = 255
-        r, j = np.nonzero(d <= REACH)
-        order = np.lexsort((j, d[r, j], r))
-        r, j = r[order], j[order]
-        held = np.bincount(r, minlength=len(own))
-        rank = np.arange(len(r)) - np.repeat(np.cumsum(held) - held, held)
-        keep = rank < most
-        yield doc[j[keep]], doc[own[r[keep]]], held[r[keep]] > most
 
+def joined(slot: np.ndarray, lo: np.ndarray, hi: np.ndarray, sets: Sets, least: float) -> Iterator[tuple[int, int]]:
+    """(i, j): links that join the rows of one large key into its groups, no more than rows.
 
-def by_key(marks: DataFrame, tasks: int, found: Callable[..., Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """What ``found(doc, root, lo, hi)`` gives for the documents of each key, sorted by doc."""
+    Pairs within REACH are looked at by their bits, the nearest first; one whose rows are
+    already in one group needs no look at the texts, any other has its sets compared.
+    """
+    root = np.arange(len(slot))
+    for at in range(0, len(slot), ROWS):
+        own = np.arange(at, min(at + ROWS, len(slot)))
+        d = np.bitwise_count(lo[own, None] ^ lo[None, : own[-1]]).astype(np.uint8) + np.bitwise_count(hi[own, None] ^ hi[None, : own[-1]])
+        d[np.arange(own[-1])[None, :] >= own[:, None]] = 255
+        r, j = np.nonzero(d <= REACH)
+        order = np.argsort(d[r, j], kind="stable")
+        i, j = own[r[order]], j[order]
+        for lo_ in range(0, len(i), PAIRS):
+            a, b = i[lo_ : lo_ + PAIRS], j[lo_ : lo_ + PAIRS]
+            apart = root[a] != root[b]
+            for x, y in zip(a[apart].tolist(), b[apart].tolist(), strict=True):
+                if root[x] != root[y] and sets.alike(int(slot[x]), int(slot[y]), least):
+                    root[root == root[x]] = root[y]
+                    yield y, x
+
+
+def joins(roots: dict[int, int], a: int, b: int) -> bool:
+    """Whether the link joins two groups of those a task has seen, and then joins them."""
+
+    def find(x: int) -> int:
+        while (up := roots.setdefault(x, x)) != x:
+            roots[x] = roots[up]
+            x = up
+        return x
+
+    a, b = find(a), find(b)
+    roots[max(a, b)] = min(a, b)
+    return a != b
+
+
+def links_by_key(marks: DataFrame, tasks: int, folder: str, least: float) -> DataFrame:
+    """(a, b): documents of one key within REACH whose shingle sets are similar enough.
+
+    Sets are compared where the key is, so a pair that fails is never a row, and a task
+    gives no more links than it has seen documents that have one: a link inside a group
+    that its links already join is left out. Keys of up to SMALL rows are looked at many
+    in one go.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        sets = Sets(folder)
+        roots: dict[int, int] = {}  # of documents that have a link
 
-        def done(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            k, doc, root, lo, hi = (t.column(c).to_numpy() for c in ("key", "doc", "root", "lo", "hi"))
+        def done(t: pa.Table) -> pa.RecordBatch:
+            k, doc, slot, lo, hi = (t.column(c).to_numpy() for c in ("key", "doc", "slot", "lo", "hi"))
             lo, hi = lo.view(np.uint64), hi.view(np.uint64)
             cut = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1], [True])))
-            whole = np.flatnonzero(np.diff(cut) > 1)
-            rows, size = [], 0
-            for s, e in zip(cut[whole], cut[whole + 1], strict=True):
-                for part in found(doc[s:e], root[s:e], lo[s:e], hi[s:e]):
-                    if part.num_rows:
-                        rows.append(part)
-                        size += part.num_rows
-                    if size > 100_000:
-                        yield from pa.Table.from_batches(rows).combine_chunks().to_batches()
-                        rows, size = [], 0
-            if rows:
-                yield from pa.Table.from_batches(rows).combine_chunks().to_batches()
+            size = np.diff(cut)
+            few = np.flatnonzero(np.repeat((size > 1) & (size <= SMALL), size))
+            found: set[tuple[int, int]] = set()
+            pairs = [(few[i], few[j]) for i, j in close_pairs(k[few], lo[few], hi[few])]
+            if pairs:
+                i, j = (np.concatenate(x) for x in zip(*pairs, strict=True))
+                # a pair that shares many keys is compared once
+                once = np.unique(np.stack((doc[i], doc[j]), axis=1), axis=0, return_index=True)[1]
+                found.update((int(doc[x]), int(doc[y])) for x, y in zip(i[once].tolist(), j[once].tolist(), strict=True) if sets.alike(int(slot[x]), int(slot[y]), least))
+            for s in np.flatnonzero(size > SMALL):
+                at = slice(cut[s], cut[s + 1])
+                found.update((int(doc[at][x]), int(doc[at][y])) for x, y in joined(slot[at], lo[at], hi[at], sets, least))
+            columns = list(zip(*[p for p in sorted(found) if joins(roots, *p)], strict=True)) or [(), ()]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
 
         for batch in batches:
             if batch.num_rows:
                 key = batch.column("key").to_numpy()
                 cut = int(np.searchsorted(key, key[-1]))
                 if cut:
-                    yield from done(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                    yield done(pa.Table.from_batches([*held, batch.slice(0, cut)]))
                     held = []
                 held.append(batch.slice(cut))
         if held:
-            yield from done(pa.Table.from_batches(held))
-
-    return keyed(marks).repartition(tasks, "key").sortWithinPartitions("key", "doc").mapInArrow(run, schema)
-
-
-def nearest_pairs(first: DataFrame, tasks: int) -> DataFrame:
-    """(a, b): for each document its nearest smaller and larger one over all keys, a < b."""
-
-    def found(doc: np.ndarray, root: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Iterator[pa.RecordBatch]:
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in nearest(doc, lo, hi)], ["doc", "a", "a_bits", "b", "b_bits"])
-
-    near = by_key(first.withColumn("root", F.col("doc")), tasks, found, "doc long, a long, a_bits int, b long, b_bits int")
-    sides = [F.min(F.when(F.col(f"{x}_bits") <= REACH, F.struct(f"{x}_bits", x))).alias(x) for x in ("a", "b")]
-    best = stored(near.groupBy("doc").agg(*sides), "near")
-    down = best.select(F.col("a.a").alias("a"), F.col("doc").alias("b")).where("a is not null")
-    up = best.select(F.col("doc").alias("a"), F.col("b.b").alias("b")).where("b is not null")
-    return down.union(up)
-
-
-def pairs_apart(marks: DataFrame, tasks: int, most: int) -> DataFrame:
-    """(a, b, cut) over all keys, as ``apart`` says."""
-
-    def found(doc: np.ndarray, root: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for part in apart(doc, root, lo, hi, most):
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in part], ["a", "b", "cut"])
+            yield done(pa.Table.from_batches(held))
 
-    return by_key(marks, tasks, found, "a long, b long, cut boolean").groupBy("a", "b").agg(F.max("cut").alias("cut"))
+    return keyed(marks).repartition(tasks, "key").sortWithinPartitions("key", "doc").mapInArrow(run, "a long, b long").distinct()
 
 
 def similarity(a: bytes, b: bytes, width: int = WIDTH) -> float:
@@ -208,38 +273,28 @@ def similar_groups(docs: DataFrame, width: int = WIDTH, least: float = SIMILARIT
     """(doc, root) of every document that has a near-duplicate; root is the group's smallest id.
 
     A group is joined by pairs whose sets of ``width``-word shingles have a Jaccard
-    similarity of at least ``least``: first every document's nearest by sketch are compared,
-    then, in rounds, all others within REACH in a key that are not yet in one group, more a
-    document in each round until no document has any left. Of equal sketches the first
-    stands for those that are like it. Rows without an id or without words are in no
-    group; of rows that repeat an id one counts.
+    similarity of at least ``least``; compared are all pairs that share a key and whose
+    sketches lie within REACH, save those that are in one group already. Sets stand as
+    64-bit hashes in the shared folder. Of equal sketches the first stands for those that
+    are like it. Rows without an id or without words are in no group; of rows that repeat
+    an id one counts.
     """
-    marks = stored(sketches(docs, width), "sketch")
-    first = stored(marks.groupBy("lo", "hi").agg(F.min("doc").alias("doc")), "sketches")
-    same = marks.join(first.withColumnRenamed("doc", "a"), ["lo", "hi"]).where("doc > a").select("a", F.col("doc").alias("b"))
-    tasks = tasks_for(first.count(), 20_000, docs.sparkSession)
-    tried = stored(same.union(nearest_pairs(first, tasks)).distinct(), "pairs")
-    links = stored(verified(docs, tried, width, least), "verified")
-    groups = components(links)
+    spark = docs.sparkSession
+    folder = scratch_path(spark, "shingles")
+    marks = stored(sketches(docs, width, folder), "sketch")
+    first = stored(marks.groupBy("lo", "hi").agg(F.min(F.struct("doc", "slot")).alias("f")).select("lo", "hi", "f.*"), "sketches")
+    same = marks.join(first.select("lo", "hi", F.col("doc").alias("a")), ["lo", "hi"]).where("doc > a").select("a", F.col("doc").alias("b"))
+    copies = stored(verified(docs, same, width, least), "copies")
     # A document that is unlike the first of its sketch stands for itself.
-    unlike = same.join(links, ["a", "b"], "left_anti").select(F.col("b").alias("doc"))
-    alone = stored(first.select("doc", "lo", "hi").union(marks.join(unlike, "doc", "left_semi").select("doc", "lo", "hi")), "alone")
-    most, cut = OFFERS, True
-    while cut:
-        rooted = alone.join(groups.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
-        offered = stored(pairs_apart(rooted, tasks, most), "apart")
-        cut = bool(offered.where("cut").limit(1).count())
-        fresh = stored(offered.select("a", "b").join(tried, ["a", "b"], "left_anti"), "pairs")
-        drop_stored(offered)
-        if fresh.limit(1).count():
-            more = stored(verified(docs, fresh, width, least), "verified")
-            tried = tried.union(fresh)
-            if more.limit(1).count():
-                links = links.union(more)
-                groups = components(links)
-        most *= OFFERS
-    for held in (marks, first, alone, tried):
+    unlike = same.join(copies, ["a", "b"], "left_anti").select(F.col("b").alias("doc"))
+    columns = ["doc", "slot", "lo", "hi"]
+    alone = stored(first.select(columns).union(marks.join(unlike, "doc", "left_semi").select(columns)), "alone")
+    tasks = tasks_for(alone.count(), 20_000, spark)
+    links = stored(links_by_key(alone, tasks, folder, least), "links")
+    groups = components(copies.union(links))
+    for held in (marks, first, copies, alone, links):
         drop_stored(held)
+    discard(spark, folder)
     return groups.select(F.col("node").alias("doc"), "root")
 
 

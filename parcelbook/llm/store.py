@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,16 @@ def mapped(uri: str, dtype: type) -> np.ndarray:
         return np.memmap(copy, dtype, "r") if copy.tell() else np.zeros(0, dtype)
 
 
+def ranged(uri: str, dtype: type) -> Callable[[int, int], np.ndarray]:
+    """A reader of stretches (from, to) of an array: mapped, or by range from a store that is not mounted."""
+    if _local(uri):
+        whole = mapped(uri, dtype)
+        return lambda start, end: np.asarray(whole[start:end])
+    system, at = fs.FileSystem.from_uri(uri)
+    source, size = system.open_input_file(at), np.dtype(dtype).itemsize
+    return lambda start, end: np.frombuffer(source.read_at((end - start) * size, start * size), dtype)
+
+
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays as one compressed block, bytes of equal place side by side."""
     parts = []
