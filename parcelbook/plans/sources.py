@@ -323,13 +323,12 @@ def s14(spark: Spark, d: str) -> DataFrame:
 
 @query("s15_namespaces", "SELECT p_brand, count(*) AS n, CAST(count(DISTINCT l_suppkey) AS BIGINT) AS suppliers FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1")
 def s15(spark: Spark, d: str) -> DataFrame:
-    place = scratch_path(spark, "namespace")
-    stock = TB.attach(spark, "stock", {"buildings": f"{d}/part.parquet"}, f"{place}/stock")
-    flows = TB.attach(spark, "flows", {"lines": f"{d}/lineitem.parquet"}, f"{place}/flows")
-    return spark.sql(
-        f"""SELECT p_brand, count(*) AS n, count(DISTINCT l_suppkey) AS suppliers
-        FROM {flows}.lines JOIN {stock}.buildings ON l_partkey = p_partkey GROUP BY p_brand"""
-    )
+    sets = {"stock": {"buildings": f"{d}/part.parquet"}, "flows": {"lines": f"{d}/lineitem.parquet"}}
+    with TB.attached(spark, sets, scratch_path(spark, "namespace")) as name:
+        return spark.sql(
+            f"""SELECT p_brand, count(*) AS n, count(DISTINCT l_suppkey) AS suppliers
+            FROM {name["flows"]}.lines JOIN {name["stock"]}.buildings ON l_partkey = p_partkey GROUP BY p_brand"""
+        )
 
 
 TABLES = ("benchmark", "conversations", "customer", "documents", "embeddings", "events", "labels", "lineitem", "nation", "orders", "pages", "part", "region", "supplier")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -137,6 +139,21 @@ def attach(spark: SparkSession, namespace: str, tables: dict[str, str], location
     return own
 
 
+@contextmanager
+def attached(spark: SparkSession, namespaces: dict[str, dict[str, str]], location: str) -> Iterator[dict[str, str]]:
+    """Namespaces for the time of a block: name -> the unique name to use in SQL.
+
+    A query made inside may run after the block, as its tables are resolved when it is
+    made; the catalog is left as it was, and so are the tables' files.
+    """
+    own = {name: attach(spark, name, tables, f"{location.rstrip('/')}/{name}") for name, tables in namespaces.items()}
+    try:
+        yield own
+    finally:
+        for name in own.values():
+            spark.sql(f"DROP SCHEMA {name} CASCADE")
+
+
 def compose(spark: SparkSession, named: dict[str, DataFrame], sql: str, **args) -> DataFrame:
     """Run SQL over named sub-queries, written ``{name}`` in it; no view of the session is replaced."""
     values = {f"{k}": v for k, v in args.items()}

@@ -249,3 +249,13 @@ def test_a_reader_keeps_the_version_it_began_with(spark, tmp_path, rows):
         TB.publish_version(spark.createDataFrame([(k, "a")], "k int, p string"), path, ["p"])
     assert rows(TB.read_version(spark, path), "k") == [(5,)] and len(TB.current_versions(spark, path)) == 2
     assert sorted(p.name for p in (tmp_path / "t").iterdir() if not p.name.startswith(("v", ".CURRENT.crc"))) == ["CURRENT"]
+
+
+def test_attached_namespaces_go_and_files_stay(spark, tmp_path):
+    path = str(tmp_path / "t.parquet")
+    spark.range(4).write.parquet(path)
+    before = {r[0] for r in spark.sql("SHOW SCHEMAS").collect()}
+    with TB.attached(spark, {"one": {"t": path}, "two": {"t": path}}, str(tmp_path / "places")) as name:
+        df = spark.sql(f"SELECT count(*) AS n FROM {name['one']}.t a JOIN {name['two']}.t b ON a.id = b.id")
+    assert {r[0] for r in spark.sql("SHOW SCHEMAS").collect()} == before
+    assert df.first().n == 4 and spark.read.parquet(path).count() == 4
