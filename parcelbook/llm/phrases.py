@@ -461,4 +461,17 @@ def op12_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {"op12_phrase_collocations": op12_phrase_collocations}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op12_phrase_collocations": r"""WITH t AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+    p AS MATERIALIZED (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM t),
+    f1 AS MATERIALIZED (SELECT lang, x, count(*) AS c FROM (SELECT lang, unnest(w) AS x FROM p) GROUP BY 1, 2), n AS (SELECT lang, sum(c)::BIGINT AS n FROM f1 GROUP BY 1),
+    f2 AS MATERIALIZED (SELECT lang, g[1] AS x, g[2] AS y, count(*) AS c FROM (SELECT lang, unnest(list_transform(range(1, len(w)), lambda i: w[i:i + 1])) AS g FROM p) GROUP BY 1, 2, 3 HAVING c >= 10),
+    f3 AS MATERIALIZED (SELECT lang, g[1] AS x, g[2] AS y, g[3] AS z, count(*) AS c FROM (SELECT lang, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i:i + 2])) AS g FROM p) GROUP BY 1, 2, 3, 4 HAVING c >= 10),
+    m AS (SELECT lang, x, y, max(c) AS c FROM (SELECT lang, x, y, c FROM f3 UNION ALL SELECT lang, y, z, c FROM f3) GROUP BY 1, 2, 3),
+    k2 AS (SELECT f2.lang, f2.x || ' ' || f2.y AS phrase, f2.c AS a, a.c AS l, b.c AS r, (1000000::HUGEINT * f2.c * f2.c) // (a.c::HUGEINT * b.c) AS score FROM f2 JOIN f1 a ON a.lang = f2.lang AND a.x = f2.x JOIN f1 b ON b.lang = f2.lang AND b.x = f2.y LEFT JOIN m ON m.lang = f2.lang AND m.x = f2.x AND m.y = f2.y WHERE m.c IS NULL OR 100 * m.c < 50 * f2.c),
+    j3 AS (SELECT f3.lang, f3.x || ' ' || f3.y || ' ' || f3.z AS phrase, f3.c AS a, u.c AS l1, v.c AS r1, h.c AS l2, q.c AS r2, (1000000::HUGEINT * f3.c * f3.c) // (u.c::HUGEINT * v.c) AS s1, (1000000::HUGEINT * f3.c * f3.c) // (h.c::HUGEINT * q.c) AS s2
+      FROM f3 JOIN f1 u ON u.lang = f3.lang AND u.x = f3.x JOIN f2 v ON v.lang = f3.lang AND v.x = f3.y AND v.y = f3.z JOIN f2 h ON h.lang = f3.lang AND h.x = f3.x AND h.y = f3.y JOIN f1 q ON q.lang = f3.lang AND q.x = f3.z),
+    k AS (SELECT * FROM k2 UNION ALL SELECT lang, phrase, a, CASE WHEN s1 <= s2 THEN l1 ELSE l2 END, CASE WHEN s1 <= s2 THEN r1 ELSE r2 END, least(s1, s2) FROM j3),
+    o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM k)
+    SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM o JOIN n USING (lang) WHERE rank <= 2000"""
+}

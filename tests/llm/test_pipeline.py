@@ -5,9 +5,11 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from parcelbook.llm import near_groups
 from parcelbook.llm.common import fold, word_hashes
 from parcelbook.llm.decontaminate import index_of, leaks_in
 from parcelbook.llm.near_groups import REACH, similarity, similar_groups, sketch, table_keys
+from parcelbook.llm.store import save
 from parcelbook.llm.toxicity import probability, train, words_of
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept int, root string"
@@ -100,7 +102,7 @@ def test_groups_of_many_edited_copies(spark):
     assert got == dict.fromkeys(range(25), 0)
 
 
-def test_groups_compare_every_candidate(spark):
+def test_groups_compare_every_candidate(spark, monkeypatch):
     """Families around the threshold: the groups are those of all pairs that share a key, not of the nearest alone."""
     rng = random.Random(8)
     words = [f"w{i}" for i in range(5000)]
@@ -126,5 +128,34 @@ def test_groups_compare_every_candidate(spark):
         for i, j in alike:
             root[i] = root[j] = min(root[i], root[j])
     want = {i: root[i] for pair in alike for i in pair}
-    got = {r.doc: r.root for r in similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc: r.root for r in similar_groups(docs).collect()}
     assert len(offered) > len(alike) > 100 and got == want
+    # every key looked at one by one, and many small files of sets
+    monkeypatch.setattr(near_groups, "SMALL", 1)
+    monkeypatch.setattr(near_groups, "SET_ROWS", 2000)
+    assert {r.doc: r.root for r in similar_groups(docs).collect()} == want
+
+
+def test_links_of_a_large_key_join_its_groups(tmp_path):
+    rng = random.Random(3)
+    rows = []
+    for family in range(4):
+        base = [rng.getrandbits(60) for _ in range(100)]
+        rows += [sorted({*base[i % 7 :], *[rng.getrandbits(60) for _ in range(i % 5)]}) for i in range(30)]
+    rows = [np.array(r, np.uint64) for r in rng.sample(rows, len(rows))]
+    save(f"{tmp_path}/0-0.end", np.cumsum([len(r) for r in rows], dtype=np.int64))
+    save(f"{tmp_path}/0-0.set", np.concatenate(rows))
+    sketches = np.array([sum(1 << b for b in rng.sample(range(64), 6)) for _ in rows], np.uint64)
+    links = list(near_groups.joined(np.arange(len(rows)), sketches, sketches, near_groups.Sets(str(tmp_path)), 0.8))
+    alike = lambda a, b: len({*rows[a].tolist()} & {*rows[b].tolist()}) >= 0.8 * len({*rows[a].tolist()} | {*rows[b].tolist()})
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if 2 * (int(sketches[i]) ^ int(sketches[j])).bit_count() <= REACH and alike(i, j)]
+
+    def groups(edges):
+        root = list(range(len(rows)))
+        for _ in rows:
+            for i, j in edges:
+                root[i] = root[j] = min(root[i], root[j])
+        return root
+
+    assert groups(links) == groups(pairs) and len(links) == len(rows) - len(set(groups(pairs)))
