@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelbook.functions.numbers import finite
-from parcelbook.operators import joins as J
 from parcelbook.operators import quality as QL
 from parcelbook.plans import base as B
 from parcelbook.plans.registry import query
