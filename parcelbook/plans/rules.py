@@ -171,8 +171,8 @@ def q12(spark: Spark, d: str) -> DataFrame:
     paths = [f"{d}/{t}.parquet" for t in ("orders", "customer", "part")]
     part = F.col("file") == "part.parquet"
     stamped = F.when(part, F.reverse("sha256")).otherwise(F.col("sha256"))
-    stamps = MF.pins_of(spark, paths).select(F.when(part, "era_profile").otherwise("nation_year").alias("output"), "file", stamped.alias("sha256"))
-    return MF.stale_outputs(stamps, MF.file_hashes(spark, paths))
+    stamps = MF.by_source(MF.pins_of(spark, paths)).select(F.when(part, "era_profile").otherwise("nation_year").alias("output"), "file", stamped.alias("sha256"))
+    return MF.stale_outputs(stamps, MF.by_source(MF.file_hashes(spark, paths)))
 
 
 @query(

@@ -343,14 +343,15 @@ TABLES = ("benchmark", "conversations", "customer", "documents", "embeddings", "
 def s16(spark: Spark, d: str) -> DataFrame:
     """Hashes of every file of the listing against pins with one absent, one altered and one extra file.
 
-    The pins are taken by another reader, from the files' whole content.
+    The pins are taken by another reader, from the files' whole content. A table that is a
+    folder of files is one entry of the listing, with the hash of all its files.
     """
     paths = f"{d}/*.parquet"
-    pins = MF.pins_of(spark, paths).filter("file <> 'region.parquet'").select(
+    pins = MF.by_source(MF.pins_of(spark, paths)).filter("file <> 'region.parquet'").select(
         "file", F.when(F.col("file") == "nation.parquet", F.lit("0" * 64)).otherwise(F.col("sha256")).alias("sha256")
     )
     extra = F.when(F.col("file") == "part.parquet", F.array("file", F.lit("absent.parquet"))).otherwise(F.array("file"))
-    return MF.compare_to_pins(MF.file_hashes(spark, paths), pins.select(F.explode(extra).alias("file"), "sha256"))
+    return MF.compare_to_pins(MF.by_source(MF.file_hashes(spark, paths)), pins.select(F.explode(extra).alias("file"), "sha256"))
 
 
 @query(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,14 +15,28 @@ from parcelbook.session import settle
 _BLOCK = 1 << 22
 
 
+def _listed(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(path, length, content, source): the files at or below the paths; source is the listed file or folder."""
+    depths: dict[int, list[str]] = {}
+    for one in [paths] if isinstance(paths, str) else paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(one)
+        depths.setdefault(at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).depth(), []).append(one)
+    found = []
+    for depth, own in depths.items():
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(own)
+        source = F.regexp_extract("path", rf"^([A-Za-z][A-Za-z0-9+.-]*:)?(//[^/]*)?(/[^/]+){{{depth}}}", 0)
+        found.append(files.select("path", "length", "content", source.alias("source")))
+    return reduce(DataFrame.unionByName, found)
+
+
 def file_hashes(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(path, length, sha256, file), one file per task slot, read once in fixed blocks.
+    """(path, length, sha256, source, file), one file per task slot, read once in fixed blocks.
 
     Only paths come from the listing, so a file larger than memory is fine. The table is
     settled: however often it is used, files are read once. Only wanted paths should be
     given, as every listed file is hashed.
     """
-    listing = spark.read.format("binaryFile").load(paths).select("path", "length")
+    listing = _listed(spark, paths).select("path", "length", "source")
 
     def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
@@ -36,15 +51,29 @@ def file_hashes(spark: SparkSession, paths: str | list[str]) -> DataFrame:
                     while block := stream.read(_BLOCK):
                         h.update(block)
                 found.append((path, length, h.hexdigest()))
-            yield pd.DataFrame(found, columns=["path", "length", "sha256"])
+            yield pd.DataFrame(found, columns=["path", "length", "sha256"]).assign(source=batch["source"].to_numpy())
 
-    hashed = listing.repartition("path").mapInPandas(digest, "path string, length long, sha256 string")
+    hashed = listing.repartition("path").mapInPandas(digest, "path string, length long, sha256 string, source string")
     return settle(hashed.withColumn("file", F.element_at(F.split("path", "/"), -1)))
 
 
 def pins_of(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(file, sha256) by Spark's own reader, through any Hadoop store; files of up to 2 GB."""
-    return spark.read.format("binaryFile").load(paths).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("sha256"))
+    """(file, sha256, path, source) by Spark's own reader, through any Hadoop store; files of up to 2 GB."""
+    return _listed(spark, paths).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("sha256"), "path", "source")
+
+
+def by_source(hashes: DataFrame) -> DataFrame:
+    """(file, sha256), a row for each listed entry of (path, sha256, source), be it a file or a folder of files.
+
+    A file keeps its hash. A folder's is that of the hashes and names of all its files, the
+    names below the folder and in their order; so files of equal name in two folders are
+    told apart. Names and hashes of one folder are held together, contents never.
+    """
+    inside = F.expr("substring(path, length(source) + 1)")
+    held = hashes.groupBy("source").agg(F.sort_array(F.collect_set(F.struct(inside.alias("name"), "sha256"))).alias("f"))
+    lines = F.array_join(F.transform("f", lambda x: F.concat(x["sha256"], F.lit(" "), x["name"])), "\n")
+    alone = (F.size("f") == 1) & (F.col("f")[0]["name"] == "")
+    return held.select(F.element_at(F.split("source", "/"), -1).alias("file"), F.when(alone, F.col("f")[0]["sha256"]).otherwise(F.sha2(lines, 256)).alias("sha256"))
 
 
 def compare_to_pins(hashes: DataFrame, pins: DataFrame) -> DataFrame:

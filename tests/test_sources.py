@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from parcelbook.session import settle
 from parcelbook.sources import manifest as MF
 from parcelbook.sources import melt as ML
 from parcelbook.sources import nested as NS
@@ -206,6 +207,20 @@ def test_pins(spark, tmp_path, rows):
     assert rows(MF.compare_to_pins(found, pins)) == [("a.bin", "ok"), ("b.bin", "unpinned"), ("c.bin", "missing")]
 
 
+def test_folders_of_files_are_one_source_each(spark, tmp_path, rows):
+    for name, content in [("a.parquet/part-0", b"abc"), ("a.parquet/k=1/part-0", b"d"), ("b.parquet/part-0", b"x"), ("c.parquet", b"c")]:
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(content)
+    paths = f"{tmp_path}/*.parquet"
+    pins = settle(MF.by_source(MF.pins_of(spark, paths)))
+    assert dict(rows(pins))["c.parquet"] == hashlib.sha256(b"c").hexdigest()
+    assert rows(MF.compare_to_pins(MF.by_source(MF.file_hashes(spark, paths)), pins)) == [("a.parquet", "ok"), ("b.parquet", "ok"), ("c.parquet", "ok")]
+    (tmp_path / "b.parquet/part-0").write_bytes(b"y")
+    (tmp_path / "a.parquet/part-1").write_bytes(b"e")
+    assert rows(MF.compare_to_pins(MF.by_source(MF.file_hashes(spark, [paths])), pins)) == [("a.parquet", "mismatched"), ("b.parquet", "mismatched"), ("c.parquet", "ok")]
+    assert rows(MF.by_source(MF.file_hashes(spark, [f"{tmp_path}/c.parquet", f"{tmp_path}/b.parquet/*"])), "file") == [("c.parquet",), ("part-0",)]
+
+
 def test_snapshot_age(spark):
     df = spark.createDataFrame([("2024-01-01",), ("soon",), (None,)], "s string")
     assert [r[0] for r in df.select(MF.snapshot_age(F.col("s"), F.lit("2024-01-31").cast("date"))).collect()] == [30, None, None]
