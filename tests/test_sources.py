@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from parcelbook.plans import sources as PS
 from parcelbook.session import settle
 from parcelbook.sources import manifest as MF
 from parcelbook.sources import melt as ML
@@ -274,3 +275,19 @@ def test_attached_namespaces_go_and_files_stay(spark, tmp_path):
         df = spark.sql(f"SELECT count(*) AS n FROM {name['one']}.t a JOIN {name['two']}.t b ON a.id = b.id")
     assert {r[0] for r in spark.sql("SHOW SCHEMAS").collect()} == before
     assert df.first().n == 4 and spark.read.parquet(path).count() == 4
+
+
+def test_register_sorts_narrow_rows(spark, tmp_path, rows):
+    part = spark.range(1, 60).selectExpr("id AS p_partkey", "CAST(id AS INT) AS p_size", "'x' AS p_type", "id * 1.5D AS p_retailprice").unionByName(spark.sql("SELECT -3L AS p_partkey, 4 AS p_size, 'y' AS p_type, 1D AS p_retailprice"))
+    lines = PS._register_lines(part)
+    plan = lines._jdf.queryExecution().optimizedPlan().toString()
+    # the long texts are built above the sort, whose rows hold the table's columns alone
+    assert "featureMember" in plan[: plan.index("Sort [")] and "featureMember" not in plan[plan.index("Sort [") :]
+    lines.write.partitionBy("part").text(str(tmp_path / "out"))
+    files = list((tmp_path / "out").glob("part=*/part-*"))
+    assert len(files) == 9 and sum(f.read_text().count("<gml:featureMember") for f in files) == 60
+    for f in files:
+        text = f.read_text()
+        assert text.startswith("<gml:FeatureCollection") and text.endswith("</gml:FeatureCollection>\n")
+    found = TG.record_counts(TG.read_records(spark, str(tmp_path / "out")), TG.declared_counts(spark, str(tmp_path / "out")))
+    assert sum(r[0] for r in rows(found, "read")) == 60 and [r[0] for r in rows(found.filter("declared <> read"), "verdict")] == ["count_differs"]
