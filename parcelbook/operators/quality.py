@@ -194,11 +194,20 @@ _PLAIN = r"^[+-]?[0-9]+(\.[0-9]+)?[kM%y]?$"
 _COMMA = r"^[+-]?[0-9]+,[0-9]{1,2}[kM%y]?$"
 
 
+#: The same with all white space made blanks, so that words are found by classes of one sign (five times faster).
+_BLANKS = (_MARKS[0] + "\t\n\x0b\f\r", _MARKS[1] + " " * 5)
+#: A whole word that holds a digit; looked for where a word begins only, so a long one costs its length.
+_WORD = "(?<![^ ])[^ 0-9]*+[0-9][^ ]*+"
+
+
 def prose_tokens(text: Column) -> Column:
-    """Words of a text outside code: what stands between backticks is every other piece."""
+    """Words with a digit of a text outside code: what stands between backticks is every other piece.
+
+    All other words are passed over in one search of the text, before any of them is a value.
+    """
     pieces = F.filter(F.split(text, "`"), lambda _, i: i % 2 == 0)
-    prose = F.regexp_replace(F.array_join(pieces, " "), r"(^|\n)[ \t]*[0-9]+[.][ \t]+", " ")
-    words = F.filter(F.split(F.translate(prose, *_MARKS), r"\s+"), lambda w: F.instr(w, "://") == 0)
+    prose = F.regexp_replace(F.array_join(pieces, " "), r"(?:^|\n)[ \t]*[0-9]+[.][ \t]+", " ")
+    words = F.filter(F.regexp_extract_all(F.translate(prose, *_BLANKS), F.lit(_WORD), 0), lambda w: F.instr(w, "://") == 0)
     return F.transform(words, lambda w: F.regexp_replace(F.regexp_replace(w, _OPEN, ""), _CLOSE, ""))
 
 

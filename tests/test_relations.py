@@ -193,6 +193,12 @@ def test_text_numbers_take_whole_words(spark):
     assert sorted(r.value for r in rest.collect()) == [-4.5, 6.2, 10.0, 12.5, 20.0, 25000.0]
 
 
+def test_prose_tokens_are_words_with_a_digit(spark):
+    text = "a word −5→x7~n ²3–4 (b12), no " + "long" * 50_000 + " https://x.y/1 `8` … 9…\x0b6"
+    df = spark.createDataFrame([(text,), (None,), ("no digit",)], "t string")
+    assert [r[0] for r in df.select(QL.prose_tokens(F.col("t"))).collect()] == [["-5", "x7", "3", "4", "b12", "9", "6"], None, []]
+
+
 def test_claims_scan_each_source_once(spark, tmp_path):
     for name in ("a", "b", "c"):
         spark.range(50).select("id", (F.col("id") % 5).alias("g"), (F.col("id") * 1.5).alias("v")).write.parquet(str(tmp_path / name))
