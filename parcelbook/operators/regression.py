@@ -21,6 +21,8 @@ from parcelbook.operators.order_stats import null_safe_join
 from parcelbook.session import settle
 
 ONE = "_one"
+#: Rows whose square matrices a task holds at once.
+ROWS = 1024
 
 
 # ------------------------------------------------------------- design columns
@@ -136,6 +138,13 @@ def _square(flat: np.ndarray, p: int) -> np.ndarray:
     return out
 
 
+def pieces(batches: Iterator[pd.DataFrame], rows: int = ROWS) -> Iterator[pd.DataFrame]:
+    """Batches cut to at most ``rows`` rows, so that a task's matrices stay as small however full batches are."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.iloc[at : at + rows]
+
+
 def cluster_moments(df: DataFrame, columns: list[str], cluster: str, absorbed: int = 0) -> Moments:
     """Aggregate rows to one cross-product row per cluster and settle it."""
     cols = list(dict.fromkeys([*columns, ONE]))
@@ -405,9 +414,7 @@ def within_moments(df: DataFrame, unit: str, periods: list[str], cluster: str, s
     with_trend = np.array([s.trend is not None for s in specs])
 
     def deviations(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if not len(batch):
-                continue
+        for batch in pieces(batches):
             s = _square(np.stack(batch["m"].to_numpy()), p)
             u, ut = np.split(np.stack(batch["u"].to_numpy()), [p], axis=1)
             n, own, total = s[:, one, one], s[:, :, one], u[:, one]
@@ -423,7 +430,7 @@ def within_moments(df: DataFrame, unit: str, periods: list[str], cluster: str, s
             w[:, one, :] = w[:, :, one] = 0.0
             w[:, one, one] = n
             kept = np.concatenate([w[:, i, j], own, (1.0 / batch["shares"].to_numpy())[:, None]], axis=1)
-            yield pd.DataFrame({"spec": batch["spec"], "cluster": batch["cluster"], "w": list(kept)})
+            yield pd.DataFrame({"spec": batch["spec"].to_numpy(), "cluster": batch["cluster"].to_numpy(), "w": list(kept)})
 
     kind = summed.schema["_cluster"].dataType.simpleString()
     parts = of_unit.mapInPandas(deviations, f"spec int, cluster {kind}, w array<double>")
@@ -459,7 +466,7 @@ def panel_fits(df: DataFrame, unit: str, periods: list[str], cluster: str, specs
 
     def scores(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         acc = [np.zeros((len(x), len(x))) for x, _, _ in places]
-        for batch in batches:
+        for batch in pieces(batches):
             for number, own in batch.groupby("spec"):
                 x, y, p = places[number]
                 mm = _square(np.stack(own["m"].to_numpy()), p)

@@ -1,6 +1,7 @@
 """Many panel models from one pass against dense fits of each."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,3 +88,9 @@ def test_one_scan_serves_all_models(spark, tmp_path):
     plan = summed._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Scan ExistingRDD") == 1 and "parquet" not in plan.lower()
     assert len(names) == 3 + 7 + 1
+
+
+def test_matrices_of_a_batch_are_held_in_pieces():
+    whole = pd.DataFrame({"i": range(2500)})
+    cut = list(R.pieces(iter([whole, whole.iloc[:0], whole.iloc[:7]])))
+    assert [len(c) for c in cut] == [1024, 1024, 452, 7] and [*pd.concat(cut)["i"]] == [*range(2500), *range(7)]
