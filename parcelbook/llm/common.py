@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import gc
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Collection, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -57,7 +57,7 @@ def tasks_for(rows: int, per_task: int, spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / per_task))
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
+def word_hashes(words: Collection[bytes]) -> np.ndarray:
     """64-bit hash of each word."""
     return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 

@@ -37,7 +37,7 @@ def posteriors(docs: DataFrame, models: dict[str, Weights]) -> DataFrame:
             n, p = [], []
             for body in bodies(batch):
                 words = words_of(body)
-                hit = [x[active[x]] for x in features(words)]
+                hit = [x[active[x]] for x in features(words, once=True)]
                 idx = np.unique(np.concatenate(hit)) if hit else np.zeros(0, np.int64)
                 logit = np.clip(bias + dense[idx].sum(axis=0), -30, 30)
                 e = np.exp(logit - logit.max())

@@ -35,14 +35,19 @@ class Weights:
         return out
 
 
-def features(words: list[bytes]) -> Iterator[np.ndarray]:
-    """Hashed words, their first bytes, word pairs and pairs with one word between, in pieces of a long text."""
+def features(words: list[bytes], once: bool = False) -> Iterator[np.ndarray]:
+    """Hashed words, their first bytes, word pairs and pairs with one word between, in pieces of a long text.
+
+    With ``once`` the first bytes that words of a piece share are given once, which is less
+    work for callers that take distinct numbers.
+    """
     for at in range(0, len(words), PIECE):
         h = word_hashes(words[at : at + PIECE + 2])
         own = len(h) if at + PIECE + 2 >= len(words) else PIECE
         pair = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]
         skip = h[:-2] * np.uint64(0xD1B54A32D192ED03) + h[2:]
-        stem = word_hashes([w[:STEM] for w in words[at : at + own]]) + np.uint64(STEM)
+        heads = {w[:STEM] for w in words[at : at + own]} if once else [w[:STEM] for w in words[at : at + own]]
+        stem = word_hashes(heads) + np.uint64(STEM)
         for x in (h[:own], mix(stem), mix(pair[:own]), mix(skip[:own])):
             yield (x >> np.uint64(64 - BITS)).astype(np.int64)
 
@@ -77,7 +82,7 @@ def vectors_of(docs: DataFrame, label: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [np.unique(np.concatenate([*features(words_of(b)), np.zeros(0, np.int64)])).astype(np.int32) for b in bodies(batch)]
+            out = [np.unique(np.concatenate([*features(words_of(b), once=True), np.zeros(0, np.int64)])).astype(np.int32) for b in bodies(batch)]
             yield pa.RecordBatch.from_arrays([batch.column(label), pa.array(out, pa.list_(pa.int32()))], ["label", "idx"])
 
     return octets(docs, label).select(F.col(label).cast("int").alias(label), "body").mapInArrow(run, "label int, idx array<int>")
@@ -123,7 +128,7 @@ def score_texts(docs: DataFrame, weights: Weights) -> DataFrame:
 
 
 def probability(words: list[bytes], dense: np.ndarray, active: np.ndarray, bias: float) -> float:
-    hit = [x[active[x]] for x in features(words)]
+    hit = [x[active[x]] for x in features(words, once=True)]
     idx = np.unique(np.concatenate(hit)) if hit else np.zeros(0, np.int64)
     return float(1 / (1 + np.exp(-np.clip(bias + float(dense[idx].sum()), -30, 30))))
 

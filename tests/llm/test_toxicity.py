@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from parcelbook.llm.toxicity import PIECE, features, toxicity
 
 
@@ -41,3 +43,9 @@ def test_pieces_of_a_long_text_give_the_same_features():
     words = [b"%d" % (i % 7919) for i in range(PIECE + 100)]
     n = sum(len(x) for x in features(words))
     assert n == 2 * len(words) + (len(words) - 1) + (len(words) - 2)
+
+
+def test_features_given_once_are_the_same_numbers():
+    words = [b"%s%d" % (b"beginning" * (i % 3), i % 50) for i in range(PIECE + 100)]
+    whole, once = np.concatenate([*features(words)]), np.concatenate([*features(words, once=True)])
+    assert len(once) < len(whole) and np.array_equal(np.unique(once), np.unique(whole))
