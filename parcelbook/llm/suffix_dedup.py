@@ -17,6 +17,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,7 +27,7 @@ from parcelbook.llm.store import pack, unpack
 SPAN = 50
 HEAD = 20
 BLOCK = 1 << 18
-CHUNK = 1 << 23
+CHUNK = 1 << 21
 CROWD = 100_000
 BYTES_PER_BUCKET = 64_000_000
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -251,7 +252,7 @@ def _slices(rows: DataFrame) -> DataFrame:
             wanted = np.zeros(len(text), bool)
             for name, mark in (("heads", wanted), ("crowded", crowded)):
                 lists = batch.column(name).slice(first, len(ends))
-                owner = np.repeat(np.arange(len(ends)), [len(x) if x is not None else 0 for x in (v.as_py() for v in lists)])
+                owner = np.repeat(np.arange(len(ends)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
                 flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) if len(owner) else np.zeros(0, np.uint64)
                 pool = np.sort(mix(flat + owner.astype(np.uint64) * STEP))
                 if len(pool):
@@ -390,14 +391,23 @@ def whole_copies(texts: DataFrame) -> DataFrame:
     return stored(marks.join(first, "digest").where("doc_id > first").select(F.col("doc_id").alias("doc"), "n_bytes").distinct(), "copies")
 
 
+def _known(docs: DataFrame) -> DataFrame:
+    """(doc_id, body) of rows with an id, as long.
+
+    An id that is long already keeps its name in Spark's plan: with a cast there, the two
+    joins below would each shuffle the texts, as Spark takes their exchanges for different.
+    """
+    long = docs.schema["doc_id"].dataType.simpleString() == "bigint"
+    return octets(docs).select("doc_id" if long else F.col("doc_id").cast("long").alias("doc_id"), "body").where("doc_id is not null")
+
+
 def removed_spans(docs: DataFrame, batches: int = BATCHES, crowd: int = CROWD, bytes_per_bucket: int = BYTES_PER_BUCKET) -> tuple[DataFrame, DataFrame]:
     """(dealt, spans): texts with an id dealt by it, and (doc, spans) of what is to go from each.
 
     Added in ``batches`` of rising ids; the result does not depend on their number.
     """
     spark = docs.sparkSession
-    texts = octets(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "body")
-    known = texts.where("doc_id is not null")
+    known = _known(docs)
     cuts, size = known.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)] or [0.5], 10_000), F.sum(F.octet_length("body"))).first()
     size = size or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / bytes_per_bucket))
@@ -438,14 +448,18 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES, crowd: int = CROWD,
     dealt, spans = removed_spans(docs, batches, crowd, bytes_per_bucket)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.list_(pa.int64()))]
         for batch in batches:
-            rows = []
-            for body, found in zip(bodies(batch), batch.column("spans"), strict=True):
+            rows, held, first = [], 0, 0
+            for i, (body, found) in enumerate(zip(bodies(batch), batch.column("spans"), strict=True)):
                 kept, runs = apply_spans(body, [(s["start"], min(s["stop"], len(body))) for s in found.as_py() or []])
                 rows.append((len(body), len(body) - len(kept), len(runs), kept, runs))
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 5
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array([list(map(list, v)) for v in c] if k is kinds[4] else list(c), k) for c, k in zip(cols, kinds, strict=True)]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "spans"])
+                held += len(body)
+                if held >= CHUNK or i == batch.num_rows - 1:
+                    cols = list(zip(*rows, strict=True))
+                    ids = batch.column("doc_id").slice(first, len(rows))
+                    yield pa.RecordBatch.from_arrays([ids, *[pa.array([list(map(list, v)) for v in c] if k is kinds[4] else list(c), k) for c, k in zip(cols, kinds, strict=True)]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "spans"])
+                    rows, held, first = [], 0, i + 1
 
     whole = dealt.join(spans, F.col("doc_id") == F.col("doc"), "left").select("doc_id", "body", "spans")
     alone = octets(docs.where("doc_id is null")).select(F.col("doc_id").cast("long").alias("doc_id"), "body", F.lit(None).cast("array<struct<start:bigint,stop:bigint>>").alias("spans"))

@@ -1,9 +1,11 @@
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from parcelbook.llm.suffix_dedup import SPAN, _repeats_exactly, heads, remove_repeats, repeats
+from parcelbook.llm.suffix_dedup import SPAN, _repeats_exactly, heads, remove_repeats, repeats, sorted_heads
 
 
 def brute(rows):
@@ -78,3 +80,29 @@ def test_exact_way_agrees():
     key, doc = np.zeros(30, np.uint64), np.arange(30)[::-1].copy()
     cover = lambda x: {(r, i) for r, a, b in zip(*x, strict=True) for i in range(a, b)}
     assert cover(repeats(key, doc, contents)) == cover(_repeats_exactly(key, doc, contents))
+
+
+def test_texts_are_shuffled_once(spark):
+    rng = random.Random(2)
+    rows = [(i, "".join(rng.choice("abcdefgh ") for _ in range(400))) for i in range(60)]
+    rows += [(100 + i, t + "!") for i, t in rows]
+    found = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert [r.n_removed for r in found.orderBy("doc_id").collect()] == [0] * 60 + [400] * 60
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "ReusedExchange" in plan
+
+
+def test_heads_of_a_large_batch_take_little_memory():
+    class Docs:
+        def mapInArrow(self, run, schema):
+            return run
+
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(97, 123, 8192).astype(np.uint8).tobytes() for _ in range(1024)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1024), pa.int64()), pa.array(texts, pa.binary())], ["doc_id", "body"])
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in sorted_heads(Docs(), 4)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows and peak < 80e6, peak
