@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelbook.llm.common import Query, bodies, octets, stored, table
-from parcelbook.llm.toxicity import Weights, features, train, words_of
+from parcelbook.llm.common import Query, octets, stored, table
+from parcelbook.llm.toxicity import Weights, distinct_features, portions, train
 
 #: Fixed targets of the query: share of all tokens by domain.
 TARGETS = {"high": 0.9, "low": 0.09, "toxic": 0.01}
@@ -35,14 +35,13 @@ def posteriors(docs: DataFrame, models: dict[str, Weights]) -> DataFrame:
         bias = np.array([w.bias for w in models.values()])
         for batch in batches:
             n, p = [], []
-            for body in bodies(batch):
-                words = words_of(body)
-                hit = [x[active[x]] for x in features(words, once=True)]
-                idx = np.unique(np.concatenate(hit)) if hit else np.zeros(0, np.int64)
-                logit = np.clip(bias + dense[idx].sum(axis=0), -30, 30)
-                e = np.exp(logit - logit.max())
-                n.append(len(words))
-                p.append(e / e.sum())
+            for texts in portions(batch):
+                words, text, number = distinct_features(texts, active)
+                n += words.tolist()
+                for weights in np.split(dense[number], np.searchsorted(text, np.arange(1, len(texts)))):
+                    logit = np.clip(bias + weights.sum(axis=0), -30, 30)
+                    e = np.exp(logit - logit.max())
+                    p.append(e / e.sum())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(list(p), pa.list_(pa.float64()))], ["doc_id", "n_tokens", "p"])
 
     return octets(docs).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, p array<double>")

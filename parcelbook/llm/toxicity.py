@@ -19,6 +19,12 @@ SAMPLE = 16_000
 PIECE = 1 << 16
 STEM = 8
 MARKS = string.punctuation.encode()
+TEXTS = 1 << 18
+LONG = 32
+#: Of each byte: 0 between words, 1 a mark, 2 other.
+KINDS = np.array([0 if bytes([i]).isspace() else 1 if i in MARKS else 2 for i in range(256)], np.int8)
+#: Factors of XXH64.
+P1, P2, P3, P4, P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
 
 @dataclass(frozen=True)
@@ -56,6 +62,79 @@ def words_of(body: bytes) -> list[bytes]:
     return [w for w in (x.strip(MARKS) for x in body.lower().split()) if w]
 
 
+def word_places(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(buf, text, begin, size): folded bytes of the texts and where the words of ``words_of`` stand in them."""
+    buf = np.frombuffer(b" ".join([b"", *texts, b" " * LONG]).lower(), np.uint8)
+    kind = KINDS[buf]
+    edges = [np.flatnonzero(np.diff(kind > low)) + 1 for low in (0, 1)]
+    begin, stop = edges[1][::2], edges[1][1::2]  # runs without spaces and marks; a word goes from its first to its last
+    word = np.searchsorted(edges[0][::2], begin, side="right")
+    fresh = np.flatnonzero(np.diff(word, prepend=-1))
+    last = np.append(fresh[1:], len(word))[: len(fresh)] - 1
+    begin, stop = begin[fresh], stop[last]
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    return buf, np.searchsorted(ends, begin - 1, side="right"), begin, stop - begin
+
+
+def place_hashes(buf: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """``word_hashes`` of words that stand in ``buf``, which has LONG more bytes; all at once unless LONG or longer."""
+    lanes = np.ndarray((len(buf) - 7,), "<u8", buf, strides=(1,))
+    turn = lambda x, by: (x << np.uint64(by)) | (x >> np.uint64(64 - by))
+    h = size.astype(np.uint64) + P5
+    for k in range(0, LONG - 8, 8):
+        i = np.flatnonzero(size >= k + 8)
+        h[i] = turn(h[i] ^ (turn(lanes[begin[i] + k] * P2, 31) * P1), 27) * P1 + P4
+    at = begin + (size & ~7)
+    i = np.flatnonzero(size & 4)
+    h[i] = turn(h[i] ^ ((lanes[at[i]] & np.uint64(0xFFFFFFFF)) * P1), 23) * P2 + P3
+    at += size & 4
+    for k in range(3):
+        i = np.flatnonzero((size & 3) > k)
+        h[i] = turn(h[i] ^ (buf[at[i] + k] * P5), 11) * P1
+    h = (h ^ (h >> np.uint64(33))) * P2
+    h = (h ^ (h >> np.uint64(29))) * P3
+    h ^= h >> np.uint64(32)
+    i = np.flatnonzero(size >= LONG)
+    h[i] = word_hashes([buf[a : a + n].tobytes() for a, n in zip(begin[i].tolist(), size[i].tolist(), strict=True)])
+    return h
+
+
+def distinct_features(texts: list[bytes], active: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(n, text, number): words of each text, and its distinct ``features``, rising, if they are ``active``."""
+    buf, owner, begin, size = word_places(texts)
+    hashes = place_hashes(buf, begin, size)
+    cut = np.uint64(64 - BITS)
+    keys = [np.zeros(0, np.int64)]
+    for at in range(0, len(hashes), PIECE):
+        h, t, own = hashes[at : at + PIECE + 2], owner[at : at + PIECE + 2], min(PIECE, len(hashes) - at)
+        stem = h[:own].copy()
+        i = np.flatnonzero(size[at : at + own] > STEM)
+        stem[i] = place_hashes(buf, begin[at + i], np.full(len(i), STEM))
+        found = [(t[:own], h[:own]), (t[:own], mix(stem + np.uint64(STEM)))]
+        for gap, factor in ((1, np.uint64(0x9E3779B97F4A7C15)), (2, np.uint64(0xD1B54A32D192ED03))):
+            same = np.flatnonzero(t[:-gap][:own] == t[gap:][:own])
+            found.append((t[same], mix(h[same] * factor + h[same + gap])))
+        found = [(who, (x >> cut).astype(np.int64)) for who, x in found]
+        if active is not None:
+            found = [(who[keep], x[keep]) for who, x in found for keep in [np.flatnonzero(active[x])]]
+        keys.append(np.unique(np.concatenate([(who << BITS) | x for who, x in found])))
+    key = np.unique(np.concatenate(keys)) if len(keys) > 2 else keys[-1]
+    return np.bincount(owner, minlength=len(texts)), key >> BITS, key & ((1 << BITS) - 1)
+
+
+def portions(batch: pa.RecordBatch) -> Iterator[list[bytes]]:
+    """Texts of a batch in lists of about TEXTS bytes."""
+    texts, held = [], 0
+    for body in bodies(batch):
+        texts.append(body)
+        held += len(body)
+        if held >= TEXTS:
+            yield texts
+            texts, held = [], 0
+    if texts:
+        yield texts
+
+
 def fit(vectors: list[np.ndarray], labels: np.ndarray, alpha: float = 1.0, beta: float = 1.0, l1: float = 12.0, l2: float = 1.0, epochs: int = 8) -> Weights:
     """FTRL-proximal: each coordinate has its own rate, and those below ``l1`` stay at zero."""
     z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
@@ -82,7 +161,10 @@ def vectors_of(docs: DataFrame, label: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [np.unique(np.concatenate([*features(words_of(b), once=True), np.zeros(0, np.int64)])).astype(np.int32) for b in bodies(batch)]
+            out = []
+            for texts in portions(batch):
+                _, text, number = distinct_features(texts)
+                out += np.split(number.astype(np.int32), np.searchsorted(text, np.arange(1, len(texts))))
             yield pa.RecordBatch.from_arrays([batch.column(label), pa.array(out, pa.list_(pa.int32()))], ["label", "idx"])
 
     return octets(docs, label).select(F.col(label).cast("int").alias(label), "body").mapInArrow(run, "label int, idx array<int>")

@@ -1,8 +1,11 @@
 import random
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql.types import LongType, StructType
 
-from parcelbook.llm.mixing import fit_rates, mix_to_targets, rates
+from parcelbook.llm import toxicity
+from parcelbook.llm.mixing import fit_rates, mix_to_targets, posteriors, rates
 
 
 def dense(n, p, target, ridge):
@@ -48,3 +51,20 @@ def test_expected_totals_meet_targets(spark):
     none = mix_to_targets(frame, known.limit(0), {"a": 0.5, "b": 0.5}, rounds=5).collect()
     assert {round(r.posterior, 6) for r in none} == {0.5}
     assert mix_to_targets(frame.limit(0), known, {"a": 0.5, "b": 0.5}).count() == 0
+
+
+def test_short_words_are_not_hashed_one_by_one(monkeypatch):
+    class Docs:
+        schema = StructType().add("doc_id", LongType())
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    monkeypatch.setattr("parcelbook.llm.mixing.octets", lambda docs: docs)
+    done = []
+    monkeypatch.setattr(toxicity, "word_hashes", lambda words, hashes=toxicity.word_hashes: done.extend(words) or hashes(words))
+    model = toxicity.Weights(np.arange(1 << toxicity.BITS), np.ones(1 << toxicity.BITS, np.float32), 0.0)
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3], pa.int64()), pa.array([b"one two, three", None, b"four " + b"x" * 40])], ["doc_id", "body"])
+    (got,) = posteriors(Docs(), {"a": model, "b": model})(iter([batch]))
+    assert got.column("n_tokens").to_pylist() == [3, 0, 2] and got.column("p").to_pylist() == [[0.5, 0.5]] * 3
+    assert done == [b"x" * 40]

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from parcelbook.llm.toxicity import PIECE, features, toxicity
+from parcelbook.llm.toxicity import BITS, PIECE, distinct_features, features, toxicity, words_of
 
 
 def corpus():
@@ -49,3 +49,18 @@ def test_features_given_once_are_the_same_numbers():
     words = [b"%s%d" % (b"beginning" * (i % 3), i % 50) for i in range(PIECE + 100)]
     whole, once = np.concatenate([*features(words)]), np.concatenate([*features(words, once=True)])
     assert len(once) < len(whole) and np.array_equal(np.unique(once), np.unique(whole))
+
+
+def test_texts_taken_together_have_the_features_of_each():
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abÉé'.-") for _ in range(rng.choice([1, 2, 5, 9, 20, 40])))
+    texts = [" ".join(word() for _ in range(n)).encode() for n in (40, 0, 1, 2, 300, PIECE + 3, 3)] + [b"", b" .. -- ", b"One. (one) ONE\x0bone,\x00\x1c\xff"]
+    texts += [b" ".join(b"Z" * n for n in range(1, 70))]
+    active = np.random.default_rng(5).random(1 << BITS) < 0.3
+    for some in (texts, texts[::-1], [b""], [b"a"], []):
+        for mask in (None, active):
+            n, text, number = distinct_features(some, mask)
+            for i, body in enumerate(some):
+                want = np.unique(np.concatenate([*features(words_of(body)), np.zeros(0, np.int64)]))
+                assert n[i] == len(words_of(body))
+                assert np.array_equal(number[text == i], want if mask is None else want[active[want]])
