@@ -349,8 +349,9 @@ TABLES = ("benchmark", "conversations", "customer", "documents", "embeddings", "
 def s16(spark: Spark, d: str) -> DataFrame:
     """Hashes of every file of the listing against pins with one absent, one altered and one extra file.
 
-    The pins are taken by another reader, from the files' whole content. A table that is a
-    folder of files is one entry of the listing, with the hash of all its files.
+    The pins are taken by a second reading of the files' whole content: by Spark's reader, and by
+    position over 16 MB. A table that is a folder of files is one entry of the listing, with the
+    hash of all its files.
     """
     paths = f"{d}/*.parquet"
     pins = MF.by_source(MF.pins_of(spark, paths)).filter("file <> 'region.parquet'").select(

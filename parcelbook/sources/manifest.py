@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import reduce
+from typing import TYPE_CHECKING
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,7 +13,12 @@ from pyspark.sql import functions as F
 
 from parcelbook.session import settle
 
+if TYPE_CHECKING:
+    from pyarrow import fs
+
 _BLOCK = 1 << 22
+#: Files of up to this length are held whole by Spark's reader; eight such tasks fit a heap of 1 GB.
+_WHOLE = 1 << 24
 
 
 def _listed(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -29,23 +35,40 @@ def _listed(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
+def _store(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path in Spark's writing, as Python opens it, and the path there."""
+    from pyarrow import fs
+
+    if path.startswith("file:/"):
+        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(path)
+
+
+def _reached(spark: SparkSession, path: str) -> bool:
+    """Whether Python opens the store of a path too."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    try:
+        _store(at.getFileSystem(spark._jsc.hadoopConfiguration()).getUri().toString())
+    except (OSError, ValueError, NotImplementedError):
+        return False
+    return True
+
+
 def file_hashes(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(path, length, sha256, source, file), one file per task slot, read once in fixed blocks.
+    """(path, length, sha256, source, file), read once in fixed blocks.
 
-    Only paths come from the listing, so a file larger than memory is fine. The table is
-    settled: however often it is used, files are read once. Only wanted paths should be
-    given, as every listed file is hashed.
+    Files are dealt to tasks by their length, as the listing has them, and a large one has a
+    task of its own. Only paths come from the listing, so a file larger than memory is fine.
+    The table is settled: however often it is used, files are read once. Only wanted paths
+    should be given, as every listed file is hashed.
     """
     listing = _listed(spark, paths).select("path", "length", "source")
 
     def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
         for batch in batches:
             found = []
             for path, length in zip(batch["path"], batch["length"], strict=True):
-                uri = path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path
-                source, inner = fs.FileSystem.from_uri(uri)
+                source, inner = _store(path)
                 h = hashlib.sha256()
                 with source.open_input_stream(inner) as stream:
                     while block := stream.read(_BLOCK):
@@ -53,13 +76,47 @@ def file_hashes(spark: SparkSession, paths: str | list[str]) -> DataFrame:
                 found.append((path, length, h.hexdigest()))
             yield pd.DataFrame(found, columns=["path", "length", "sha256"]).assign(source=batch["source"].to_numpy())
 
-    hashed = listing.repartition("path").mapInPandas(digest, "path string, length long, sha256 string, source string")
+    hashed = listing.mapInPandas(digest, "path string, length long, sha256 string, source string")
     return settle(hashed.withColumn("file", F.element_at(F.split("path", "/"), -1)))
 
 
+def _by_position(listing: DataFrame) -> DataFrame:
+    """(path, sha256, source), each file read by position in fixed blocks up to its end."""
+
+    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = []
+            for path in batch["path"]:
+                store, inner = _store(path)
+                h, at = hashlib.sha256(), 0
+                with store.open_input_file(inner) as file:
+                    while block := file.read_at(_BLOCK, at):
+                        h.update(block)
+                        at += len(block)
+                found.append(h.hexdigest())
+            yield batch.assign(sha256=found)[["path", "sha256", "source"]]
+
+    return listing.select("path", "source").mapInPandas(digest, "path string, sha256 string, source string")
+
+
 def pins_of(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(file, sha256, path, source) by Spark's own reader, through any Hadoop store; files of up to 2 GB."""
-    return _listed(spark, paths).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("sha256"), "path", "source")
+    """(file, sha256, path, source) by Spark's own reader, through any Hadoop store.
+
+    That reader holds a file whole and takes 2 GB at most, so files over 16 MB are read by
+    position where Python opens their store too: any length, in constant memory. In a store that
+    only Spark opens all files are held whole.
+    """
+    given = [paths] if isinstance(paths, str) else paths
+    reached = [one for one in given if _reached(spark, one)]
+    whole, hashed = [], []
+    if reached:
+        files = _listed(spark, reached)
+        whole.append(files.filter(F.col("length") <= _WHOLE))
+        hashed.append(_by_position(files.filter(F.col("length") > _WHOLE)))
+    if other := [one for one in given if one not in reached]:
+        whole.append(_listed(spark, other))
+    hashed += [files.select("path", F.sha2("content", 256).alias("sha256"), "source") for files in whole]
+    return reduce(DataFrame.unionByName, hashed).select(F.element_at(F.split("path", "/"), -1).alias("file"), "sha256", "path", "source")
 
 
 def by_source(hashes: DataFrame) -> DataFrame:

@@ -222,6 +222,33 @@ def test_folders_of_files_are_one_source_each(spark, tmp_path, rows):
     assert rows(MF.by_source(MF.file_hashes(spark, [f"{tmp_path}/c.parquet", f"{tmp_path}/b.parquet/*"])), "file") == [("c.parquet",), ("part-0",)]
 
 
+def test_pins_of_files_that_the_whole_file_reader_refuses(spark, tmp_path, rows):
+    (tmp_path / "a b").mkdir()
+    most = 1 << 24
+    for name, size in [("a b/held.bin", most), ("a b/long%20.bin", most + 1), ("a b/longer.bin", 2 * most + 3), ("short.bin", 3)]:
+        (tmp_path / name).write_bytes(bytes(range(251)) * (size // 251) + b"x" * (size % 251))
+    digest = {f"{p.relative_to(tmp_path)}": hashlib.sha256(p.read_bytes()).hexdigest() for p in tmp_path.rglob("*.bin")}
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", most)
+    try:
+        pins = rows(MF.pins_of(spark, [f"{tmp_path}/a b", f"{tmp_path}/short.bin"]), "file", "sha256", "path", "source")
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    listed = [("a b/held.bin", "a b"), ("a b/long%20.bin", "a b"), ("a b/longer.bin", "a b"), ("short.bin", "short.bin")]
+    assert pins == [(n.split("/")[-1], digest[n], f"file:{tmp_path}/{n}", f"file:{tmp_path}/{source}") for n, source in listed]
+    found = MF.file_hashes(spark, [f"{tmp_path}/a b", f"{tmp_path}/short.bin"])
+    assert rows(found, "file", "sha256", "path", "source") == pins
+    assert found.filter("length > 3").select(F.spark_partition_id()).distinct().count() == 3
+
+
+def test_pins_in_a_store_that_only_spark_opens(spark, tmp_path, rows):
+    (tmp_path / "long.bin").write_bytes(b"ab" * (1 << 24))
+    (tmp_path / "c.bin").write_bytes(b"c")
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.pins.link./in", f"file://{tmp_path}")
+    expected = [("c.bin", hashlib.sha256(b"c").hexdigest()), ("long.bin", hashlib.sha256(b"ab" * (1 << 24)).hexdigest())]
+    assert rows(MF.pins_of(spark, "viewfs://pins/in/*.bin"), "file", "sha256") == expected
+    assert rows(MF.pins_of(spark, ["viewfs://pins/in/long.bin", f"{tmp_path}/c.bin"]), "file", "sha256") == expected
+
+
 def test_snapshot_age(spark):
     df = spark.createDataFrame([("2024-01-01",), ("soon",), (None,)], "s string")
     assert [r[0] for r in df.select(MF.snapshot_age(F.col("s"), F.lit("2024-01-31").cast("date"))).collect()] == [30, None, None]
